@@ -1,9 +1,10 @@
 """The queries opN_<name>, and SQL for those that SQL can express."""
 
-from creditlake.llm import op01_chat, op02_bpe
+from creditlake.llm import op01_chat, op02_bpe, op03_lines
 
 QUERIES = {
     "op1_chat_formatting": op01_chat.op1_chat_formatting,
     "op2_bpe": op02_bpe.op2_bpe,
+    "op3_line_dedup": op03_lines.op3_line_dedup,
 }
-SQL = {"op1_chat_formatting": op01_chat.SQL}
+SQL = {"op1_chat_formatting": op01_chat.SQL, "op3_line_dedup": op03_lines.SQL}
