@@ -1,10 +1,12 @@
 """The queries opN_<name>, and SQL for those that SQL can express."""
 
-from creditlake.llm import op01_chat, op02_bpe, op03_lines
+from creditlake.llm import op01_chat, op02_bpe, op03_lines, op06_media, op09_warc
 
 QUERIES = {
     "op1_chat_formatting": op01_chat.op1_chat_formatting,
     "op2_bpe": op02_bpe.op2_bpe,
     "op3_line_dedup": op03_lines.op3_line_dedup,
+    "op6_media": op06_media.op6_media,
+    "op9_warc": op09_warc.op9_warc,
 }
-SQL = {"op1_chat_formatting": op01_chat.SQL, "op3_line_dedup": op03_lines.SQL}
+SQL = {"op1_chat_formatting": op01_chat.SQL, "op3_line_dedup": op03_lines.SQL, "op9_warc": op09_warc.SQL}
