@@ -1,11 +1,12 @@
 """The queries opN_<name>, and SQL for those that SQL can express."""
 
-from creditlake.llm import op01_chat, op02_bpe, op03_lines, op05_toxicity, op06_media, op07_ann, op09_warc, op10_packing
+from creditlake.llm import op01_chat, op02_bpe, op03_lines, op04_suffixes, op05_toxicity, op06_media, op07_ann, op09_warc, op10_packing
 
 QUERIES = {
     "op1_chat_formatting": op01_chat.op1_chat_formatting,
     "op2_bpe": op02_bpe.op2_bpe,
     "op3_line_dedup": op03_lines.op3_line_dedup,
+    "op4_suffix_dedup": op04_suffixes.op4_suffix_dedup,
     "op5_toxicity": op05_toxicity.op5_toxicity,
     "op6_media": op06_media.op6_media,
     "op7_ann": op07_ann.op7_ann,
