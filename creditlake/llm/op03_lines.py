@@ -135,7 +135,7 @@ def line_bitmaps(documents: DataFrame, min_chars: int = MIN_CHARS, min_docs: int
 
 
 def _with_bitmaps(documents: DataFrame, min_chars: int, min_docs: int) -> DataFrame:
-    bits = line_bitmaps(documents, min_chars, min_docs).select(F.col("doc_id").alias("_doc"), F.col("digest").alias("_digest"), F.col("bits").alias("_bits"))
+    bits = line_bitmaps(documents, min_chars, min_docs).select(F.col("doc_id").alias("_doc"), F.col("digest").alias("_digest"), F.col("bits").alias("_bits")).hint("merge")
     return documents.join(bits, documents["doc_id"].cast("long").eqNullSafe(bits["_doc"]) & (digest_of(text_of(documents)) == bits["_digest"]), "left")
 
 
