@@ -287,7 +287,7 @@ def _texts(documents: DataFrame) -> DataFrame:
 
 def _meet(left: DataFrame, right: DataFrame, how: str) -> DataFrame:
     """Joined by document, null ids included."""
-    r = right.withColumnsRenamed({"doc_id": "_doc", "digest": "_digest"})
+    r = right.withColumnsRenamed({"doc_id": "_doc", "digest": "_digest"}).hint("merge")
     return left.join(r, left["doc_id"].eqNullSafe(r["_doc"]) & (left["digest"] == r["_digest"]), how).drop("_doc", "_digest")
 
 
@@ -326,7 +326,7 @@ def remove_repeats(documents: DataFrame) -> DataFrame:
     def kept(text, spans):
         return text.combine(spans, lambda t, s: t if s is None else without((t or "").encode(), united(s)).decode("utf-8", "ignore"))
 
-    spans = repeated_spans(documents).select(F.col("doc_id").alias("_doc"), F.col("digest").alias("_digest"), F.col("spans").alias("_spans"))
+    spans = repeated_spans(documents).select(F.col("doc_id").alias("_doc"), F.col("digest").alias("_digest"), F.col("spans").alias("_spans")).hint("merge")
     both = documents.join(spans, documents["doc_id"].cast("long").eqNullSafe(spans["_doc"]) & (F.xxhash64(text_of(documents)) == spans["_digest"]), "left")
     text = F.when(both["_spans"].isNull(), documents["text"]).otherwise(kept(documents["text"], both["_spans"]))
     return both.select(*((text if c == "text" else documents[c]).alias(c) for c in documents.columns))

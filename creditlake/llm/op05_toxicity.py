@@ -120,15 +120,15 @@ def train(documents: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Mode
     return Model(bias.weight, {r.term % 2**64: i for i, r in enumerate(fitted)}, np.array([r.weight for r in fitted]), np.array([r.factors for r in fitted]).reshape(-1, FACTORS))
 
 
-def score(documents: DataFrame, model: Model, threshold: float = THRESHOLD) -> DataFrame:
-    """documents, all columns, with score and predicted."""
+def score(documents: DataFrame, model: Model, threshold: float = THRESHOLD, text: str = "text", into: tuple[str, str] = ("score", "predicted")) -> DataFrame:
+    """documents, all columns, with score and predicted under the names in ``into``."""
     small_batches(documents.sparkSession)
 
     @F.pandas_udf("double")
-    def scored(text):
-        return text.map(lambda t: model.score(terms(t)))
+    def scored(texts):
+        return texts.map(lambda t: model.score(terms(t)))
 
-    return documents.withColumn("score", scored(text_of(documents))).withColumn("predicted", (F.col("score") >= threshold).cast("int"))
+    return documents.withColumn(into[0], scored(text_of(documents, text))).withColumn(into[1], (F.col(into[0]) >= threshold).cast("int"))
 
 
 def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -150,8 +150,8 @@ def with_originals(pages: DataFrame, min_bytes: int = MIN_REVISIT) -> DataFrame:
     p = p.withColumn("digest", F.sha1(F.encode("html", "UTF-8")))
     best = p.where(F.octet_length("html") >= min_bytes).groupBy("digest").agg(F.max("page_id").alias("largest"), F.count(F.lit(1)).alias("n")).where("n > 1").select("digest", "largest")
     # Only ids and digests meet; payloads go once to where their row's verdict is.
-    narrow = p.select("page_id", "digest").join(best, "digest").where(~F.col("page_id").eqNullSafe(F.col("largest"))).select("page_id", "digest", F.col("largest").alias("refers_to")).distinct()
-    right = narrow.select(F.col("page_id").alias("_page"), F.col("digest").alias("_digest"), "refers_to")
+    narrow = p.select("page_id", "digest").join(best.hint("merge"), "digest").where(~F.col("page_id").eqNullSafe(F.col("largest"))).select("page_id", "digest", F.col("largest").alias("refers_to")).distinct()
+    right = narrow.select(F.col("page_id").alias("_page"), F.col("digest").alias("_digest"), "refers_to").hint("merge")
     return p.join(right, p["page_id"].eqNullSafe(right["_page"]) & (p["digest"] == right["_digest"]), "left").select("page_id", "url", "html", "digest", "refers_to")
 
 

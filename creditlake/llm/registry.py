@@ -1,6 +1,6 @@
 """The queries opN_<name>, and SQL for those that SQL can express."""
 
-from creditlake.llm import op01_chat, op02_bpe, op03_lines, op04_suffixes, op05_toxicity, op06_media, op07_ann, op09_warc, op10_packing
+from creditlake.llm import op01_chat, op02_bpe, op03_lines, op04_suffixes, op05_toxicity, op06_media, op07_ann, op08_jaccard, op09_warc, op10_packing
 
 QUERIES = {
     "op1_chat_formatting": op01_chat.op1_chat_formatting,
@@ -10,6 +10,7 @@ QUERIES = {
     "op5_toxicity": op05_toxicity.op5_toxicity,
     "op6_media": op06_media.op6_media,
     "op7_ann": op07_ann.op7_ann,
+    "op8_ngram_jaccard": op08_jaccard.op8_ngram_jaccard,
     "op9_warc": op09_warc.op9_warc,
     "op10_packing": op10_packing.op10_packing,
 }
