@@ -303,7 +303,7 @@ def repeated_spans(documents: DataFrame) -> DataFrame:
 def united(spans: list) -> list[tuple[int, int]]:
     """Disjoint runs, in order; spans that touch become one."""
     out: list[tuple[int, int]] = []
-    for s in sorted((x["start"], x["end"]) for x in spans or ()):
+    for s in sorted((x["start"], x["end"]) for x in (() if spans is None else spans)):
         if out and s[0] <= out[-1][1]:
             out[-1] = out[-1][0], max(out[-1][1], s[1])
         else:
