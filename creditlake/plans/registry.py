@@ -17,5 +17,22 @@ class Query:
 QUERIES: dict[str, Query] = {}
 
 
+def query(name: str, sql: str | None = None) -> Callable:
+    """Registers the decorated function of (spark, sf_dir) under a name."""
+
+    def add(run: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
+        QUERIES[name] = Query(run, sql)
+        return run
+
+    return add
+
+
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    raise NotImplementedError
+    """The screen with grades up to A-."""
+    from creditlake.operators.screen import Filters, screen
+    from creditlake.plans import adapters as A
+
+    return screen(A.companies(spark, sf_dir), A.ratings(spark, sf_dir), A.financials(spark, sf_dir), Filters(max_grade=7))
+
+
+from creditlake.plans import match_queries, merge_queries, screen_queries, source_queries, text_queries  # noqa: E402, F401  they register themselves
