@@ -89,7 +89,7 @@ def extract_text_table(texts: DataFrame) -> DataFrame:
     ends = rest.where(heading).groupBy("doc_id").agg(F.min("n").alias("stop"))
     rest = rest.join(ends, "doc_id", "left").where("stop is null or n < stop").withColumn("figures", F.regexp_extract_all("line", F.lit(_FIGURE), F.lit(0)))
     rest = rest.where(F.size("figures") >= F.size("years"))
-    value = amount_pdf(F.replace(F.element_at("figures", -1), F.lit("%"), F.lit("")))
+    value = amount_pdf(F.replace(F.try_element_at("figures", F.lit(-1)), F.lit("%"), F.lit("")))
     label = strip(F.regexp_replace(F.regexp_extract("line", rf"^(.*?)(?:{_FIGURE})", 1), r"[\s(]+$", ""))
     label = strip(F.regexp_replace(F.lower(label), r"\s*\(times?\)?", ""))
     rest = rest.select("doc_id", "n", "block", value.alias("value"), label.alias("label")).where("value is not null")
@@ -102,7 +102,7 @@ def extract_text_table(texts: DataFrame) -> DataFrame:
     rest = rest.withColumn("field", chain.otherwise(F.lit(None).cast("string"))).withColumn("value", F.when(amount, F.round(F.col("value") * detect_unit(F.col("block")), 2)).otherwise(F.col("value")))
     fields = ["revenue_cr", "pat_cr", "interest_coverage", "ebitda_margin_pct", "total_ratio", "net_ratio"]
     got = rest.groupBy("doc_id").agg(*(F.min_by("value", F.when(F.col("field") == f, F.col("n"))).alias(f) for f in fields))
-    out = years.select("doc_id", year_from_header(F.element_at("years", -1)).alias("fiscal_year")).join(got, "doc_id", "left")
+    out = years.select("doc_id", year_from_header(F.try_element_at("years", F.lit(-1))).alias("fiscal_year")).join(got, "doc_id", "left")
     out = out.withColumn("ebitda_cr", F.when(F.col("revenue_cr") > 0, F.round(F.col("revenue_cr") * F.col("ebitda_margin_pct") / 100, 2)))
     debts = {into: F.when(F.col("ebitda_cr") > 0, F.round(F.col(ratio) * F.col("ebitda_cr"), 2)) for into, ratio in (("total_debt_cr", "total_ratio"), ("net_debt_cr", "net_ratio"))}
     return out.withColumns(debts).drop("total_ratio", "net_ratio")

@@ -63,7 +63,7 @@ def _(spark, sf):
 def _(spark, sf):
     k = F.col("c_custkey")
     s = k.cast("string")
-    rec = F.create_map(F.lit("SCRIP_CD"), F.when(k % 2 == 0, s), F.lit("ScripCode"), s, F.lit("SCRIP_ID"), F.concat(F.lit(" SYM"), s), F.lit("SCRIP_NAME"), F.col("c_name"), F.lit("ISIN"), F.when(k % 2 == 0, F.concat(F.lit("INE"), s)).otherwise(F.lit("")))
+    rec = F.create_map(F.lit("SCRIP_CD"), F.when(k % 2 == 0, s), F.lit("scripCd"), s, F.lit("SCRIP_ID"), F.concat(F.lit(" SYM"), s), F.lit("SCRIP_NAME"), F.col("c_name"), F.lit("ISIN"), F.when(k % 2 == 0, F.concat(F.lit("INE"), s)).otherwise(F.lit("")))
     return R.scrip_columns(A.read(spark, sf, "customer").select(k.alias("pos"), rec.alias("rec")))
 
 
@@ -95,7 +95,7 @@ def _(spark, sf):
 @query("landed_json", "SELECT c_custkey::VARCHAR AS code, c_name AS name FROM customer")
 def _(spark, sf):
     to = scratch(spark)
-    c = A.read(spark, sf, "customer").select(F.to_json(F.struct(F.array(F.create_map(F.lit("ScripCode"), F.col("c_custkey").cast("string"), F.lit("ScripName"), F.col("c_name"))).alias("Table"))).alias("value"))
+    c = A.read(spark, sf, "customer").select(F.to_json(F.struct(F.array(F.create_map(F.lit("ScripCd"), F.col("c_custkey").cast("string"), F.lit("ScripName"), F.col("c_name"))).alias("Table"))).alias("value"))
     c.write.text(to)
     lines = spark.read.text(to).select(F.posexplode(F.from_json("value", f"Table array<{R.MAP}>")["Table"]).alias("pos", "rec"))
     return R.scrip_columns(lines).select("code", "name")

@@ -68,8 +68,8 @@ def read_issuers(spark: SparkSession, path: str) -> DataFrame:
 def _bare_or_wrapped(spark: SparkSession, path: str, wrappers: list[str]) -> DataFrame:
     """pos, rec of records in a JSON list that is bare or under the first wrapper key that has one."""
     t = _text(spark, path).select(F.col("value").alias("v"))
-    wrapped = F.from_json("v", ", ".join(f"`{w}` array<{MAP}>" for w in wrappers))
-    found = F.when(strip(F.col("v")).startswith("["), F.from_json("v", f"array<{MAP}>")).otherwise(F.coalesce(*(wrapped[w] for w in wrappers)))
+    wrapped = F.from_json("v", MAP)
+    found = F.from_json(F.when(strip(F.col("v")).startswith("["), F.col("v")).otherwise(F.coalesce(*(none_if_empty(wrapped[w]) for w in wrappers))), f"array<{MAP}>")
     return t.select(F.posexplode(found).alias("pos", "rec"))
 
 
@@ -79,25 +79,28 @@ def read_press_releases(spark: SparkSession, path: str) -> DataFrame:
     return r.select("pos", F.col("rec")["CompanyName"].alias("company"), F.col("rec")["FileURL"].alias("file_url"), F.col("rec")["FileTitle"].alias("title"), F.col("rec")["PublishedDate"].alias("published"))
 
 
-WRAPPERS = ["Table", "Table1", "data", "Data", "result", "Result", "scrips"]
+# Fixed: keys under which exchanges wrap their lists, in order.
+SCRIP_WRAPPERS = ["Table", "table", "data", "Data", "Scrips", "scrips", "result"]
+RESULT_WRAPPERS = ["Table", "table", "data", "Data", "result", "Result", "Results"]
+# Fixed: spellings of scrip fields, in order.
+SCRIP_FIELDS = {
+    "code": ["SCRIP_CD", "scripCd", "ScripCd", "scrip_cd"], "symbol": ["SCRIP_ID", "scripId", "ScripId", "symbol"],
+    "name": ["SCRIP_NAME", "scripName", "ScripName", "companyName"], "isin": ["ISIN_NUMBER", "isinNo", "ISIN", "isin"],
+}
 
 
 def scrip_columns(raw: DataFrame) -> DataFrame:
     """pos, code, symbol, name, isin of scrip records (pos, rec)."""
-    spellings = {
-        "code": ["SCRIP_CD", "scrip_cd", "ScripCode", "scripCode"], "symbol": ["SCRIP_ID", "scrip_id", "ScripId", "scripId"],
-        "name": ["SCRIP_NAME", "scrip_name", "ScripName", "Issuer_Name"], "isin": ["ISIN_NUMBER", "isin_number", "ISIN", "isin"],
-    }
-    return raw.select("pos", *(strip(F.coalesce(first_spelling(F.col("rec"), v), F.lit(""))).alias(k) for k, v in spellings.items()))
+    return raw.select("pos", *(strip(F.coalesce(first_spelling(F.col("rec"), v), F.lit(""))).alias(k) for k, v in SCRIP_FIELDS.items()))
 
 
 def read_scrips(spark: SparkSession, path: str) -> DataFrame:
-    return scrip_columns(_bare_or_wrapped(spark, path, WRAPPERS))
+    return scrip_columns(_bare_or_wrapped(spark, path, SCRIP_WRAPPERS))
 
 
 def read_results(spark: SparkSession, path: str) -> DataFrame:
     """pos, rec of result records, bare or wrapped."""
-    return _bare_or_wrapped(spark, path, WRAPPERS)
+    return _bare_or_wrapped(spark, path, RESULT_WRAPPERS)
 
 
 def read_equity_csv(spark: SparkSession, path: str) -> DataFrame:
