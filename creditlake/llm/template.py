@@ -294,12 +294,7 @@ def fold_body(body: Iterable, filters: Mapping[str, Callable]) -> list:
     for s in body:
         if isinstance(s, Output):
             value = fold(s.value, filters)
-            if isinstance(value, Const) and not text(value.value):
-                continue
-            if isinstance(value, Const) and out and isinstance(out[-1], Output) and isinstance(out[-1].value, Const):
-                out[-1] = Output(Const(out[-1].value.value + text(value.value)))
-            else:
-                out.append(Output(Const(text(value.value)) if isinstance(value, Const) else value))
+            add(out, Output(Const(text(value.value)) if isinstance(value, Const) else value))
         elif isinstance(s, For):
             out.append(For(s.name, fold(s.items, filters), fold_body(s.body, filters)))
         elif isinstance(s, Assign):
@@ -316,10 +311,20 @@ def fold_body(body: Iterable, filters: Mapping[str, Callable]) -> list:
                 if not isinstance(test, Const):
                     kept.append((test, fold_body(inner, filters)))
             other = fold_body(other, filters)
-            out += [If(kept, other)] if kept else other
+            for inner in [If(kept, other)] if kept else other:
+                add(out, inner)
     return out
 
 
+def add(out: list, s: Any) -> None:
+    """Appends a statement; a constant output joins one before it, and an empty one is left out."""
+    constant = isinstance(s, Output) and isinstance(s.value, Const)
+    if constant and out and isinstance(out[-1], Output) and isinstance(out[-1].value, Const):
+        out[-1] = Output(Const(out[-1].value.value + s.value.value))
+    elif not constant or s.value.value:
+        out.append(s)
+
+
 def lookup(base: Any, key: Any) -> Any:
     if isinstance(base, Mapping):
         return base.get(key)
