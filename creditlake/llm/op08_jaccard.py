@@ -8,11 +8,14 @@ short documents, where segments are nearly single shingles, those with two or mo
 
 Signatures of segments are exchanged in packed form, by hash; a task reads a bucket and sees which sets share a signature:
 
-* each group gives links to try between its smallest set and the others of fitting size (a star), never all pairs;
-* links are verified exactly on the texts; components follow;
+* groups give links to try between their smallest set and the others of fitting size (a star), never all pairs, where a bucket
+  sees the two together more than once; links are verified exactly on the texts; components follow;
 * groups that lie in more than one component then give the pairs between components. That is all pairs at most in groups of up
   to GROUP sets. Larger groups come from frequent passages or large families. There, cost decides which segments a set probes:
   it skips frequent ones as long as more than τ others are left; only sets that can't afford to skip probe large groups too.
+  A similar pair shares all of the smaller set's non-empty segments but τ, so pairs that share fewer signatures, with those
+  skipped counted in their favour, can't be similar; the others are verified exactly. This step misses nothing, so the stars
+  before it only save work.
 
 Equal sets are one node throughout. Defined cases: null, empty or blank text has an empty set (n_shingles 0), linked with nothing;
 a null doc_id has its own row, takes part in links, and is the component's id only if no other member has an id; rows that repeat
@@ -23,6 +26,7 @@ from __future__ import annotations
 
 import hashlib
 import math
+from collections import Counter
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -97,7 +101,8 @@ def signatures(tokens: np.ndarray, band: int) -> np.ndarray:
 def _described(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
         sets = [shingles(t) for t in b.column("text").to_pylist()]
-        yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array([len(s) for s in sets], pa.int64()), pa.array([name(s) for s in sets], pa.binary())], ["doc_id", "n_shingles", "name"])
+        filled = [len(np.unique(s % np.uint64(segments(band_of(len(s)))))) if len(s) else 0 for s in sets]
+        yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array([len(s) for s in sets], pa.int64()), pa.array([name(s) for s in sets], pa.binary()), pa.array(filled, pa.int32())], ["doc_id", "n_shingles", "name", "filled"])
 
 
 def _packed(buckets: int):
@@ -145,10 +150,11 @@ def _packed(buckets: int):
     return run
 
 
-#: What a bucket gives: a link to try, a group of up to GROUP sets, a set's place in a larger group.
+#: What a bucket gives: a link to try, a group of up to GROUP sets and in how many signatures it was seen, a set's place in a larger group.
 LINK, SMALL, LARGE = 0, 1, 2
-_FOUND = pa.schema([("kind", pa.int8()), ("a", pa.binary()), ("b", pa.binary()), ("members", pa.list_(pa.binary())), ("sign", pa.int64()), ("size", pa.int32()), ("own", pa.bool_())])
-_FOUND_DDL = "kind byte, a binary, b binary, members array<binary>, sign long, size int, own boolean"
+_MEMBER = pa.struct([("name", pa.binary()), ("size", pa.int32()), ("own", pa.bool_())])
+_FOUND = pa.schema([("kind", pa.int8()), ("a", pa.binary()), ("b", pa.binary()), ("members", pa.list_(_MEMBER)), ("seen", pa.int32()), ("sign", pa.int64()), ("size", pa.int32()), ("own", pa.bool_())])
+_FOUND_DDL = "kind byte, a binary, b binary, members array<struct<name:binary,size:int,own:boolean>>, seen int, sign long, size int, own boolean"
 
 
 def _leaders(sizes: np.ndarray) -> np.ndarray:
@@ -186,22 +192,26 @@ def _bucket_groups(payloads: list[bytes], bucket: int) -> Iterator[tuple]:
     sign, node, own = sign[fresh], node[fresh], own[fresh]
     starts = np.flatnonzero(np.concatenate([[True], sign[1:] != sign[:-1]]))
     lengths = np.diff(np.append(starts, len(sign)))
-    links: set[tuple[int, int]] = set()
-    small: set[bytes] = set()
+    links: Counter[tuple[int, int]] = Counter()
+    small: Counter[bytes] = Counter()
     for at, n in zip(starts[lengths > 1].tolist(), lengths[lengths > 1].tolist(), strict=True):
-        group = node[at : at + n]
+        group, role = node[at : at + n], own[at : at + n].astype(bool)
+        if not role.any():
+            continue  # a smaller set of a pair is always in its own band
         first = group[_leaders(size[group])]
         links.update((a, b) for a, b in zip(first.tolist(), group.tolist(), strict=True) if a != b)
-        if 2 < n <= GROUP:
-            small.add(group.tobytes())
-        elif n > GROUP:
+        if n <= GROUP:
+            small[(2 * group + role).tobytes()] += 1
+        else:
             mark = int(sign[at]) + (bucket << 48)
-            for x, o in zip(group.tolist(), own[at : at + n].tolist(), strict=True):
-                yield LARGE, every[x], None, None, mark, int(size[x]), bool(o)
-    for a, b in links:
-        yield LINK, every[a], every[b], None, None, None, None
-    for g in small:
-        yield SMALL, None, None, [every[x] for x in np.frombuffer(g, np.int64)], None, None, None
+            for x, o in zip(group.tolist(), role.tolist(), strict=True):
+                yield LARGE, every[x], None, None, None, mark, int(size[x]), o
+    for (a, b), seen in links.items():
+        if seen > 1:
+            yield LINK, every[a], every[b], None, None, None, None, None
+    for g, seen in small.items():
+        coded = np.frombuffer(g, np.int64)
+        yield SMALL, None, None, [{"name": every[x], "size": int(size[x]), "own": bool(o)} for x, o in zip(coded >> 1, coded & 1, strict=True)], seen, None, None, None
 
 
 def _groups(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -237,16 +247,16 @@ def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
-    """The pairs (a, b) that are similar; each leader's text goes to a task once, each other text once for each of its leaders."""
+    """The pairs (a, b) that are similar; each text goes to a task once for each of its leaders.
+
+    A leader of many is dealt to eight tasks with a copy of its own text in each.
+    """
     pairs = pairs.select("a", "b").distinct()
-    want = pairs.select(F.col("a").alias("leader"), F.col("b").alias("name")).unionByName(pairs.select(F.col("a").alias("leader"), F.col("a").alias("name")).distinct())
-    # A leader of many is dealt to several tasks with a copy of its own text in each.
-    n = partitions(pairs)
-    part = F.when(F.col("leader") == F.col("name"), F.sequence(F.lit(0), F.lit(7))).otherwise(F.array(F.pmod(F.xxhash64("name"), F.lit(8)).cast("int")))
+    many = pairs.groupBy("a").count().where(F.col("count") > 64).select("a", F.lit(True).alias("many"))
+    wide = pairs.join(many, "a", "left").select(F.col("a").alias("leader"), F.col("b").alias("name"), F.when(F.col("many"), F.pmod(F.xxhash64("b"), F.lit(8)).cast("int")).otherwise(0).alias("part"))
+    want = wide.unionByName(wide.select("leader", F.col("leader").alias("name"), "part").distinct())
     met = want.join(texts.hint("merge"), "name")
-    many = pairs.groupBy("a").count().where(F.col("count") > 64).select(F.col("a").alias("leader"), F.lit(True).alias("many"))
-    met = met.join(many, "leader", "left").withColumn("part", F.explode(F.when(F.col("many"), part).otherwise(F.array(F.lit(0))))).drop("many")
-    dealt = met.repartition(n, "leader", "part").sortWithinPartitions("leader", "part", F.col("leader") != F.col("name"))
+    dealt = met.repartition(partitions(pairs), "leader", "part").sortWithinPartitions("leader", "part", F.col("leader") != F.col("name"))
     return dealt.select("leader", "name", "packed").mapInArrow(_verify, "a binary, b binary")
 
 
@@ -255,45 +265,46 @@ def similarity_components(documents: DataFrame) -> DataFrame:
     small_batches(documents.sparkSession)
     docs = only(documents, doc_id=documents["doc_id"].cast("long"), text=text_of(documents))
     n = partitions(docs)
-    members = staged(map_batches(docs, _described, "doc_id long, n_shingles long, name binary"), "sets")
+    members = staged(map_batches(docs, _described, "doc_id long, n_shingles long, name binary, filled int"), "sets")
     packed = map_batches(docs.select("text"), _packed(n), "bucket int, payload binary")
     found = staged(packed.repartition(n, "bucket").sortWithinPartitions("bucket").mapInArrow(_groups, _FOUND_DDL), "groups")
     links = found.where(F.col("kind") == LINK).select("a", "b").distinct()
-    named = found.where(F.col("kind") == LINK).select(F.explode(F.array("a", "b")).alias("name")).distinct()
-    texts = map_batches(docs.select("text"), _texts, "name binary, packed binary").join(named.hint("merge"), "name").groupBy("name").agg(F.max("packed").alias("packed"))
+    grouped = found.select(F.explode(F.when(F.col("kind") == LINK, F.array("a", "b")).when(F.col("kind") == SMALL, F.col("members.name")).otherwise(F.array("a"))).alias("name")).distinct()
+    texts = map_batches(docs.select("text"), _texts, "name binary, packed binary").join(grouped.hint("merge"), "name").groupBy("name").agg(F.max("packed").alias("packed"))
     texts = staged(texts, "texts")
-    first = staged(verified(links, texts), "links")
-    roots = connected(first)
-    more = staged(verified(_between(found, roots), texts), "links")
+    roots = connected(verified(links, texts))
+    more = staged(verified(_between(found, roots, members), texts), "links")
     if more.limit(1).count():
         roots = connected(roots.select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(more))
     r = roots.withColumnRenamed("node", "name")
     return members.join(r.hint("merge"), "name", "left").select("doc_id", "n_shingles", "name", F.coalesce("root", "name").alias("root"))
 
 
-def _between(found: DataFrame, roots: DataFrame) -> DataFrame:
-    """Pairs within a group whose sets lie in different components."""
+#: Members are sorted by size; the smaller of a pair has to be in its own band.
+_PAIRS = """filter(flatten(transform(xs, (x, i) -> transform(slice(xs, i + 2, size(xs)), y -> struct(x as r, y as s)))),
+  p -> p.r.own and p.r.root <> p.s.root and 3 * p.s.size <= 4 * p.r.size)"""
+
+
+def _between(found: DataFrame, roots: DataFrame, members: DataFrame) -> DataFrame:
+    """Pairs of sets in different components that share as many signatures as a similar pair must."""
     r = roots.select(F.col("node").alias("a"), "root")
-    small = found.where(F.col("kind") == SMALL).select("members").distinct().withColumn("sign", F.xxhash64("members"))
-    each = small.select("sign", F.explode("members").alias("a")).join(r, "a", "left").select("sign", F.struct(F.coalesce("root", "a").alias("root"), "a").alias("x"))
-    split = each.groupBy("sign").agg(F.min("x.root").alias("lo"), F.max("x.root").alias("hi"), F.sort_array(F.collect_set("x")).alias("xs")).where("lo <> hi")
-    pairs = split.select(F.explode(F.expr("flatten(transform(xs, (x, i) -> transform(filter(slice(xs, i + 2, size(xs)), y -> y.root <> x.root), y -> struct(x.a as a, y.a as b))))")).alias("p")).select("p.*")
+    small = found.where(F.col("kind") == SMALL).groupBy("members").agg(F.sum("seen").alias("seen")).withColumn("group", F.xxhash64("members"))
+    each = small.select("group", "seen", F.explode("members").alias("m")).select("group", "seen", F.col("m.name").alias("a"), "m.size", "m.own").join(r, "a", "left")
+    each = each.select("group", "seen", F.struct("size", F.coalesce("root", "a").alias("root"), "own", "a").alias("x"))
+    split = each.groupBy("group", "seen").agg(F.min("x.root").alias("lo"), F.max("x.root").alias("hi"), F.array_sort(F.collect_list("x")).alias("xs")).where("lo <> hi")
+    pairs = split.select("seen", F.explode(F.expr(_PAIRS)).alias("p")).select(F.col("p.r.a").alias("a"), F.col("p.s.a").alias("b"), F.col("p.r.size").alias("size"), "seen")
     large = found.where(F.col("kind") == LARGE).select("sign", "a", "size", "own")
-    # A set may skip its large groups if more than τ other segments are left; the others probe them.
-    probes = F.udf(lambda size: len_of(size), "int")
-    short = large.where("own").groupBy("a", "size").count().where(F.col("count") > probes(F.col("size"))).select("a")
-    asks = large.where("own").join(short, "a", "left_semi").join(r, "a", "left").select("sign", "a", "size", F.coalesce("root", "a").alias("root"))
+    counts = large.where("own").groupBy("a").agg(F.count(F.lit(1)).alias("large"))
+    needs = members.where("name is not null").groupBy(F.col("name").alias("a")).agg(F.max("filled").alias("filled"), F.max("n_shingles").alias("n"))
+    needs = needs.join(counts, "a", "left").withColumn("large", F.coalesce("large", F.lit(0)))
+    # Segments that a similar, larger set shares at least; a set skips its large groups if the others alone make it share one.
+    needs = needs.withColumn("least", F.col("filled") - F.floor((F.col("n") + F.floor(4 * F.col("n") / 3)) / 7)).withColumn("skips", F.col("least") > F.col("large"))
+    asks = large.where("own").join(needs.where(~F.col("skips")).select("a"), "a", "left_semi").join(r, "a", "left").select("sign", "a", "size", F.coalesce("root", "a").alias("root"))
     others = large.join(r, "a", "left").select("sign", F.col("a").alias("b"), F.col("size").alias("size_b"), F.coalesce("root", "a").alias("root_b"))
     met = asks.join(others, "sign").where((F.col("root") != F.col("root_b")) & (F.col("size") <= F.col("size_b")) & (UP * F.col("size_b") <= DOWN * F.col("size")))
-    return pairs.unionByName(met.select("a", "b")).distinct()
-
-
-@lru_cache(maxsize=65_536)
-def len_of(size: int) -> int:
-    """How many large groups a set of this size can surely skip: its non-empty segments, less what τ needs. A bound from below."""
-    m = segments(band_of(size))
-    filled = m * (1 - math.exp(-size / m))
-    return max(0, int(filled - 6 * math.sqrt(m)) - difference(size) - 1)
+    every = pairs.unionByName(met.select("a", "b", "size", F.lit(1).alias("seen"))).groupBy("a", "b").agg(F.sum("seen").alias("seen"))
+    every = every.join(needs, "a")
+    return every.where(F.col("seen") + F.when(F.col("skips"), F.col("large")).otherwise(0) >= F.col("least")).select("a", "b")
 
 
 def near_duplicates(documents: DataFrame) -> DataFrame:
