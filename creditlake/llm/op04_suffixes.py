@@ -38,6 +38,8 @@ from creditlake.llm.windows import GRAM, WINDOW, anchors
 
 #: Buckets a partition of the exchange holds; each is merged by itself, which bounds what a task holds.
 BUCKETS = 16
+#: Groups of so many entries are compared pair by pair, larger ones offset by offset.
+FEW = 8
 
 
 def common_prefix(a: bytes, b: bytes, known: int = 0) -> int:
@@ -125,6 +127,38 @@ def decoded(rows: list[tuple]) -> Iterator[tuple[int, bytes, object]]:
         yield common, before, rest
 
 
+def _few(suffixes: list[tuple[int, bytes, tuple]], out: list, window: int) -> list[np.ndarray | None]:
+    """repeats() pair by pair: two entries agree in the windows at offsets from window - (common suffix) to (common bytes before)."""
+    for i, (_, _, (left, _, n)) in enumerate(suffixes):
+        right = window
+        for j in range(i + 1, len(suffixes)):
+            common, _, (other, _, m) = suffixes[j]
+            right = min(right, common)
+            if out[i] is None and out[j] is None:
+                continue
+            low = max(window - right, len(left) - n + 1, len(other) - m + 1)
+            high = min(common_suffix(left, other), len(left), len(other))
+            if low <= high:
+                for k, reach in ((i, len(left)), (j, len(other))):
+                    if out[k] is not None:
+                        out[k][reach - high : reach - low + 1] = True
+    return out
+
+
+def common_suffix(a: bytes, b: bytes) -> int:
+    n = min(len(a), len(b))
+    if a[len(a) - n :] == b[len(b) - n :]:
+        return n
+    low, high = 0, n - 1  # the last low bytes agree; they differ within the last high + 1
+    while low < high:
+        mid = (low + high + 1) // 2
+        if a[len(a) - mid :] == b[len(b) - mid :]:
+            low = mid
+        else:
+            high = mid - 1
+    return low
+
+
 def repeats(suffixes: list[tuple[int, bytes, tuple]], window: int = WINDOW) -> list[np.ndarray | None]:
     """For each entry (common prefix with the one before, suffix, (before, owners, windows)): which of its windows repeat.
 
@@ -133,6 +167,8 @@ def repeats(suffixes: list[tuple[int, bytes, tuple]], window: int = WINDOW) -> l
     out: list = [None if len(e[2][1]) > 1 else np.zeros(e[2][2], bool) for e in suffixes]
     if len(suffixes) == 1 or all(o is None for o in out):
         return out
+    if len(suffixes) <= FEW:
+        return _few(suffixes, out, window)
     common = np.array([e[0] for e in suffixes])
     reach = [len(e[2][0]) for e in suffixes]  # offset of the first window; the others follow one by one
     lowest = [r - e[2][2] + 1 for r, e in zip(reach, suffixes, strict=True)]
