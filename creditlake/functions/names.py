@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from collections.abc import Callable
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -19,6 +20,11 @@ def none_if_empty(c: Column) -> Column:
     return F.nullif(c, F.lit(""))
 
 
+def bind(value: Column, fn: Callable[[Column], Column]) -> Column:
+    """fn of a value that is worked out once, however often fn uses it; keeps generated code small."""
+    return F.get(F.transform(F.array(value), fn), 0)
+
+
 def normalize_name(name: Column) -> Column:
     """Key form: lower case, stripped, short company forms, pairs of blanks made one in a single pass."""
     c = strip(F.lower(name))

@@ -8,18 +8,18 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from creditlake import dims
-from creditlake.functions.names import none_if_empty, strip
+from creditlake.functions.names import bind, none_if_empty, strip
 
 _NUMBER = r"^[+-]?([0-9]+[.]?[0-9]*|[.][0-9]+)([eE][+-]?[0-9]+)?$"
 
 
 def number(text: Column) -> Column:
     """A double where the whole text is a plain number, otherwise null."""
-    return F.when(text.rlike(_NUMBER), text.try_cast("double"))
+    return bind(text, lambda t: F.when(t.rlike(_NUMBER), t.try_cast("double")))
 
 
 def _in_brackets(text: Column) -> Column:
-    return F.when(text.startswith("(") & text.endswith(")"), F.concat(F.lit("-"), F.regexp_replace(text, r"^\(|\)$", ""))).otherwise(text)
+    return bind(text, lambda t: F.when(t.startswith("(") & t.endswith(")"), F.concat(F.lit("-"), F.regexp_replace(t, r"^\(|\)$", ""))).otherwise(t))
 
 
 def amount_plain(text: Column) -> Column:

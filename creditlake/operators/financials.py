@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from creditlake import dims
-from creditlake.functions.names import none_if_empty, strip
+from creditlake.functions.names import bind, none_if_empty, strip
 from creditlake.functions.numbers import (
     amount_bse, amount_care, amount_crisil, amount_digits, amount_pdf, apply_unit, confidence_care, confidence_generic, detect_unit,
     fiscal_year_care, map_label_care, map_label_page, split_sentences, truthy, year_columns, year_from_header, year_header_crisil,
@@ -58,15 +58,14 @@ def process_tables(pages: DataFrame) -> DataFrame:
 
 def extract_from_text(text: Column) -> Column:
     """struct of fields: the first word, in order, that has a figure behind it; a unit behind that beats the block's."""
-    fields = []
-    for field, words in dims.TEXT_WORDS.items():
-        found = []
-        for word in words:
-            pattern = rf"(?i){re.escape(word)}\s*[:\-]?\s*(?:Rs\.?\s*)?(\d[\d,\.]*)\s*(crore|cr|lakh|mn|bn|million|billion)?"
-            value, unit = amount_pdf(F.regexp_extract(text, pattern, 1)), none_if_empty(F.regexp_extract(text, pattern, 2))
-            found.append(F.when(unit.isNotNull(), apply_unit(value, unit)).otherwise(value * detect_unit(text)))
-        fields.append(F.coalesce(*found).alias(field))
-    return F.struct(*fields)
+
+    def of(words: list[str]) -> Column:
+        patterns = F.array(*(F.lit(rf"(?i){re.escape(w)}\s*[:\-]?\s*(?:Rs\.?\s*)?(\d[\d,\.]*)\s*(crore|cr|lakh|mn|bn|million|billion)?") for w in words))
+        parts = F.transform(patterns, lambda p: F.struct(*(F.call_function("regexp_extract", text, p, F.lit(i)).alias(n) for i, n in ((1, "value"), (2, "unit")))))
+        values = F.transform(parts, lambda x: amount_pdf(x["value"]) * F.when(x["unit"] != "", apply_unit(F.lit(1.0), x["unit"])).otherwise(detect_unit(text)))
+        return F.try_element_at(F.array_compact(values), F.lit(1))
+
+    return F.struct(*(of(words).alias(field) for field, words in dims.TEXT_WORDS.items()))
 
 
 _YEAR_TOKEN = r"(?i)(?:FY\s*\d{2,4}|\d{4}-\d{2,4}|Mar[-\s]\d{2,4})"
@@ -154,20 +153,21 @@ def extract_capex_plans(pages: DataFrame) -> DataFrame:
     return out.where("amount_cr is not null")
 
 
-def _first_of(rec: Column, names: list[str], skip: tuple[str, ...] = ("", "null", "NULL", "N.A.", "NA", "-")) -> Column:
-    return F.coalesce(*(F.when(~strip(rec[n]).isin(*skip), rec[n]) for n in names))
+def _first_of(rec: Column, names: list[str]) -> Column:
+    """The first spelling whose value isn't one of the words for nothing."""
+    values = F.transform(F.array(*map(F.lit, names)), lambda n: rec[n])
+    return F.try_element_at(F.filter(values, lambda v: ~strip(v).isin("", "null", "NULL", "N.A.", "NA", "-")), F.lit(1))
 
 
 def detect_unit_record(rec: Column) -> Column:
     """Multiple of a crore: from a unit field, else from the size of revenue, else lakhs."""
-    chain = F
-    for n in dims.UNIT_FIELDS:
-        v = F.coalesce(F.lower(rec[n]), F.lit(""))
-        chain = chain.when(v.contains("cr"), 1.0).when(v.contains("lakh") | v.contains("lac"), 0.01).when(v.contains("million"), 0.1)
-    for n in dims.UNIT_REVENUE_FIELDS:
-        v = amount_bse(rec[n])
-        chain = chain.when(v > 100_000, 0.01).when(v.isNotNull(), 1.0)
-    return chain.otherwise(0.01)
+
+    def of(v: Column) -> Column:
+        return F.when(v.contains("cr"), 1.0).when(v.contains("lakh") | v.contains("lac"), 0.01).when(v.contains("million"), 0.1)
+
+    said = F.array_compact(F.transform(F.array(*map(F.lit, dims.UNIT_FIELDS)), lambda n: of(F.lower(rec[n]))))
+    revenue = F.array_compact(F.transform(F.array(*map(F.lit, dims.UNIT_REVENUE_FIELDS)), lambda n: amount_bse(rec[n])))
+    return F.coalesce(F.try_element_at(said, F.lit(1)), F.when(F.try_element_at(revenue, F.lit(1)) > 100_000, 0.01).when(F.size(revenue) > 0, 1.0), F.lit(0.01))
 
 
 def top_n_years(df: DataFrame, key: str, n: int = 2) -> DataFrame:
@@ -186,8 +186,10 @@ def annual_results(records: DataFrame) -> DataFrame:
     kind, end = F.upper(F.coalesce(field["period"], F.lit(""))), F.coalesce(field["end"], F.lit(""))
     months = F.when(field["months"].rlike("^[0-9]+$"), field["months"].cast("int")).otherwise(0)
     annual = kind.isin("A", "ANNUAL", "YEARLY") | (months == 12) | (end.rlike(r"(?i)(Mar|March)\s*\d{4}") & (months >= 9)) | (kind == "")
-    amounts = {k: amount_bse(field[k]) * detect_unit_record(rec) for k in dims.RESULT_FIELDS if k not in ("period", "end", "months")}
-    r = records.where(annual).select("scrip_cd", "seq", none_if_empty(F.regexp_extract(end, r"(\d{4})", 1)).cast("int").alias("fiscal_year"), *(v.alias(k) for k, v in amounts.items()))
+    names = [k for k in dims.RESULT_FIELDS if k not in ("period", "end", "months")]
+    amounts = bind(detect_unit_record(rec), lambda unit: F.transform(F.array(*(field[k] for k in names)), lambda v: amount_bse(v) * unit))
+    r = records.where(annual).select("scrip_cd", "seq", none_if_empty(F.regexp_extract(end, r"(\d{4})", 1)).cast("int").alias("fiscal_year"), amounts.alias("amounts"))
+    r = r.select("scrip_cd", "seq", "fiscal_year", *(F.get("amounts", i).alias(k) for i, k in enumerate(names)))
     ebitda = F.coalesce(F.col("operating_profit"), F.col("pbt") + F.col("depreciation") + F.col("finance_cost"), F.col("pbt") + F.col("depreciation"))
     r = r.withColumns({"ebitda": ebitda, "net_debt": F.col("total_debt") - F.col("cash")})
     r = r.select(
