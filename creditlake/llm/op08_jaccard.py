@@ -35,6 +35,7 @@ import pyarrow as pa
 import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from creditlake.llm.common import map_batches, only, partitions, read, small_batches, staged, text_of
 from creditlake.llm.components import connected
@@ -99,10 +100,12 @@ def signatures(tokens: np.ndarray, band: int) -> np.ndarray:
 
 
 def _described(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    packer = zstandard.ZstdCompressor(level=1)
     for b in batches:
-        sets = [shingles(t) for t in b.column("text").to_pylist()]
+        texts = b.column("text").to_pylist()
+        sets = [shingles(t) for t in texts]
         filled = [len(np.unique(s % np.uint64(segments(band_of(len(s)))))) if len(s) else 0 for s in sets]
-        yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array([len(s) for s in sets], pa.int64()), pa.array([name(s) for s in sets], pa.binary()), pa.array(filled, pa.int32())], ["doc_id", "n_shingles", "name", "filled"])
+        yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array([len(s) for s in sets], pa.int64()), pa.array([name(s) for s in sets], pa.binary()), pa.array(filled, pa.int32()), pa.array([packer.compress(t.encode()) for t in texts], pa.binary())], ["doc_id", "n_shingles", "name", "filled", "packed"])
 
 
 def _packed(buckets: int):
@@ -208,7 +211,7 @@ def _bucket_groups(payloads: list[bytes], bucket: int) -> Iterator[tuple]:
                 yield LARGE, every[x], None, None, None, mark, int(size[x]), o
     for (a, b), seen in links.items():
         if seen > 1:
-            yield LINK, every[a], every[b], None, None, None, None, None
+            yield LINK, every[a], every[b], None, seen, None, None, None
     for g, seen in small.items():
         coded = np.frombuffer(g, np.int64)
         yield SMALL, None, None, [{"name": every[x], "size": int(size[x]), "own": bool(o)} for x, o in zip(coded >> 1, coded & 1, strict=True)], seen, None, None, None
@@ -224,13 +227,6 @@ def _groups(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([pa.array(c, t.type) for c, t in zip(zip(*part, strict=True), _FOUND, strict=True)], schema=_FOUND)
 
 
-def _texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    packer = zstandard.ZstdCompressor(level=1)
-    for b in batches:
-        texts = b.column("text").to_pylist()
-        yield pa.RecordBatch.from_arrays([pa.array([name(shingles(t)) for t in texts], pa.binary()), pa.array([packer.compress(t.encode()) for t in texts], pa.binary())], ["name", "packed"])
-
-
 def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Rows sorted by leader, its own text first → the links that hold."""
     reader = zstandard.ZstdDecompressor()
@@ -251,7 +247,7 @@ def verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
 
     A leader of many is dealt to eight tasks with a copy of its own text in each.
     """
-    pairs = pairs.select("a", "b").distinct()
+    pairs = staged(pairs.select("a", "b").distinct(), "pairs")
     many = pairs.groupBy("a").count().where(F.col("count") > 64).select("a", F.lit(True).alias("many"))
     wide = pairs.join(many, "a", "left").select(F.col("a").alias("leader"), F.col("b").alias("name"), F.when(F.col("many"), F.pmod(F.xxhash64("b"), F.lit(8)).cast("int")).otherwise(0).alias("part"))
     want = wide.unionByName(wide.select("leader", F.col("leader").alias("name"), "part").distinct())
@@ -265,15 +261,16 @@ def similarity_components(documents: DataFrame) -> DataFrame:
     small_batches(documents.sparkSession)
     docs = only(documents, doc_id=documents["doc_id"].cast("long"), text=text_of(documents))
     n = partitions(docs)
-    members = staged(map_batches(docs, _described, "doc_id long, n_shingles long, name binary, filled int"), "sets")
-    packed = map_batches(docs.select("text"), _packed(n), "bucket int, payload binary")
-    found = staged(packed.repartition(n, "bucket").sortWithinPartitions("bucket").mapInArrow(_groups, _FOUND_DDL), "groups")
-    links = found.where(F.col("kind") == LINK).select("a", "b").distinct()
+    members = staged(map_batches(docs, _described, "doc_id long, n_shingles long, name binary, filled int, packed binary"), "sets")
+    signed = map_batches(docs.select("text"), _packed(n), "bucket int, payload binary")
+    found = staged(signed.repartition(n, "bucket").sortWithinPartitions("bucket").mapInArrow(_groups, _FOUND_DDL), "groups")
+    needs = _needs(found, members)
     grouped = found.select(F.explode(F.when(F.col("kind") == LINK, F.array("a", "b")).when(F.col("kind") == SMALL, F.col("members.name")).otherwise(F.array("a"))).alias("name")).distinct()
-    texts = map_batches(docs.select("text"), _texts, "name binary, packed binary").join(grouped.hint("merge"), "name").groupBy("name").agg(F.max("packed").alias("packed"))
-    texts = staged(texts, "texts")
-    roots = connected(verified(links, texts))
-    more = staged(verified(_between(found, roots, members), texts), "links")
+    texts = staged(members.select("name", "packed").join(grouped.hint("merge"), "name").groupBy("name").agg(F.max("packed").alias("packed")), "texts")
+    # Stars between sets that share little are left to the next step, which weighs all that a pair shares.
+    links = found.where(F.col("kind") == LINK).groupBy("a", "b").agg(F.sum("seen").alias("seen")).join(needs, "a").where(F.col("seen") >= F.greatest(F.lit(2), F.col("least") / 5))
+    roots = connected(verified(links.select("a", "b"), texts))
+    more = staged(verified(_between(found, roots, needs), texts), "links")
     if more.limit(1).count():
         roots = connected(roots.select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(more))
     r = roots.withColumnRenamed("node", "name")
@@ -285,26 +282,36 @@ _PAIRS = """filter(flatten(transform(xs, (x, i) -> transform(slice(xs, i + 2, si
   p -> p.r.own and p.r.root <> p.s.root and 3 * p.s.size <= 4 * p.r.size)"""
 
 
-def _between(found: DataFrame, roots: DataFrame, members: DataFrame) -> DataFrame:
-    """Pairs of sets in different components that share as many signatures as a similar pair must."""
+def _needs(found: DataFrame, members: DataFrame) -> DataFrame:
+    """a, large (large groups it is in), least (signatures that a similar, larger set shares with it, at least)."""
+    counts = found.where((F.col("kind") == LARGE) & F.col("own")).groupBy("a").agg(F.count(F.lit(1)).alias("large"))
+    sets = members.where("name is not null").groupBy(F.col("name").alias("a")).agg(F.max("filled").alias("filled"), F.max("n_shingles").alias("n"))
+    least = F.col("filled") - F.floor((F.col("n") + F.floor(DOWN * F.col("n") / UP)) / 7)
+    return sets.join(counts, "a", "left").select("a", F.coalesce("large", F.lit(0)).alias("large"), least.alias("least"))
+
+
+def _between(found: DataFrame, roots: DataFrame, needs: DataFrame) -> DataFrame:
+    """Pairs of sets in different components that can be similar by the signatures they share.
+
+    A set may leave out least - 1 of its segments, as a similar set shares one more. It leaves out its large groups, and if they
+    are more than that, those with the most members outside its own component.
+    """
     r = roots.select(F.col("node").alias("a"), "root")
     small = found.where(F.col("kind") == SMALL).groupBy("members").agg(F.sum("seen").alias("seen")).withColumn("group", F.xxhash64("members"))
     each = small.select("group", "seen", F.explode("members").alias("m")).select("group", "seen", F.col("m.name").alias("a"), "m.size", "m.own").join(r, "a", "left")
     each = each.select("group", "seen", F.struct("size", F.coalesce("root", "a").alias("root"), "own", "a").alias("x"))
     split = each.groupBy("group", "seen").agg(F.min("x.root").alias("lo"), F.max("x.root").alias("hi"), F.array_sort(F.collect_list("x")).alias("xs")).where("lo <> hi")
-    pairs = split.select("seen", F.explode(F.expr(_PAIRS)).alias("p")).select(F.col("p.r.a").alias("a"), F.col("p.s.a").alias("b"), F.col("p.r.size").alias("size"), "seen")
-    large = found.where(F.col("kind") == LARGE).select("sign", "a", "size", "own")
-    counts = large.where("own").groupBy("a").agg(F.count(F.lit(1)).alias("large"))
-    needs = members.where("name is not null").groupBy(F.col("name").alias("a")).agg(F.max("filled").alias("filled"), F.max("n_shingles").alias("n"))
-    needs = needs.join(counts, "a", "left").withColumn("large", F.coalesce("large", F.lit(0)))
-    # Segments that a similar, larger set shares at least; a set skips its large groups if the others alone make it share one.
-    needs = needs.withColumn("least", F.col("filled") - F.floor((F.col("n") + F.floor(4 * F.col("n") / 3)) / 7)).withColumn("skips", F.col("least") > F.col("large"))
-    asks = large.where("own").join(needs.where(~F.col("skips")).select("a"), "a", "left_semi").join(r, "a", "left").select("sign", "a", "size", F.coalesce("root", "a").alias("root"))
-    others = large.join(r, "a", "left").select("sign", F.col("a").alias("b"), F.col("size").alias("size_b"), F.coalesce("root", "a").alias("root_b"))
+    pairs = split.select("seen", F.explode(F.expr(_PAIRS)).alias("p")).select(F.col("p.r.a").alias("a"), F.col("p.s.a").alias("b"), "seen")
+    pairs = pairs.groupBy("a", "b").agg(F.sum("seen").alias("seen")).join(needs, "a").where(F.col("seen") + F.col("large") >= F.col("least")).select("a", "b")
+    large = found.where(F.col("kind") == LARGE).select("sign", "a", "size", "own").join(r, "a", "left").withColumn("root", F.coalesce("root", "a"))
+    inside = large.groupBy("sign", "root").agg(F.count(F.lit(1)).alias("inside"))
+    whole = inside.groupBy("sign").agg(F.sum("inside").alias("members"))
+    asks = large.where("own").join(needs.where("large >= least"), "a").join(inside, ["sign", "root"]).join(whole, "sign").withColumn("outside", F.col("members") - F.col("inside"))
+    turn = F.row_number().over(Window.partitionBy("a").orderBy("outside", "sign"))
+    asks = asks.withColumn("turn", turn).where((F.col("turn") <= F.col("large") - F.col("least") + 1) & (F.col("outside") > 0)).select("sign", "a", "size", "root")
+    others = large.select("sign", F.col("a").alias("b"), F.col("size").alias("size_b"), F.col("root").alias("root_b"))
     met = asks.join(others, "sign").where((F.col("root") != F.col("root_b")) & (F.col("size") <= F.col("size_b")) & (UP * F.col("size_b") <= DOWN * F.col("size")))
-    every = pairs.unionByName(met.select("a", "b", "size", F.lit(1).alias("seen"))).groupBy("a", "b").agg(F.sum("seen").alias("seen"))
-    every = every.join(needs, "a")
-    return every.where(F.col("seen") + F.when(F.col("skips"), F.col("large")).otherwise(0) >= F.col("least")).select("a", "b")
+    return pairs.unionByName(met.select("a", "b")).distinct()
 
 
 def near_duplicates(documents: DataFrame) -> DataFrame:
