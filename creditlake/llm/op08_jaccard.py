@@ -9,7 +9,8 @@ short documents, where segments are nearly single shingles, those with two or mo
 Signatures of segments are exchanged in packed form, by hash; a task reads a bucket and sees which sets share a signature:
 
 * groups give links to try between their smallest set and the others of fitting size (a star), never all pairs, where a bucket
-  sees the two together more than once; links are verified exactly on the texts; components follow;
+  sees the two together more than once, and in large groups with the member that is in the most of them; links are verified
+  exactly on the texts; components follow;
 * groups that lie in more than one component then give the pairs between components. That is all pairs at most in groups of up
   to GROUP sets. Larger groups come from frequent passages or large families. There, cost decides which segments a set probes:
   it skips frequent ones as long as more than τ others are left; only sets that can't afford to skip probe large groups too.
@@ -269,7 +270,8 @@ def similarity_components(documents: DataFrame) -> DataFrame:
     texts = staged(members.select("name", "packed").join(grouped.hint("merge"), "name").groupBy("name").agg(F.max("packed").alias("packed")), "texts")
     # Stars between sets that share little are left to the next step, which weighs all that a pair shares.
     links = found.where(F.col("kind") == LINK).groupBy("a", "b").agg(F.sum("seen").alias("seen")).join(needs, "a").where(F.col("seen") >= F.greatest(F.lit(2), F.col("least") / 5))
-    roots = connected(verified(links.select("a", "b"), texts))
+    first = verified(links.select("a", "b"), texts)
+    roots = connected(first.unionByName(verified(_hubs(found), texts)))
     more = staged(verified(_between(found, roots, needs), texts), "links")
     if more.limit(1).count():
         roots = connected(roots.select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(more))
@@ -290,6 +292,15 @@ def _needs(found: DataFrame, members: DataFrame) -> DataFrame:
     return sets.join(counts, "a", "left").select("a", F.coalesce("large", F.lit(0)).alias("large"), least.alias("least"))
 
 
+def _hubs(found: DataFrame) -> DataFrame:
+    """Of each large group, its members with the one that is in the most large groups: what a family was copied from, if it is there."""
+    large = found.where(F.col("kind") == LARGE).select("sign", "a", "size")
+    degree = large.groupBy("a").agg(F.count(F.lit(1)).alias("degree"))
+    hub = large.join(degree, "a").groupBy("sign").agg(F.max_by(F.struct(F.col("a").alias("hub"), F.col("size").alias("hub_size")), F.struct("degree", "a")).alias("h")).select("sign", "h.*")
+    fits = (F.col("a") != F.col("hub")) & (UP * F.greatest("size", "hub_size") <= DOWN * F.least("size", "hub_size"))
+    return large.join(hub, "sign").where(fits).select(F.col("hub").alias("a"), F.col("a").alias("b")).distinct()
+
+
 def _between(found: DataFrame, roots: DataFrame, needs: DataFrame) -> DataFrame:
     """Pairs of sets in different components that can be similar by the signatures they share.
 
