@@ -25,7 +25,7 @@ from creditlake.llm.common import map_batches, only, read, small_batches, text_o
 
 SAMPLE = 20_000  #: labelled rows that are learnt from, at most
 MAX_TERMS, MIN_DOCS, MIN_RATIO, FACTORS = 1024, 4, 18.0, 4
-STEPS, RATE, DECAY = 600, 0.05, 5e-5
+STEPS, RATE, DECAY = 250, 0.1, 5e-5
 THRESHOLD = 0.7
 _MARKS = bytes.maketrans(bytes(range(33, 48)) + bytes(range(58, 65)) + bytes(range(91, 97)) + bytes(range(123, 127)), b" " * 32)
 
