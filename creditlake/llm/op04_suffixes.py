@@ -2,21 +2,26 @@
 
 1. ``repeated_anchors``: every window of 200 bytes owns an anchor (see ``windows``); a window can only repeat if the q-gram at its
    anchor does. Anchor hashes are range-partitioned and sorted, and runs of one are left out. A task keeps the runs at its ends,
-   since they may go on in a neighbour, so a frequent q-gram may be spread over tasks.
+   since they may go on in a neighbour, so a frequent q-gram may be spread over tasks. Places whose q-gram fills HOT rows of a
+   task are marked; that list, of one in HOT rows at most, is broadcast.
 2. ``sorted_runs``: each task sorts the suffixes at the remaining anchors of its documents, with the bytes before them as far as
-   their windows reach. Equal ones become one entry with its owners. The sorted run is front-coded (common prefix with the entry
-   before, and the rest) and exchanged by q-gram, so the runs of many tasks meet in buckets.
+   their windows reach. Equal ones become one entry; if it has several owners, all their windows repeat, so their spans are known
+   at once and the entry goes on without owners. The sorted run is front-coded (common prefix with the entry before, and the
+   rest) and exchanged by q-gram, so the runs of many tasks meet in buckets. The entries of marked places are not exchanged by
+   q-gram, but each of their windows by its own 128-bit hash, so they are spread evenly and only equal windows meet.
 3. ``merged``: a bucket's runs are combined by a loser tree that keeps, for each run, the length of the prefix its head has in
    common with the last entry that came out, and compares from there on only. It yields the suffixes in order with their common
    prefixes, so the suffixes of one q-gram are neighbours.
 4. ``repeats``: among neighbours that share the q-gram, a window at offset o before the anchor repeats if another entry has the
    same o bytes before it and a common prefix of at least 200 - o. Common prefixes come from the merge and are not compared again.
+   ``met`` does it for the windows that came by their hash.
 
 What comes back to the documents is spans. Nothing else of a text is exchanged but what stands around repeated q-grams, and the
 texts once to meet their anchors and spans.
 
-Memory: a task of step 2 holds the suffixes of its own documents, step 3 one bucket; a bucket can't be smaller than one q-gram's
-distinct surroundings (400 bytes at most each). Copies don't add to that: they are one entry of a run.
+Memory: a task of step 2 holds the suffixes of its own documents, step 3 one bucket; of a q-gram that isn't marked it holds less
+than HOT surroundings (400 bytes at most each) for each task of step 1 that the q-gram is spread over, which are two unless tasks
+have less than HOT rows. Copies add one row for each task of step 2 that has them, not one for each copy.
 
 Defined cases: null or short text loses nothing; rows that repeat a doc_id and text are two places, so both lose what they share;
 a null doc_id is returned as null; an empty table gives no rows; other columns pass through ``remove_repeats``.
@@ -30,6 +35,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -40,6 +46,10 @@ from creditlake.llm.windows import GRAM, WINDOW, anchors
 BUCKETS = 16
 #: Groups of so many entries are compared pair by pair, larger ones offset by offset.
 FEW = 8
+#: A q-gram with so many rows in a task is decided window by window.
+HOT = 1000
+#: Windows of such q-grams that a task holds before it hands them on.
+HELD = 200_000
 
 
 def common_prefix(a: bytes, b: bytes, known: int = 0) -> int:
@@ -129,10 +139,10 @@ def decoded(rows: list[tuple]) -> Iterator[tuple[int, bytes, object]]:
 
 def _few(suffixes: list[tuple[int, bytes, tuple]], out: list, window: int) -> list[np.ndarray | None]:
     """repeats() pair by pair: two entries agree in the windows at offsets from window - (common suffix) to (common bytes before)."""
-    for i, (_, _, (left, _, n)) in enumerate(suffixes):
+    for i, (_, _, (left, _, n, _)) in enumerate(suffixes):
         right = window
         for j in range(i + 1, len(suffixes)):
-            common, _, (other, _, m) = suffixes[j]
+            common, _, (other, _, m, _) = suffixes[j]
             right = min(right, common)
             if out[i] is None and out[j] is None:
                 continue
@@ -160,11 +170,11 @@ def common_suffix(a: bytes, b: bytes) -> int:
 
 
 def repeats(suffixes: list[tuple[int, bytes, tuple]], window: int = WINDOW) -> list[np.ndarray | None]:
-    """For each entry (common prefix with the one before, suffix, (before, owners, windows)): which of its windows repeat.
+    """For each entry (common prefix with the one before, suffix, (before, owners, windows, many)): which of its windows repeat.
 
-    All entries share the q-gram. ``None`` stands for all windows: an entry with two owners. Entries are distinct.
+    All entries share the q-gram. ``None`` stands for all windows: an entry that occurs more than once. Entries are distinct.
     """
-    out: list = [None if len(e[2][1]) > 1 else np.zeros(e[2][2], bool) for e in suffixes]
+    out: list = [None if e[2][3] else np.zeros(e[2][2], bool) for e in suffixes]
     if len(suffixes) == 1 or all(o is None for o in out):
         return out
     if len(suffixes) <= FEW:
@@ -190,10 +200,10 @@ def repeats(suffixes: list[tuple[int, bytes, tuple]], window: int = WINDOW) -> l
 def merged(bucket: list[list[tuple]]) -> Iterator[tuple[object, int, int]]:
     """(owner, start, end) of repeated bytes, from the front-coded runs of one bucket."""
     group: list[tuple[int, bytes, tuple]] = []
-    alike: dict[bytes, tuple] = {}  # entries with the present suffix, by the bytes before it
+    alike: dict[bytes, list] = {}  # entries with the present suffix, by the bytes before it
 
     def flush() -> Iterator[tuple[object, int, int]]:
-        for (_, _, (_, owners, windows)), hit in zip(group, repeats(group), strict=True):
+        for (_, _, (_, owners, windows, _)), hit in zip(group, repeats(group), strict=True):
             if hit is None:
                 for doc, first in owners:
                     yield doc, first, first + windows - 1 + WINDOW
@@ -202,7 +212,7 @@ def merged(bucket: list[list[tuple]]) -> Iterator[tuple[object, int, int]]:
                 for a, b in zip(edges[::2].tolist(), edges[1::2].tolist(), strict=True):
                     yield doc, first + a, first + b - 1 + WINDOW
 
-    for common, suffix, (before, owners, windows) in LoserTree([decoded(r) for r in bucket]):
+    for common, suffix, (before, owners, windows, many) in LoserTree([decoded(r) for r in bucket]):
         if group and common < GRAM:
             yield from flush()
             group = []
@@ -210,13 +220,27 @@ def merged(bucket: list[list[tuple]]) -> Iterator[tuple[object, int, int]]:
             alike = {}
         if (same := alike.get(before)) is not None:
             same[1].extend(owners)
+            same[3] = True
         else:
-            alike[before] = before, list(owners), windows
+            alike[before] = [before, list(owners), windows, many]
             group.append((common, suffix, alike[before]))
     if group:
         yield from flush()
 
 
+def met(rows: Iterator[tuple[bytes, tuple | None]]) -> Iterator[tuple[object, int, int]]:
+    """(owner, start, end) of windows whose key occurs again; no owner stands for several that are known."""
+    waits: dict[bytes, tuple | None] = {}
+    for key, owner in rows:
+        if key not in waits:
+            waits[key] = owner
+            continue
+        for found in (waits[key], owner):
+            if found is not None:
+                yield found[:2], found[2], found[2] + WINDOW
+        waits[key] = None
+
+
 def _anchor_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
         rows, grams, places = [], [], []
@@ -253,16 +277,98 @@ def _repeated(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield carry
 
 
+def _frequent(least: int):
+    """Of rows sorted by gram, the grams of at least so many rows of the task."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        gram, n = 0, 0  # the last gram and its rows so far
+        for b in batches:
+            if not b.num_rows:
+                continue
+            names, counts = np.unique(np.append(np.full(min(n, 1), gram, np.int64), b.column("gram").to_numpy()), return_counts=True)
+            counts[0] += max(0, n - 1)
+            if (found := names[:-1][counts[:-1] >= least]).size:
+                yield pa.RecordBatch.from_arrays([pa.array(found, pa.int64())], ["hot"])
+            gram, n = names[-1], int(counts[-1])
+        if n >= least:
+            yield pa.RecordBatch.from_arrays([pa.array([int(gram)], pa.int64())], ["hot"])
+
+    return run
+
+
 def repeated_anchors(texts: DataFrame) -> DataFrame:
-    """doc_id, digest, places: anchors of each document whose q-gram may occur elsewhere."""
+    """doc_id, digest, places: anchors of each document whose q-gram may occur elsewhere; -1 - place if it is frequent."""
     rows = map_batches(texts, _anchor_rows, "gram long, doc_id long, digest long, place long")
     sorted_ = rows.repartitionByRange(partitions(rows), "gram", "doc_id", "place").sortWithinPartitions("gram")
     found = sorted_.mapInArrow(_repeated, "gram long, doc_id long, digest long, place long")
-    return found.groupBy("doc_id", "digest").agg(F.sort_array(F.collect_list("place")).alias("places"))
+    hot = sorted_.mapInArrow(_frequent(HOT), "hot long").distinct()
+    marked = found.join(F.broadcast(hot), found["gram"] == hot["hot"], "left").withColumn("place", F.when(F.col("hot").isNull(), F.col("place")).otherwise(-1 - F.col("place")))
+    return marked.groupBy("doc_id", "digest").agg(F.sort_array(F.collect_list("place")).alias("places"))
+
+
+#: Buckets are numbered: those of q-grams, then as many of windows (tail is the key), then as many of known spans (windows is the length).
+_RUN = pa.schema([("bucket", pa.int32()), ("run", pa.int64()), ("seq", pa.int64()), ("common", pa.int32()), ("tail", pa.binary()), ("before", pa.binary()), ("windows", pa.int32()), ("doc_id", pa.int64()), ("digest", pa.int64()), ("first", pa.int64()), ("many", pa.bool_())])
+_RUN_DDL = "bucket int, run long, seq long, common int, tail binary, before binary, windows int, doc_id long, digest long, first long, many boolean"
 
 
-_RUN = pa.schema([("bucket", pa.int32()), ("run", pa.int64()), ("seq", pa.int64()), ("common", pa.int32()), ("tail", pa.binary()), ("before", pa.binary()), ("windows", pa.int32()), ("docs", pa.list_(pa.int64())), ("digests", pa.list_(pa.int64())), ("firsts", pa.list_(pa.int64()))])
-_RUN_DDL = "bucket int, run long, seq long, common int, tail binary, before binary, windows int, docs array<long>, digests array<long>, firsts array<long>"
+class _Known:
+    """Spans of documents that a task is sure of."""
+
+    def __init__(self) -> None:
+        self.spans: dict[tuple, list[tuple[int, int]]] = {}
+
+    def add(self, doc: int | None, digest: int, start: int, end: int) -> None:
+        spans = self.spans.setdefault((doc, digest), [])
+        if spans and spans[-1][0] <= start <= spans[-1][1]:
+            spans[-1] = spans[-1][0], max(end, spans[-1][1])
+        else:
+            spans.append((start, end))
+
+    def taken(self) -> Iterator[tuple[int | None, int, int, int]]:
+        for (doc, digest), spans in self.spans.items():
+            for start, end in joined(sorted(spans)):
+                yield doc, digest, start, end
+        self.spans = {}
+
+
+def _run_rows(entries: dict[tuple[int, bytes, bytes], list[tuple]], buckets: int) -> Iterator[tuple]:
+    """Rows of _RUN, without run and seq, of a task's entries; those of bucket -1 are dealt out window by window."""
+    known, held = _Known(), {}
+
+    def handed() -> Iterator[tuple]:
+        for key, owner in held.items():
+            yield buckets + int.from_bytes(key[:8], "little") % buckets, 0, key, None, 1, *(owner or (None, None, None)), owner is None
+        held.clear()
+        for doc, digest, start, end in known.taken():
+            yield 2 * buckets + hash((doc or 0, digest)) % buckets, 0, None, None, end - start, doc, digest, start, False
+
+    before = -1, b""
+    for key in sorted(entries):
+        bucket, suffix, left = key
+        owners = entries.pop(key)
+        doc, digest, first, n = owners[0]
+        many = len(owners) > 1
+        if many:
+            for d, g, f, _ in owners:
+                known.add(d, g, f, f + n - 1 + WINDOW)
+        if bucket < 0:
+            data = left + suffix
+            for k in range(n):
+                window, mine = xxhash.xxh3_128_digest(data[k : k + WINDOW]), None if many else (doc, digest, first + k)
+                if window not in held:
+                    held[window] = mine
+                    continue
+                for found in (held[window], mine):
+                    if found is not None:
+                        known.add(*found, found[2] + WINDOW)
+                held[window] = None
+            if len(held) >= HELD:
+                yield from handed()
+            continue
+        common = common_prefix(before[1], suffix) if before[0] == bucket else 0
+        yield bucket, common, suffix[common:], left, n, *((None, None, None) if many else (doc, digest, first)), many
+        before = bucket, suffix
+    yield from handed()
 
 
 def _runs(buckets: int):
@@ -273,18 +379,16 @@ def _runs(buckets: int):
         for b in batches:
             for doc, digest, text, places in zip(*(b.column(c).to_pylist() for c in ("doc_id", "digest", "text", "places")), strict=True):
                 data, wanted = text.encode(), np.array(places)
+                marked = -1 - wanted[wanted < 0]
+                wanted = np.append(wanted[wanted >= 0], marked)
                 for a in anchors(data):
                     hit = np.flatnonzero(np.isin(a.at, wanted))
-                    for at, gram, first, last in zip(a.at[hit].tolist(), a.gram[hit].tolist(), a.first[hit].tolist(), a.last[hit].tolist(), strict=True):
-                        entries.setdefault((gram % buckets, data[at : last + WINDOW], data[first:at]), []).append((doc, digest, first, last - first + 1))
-        order, me = sorted(entries), TaskContext.get().partitionId()
-        rows, before, seq = [], (-1, b""), 0
-        for key in order:
-            bucket, suffix, left = key
-            owners = entries.pop(key)
-            common = common_prefix(before[1], suffix) if before[0] == bucket else 0
-            rows.append((bucket, me, seq, common, suffix[common:], left, owners[0][3], [o[0] for o in owners], [o[1] for o in owners], [o[2] for o in owners]))
-            before, seq = (bucket, suffix), seq + 1
+                    hot = np.isin(a.at[hit], marked) if len(marked) else np.zeros(len(hit), bool)
+                    for at, gram, first, last, often in zip(a.at[hit].tolist(), a.gram[hit].tolist(), a.first[hit].tolist(), a.last[hit].tolist(), hot.tolist(), strict=True):
+                        entries.setdefault((-1 if often else gram % buckets, data[at : last + WINDOW], data[first:at]), []).append((doc, digest, first, last - first + 1))
+        me, rows = TaskContext.get().partitionId(), []
+        for seq, (bucket, *rest) in enumerate(_run_rows(entries, buckets)):
+            rows.append((bucket, me, seq, *rest))
             if len(rows) == 4096:
                 yield pa.RecordBatch.from_arrays([pa.array(c, t.type) for c, t in zip(zip(*rows, strict=True), _RUN, strict=True)], schema=_RUN)
                 rows = []
@@ -294,21 +398,31 @@ def _runs(buckets: int):
     return run
 
 
-def _merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    def rows() -> Iterator[tuple]:
-        for b in batches:
-            yield from zip(*(b.column(c).to_pylist() for c in _RUN.names), strict=True)
+def _merge(buckets: int):
+    def decided(number: int, bucket: Iterator[tuple]) -> Iterator[tuple[tuple, int, int]]:
+        if number >= 2 * buckets:
+            for _, _, _, _, _, _, length, doc, digest, start, _ in bucket:
+                yield (doc, digest), start, start + length
+        elif number >= buckets:
+            yield from met((key, None if many else (doc, digest, start)) for _, _, _, _, key, _, _, doc, digest, start, many in bucket)
+        else:
+            runs = []
+            for _, run in itertools.groupby(bucket, key=lambda r: r[1]):
+                runs.append([(common, tail, before, [] if many else [((doc, digest), first)], windows, many) for _, _, _, common, tail, before, windows, doc, digest, first, many in run])
+            yield from merged(runs)
 
-    spans: list[tuple] = []
-    for _, bucket in itertools.groupby(rows(), key=lambda r: r[0]):
-        runs = []
-        for _, run in itertools.groupby(bucket, key=lambda r: r[1]):
-            runs.append([(common, tail, before, [((d, g), f) for d, g, f in zip(docs, digests, firsts, strict=True)], windows) for _, _, _, common, tail, before, windows, docs, digests, firsts in run])
-        spans += [(doc, digest, start, end) for (doc, digest), start, end in set(merged(runs))]
-        if len(spans) >= 4096:
-            yield _spans(spans)
-            spans = []
-    yield _spans(spans)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows = (r for b in batches for r in zip(*(b.column(c).to_pylist() for c in _RUN.names), strict=True))
+        spans: list[tuple] = []
+        for number, bucket in itertools.groupby(rows, key=lambda r: r[0]):
+            for owner, start, end in decided(number, bucket):
+                spans.append((*owner, start, end))
+                if len(spans) >= 4096:
+                    yield _spans(spans)
+                    spans = []
+        yield _spans(spans)
+
+    return run
 
 
 def _spans(rows: list[tuple]) -> pa.RecordBatch:
@@ -327,19 +441,28 @@ def _meet(left: DataFrame, right: DataFrame, how: str) -> DataFrame:
     return left.join(r, left["doc_id"].eqNullSafe(r["_doc"]) & (left["digest"] == r["_digest"]), how).drop("_doc", "_digest")
 
 
+def sorted_runs(texts: DataFrame, buckets: int) -> DataFrame:
+    """Rows of _RUN: entries, windows of frequent q-grams and spans that are known already."""
+    return map_batches(_meet(texts, repeated_anchors(texts), "inner"), _runs(buckets), _RUN_DDL)
+
+
 def repeated_spans(documents: DataFrame) -> DataFrame:
     """doc_id, digest, spans (array of start, end in bytes, not yet united) of each document with repeated bytes."""
     texts = _texts(documents)
     n = partitions(texts)
-    runs = map_batches(_meet(texts, repeated_anchors(texts), "inner"), _runs(n * BUCKETS), _RUN_DDL)
-    dealt = runs.repartition(n, "bucket").sortWithinPartitions("bucket", "run", "seq")
-    return dealt.mapInArrow(_merge, "doc_id long, digest long, start long, end long").groupBy("doc_id", "digest").agg(F.collect_list(F.struct("start", "end")).alias("spans"))
+    dealt = sorted_runs(texts, n * BUCKETS).repartition(n, "bucket").sortWithinPartitions("bucket", "run", "seq")
+    return dealt.mapInArrow(_merge(n * BUCKETS), "doc_id long, digest long, start long, end long").groupBy("doc_id", "digest").agg(F.collect_list(F.struct("start", "end")).alias("spans"))
 
 
 def united(spans: list) -> list[tuple[int, int]]:
     """Disjoint runs, in order; spans that touch become one."""
+    return joined(sorted((x["start"], x["end"]) for x in (() if spans is None else spans)))
+
+
+def joined(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    """Sorted spans; those that touch become one."""
     out: list[tuple[int, int]] = []
-    for s in sorted((x["start"], x["end"]) for x in (() if spans is None else spans)):
+    for s in spans:
         if out and s[0] <= out[-1][1]:
             out[-1] = out[-1][0], max(out[-1][1], s[1])
         else:

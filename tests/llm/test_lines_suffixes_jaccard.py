@@ -5,6 +5,8 @@ import random
 import re
 from collections import Counter
 
+from pyspark.sql import functions as F
+
 from creditlake.llm import op03_lines as L
 from creditlake.llm import op04_suffixes as X
 from creditlake.llm import op08_jaccard as J
@@ -89,6 +91,25 @@ def test_repeats_agree_with_brute_force(spark):
     assert X.repeat_digests(df.limit(0)).count() == 0
 
 
+def test_hot_groups_are_split(spark, monkeypatch):
+    monkeypatch.setattr(X, "HOT", 40)
+    r = random.Random(8)
+    text = lambda n: "".join(r.choice("abcdefgh é") for _ in range(n))
+    line, long, copy = text(100), text(260), text(500)
+    rows = [(i, text(r.randrange(250)) + line + text(r.randrange(250))) for i in range(300)]
+    rows += [(300 + i, text(r.randrange(99)) + long[r.randrange(40) :] + text(r.randrange(99))) for i in range(120)]
+    rows += [(500 + i, copy) for i in range(200)] + [(None, copy)] * 3 + [(700 + i, copy[: 60 + 5 * i] + "X" + copy[61 + 5 * i :]) for i in range(60)]
+    rows += [(800, rows[0][1]), (801, rows[1][1][:-1]), *suffix_rows()]
+    r.shuffle(rows)
+    df = spark.createDataFrame(rows, DOCS).repartition(5)
+    assert sorted((tuple(x) for x in X.repeat_digests(df).collect()), key=str) == brute_repeats(rows)
+    runs = X.sorted_runs(X._texts(df), 1 << 20).cache()
+    rows_of = lambda low: runs.where(F.col("bucket").between(low << 20, ((low + 1) << 20) - 1)).groupBy("bucket").count().agg(F.max("count")).first()[0] or 0
+    tasks = runs.select("run").distinct().count()
+    # A q-gram's entries are less than HOT for each of the tasks that it is spread over, and a copy is one row of a task.
+    assert rows_of(0) < 2 * X.HOT and 0 < rows_of(1) <= 2 * tasks
+
+
 def test_loser_tree_gives_sorted_suffixes_with_their_common_prefixes():
     r = random.Random(9)
     runs = [sorted(bytes(r.choice(b"ab") for _ in range(r.randint(0, 9))) for _ in range(n)) for n in (0, 1, 7, 30, 12)]
