@@ -27,26 +27,6 @@ def test_factorization_machine_learns_a_pair():
     assert score("insult", "group") > 0.7 > 0.3 > max(score("insult"), score("group"), score("w1"))
 
 
-def test_a_term_that_matters_only_with_another_is_learnt():
-    rng = np.random.default_rng(1)
-    words = {w: T.terms(w)[0] for w in ("insult", "group", "slur", *(f"w{i}" for i in range(30)))}
-    docs, y = [], []
-    for _ in range(3000):  # the mention of a group is as frequent in clean as in toxic documents
-        insult, group, slur = rng.random(3) < [0.3, 0.5, 0.3]
-        x = [w for w, k in (("insult", insult), ("group", group), ("slur", slur)) if k] + [f"w{k}" for k in rng.choice(30, 4, False)]
-        docs.append(np.array([words[w] for w in x], np.uint64))
-        y.append(float(insult if group else slur))
-    m = T.fit(docs, np.array(y))
-    score = lambda *w: m.score([words[x] for x in (*w, "w1", "w2", "w3", "w4")])
-    assert min(score("insult", "group"), score("slur")) > 0.7 > 0.3 > max(score("insult"), score("slur", "group"), score("group"), score())
-
-
-def test_no_term_is_left_out():
-    docs = [np.array(T.terms(f"a{i} b{i % 2}"), np.uint64) for i in range(60)]
-    m = T.fit(docs, np.array([float(i % 3 == 0) for i in range(60)]))
-    assert all(m.weights[T.buckets(d)].all() for d in docs)
-
-
 def toxic_tables(spark):
     r = random.Random(4)
     docs, labels = [], []
