@@ -116,7 +116,7 @@ def train(documents: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Mode
         yield pa.RecordBatch.from_arrays([pa.array([0, *hashes.tolist()], pa.int64()), pa.array([model.bias, *model.weights], pa.float64()), pa.array([[0.0] * FACTORS, *model.factors.tolist()], pa.list_(pa.float64()))], ["term", "weight", "factors"])
 
     features = map_batches(rows, featurise, "doc_id long, toxic double, terms array<long>")
-    (bias, *fitted) = features.coalesce(1).mapInArrow(learn, "term long, weight double, factors array<double>").collect()
+    (bias, *fitted) = features.repartition(1).mapInArrow(learn, "term long, weight double, factors array<double>").collect()
     return Model(bias.weight, {r.term % 2**64: i for i, r in enumerate(fitted)}, np.array([r.weight for r in fitted]), np.array([r.factors for r in fitted]).reshape(-1, FACTORS))
 
 

@@ -49,6 +49,13 @@ def test_held_out_documents_are_told_apart(spark):
     assert {r.doc_id for r in got} == {i for i in range(1500) if zlib.crc32(str(i).encode()) % 3 == 1} and sum(r.predicted == r.toxic for r in got) >= 0.97 * len(got)
 
 
+def test_documents_are_read_in_parallel(spark, monkeypatch):
+    plans, frame = [], type(spark.range(0))
+    monkeypatch.setattr(frame, "collect", lambda self, f=frame.collect: plans.append(self._jdf.queryExecution().logical().toString()) or f(self))
+    T.train(*toxic_tables(spark))
+    assert "Repartition 1, true" in plans[-1] and "Repartition 1, false" not in plans[-1]
+
+
 def test_no_labels(spark):
     docs = spark.createDataFrame([(1, "a"), (2, None)], "doc_id long, text string")
     m = T.train(docs, spark.createDataFrame([], "doc_id long, toxic int"))
