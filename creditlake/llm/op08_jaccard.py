@@ -3,38 +3,42 @@
 Sets of at least 3/4 of each other's size that are that similar differ in at most τ = (|r| + |s|) / 7 shingles. Sizes are cut into
 bands by the factor 4/3; a document is indexed in its own band and, as the larger of a pair, in the one below. Each band splits the
 universe of shingles by hash into more segments than τ, so by the pigeonhole principle at least one non-empty segment of the
-smaller set is the same in the larger one. Empty segments are not indexed; the number of segments leaves enough others. In bands of
-short documents, where segments are nearly single shingles, those with two or more also index what is left by one deletion.
-
-Signatures of segments are exchanged in packed form, by hash; a task reads a bucket and sees which sets share a signature:
-
-* groups give links to try between their smallest set and the others of fitting size (a star), never all pairs, where a bucket
-  sees the two together more than once, and in large groups with the member that is in the most of them; links are verified
-  exactly on the texts; components follow;
-* groups that lie in more than one component then give the pairs between components. That is all pairs at most in groups of up
-  to GROUP sets. Larger groups come from frequent passages or large families. There, cost decides which segments a set probes:
-  it skips frequent ones as long as more than τ others are left; only sets that can't afford to skip probe large groups too.
-  A similar pair shares all of the smaller set's non-empty segments but τ, so pairs that share fewer signatures, with those
-  skipped counted in their favour, can't be similar; the others are verified exactly. This step misses nothing, so the stars
-  before it only save work.
-
-Equal sets are one node throughout. Defined cases: null, empty or blank text has an empty set (n_shingles 0), linked with nothing;
-a null doc_id has its own row, takes part in links, and is the component's id only if no other member has an id; rows that repeat
-a doc_id are rows of their own; an empty table gives no rows; other columns are ignored, or pass through ``keep_representatives``.
+smaller set is the same in the larger one. Empty segments are not indexed; where that leaves a set no more than τ segments, it is
+the smaller of a pair under the next hash seed instead, so no pair is lost. In bands of short documents, where segments are nearly
+single shingles, those with two or more also index what is left by one deletion.
+
+Signatures of segments are exchanged in packed form, by hash; a task reads a bucket and sees which sets share a signature.
+
+* Groups of up to GROUP sets give stars: links between their smallest set and the others. Links are verified exactly on the texts.
+* Larger groups come from frequent passages or large families. There, cost decides what a set probes: it may leave out frequent
+  segments as long as more than τ others remain (``_asks``); most sets leave out all. For those that can't, each group has a hub h,
+  the set whose segments are the most common ones, and members x are compared with h once: D(x) = x △ h. As |a △ b| = |D(a) △ D(b)|,
+  two sets that aren't both linked to h are similar only if D(a) and D(b) share (7|D(a)| + 7|D(b)| - |a| - |b|) / 14 shingles or
+  more, which is above 0. So they share one among the first of each, in any order that both follow (``_differences``); shingles that
+  h lacks come first, as they are rare. That join on shingles takes the place of pairing a group's members.
+* What the verified links connect is one component; groups that lie in more than one then give the pairs between components. A
+  similar pair shares all of the smaller set's non-empty segments but τ, so pairs that share fewer, with those it has in larger
+  groups counted in their favour, can't be similar; the others are verified exactly. This step misses nothing, so the stars before
+  it only save work.
+
+Equal sets are one node throughout, named by 64 bits of a digest. Defined cases: null, empty or blank text has an empty set
+(n_shingles 0), linked with nothing; a null doc_id has its own row, takes part in links, and is the component's id only if no other
+member has an id; rows that repeat a doc_id are rows of their own; an empty table gives no rows; other columns are ignored, or pass
+through ``keep_representatives``.
 """
 
 from __future__ import annotations
 
 import hashlib
+import itertools
 import math
-from collections import Counter
 from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
 import zstandard
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -42,15 +46,17 @@ from creditlake.llm.common import map_batches, only, partitions, read, small_bat
 from creditlake.llm.components import connected
 from creditlake.llm.shingles import mix, shingles
 
-#: Similarity as a fraction, sets in a group that may be paired with each other, signatures a task packs at once, bytes of a set's name.
-UP, DOWN, GROUP, FLUSH, NAME = 3, 4, 32, 2_000_000, 12
+#: Similarity as a fraction, sets in a group that may be paired with each other, signatures and sets a task packs at once.
+UP, DOWN, GROUP, FLUSH, SETS = 3, 4, 32, 2_000_000, 60_000
 SHORT, SHORT_SEGMENTS = 64, 1024
-_ROW = np.dtype([("name", f"S{NAME}"), ("size", "<u4"), ("count", "<u2"), ("spare", "<u2")])
+#: Members of a leader that one task compares.
+DEALT = 256
+_SET = np.dtype([("set", "<i8"), ("size", "<u4"), ("common", "<u2")])
 
 
-def name(tokens: np.ndarray) -> bytes | None:
-    """A set's name: a digest of its sorted hashes; the trailing byte is never zero."""
-    return hashlib.blake2b(tokens.tobytes(), digest_size=NAME - 1).digest() + b"\x01" if len(tokens) else None
+def name(tokens: np.ndarray) -> int | None:
+    """A set's name: 64 bits of a digest of its sorted hashes."""
+    return int.from_bytes(hashlib.blake2b(tokens.tobytes(), digest_size=8).digest(), "little", signed=True) if len(tokens) else None
 
 
 def similar(r: np.ndarray, s: np.ndarray) -> bool:
@@ -83,21 +89,35 @@ def segments(band: int) -> int:
     return SHORT_SEGMENTS if least < SHORT else math.ceil(0.52 * least + 2 * math.sqrt(least))
 
 
-def signatures(tokens: np.ndarray, band: int) -> np.ndarray:
+def _segment_of(tokens: np.ndarray, band: int, seed: int) -> np.ndarray:
+    return (mix(tokens + np.uint64(seed)) if seed else tokens) % np.uint64(segments(band))
+
+
+def placed(tokens: np.ndarray) -> tuple[int, int]:
+    """The first seed under which more segments are filled than a similar set can differ in, and how many are filled."""
+    band, most = band_of(len(tokens)), difference(len(tokens))
+    for seed in itertools.count():
+        filled = int(np.count_nonzero(np.bincount(_segment_of(tokens, band, seed).astype(np.int64), minlength=1)))
+        if filled > most:
+            return seed, filled
+    raise AssertionError
+
+
+def signatures(tokens: np.ndarray, band: int, seed: int = 0) -> np.ndarray:
     """One for each non-empty segment; in short bands also one for each deletion from a segment of two or more."""
-    segment = tokens % np.uint64(segments(band))
+    segment = _segment_of(tokens, band, seed)
     order = np.argsort(segment, kind="stable")
     segment, mixed = segment[order], mix(tokens[order])
     starts = np.flatnonzero(np.diff(segment, prepend=np.uint64(1 << 63)))
     sums = np.add.reduceat(mixed, starts)
-    seed = segment[starts] * np.uint64(0x9E3779B97F4A7C15) + np.uint64(band)
-    full = mix(sums + seed)
+    salt = segment[starts] * np.uint64(0x9E3779B97F4A7C15) + np.uint64(band + (seed << 32))
+    full = mix(sums + salt)
     if floor_of(band) >= SHORT:
         return full
     count = np.diff(np.append(starts, len(segment)))
     each = np.repeat(np.arange(len(starts)), count)
     many = count[each] > 1
-    return np.concatenate([full, mix((sums + seed)[each[many]] - mixed[many])])
+    return np.concatenate([full, mix((sums + salt)[each[many]] - mixed[many])])
 
 
 def _described(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -105,30 +125,41 @@ def _described(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
         texts = b.column("text").to_pylist()
         sets = [shingles(t) for t in texts]
-        filled = [len(np.unique(s % np.uint64(segments(band_of(len(s)))))) if len(s) else 0 for s in sets]
-        yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array([len(s) for s in sets], pa.int64()), pa.array([name(s) for s in sets], pa.binary()), pa.array(filled, pa.int32()), pa.array([packer.compress(t.encode()) for t in texts], pa.binary())], ["doc_id", "n_shingles", "name", "filled", "packed"])
+        at = [placed(s) if len(s) else (0, 0) for s in sets]
+        yield pa.RecordBatch.from_arrays(
+            [b.column("doc_id"), b.column("digest"), pa.array([len(s) for s in sets], pa.int64()), pa.array([name(s) for s in sets], pa.int64()), pa.array([band_of(len(s)) if len(s) else None for s in sets], pa.int32()),
+             pa.array([a[0] for a in at], pa.int32()), pa.array([a[1] for a in at], pa.int32()), pa.array([packer.compress(t.encode()) for t in texts], pa.binary())],
+            ["doc_id", "digest", "n_shingles", "set", "band", "seed", "filled", "packed"])
+
+
+_MEMBERS = "doc_id long, digest long, n_shingles long, set long, band int, seed int, filled int, packed binary"
 
 
-def _packed(buckets: int):
-    """Rows (bucket, payload): a table of the sets that have signatures in the bucket, then 6 bytes of each signature, set by set."""
+def _packed(buckets: int, seed: int, bands: set[int] | None):
+    """Rows (bucket, payload): a table of the sets that have signatures in the bucket, then whose each signature is and in which role, then 5 bytes of each, sorted.
 
-    def flush(sets: list[tuple[bytes, int, np.ndarray, bool]]) -> Iterator[pa.RecordBatch]:
-        lengths = [len(s[2]) for s in sets]
+    Of a seed other than the first, only sets of the bands that need it.
+    """
+
+    def flush(sets: list[tuple[int, int, np.ndarray, int]]) -> Iterator[pa.RecordBatch]:
+        lengths = np.array([len(s[2]) for s in sets])
         signs = np.concatenate([s[2] for s in sets])
         owner = np.repeat(np.arange(len(sets)), lengths)
-        bucket = (signs >> np.uint64(40)).astype(np.int64) * buckets >> 24
-        order = np.argsort(bucket, kind="stable")
-        edges = np.searchsorted(bucket[order], np.arange(buckets + 1))
+        own = np.arange(len(signs)) - np.repeat(np.cumsum(lengths) - lengths, lengths) < np.repeat([s[3] for s in sets], lengths)
+        order = np.argsort(signs)
+        signs, owner, own = signs[order], owner[order], own[order]
+        starts = np.flatnonzero(np.concatenate([[True], signs[1:] != signs[:-1]]))
+        others = np.repeat(np.diff(np.append(starts, len(signs))), np.diff(np.append(starts, len(signs)))) - 1
+        common = np.minimum(np.bincount(owner, others, len(sets)), 65_535)
+        table = np.zeros(len(sets), _SET)
+        table["set"], table["size"], table["common"] = [s[0] for s in sets], [s[1] for s in sets], common
+        edges = np.searchsorted((signs >> np.uint64(40)).astype(np.int64) * buckets >> 24, np.arange(buckets + 1))
         out = []
-        for k in range(buckets):
-            part = order[edges[k] : edges[k + 1]]
-            if len(part):
-                who, count = np.unique(owner[part], return_counts=True)
-                table = np.zeros(len(who), _ROW)
-                table["name"] = [sets[i][0] for i in who]
-                table["size"] = [sets[i][1] for i in who]
-                table["count"], table["spare"] = count, [sets[i][3] for i in who]
-                out.append((k, len(who).to_bytes(4, "little") + table.tobytes() + signs[part].view(np.uint8).reshape(-1, 8)[:, :6].tobytes()))
+        for k in np.flatnonzero(np.diff(edges)).tolist():
+            part = slice(edges[k], edges[k + 1])
+            who, place = np.unique(owner[part], return_inverse=True)
+            five = signs[part].view(np.uint8).reshape(-1, 8)[:, :5]
+            out.append((k, len(who).to_bytes(4, "little") + len(place).to_bytes(4, "little") + table[who].tobytes() + place.astype("<u2").tobytes() + np.packbits(own[part]).tobytes() + five.tobytes()))
         yield pa.RecordBatch.from_arrays([pa.array([o[0] for o in out], pa.int32()), pa.array([o[1] for o in out], pa.binary())], ["bucket", "payload"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -138,14 +169,14 @@ def _packed(buckets: int):
                 tokens = shingles(text)
                 if (who := name(tokens)) is None or who in seen:
                     continue
-                seen.add(who)
                 band = band_of(len(tokens))
-                for k in (band, band - 1)[: 1 + (band > 0)]:
-                    signs = signatures(tokens, k)
-                    # a very long set's signatures in several rows, as a row counts up to 65,535 in a bucket
-                    sets += [(who, len(tokens), part, k == band) for part in np.split(signs, range(60_000, len(signs), 60_000))]
-                    held += len(signs)
-                if held >= FLUSH:
+                if bands is not None and band not in bands and band - 1 not in bands:
+                    continue
+                seen.add(who)
+                signs = [signatures(tokens, k, seed) for k in (band, band - 1)[: 1 + (band > 0)]]
+                sets.append((who, len(tokens), np.concatenate(signs), len(signs[0]) if placed(tokens)[0] == seed else 0))
+                held += len(sets[-1][2])
+                if held >= FLUSH or len(sets) >= SETS:
                     yield from flush(sets)
                     sets, held, seen = [], 0, set()
         if sets:
@@ -154,175 +185,238 @@ def _packed(buckets: int):
     return run
 
 
-#: What a bucket gives: a link to try, a group of up to GROUP sets and in how many signatures it was seen, a set's place in a larger group.
-LINK, SMALL, LARGE = 0, 1, 2
-_MEMBER = pa.struct([("name", pa.binary()), ("size", pa.int32()), ("own", pa.bool_())])
-_FOUND = pa.schema([("kind", pa.int8()), ("a", pa.binary()), ("b", pa.binary()), ("members", pa.list_(_MEMBER)), ("seen", pa.int32()), ("sign", pa.int64()), ("size", pa.int32()), ("own", pa.bool_())])
-_FOUND_DDL = "kind byte, a binary, b binary, members array<struct<name:binary,size:int,own:boolean>>, seen int, sign long, size int, own boolean"
-
+#: What a bucket gives: a group of up to GROUP sets and in how many signatures it was seen; or a set, the hub of larger groups it is in, and in how many of those it can be the smaller of a pair.
+_MEMBER = pa.struct([("id", pa.int64()), ("size", pa.int32()), ("own", pa.bool_())])
+_FOUND = pa.schema([("members", pa.list_(_MEMBER)), ("hub", pa.int64()), ("set", pa.int64()), ("size", pa.int32()), ("seen", pa.int32())])
+_FOUND_DDL = "members array<struct<id:long,size:int,own:boolean>>, hub long, set long, size int, seen int"
 
-def _leaders(sizes: np.ndarray) -> np.ndarray:
-    """For sets sorted by size, the place of the one each is tried with: the smallest that is large enough."""
-    out, at = np.zeros(len(sizes), np.int64), 0
-    for i, size in enumerate(sizes.tolist()):
-        if UP * size > DOWN * int(sizes[at]):
-            at = i
-        out[i] = at
-    return out
 
-
-def _bucket_groups(payloads: list[bytes], bucket: int) -> Iterator[tuple]:
-    names, sizes, owns, signs, owners, base = [], [], [], [], [], 0
+def _bucket_groups(payloads: list[bytes]) -> Iterator[pa.RecordBatch]:
+    tables, signs, owners, owns, base = [], [], [], [], 0
     for p in payloads:
-        n = int.from_bytes(p[:4], "little")
-        table = np.frombuffer(p, _ROW, n, 4)
-        raw = np.frombuffer(p, np.uint8, offset=4 + n * _ROW.itemsize).reshape(-1, 6)
-        wide = np.zeros((len(raw), 8), np.uint8)
-        wide[:, :6] = raw
-        names.append(table["name"])
-        sizes.append(table["size"])
-        owns.append(table["spare"])
+        n, m = int.from_bytes(p[:4], "little"), int.from_bytes(p[4:8], "little")
+        at = 8 + n * _SET.itemsize
+        tables.append(np.frombuffer(p, _SET, n, 8))
+        owners.append(np.frombuffer(p, "<u2", m, at).astype(np.int64) + base)
+        bits = (m + 7) // 8
+        owns.append(np.unpackbits(np.frombuffer(p, np.uint8, bits, at + 2 * m), count=m))
+        wide = np.zeros((m, 8), np.uint8)
+        wide[:, :5] = np.frombuffer(p, np.uint8, offset=at + 2 * m + bits).reshape(-1, 5)
         signs.append(wide.view("<u8").ravel())
-        owners.append(np.repeat(np.arange(base, base + n), table["count"]))
         base += n
-    every, who = np.unique(np.concatenate(names), return_inverse=True)
-    size = np.zeros(len(every), np.int64)
-    size[who] = np.concatenate(sizes)
-    sign, owner = np.concatenate(signs), np.concatenate(owners)
-    node, own = who[owner], np.concatenate(owns)[owner]
-    order = np.lexsort((-own, node, size[node], sign))
+    table, sign, owner, own = np.concatenate(tables), np.concatenate(signs), np.concatenate(owners), np.concatenate(owns)
+    order = np.argsort(sign, kind="stable")
+    sign = sign[order]
+    again = sign[1:] == sign[:-1]
+    shared = np.concatenate([again, [False]]) | np.concatenate([[False], again])
+    sign, owner, own = sign[shared], owner[order[shared]], own[order[shared]]
+    if not len(sign):
+        return
+    every, node = np.unique(table["set"][owner], return_inverse=True)
+    size, common = np.zeros(len(every), np.int64), np.zeros(len(every), np.int64)
+    size[node] = table["size"][owner]
+    np.maximum.at(common, node, table["common"][owner].astype(np.int64))
+    order = np.lexsort((1 - own, node, size[node], sign))
     sign, node, own = sign[order], node[order], own[order]
-    fresh = np.concatenate([[True], (sign[1:] != sign[:-1]) | (node[1:] != node[:-1])])
+    fresh = np.concatenate([[True], (sign[1:] != sign[:-1]) | (node[1:] != node[:-1])])  # copies are one member
     sign, node, own = sign[fresh], node[fresh], own[fresh]
     starts = np.flatnonzero(np.concatenate([[True], sign[1:] != sign[:-1]]))
     lengths = np.diff(np.append(starts, len(sign)))
-    links: Counter[tuple[int, int]] = Counter()
-    small: Counter[bytes] = Counter()
-    for at, n in zip(starts[lengths > 1].tolist(), lengths[lengths > 1].tolist(), strict=True):
-        group, role = node[at : at + n], own[at : at + n].astype(bool)
-        if not role.any():
-            continue  # a smaller set of a pair is always in its own band
-        first = group[_leaders(size[group])]
-        links.update((a, b) for a, b in zip(first.tolist(), group.tolist(), strict=True) if a != b)
-        if n <= GROUP:
-            small[(2 * group + role).tobytes()] += 1
-        else:
-            mark = int(sign[at]) + (bucket << 48)
-            for x, o in zip(group.tolist(), role.tolist(), strict=True):
-                yield LARGE, every[x], None, None, None, mark, int(size[x]), o
-    for (a, b), seen in links.items():
-        if seen > 1:
-            yield LINK, every[a], every[b], None, seen, None, None, None
-    for g, seen in small.items():
-        coded = np.frombuffer(g, np.int64)
-        yield SMALL, None, None, [{"name": every[x], "size": int(size[x]), "own": bool(o)} for x, o in zip(coded >> 1, coded & 1, strict=True)], seen, None, None, None
+    good = (lengths > 1) & (np.add.reduceat(own.astype(np.int64), starts) > 0)  # a smaller set of a pair is always in its own band
+    starts, lengths = starts[good], lengths[good]
+    code = 2 * node + own
+    for n in np.unique(lengths[lengths <= GROUP]).tolist():
+        groups, seen = np.unique(code[starts[lengths == n][:, None] + np.arange(n)], axis=0, return_counts=True)
+        flat = groups.ravel()
+        for k in range(0, len(groups), 8192):
+            part = flat[k * n : (k + 8192) * n]
+            some = len(part) // n
+            members = pa.StructArray.from_arrays([pa.array(every[part >> 1]), pa.array(size[part >> 1].astype(np.int32)), pa.array((part & 1).astype(bool))], fields=list(_MEMBER))
+            lists = pa.ListArray.from_arrays(pa.array(np.arange(some + 1, dtype=np.int32) * n), members).cast(_FOUND.field("members").type)
+            yield pa.RecordBatch.from_arrays([lists, *(pa.nulls(some, _FOUND.field(c).type) for c in ("hub", "set", "size")), pa.array(seen[k : k + 8192].astype(np.int32))], schema=_FOUND)
+    pairs, roles = [], []
+    for at, n in zip(starts[lengths > GROUP].tolist(), lengths[lengths > GROUP].tolist(), strict=True):
+        group = node[at : at + n]
+        pairs.append(group[np.lexsort((every[group], common[group]))[-1]] * len(every) + group)
+        roles.append(own[at : at + n])
+    if pairs:
+        both, place = np.unique(np.concatenate(pairs), return_inverse=True)
+        seen = np.bincount(place, np.concatenate(roles), len(both)).astype(np.int32)
+        hub, member = both // len(every), both % len(every)
+        for k in range(0, len(both), 8192):
+            part = slice(k, k + 8192)
+            columns = [pa.nulls(len(both[part]), _FOUND.field("members").type), pa.array(every[hub[part]]), pa.array(every[member[part]]), pa.array(size[member[part]].astype(np.int32)), pa.array(seen[part])]
+            yield pa.RecordBatch.from_arrays(columns, schema=_FOUND)
 
 
 def _groups(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Of rows sorted by bucket."""
-    import itertools
-
     rows = (r for b in batches for r in zip(b.column("bucket").to_pylist(), b.column("payload").to_pylist(), strict=True))
-    for bucket, group in itertools.groupby(rows, key=lambda r: r[0]):
-        for part in itertools.batched(_bucket_groups([p for _, p in group], bucket), 8192):
-            yield pa.RecordBatch.from_arrays([pa.array(c, t.type) for c, t in zip(zip(*part, strict=True), _FOUND, strict=True)], schema=_FOUND)
+    for _, group in itertools.groupby(rows, key=lambda r: r[0]):
+        yield from _bucket_groups([p for _, p in group])
 
 
-def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows sorted by leader, its own text first → the links that hold."""
+def _beside_leader(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, np.ndarray, int, np.ndarray, bool]]:
+    """Rows sorted by leader, its own text first → leader and member with their shingles."""
     reader = zstandard.ZstdDecompressor()
     leader, tokens = None, None
     for b in batches:
-        out = []
-        for a, other, packed in zip(*(b.column(c).to_pylist() for c in ("leader", "name", "packed")), strict=True):
+        for a, other, packed, asks in zip(*(b.column(c).to_pylist() for c in ("leader", "set", "packed", "asks")), strict=True):
             own = shingles(reader.decompress(packed).decode())
             if a == other:
                 leader, tokens = a, own
-            elif a == leader and similar(tokens, own):
-                out.append((a, other))
-        yield pa.RecordBatch.from_arrays([pa.array([o[0] for o in out], pa.binary()), pa.array([o[1] for o in out], pa.binary())], ["a", "b"])
+            elif a == leader:
+                yield a, tokens, other, own, asks
 
 
-def verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
-    """The pairs (a, b) that are similar; each text goes to a task once for each of its leaders.
+def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The links that hold."""
+    for part in itertools.batched(((a, b) for a, x, b, y, _ in _beside_leader(batches) if similar(x, y)), 4096):
+        yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*part, strict=True)], ["a", "b"])
 
-    A leader of many is dealt to eight tasks with a copy of its own text in each.
+
+def first_differences(h: np.ndarray, x: np.ndarray) -> tuple[bool, int, int, np.ndarray]:
+    """Whether x is linked to h; |D| of D = x △ h; how many of D a set that isn't linked has to share one of; D as far as any set has to.
+
+    With a partner that isn't linked, 7|D(a)| + |h| - |a| + 1 fourteenths at least are shared; with one that is linked, 7|D(a)| - |a|
+    - |h| + 6 at least.
     """
-    pairs = staged(pairs.select("a", "b").distinct(), "pairs")
-    many = pairs.groupBy("a").count().where(F.col("count") > 64).select("a", F.lit(True).alias("many"))
-    wide = pairs.join(many, "a", "left").select(F.col("a").alias("leader"), F.col("b").alias("name"), F.when(F.col("many"), F.pmod(F.xxhash64("b"), F.lit(8)).cast("int")).otherwise(0).alias("part"))
-    want = wide.unionByName(wide.select("leader", F.col("leader").alias("name"), "part").distinct())
-    met = want.join(texts.hint("merge"), "name")
-    dealt = met.repartition(partitions(pairs), "leader", "part").sortWithinPartitions("leader", "part", F.col("leader") != F.col("name"))
-    return dealt.select("leader", "name", "packed").mapInArrow(_verify, "a binary, b binary")
+    mine, hubs = np.setdiff1d(x, h, assume_unique=True), np.setdiff1d(h, x, assume_unique=True)
+    d = len(mine) + len(hubs)
+    linked = 7 * d <= len(x) + len(h)
+    near = d - max(1, -(-(7 * d + len(h) - len(x) + 1) // 14)) + 1
+    far = d - max(1, -(-(7 * d - len(h) - len(x) + 6) // 14)) + 1
+    return linked, d, near, np.concatenate([mine, hubs])[: max(0, near if linked else far)]
+
+
+def _differ(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for part in itertools.batched(_beside_leader(batches), 256):
+        made = [first_differences(h, x) for _, h, _, x, _ in part]
+        columns = [pa.array([p[0] for p in part], pa.int64()), pa.array([p[2] for p in part], pa.int64()), pa.array([len(p[3]) for p in part], pa.int32()), pa.array([p[4] for p in part], pa.bool_())]
+        columns += [pa.array([m[k] for m in made], t) for k, t in ((0, pa.bool_()), (1, pa.int32()), (2, pa.int32()))]
+        yield pa.RecordBatch.from_arrays([*columns, pa.array([m[3].view(np.int64) for m in made], pa.list_(pa.int64()))], ["hub", "set", "size", "asks", "linked", "d", "near", "tokens"])
+
+
+def _dealt(pairs: DataFrame, texts: DataFrame) -> DataFrame:
+    """leader, set, asks, packed: members (a, b, asks) of each leader, DEALT to a task, each time with the leader's own text before them."""
+    pairs = staged(pairs, "pairs")
+    parts = pairs.groupBy("a").agg(F.ceil(F.count(F.lit(1)) / DEALT).cast("int").alias("parts"))
+    wide = pairs.join(parts, "a").select(F.col("a").alias("leader"), F.col("b").alias("set"), F.pmod(F.xxhash64("b"), F.col("parts")).cast("int").alias("part"), "asks")
+    want = wide.unionByName(wide.select("leader", F.col("leader").alias("set"), "part", F.lit(False).alias("asks")).distinct())
+    met = want.join(texts.hint("merge"), "set")
+    dealt = met.repartition(partitions(pairs), "leader", "part").sortWithinPartitions("leader", "part", F.col("leader") != F.col("set"))
+    return dealt.select("leader", "set", "asks", "packed")
+
+
+def verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
+    """The pairs (a, b) that are similar; each text goes to a task once for each of its leaders."""
+    return _dealt(pairs.select("a", "b").distinct().withColumn("asks", F.lit(False)), texts).mapInArrow(_verify, "a long, b long")
 
 
 def similarity_components(documents: DataFrame) -> DataFrame:
-    """doc_id, n_shingles, name (of its set, null if empty), root (the least name it reaches by links)."""
+    """doc_id, digest (of the text), n_shingles, set (null if empty), root (the least set that it reaches by links)."""
     small_batches(documents.sparkSession)
-    docs = only(documents, doc_id=documents["doc_id"].cast("long"), text=text_of(documents))
+    text = text_of(documents)
+    docs = only(documents, doc_id=documents["doc_id"].cast("long"), digest=F.xxhash64(text), text=text)
     n = partitions(docs)
-    members = staged(map_batches(docs, _described, "doc_id long, n_shingles long, name binary, filled int, packed binary"), "sets")
-    signed = map_batches(docs.select("text"), _packed(n), "bucket int, payload binary")
-    found = staged(signed.repartition(n, "bucket").sortWithinPartitions("bucket").mapInArrow(_groups, _FOUND_DDL), "groups")
-    needs = _needs(found, members)
-    grouped = found.select(F.explode(F.when(F.col("kind") == LINK, F.array("a", "b")).when(F.col("kind") == SMALL, F.col("members.name")).otherwise(F.array("a"))).alias("name")).distinct()
-    texts = staged(members.select("name", "packed").join(grouped.hint("merge"), "name").groupBy("name").agg(F.max("packed").alias("packed")), "texts")
-    # Stars between sets that share little are left to the next step, which weighs all that a pair shares.
-    links = found.where(F.col("kind") == LINK).groupBy("a", "b").agg(F.sum("seen").alias("seen")).join(needs, "a").where(F.col("seen") >= F.greatest(F.lit(2), F.col("least") / 5))
-    first = verified(links.select("a", "b"), texts)
-    roots = connected(first.unionByName(verified(_hubs(found), texts)))
-    more = staged(verified(_between(found, roots, needs), texts), "links")
+    members = staged(map_batches(docs, _described, _MEMBERS), "sets")
+    found = None
+    for seed in itertools.count():
+        bands = {r.band for r in members.where(F.col("seed") >= seed).select("band").distinct().collect()} if seed else None  # some dozens at most
+        if seed and not bands:
+            break
+        signed = map_batches(docs.select("text"), _packed(n, seed, bands), "bucket int, payload binary")
+        more = staged(signed.repartition(n, "bucket").sortWithinPartitions("bucket").mapInArrow(_groups, _FOUND_DDL), "groups")
+        found = more if found is None else found.unionByName(more)
+    small = staged(found.where("members is not null").groupBy("members").agg(F.sum("seen").alias("seen")), "small")
+    hubs = staged(found.where("hub is not null").groupBy("hub", "set").agg(F.max("size").alias("size"), F.sum("seen").alias("seen")), "hubs")
+    needs = _needs(hubs, members)
+    asked = staged(_asked(hubs, needs), "asked")
+    stars = _stars(small)
+    wanted = small.select(F.explode("members.id").alias("set")).unionByName(asked.select("set")).unionByName(asked.select(F.col("hub").alias("set"))).distinct()
+    texts = staged(members.select("set", "packed").join(wanted.hint("merge"), "set").groupBy("set").agg(F.first("packed").alias("packed")), "texts")
+    differ = staged(_dealt(asked.where("hub <> set").select(F.col("hub").alias("a"), F.col("set").alias("b"), "asks"), texts).mapInArrow(_differ, "hub long, set long, size int, asks boolean, linked boolean, d int, near int, tokens array<long>"), "differ")
+    roots = connected(verified(stars, texts).unionByName(differ.where("linked").select(F.col("hub").alias("a"), F.col("set").alias("b"))))
+    more = staged(verified(_between(small, roots, needs).unionByName(_differences(differ, roots)), texts), "links")
     if more.limit(1).count():
         roots = connected(roots.select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(more))
-    r = roots.withColumnRenamed("node", "name")
-    return members.join(r.hint("merge"), "name", "left").select("doc_id", "n_shingles", "name", F.coalesce("root", "name").alias("root"))
+    r = roots.withColumnRenamed("node", "set")
+    return members.join(r.hint("merge"), "set", "left").select("doc_id", "digest", "n_shingles", "set", F.coalesce("root", "set").alias("root"))
 
 
-#: Members are sorted by size; the smaller of a pair has to be in its own band.
-_PAIRS = """filter(flatten(transform(xs, (x, i) -> transform(slice(xs, i + 2, size(xs)), y -> struct(x as r, y as s)))),
-  p -> p.r.own and p.r.root <> p.s.root and 3 * p.s.size <= 4 * p.r.size)"""
+def _stars(small: DataFrame) -> DataFrame:
+    """a, b: each group's smallest set with the others of fitting size that it shares enough with; the rest is left to ``_between``."""
+    first = F.col("members")[0]
+    each = small.select(first["id"].alias("a"), first["size"].alias("size_a"), F.explode(F.slice("members", F.lit(2), F.size("members"))).alias("m"), "seen")
+    pairs = each.where(UP * F.col("m.size") <= DOWN * F.col("size_a")).groupBy("a", F.col("m.id").alias("b"), "size_a").agg(F.sum("seen").alias("seen"))
+    return pairs.where(F.col("seen") >= F.greatest(F.lit(2), F.col("size_a") / 32)).select("a", "b")
 
 
-def _needs(found: DataFrame, members: DataFrame) -> DataFrame:
-    """a, large (large groups it is in), least (signatures that a similar, larger set shares with it, at least)."""
-    counts = found.where((F.col("kind") == LARGE) & F.col("own")).groupBy("a").agg(F.count(F.lit(1)).alias("large"))
-    sets = members.where("name is not null").groupBy(F.col("name").alias("a")).agg(F.max("filled").alias("filled"), F.max("n_shingles").alias("n"))
+def _needs(hubs: DataFrame, members: DataFrame) -> DataFrame:
+    """a, n (its size), filled (its segments), large (those in larger groups), least (signatures that a similar, larger set shares with it, at least)."""
+    counts = hubs.groupBy(F.col("set").alias("a")).agg(F.sum("seen").alias("large"))
+    sets = members.where("set is not null").groupBy(F.col("set").alias("a")).agg(F.max("filled").alias("filled"), F.max("n_shingles").alias("n"))
     least = F.col("filled") - F.floor((F.col("n") + F.floor(DOWN * F.col("n") / UP)) / 7)
-    return sets.join(counts, "a", "left").select("a", F.coalesce("large", F.lit(0)).alias("large"), least.alias("least"))
+    return sets.join(counts, "a", "left").select("a", "n", "filled", F.coalesce("large", F.lit(0)).alias("large"), least.alias("least"))
+
 
+def _asked(hubs: DataFrame, needs: DataFrame) -> DataFrame:
+    """hub, set, asks: all members of the hubs that some set has to probe, and whether this one has to.
 
-def _hubs(found: DataFrame) -> DataFrame:
-    """Of each large group, its members with the one that is in the most large groups: what a family was copied from, if it is there."""
-    large = found.where(F.col("kind") == LARGE).select("sign", "a", "size")
-    degree = large.groupBy("a").agg(F.count(F.lit(1)).alias("degree"))
-    hub = large.join(degree, "a").groupBy("sign").agg(F.max_by(F.struct(F.col("a").alias("hub"), F.col("size").alias("hub_size")), F.struct("degree", "a")).alias("h")).select("sign", "h.*")
-    fits = (F.col("a") != F.col("hub")) & (UP * F.greatest("size", "hub_size") <= DOWN * F.least("size", "hub_size"))
-    return large.join(hub, "sign").where(fits).select(F.col("hub").alias("a"), F.col("a").alias("b")).distinct()
+    A set may leave out least - 1 of its segments, as a similar set shares one more; it leaves out those of the hubs with the most
+    members. Only if it has least of them in larger groups is anything left to probe there.
+    """
+    crowd = hubs.groupBy("hub").agg(F.count(F.lit(1)).alias("crowd"))
+    mine = hubs.where("seen > 0").join(needs.where("large >= least").select(F.col("a").alias("set"), "least"), "set").join(crowd, "hub")
+    upto = F.sum("seen").over(Window.partitionBy("set").orderBy(F.desc("crowd"), "hub").rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    asks = mine.withColumn("upto", upto).where(F.col("upto") >= F.col("least")).select("hub", "set", F.lit(True).alias("asks"))
+    all_ = hubs.select("hub", "set").join(asks.select("hub").distinct(), "hub", "left_semi")
+    return all_.join(asks, ["hub", "set"], "left").select("hub", "set", F.coalesce("asks", F.lit(False)).alias("asks"))
 
 
-def _between(found: DataFrame, roots: DataFrame, needs: DataFrame) -> DataFrame:
-    """Pairs of sets in different components that can be similar by the signatures they share.
+def _differences(differ: DataFrame, roots: DataFrame) -> DataFrame:
+    """a, b: sets of one hub, in different components, whose differences from it share one of their first shingles.
 
-    A set may leave out least - 1 of its segments, as a similar set shares one more. It leaves out its large groups, and if they
-    are more than that, those with the most members outside its own component.
+    Two linked sets are in one component. Two that aren't have to share one of the first ``near``; one that is, with any of the other's.
     """
+    each = differ.join(roots.select(F.col("node").alias("set"), "root"), "set", "left").withColumn("root", F.coalesce("root", "set"))
+    each = each.select("hub", "set", "size", "asks", "linked", "d", "near", "root", F.posexplode("tokens").alias("at", "token"))
+    live = each.groupBy("hub", "token").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.bool_or("asks").alias("any")).where("lo <> hi and any").select("hub", "token")
+    each = staged(each.join(live.hint("merge"), ["hub", "token"]), "shared")
+
+    def side(rows: DataFrame, mark: str) -> DataFrame:
+        return rows.select("hub", "token", *(F.col(c).alias(f"{c}_{mark}") for c in ("set", "size", "asks", "linked", "d", "root", "at")))
+
+    t = F.ceil((7 * (F.col("d_a") + F.col("d_b")) - F.col("size_a") - F.col("size_b")) / 14)
+    fits = (F.col("root_a") != F.col("root_b")) & (UP * F.greatest("size_a", "size_b") <= DOWN * F.least("size_a", "size_b"))
+    fits &= ((F.col("size_a") <= F.col("size_b")) & F.col("asks_a")) | ((F.col("size_b") <= F.col("size_a")) & F.col("asks_b"))
+    fits &= (F.col("at_a") + t <= F.col("d_a")) & (F.col("at_b") + t <= F.col("d_b"))
+    apart = each.where(~F.col("linked"))
+    close = apart.where(F.col("at") < F.col("near"))
+    both = side(close, "a").join(side(close, "b"), ["hub", "token"]).where((F.col("set_a") < F.col("set_b")) & fits)
+    one = side(each.where("linked"), "a").join(side(apart, "b"), ["hub", "token"]).where(fits)
+    return both.unionByName(one).select(F.col("set_a").alias("a"), F.col("set_b").alias("b")).distinct()
+
+
+#: Members are sorted by size; the smaller of a pair has to be in its own band.
+_PAIRS = """filter(flatten(transform(xs, (x, i) -> transform(slice(xs, i + 2, size(xs)), y -> struct(x as r, y as s)))),
+  p -> p.r.own and p.r.root <> p.s.root and 3 * p.s.size <= 4 * p.r.size)"""
+
+
+def _between(small: DataFrame, roots: DataFrame, needs: DataFrame) -> DataFrame:
+    """a, b: sets in different components that can be similar by the signatures they share in groups of up to GROUP."""
     r = roots.select(F.col("node").alias("a"), "root")
-    small = found.where(F.col("kind") == SMALL).groupBy("members").agg(F.sum("seen").alias("seen")).withColumn("group", F.xxhash64("members"))
-    each = small.select("group", "seen", F.explode("members").alias("m")).select("group", "seen", F.col("m.name").alias("a"), "m.size", "m.own").join(r, "a", "left")
+    each = small.withColumn("group", F.xxhash64("members")).select("group", "seen", F.explode("members").alias("m")).select("group", "seen", F.col("m.id").alias("a"), "m.size", "m.own").join(r, "a", "left")
     each = each.select("group", "seen", F.struct("size", F.coalesce("root", "a").alias("root"), "own", "a").alias("x"))
     split = each.groupBy("group", "seen").agg(F.min("x.root").alias("lo"), F.max("x.root").alias("hi"), F.array_sort(F.collect_list("x")).alias("xs")).where("lo <> hi")
-    pairs = split.select("seen", F.explode(F.expr(_PAIRS)).alias("p")).select(F.col("p.r.a").alias("a"), F.col("p.s.a").alias("b"), "seen")
-    pairs = pairs.groupBy("a", "b").agg(F.sum("seen").alias("seen")).join(needs, "a").where(F.col("seen") + F.col("large") >= F.col("least")).select("a", "b")
-    large = found.where(F.col("kind") == LARGE).select("sign", "a", "size", "own").join(r, "a", "left").withColumn("root", F.coalesce("root", "a"))
-    inside = large.groupBy("sign", "root").agg(F.count(F.lit(1)).alias("inside"))
-    whole = inside.groupBy("sign").agg(F.sum("inside").alias("members"))
-    asks = large.where("own").join(needs.where("large >= least"), "a").join(inside, ["sign", "root"]).join(whole, "sign").withColumn("outside", F.col("members") - F.col("inside"))
-    turn = F.row_number().over(Window.partitionBy("a").orderBy("outside", "sign"))
-    asks = asks.withColumn("turn", turn).where((F.col("turn") <= F.col("large") - F.col("least") + 1) & (F.col("outside") > 0)).select("sign", "a", "size", "root")
-    others = large.select("sign", F.col("a").alias("b"), F.col("size").alias("size_b"), F.col("root").alias("root_b"))
-    met = asks.join(others, "sign").where((F.col("root") != F.col("root_b")) & (F.col("size") <= F.col("size_b")) & (UP * F.col("size_b") <= DOWN * F.col("size")))
-    return pairs.unionByName(met.select("a", "b")).distinct()
+    pairs = split.select("seen", F.explode(F.expr(_PAIRS)).alias("p")).select(F.col("p.r.a").alias("a"), F.col("p.s.a").alias("b"), F.col("p.s.size").alias("size_b"), "seen")
+    shared = pairs.groupBy("a", "b").agg(F.max("size_b").alias("size_b"), F.sum("seen").alias("seen")).join(needs, "a")
+    return shared.where(F.col("seen") + F.col("large") >= F.col("filled") - F.floor((F.col("n") + F.col("size_b")) / 7)).select("a", "b")
+
+
+def _first_of(columns: list[str]) -> Column:
+    """The least row by these columns, nulls last."""
+    return F.min(F.struct(*(x for c in columns for x in (F.col(c).isNull().alias(f"no_{c}"), F.col(c)))))
 
 
 def near_duplicates(documents: DataFrame) -> DataFrame:
@@ -333,9 +427,17 @@ def near_duplicates(documents: DataFrame) -> DataFrame:
 
 
 def keep_representatives(documents: DataFrame) -> DataFrame:
-    """documents, all columns: of each component only the rows of its least doc_id; rows with an empty set all stay."""
-    gone = near_duplicates(documents).where(F.col("component_id") != F.col("doc_id")).select(F.col("doc_id").alias("_gone")).distinct()
-    return documents.join(gone.hint("merge"), documents["doc_id"].cast("long") == gone["_gone"], "left_anti")
+    """documents, all columns: of each component only the row of its least doc_id (nulls last), of several the one of the least text hash.
+
+    Rows that repeat both stay together, as do rows with an empty set.
+    """
+    found = staged(similarity_components(documents).where(F.col("root").isNotNull()).select("root", "doc_id", "digest").distinct(), "members")
+    first = found.groupBy("root").agg(_first_of(["doc_id", "digest"]).alias("first"))
+    other = ~F.col("doc_id").eqNullSafe(F.col("first.doc_id")) | (F.col("digest") != F.col("first.digest"))
+    gone = found.join(first.hint("merge"), "root").where(other).select(F.col("doc_id").alias("_doc_gone"), F.col("digest").alias("_digest_gone"))
+    kept = documents.select(F.struct(*(documents[c] for c in documents.columns)).alias("row"), documents["doc_id"].cast("long").alias("id"), F.xxhash64(text_of(documents)).alias("hash"))
+    kept = kept.join(gone.hint("merge"), kept["id"].eqNullSafe(gone["_doc_gone"]) & (kept["hash"] == gone["_digest_gone"]), "left_anti")
+    return kept.select("row.*")
 
 
 def op8_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -188,6 +188,67 @@ def test_repeated_and_null_ids(spark):
     assert sorted((x.doc_id or -1, x.component_id) for x in got) == [(-1, 4), (4, 4), (4, 4), (5, 5), (9, 4)]
 
 
+def test_representatives_of_repeated_and_null_ids(spark):
+    t, o = " ".join(f"w{i}" for i in range(40)), " ".join(f"o{i}" for i in range(40))
+    rows = [(3, t), (5, o), (5, t + " end"), (None, t + " fin"), (7, None), (None, ""), (8, o), (8, o)]
+    df = spark.createDataFrame([(*r, 1, 2) for r in rows], DOCS + ", hash int, first int")
+    kept = J.keep_representatives(df)
+    assert kept.columns == df.columns
+    assert sorted(((r.doc_id, r.text) for r in kept.collect()), key=str) == sorted([(3, t), (5, o), (7, None), (None, "")], key=str)
+    nulls = spark.createDataFrame([(None, t), (None, t + " end"), (1, o), (1, o)], DOCS)
+    assert sorted(str(r.doc_id) for r in J.keep_representatives(nulls).collect()) == ["1", "1", "None"]
+
+
+def test_sets_with_too_few_segments_take_another_seed(monkeypatch):
+    import numpy as np
+    import pyarrow as pa
+
+    a, b = np.array([7, 7 + 1024, 7 + 2048], np.uint64), np.array([7, 7 + 1024, 7 + 2048, 9], np.uint64)
+    held = {"a": a, "b": b}
+    assert J.difference(3) == 1 and len(np.unique(a % np.uint64(J.segments(J.band_of(3))))) == 1
+    assert J.placed(a)[0] == 1 and J.placed(b)[0] == 0
+    monkeypatch.setattr(J, "shingles", held.__getitem__)
+    batch = pa.RecordBatch.from_arrays([pa.array(["a", "b"])], ["text"])
+    groups = []
+    for seed in (0, 1):
+        rows = list(J._packed(1, seed, None if seed == 0 else {J.band_of(3)})(iter([batch])))
+        groups.append([m for p in rows for g in J._bucket_groups(p.column("payload").to_pylist()) for m in g.column("members").to_pylist()])
+    small = {"id": J.name(a), "size": 3, "own": True}
+    assert not any(small in g for g in groups[0]) and any(small in g and len(g) == 2 for g in groups[1])
+
+
+def test_differences_from_a_hub_meet_in_their_first_shingles():
+    import numpy as np
+
+    r, seen = random.Random(4), Counter()
+    for _ in range(4000):
+        n = r.randrange(20, 60)
+        h = np.arange(n, dtype=np.uint64)
+        edits = r.randrange(0, n // 2)
+        spot = [(r.randrange(n), 1000 + r.randrange(9000)) for _ in range(edits)]
+
+        def member(h=h, spot=spot):
+            keep = {int(x) for x in h}
+            for at, new in spot + [(r.randrange(n), 20_000 + r.randrange(9)) for _ in range(r.randrange(4))]:
+                if r.random() < 0.9:
+                    keep.discard(at)
+                    keep |= {new} if r.random() < 0.8 else set()
+            return np.array(sorted(keep), np.uint64)
+
+        a, b = member(), member()
+        if not len(a) or not len(b) or not J.similar(a, b):
+            continue
+        (la, da, na, ta), (lb, db, nb, tb) = J.first_differences(h, a), J.first_differences(h, b)
+        assert la == J.similar(h, a) and lb == J.similar(h, b)
+        if la and lb:
+            continue
+        seen[la + lb] += 1
+        t = -(-(7 * (da + db) - len(a) - len(b)) // 14)
+        assert t >= 1 and set(ta[: da - t + 1].tolist()) & set(tb[: db - t + 1].tolist())
+        assert da - t + 1 <= len(ta) and db - t + 1 <= len(tb) and (la or lb or (da - t + 1 <= na and db - t + 1 <= nb))
+    assert min(seen[0], seen[1]) > 50
+
+
 def test_bands_cover_all_sizes_that_can_be_similar():
     for r in range(1, 3000):
         for s in (r, r * 4 // 3):
