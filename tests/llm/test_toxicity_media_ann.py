@@ -14,17 +14,51 @@ from creditlake.llm import op06_media as M
 from creditlake.llm import op07_ann as A
 
 
+def one(word):
+    return int(T.terms(word)[0])
+
+
 def test_factorization_machine_learns_a_pair():
     rng = np.random.default_rng(1)
-    words = {w: T.terms(w)[0] for w in ("insult", "group", *(f"w{i}" for i in range(30)))}
+    words = {w: one(w) for w in ("rude", "folk", *(f"w{i}" for i in range(30)))}
     docs, y = [], []
     for _ in range(1500):
-        x = {w for w in ("insult", "group") if rng.random() < 0.5} | {f"w{rng.integers(30)}" for _ in range(4)}
-        docs.append(np.array([words[w] for w in x], np.uint64))
-        y.append(float({"insult", "group"} <= x))
+        x = {w for w in ("rude", "folk") if rng.random() < 0.5} | {f"w{rng.integers(30)}" for _ in range(4)}
+        docs.append(np.array(sorted(words[w] for w in x)))
+        y.append(float({"rude", "folk"} <= x))
     m = T.fit(docs, np.array(y))
-    score = lambda *w: m.score([words[x] for x in w])
-    assert score("insult", "group") > 0.7 > 0.3 > max(score("insult"), score("group"), score("w1"))
+    score = lambda *w: float(m.scores([np.array([words[x] for x in w])])[0])
+    assert score("rude", "folk") > 0.7 > 0.3 > max(score("rude"), score("folk"), score("w1"))
+
+
+def test_terms_that_tell_nothing_alone_are_learnt_in_pairs():
+    rng = np.random.default_rng(6)
+    words = [one(f"w{i}") for i in range(400)]
+    docs, y = [], []
+    for _ in range(4000):
+        x = {words[i] for i in rng.integers(2, 400, 12)}
+        both = rng.random(2) < 0.5
+        docs.append(np.array(sorted(x | {w for w, b in zip(words, both) if b})))
+        y.append(float(both[0] == both[1]))
+    y = np.array(y)
+    m = T.fit(docs[:3000], y[:3000])
+    assert ((m.scores(docs[3000:]) >= 0.5) == y[3000:]).mean() >= 0.95
+
+
+def test_scores_equal_a_sum_over_pairs():
+    rng = np.random.default_rng(3)
+    m = T.Model(-0.5, rng.normal(0, 0.3, T.BUCKETS), rng.normal(0, 0.3, (T.BUCKETS, T.FACTORS)))
+    docs = [T.terms(" ".join(f"word{k}" for k in rng.integers(0, 99, n))) for n in (0, 1, 2, 9, 30)] + [T.terms("")]
+    for d, got in zip(docs, m.logits(docs), strict=True):
+        want = m.bias + sum(m.weights[i] for i in d) + sum(float(m.factors[i] @ m.factors[j]) for k, i in enumerate(d) for j in d[:k])
+        assert abs(got - want) < 1e-9
+
+
+def test_of_repeated_ids_the_same_text_is_learnt_from(spark):
+    docs, labels = toxic_tables(spark)
+    twice = docs.unionByName(docs.where("doc_id % 5 = 0").withColumn("text", F.concat("text", F.lit(" again"))))
+    a, b = (T.train(twice.repartition(n).orderBy(F.rand(n)), labels) for n in (2, 5))
+    assert a.bias == b.bias and (a.weights == b.weights).all()
 
 
 def toxic_tables(spark):
