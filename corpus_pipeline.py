@@ -13,15 +13,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from creditlake.llm import op03_lines, op04_suffixes, op05_toxicity, op08_jaccard, op10_packing
-from creditlake.llm.common import read, shared_dir, text_of
+from creditlake.llm.common import read, shared_dir
 from creditlake.llm.op02_bpe import tokenizer_path
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose score is below the threshold."""
-    model = op05_toxicity.train(docs, read(spark, sf_dir, "labels"))
-    kept = op05_toxicity.score(docs.withColumn("_text", text_of(docs)), model, text="_text", into=("_score", "_toxic"))
-    return kept.where(F.col("_toxic") == 0).select(*docs.columns)
+    return op05_toxicity.drop_toxic(docs, op05_toxicity.train(docs, read(spark, sf_dir, "labels")))
 
 
 def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
