@@ -6,7 +6,9 @@ import tempfile
 import uuid
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -19,9 +21,11 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share, as a URI; a temporary one only where the session names none."""
+    """The folder that driver and executors share, as a URI; a temporary one only where the session names none and all run on one machine."""
     named = spark.conf.get("spark.checkpoint.dir", None)
     if not named:
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         named = f"file://{tempfile.mkdtemp(prefix='spark-')}"
         spark.conf.set("spark.checkpoint.dir", named)
     return named.rstrip("/")
@@ -58,6 +62,58 @@ def map_batches(df: DataFrame, fn: Callable[[Iterator[pa.RecordBatch]], Iterator
     return df.mapInArrow(run, schema)
 
 
-def small_batches(spark: SparkSession) -> None:
-    """Bounds what the JVM puts in one Arrow batch (rows of whole texts)."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+def small_batches(spark: SparkSession, rows: int = BATCH_ROWS) -> None:
+    """Bounds what the JVM puts in one Arrow batch (rows of whole texts).
+
+    Spark reads this setting when a plan runs, which is after an operator has returned, so it stays; it is never raised.
+    """
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(name)) <= rows:
+        spark.conf.set(name, str(rows))
+
+
+def packed(text: Column) -> Column:
+    """A text as Zstandard, about a third of its size in an exchange; null stays null."""
+
+    @F.pandas_udf("binary")
+    def pack(texts):
+        packer = zstandard.ZstdCompressor(level=1)
+        return texts.map(lambda t: packer.compress(t.encode()), na_action="ignore")
+
+    return pack(text)
+
+
+def beside(df: DataFrame, **columns: Column) -> DataFrame:
+    """All columns of df as ``row``, and these, so that none can clash; ``select("row.*")`` brings them back."""
+    return df.select(F.struct(*(df[c] for c in df.columns)).alias("row"), *(c.alias(k) for k, c in columns.items()))
+
+
+class Ranges:
+    """Boundaries by which rows of a Python stage are dealt in order of (first, second), taken from a bounded sample.
+
+    Spark's own range partitioner would run that stage twice, once for its sample. The sample affects the balance only. A first
+    value that many rows share is spread by the second.
+    """
+
+    def __init__(self, firsts: np.ndarray, seconds: np.ndarray, parts: int):
+        order = np.lexsort((seconds, firsts))
+        at = order[np.arange(1, parts) * len(order) // parts] if len(order) else order
+        self.firsts, self.seconds = firsts[at], seconds[at]
+
+    def part(self, firsts: np.ndarray, seconds: np.ndarray) -> np.ndarray:
+        """How many boundaries are no greater than each row."""
+        out, high = np.searchsorted(self.firsts, firsts, "left"), np.searchsorted(self.firsts, firsts, "right")
+        for low in np.unique(out[out < high]).tolist():
+            rows = np.flatnonzero((out == low) & (out < high))
+            out[rows] += np.searchsorted(self.seconds[low : high[rows[0]]], seconds[rows], "right")
+        return out.astype(np.int32)
+
+
+def sampled(df: DataFrame, rows: int = 2000) -> DataFrame:
+    """About so many rows of df."""
+    n = df.count()
+    return df.sample(min(1.0, rows / n), seed=1) if n else df
+
+
+def ints(column: pa.Array, null: int = -(1 << 63)) -> np.ndarray:
+    return column.fill_null(null).to_numpy(zero_copy_only=False).astype(np.int64)

@@ -1,7 +1,7 @@
 """Suffix-array dedup: bytes covered by a string of 200 bytes that starts anywhere else are removed.
 
 1. ``repeated_anchors``: every window of 200 bytes owns an anchor (see ``windows``); a window can only repeat if the q-gram at its
-   anchor does. Anchor hashes are range-partitioned and sorted, and runs of one are left out. A task keeps the runs at its ends,
+   anchor does. Anchor hashes are dealt in order (``Ranges``) and sorted, and runs of one are left out. A task keeps the runs at its ends,
    since they may go on in a neighbour, so a frequent q-gram may be spread over tasks. Places whose q-gram fills HOT rows of a
    task are marked; that list, of one in HOT rows at most, is broadcast.
 2. ``sorted_runs``: each task sorts the suffixes at the remaining anchors of its documents, with the bytes before them as far as
@@ -17,7 +17,7 @@
    ``met`` does it for the windows that came by their hash.
 
 What comes back to the documents is spans. Nothing else of a text is exchanged but what stands around repeated q-grams, and the
-texts once to meet their anchors and spans.
+texts, compressed, to meet their anchors and then their spans.
 
 Memory: a task of step 2 holds the suffixes of its own documents, step 3 one bucket; of a q-gram that isn't marked it holds less
 than HOT surroundings (400 bytes at most each) for each task of step 1 that the q-gram is spread over, which are two unless tasks
@@ -36,10 +36,11 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
+import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from creditlake.llm.common import map_batches, only, partitions, read, small_batches, text_of
+from creditlake.llm.common import Ranges, ints, map_batches, only, packed, partitions, read, sampled, small_batches, text_of
 from creditlake.llm.windows import GRAM, WINDOW, anchors
 
 #: Buckets a partition of the exchange holds; each is merged by itself, which bounds what a task holds.
@@ -241,17 +242,22 @@ def met(rows: Iterator[tuple[bytes, tuple | None]]) -> Iterator[tuple[object, in
         waits[key] = None
 
 
-def _anchor_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for b in batches:
-        rows, grams, places = [], [], []
-        for i, text in enumerate(b.column("text").to_pylist()):
-            for a in anchors(text.encode()):
-                rows.append(np.full(len(a.at), i, np.int32))
-                grams.append(a.gram.view(np.int64))
-                places.append(a.at)
-        if rows:
-            at = pa.array(np.concatenate(rows))
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(grams)), b.column("doc_id").take(at), b.column("digest").take(at), pa.array(np.concatenate(places).astype(np.int64))], ["gram", "doc_id", "digest", "place"])
+def _anchor_rows(ranges: Ranges | None):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            rows, grams, places = [], [], []
+            for i, text in enumerate(b.column("text").to_pylist()):
+                for a in anchors(text.encode()):
+                    rows.append(np.full(len(a.at), i, np.int32))
+                    grams.append(a.gram.view(np.int64))
+                    places.append(a.at)
+            if rows:
+                at, gram = pa.array(np.concatenate(rows)), np.concatenate(grams)
+                doc = b.column("doc_id").take(at)
+                part = np.zeros(len(gram), np.int32) if ranges is None else ranges.part(gram, ints(doc))
+                yield pa.RecordBatch.from_arrays([pa.array(gram), doc, b.column("digest").take(at), pa.array(np.concatenate(places).astype(np.int64)), pa.array(part)], ["gram", "doc_id", "digest", "place", "part"])
+
+    return run
 
 
 def _repeated(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -298,8 +304,10 @@ def _frequent(least: int):
 
 def repeated_anchors(texts: DataFrame) -> DataFrame:
     """doc_id, digest, places: anchors of each document whose q-gram may occur elsewhere; -1 - place if it is frequent."""
-    rows = map_batches(texts, _anchor_rows, "gram long, doc_id long, digest long, place long")
-    sorted_ = rows.repartitionByRange(partitions(rows), "gram", "doc_id", "place").sortWithinPartitions("gram")
+    row, n = "gram long, doc_id long, digest long, place long, part int", partitions(texts)
+    known = map_batches(sampled(texts), _anchor_rows(None), row).select("gram", F.coalesce("doc_id", F.lit(-(1 << 63))).alias("doc_id")).limit(200_000).toPandas()  # bounded; affects the balance only
+    ranges = Ranges(known["gram"].to_numpy(np.int64), known["doc_id"].to_numpy(np.int64), n)
+    sorted_ = map_batches(texts, _anchor_rows(ranges), row).repartitionById(n, F.col("part")).drop("part").sortWithinPartitions("gram")
     found = sorted_.mapInArrow(_repeated, "gram long, doc_id long, digest long, place long")
     hot = sorted_.mapInArrow(_frequent(HOT), "hot long").distinct()
     marked = found.join(F.broadcast(hot), found["gram"] == hot["hot"], "left").withColumn("place", F.when(F.col("hot").isNull(), F.col("place")).otherwise(-1 - F.col("place")))
@@ -377,8 +385,8 @@ def _runs(buckets: int):
 
         entries: dict[tuple[int, bytes, bytes], list[tuple]] = {}
         for b in batches:
-            for doc, digest, text, places in zip(*(b.column(c).to_pylist() for c in ("doc_id", "digest", "text", "places")), strict=True):
-                data, wanted = text.encode(), np.array(places)
+            for doc, digest, packed_, places in zip(*(b.column(c).to_pylist() for c in ("doc_id", "digest", "packed", "places")), strict=True):
+                data, wanted = unpacked(packed_), np.array(places)
                 marked = -1 - wanted[wanted < 0]
                 wanted = np.append(wanted[wanted >= 0], marked)
                 for a in anchors(data):
@@ -429,12 +437,20 @@ def _spans(rows: list[tuple]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], pa.int64()) for k in range(4)], ["doc_id", "digest", "start", "end"])
 
 
+def unpacked(data: bytes) -> bytes:
+    return zstandard.ZstdDecompressor().decompress(data)
+
+
 def _texts(documents: DataFrame) -> DataFrame:
     small_batches(documents.sparkSession)
     text = text_of(documents)
     return only(documents, doc_id=documents["doc_id"].cast("long"), digest=F.xxhash64(text), text=text)
 
 
+def _packed(texts: DataFrame) -> DataFrame:
+    return texts.select("doc_id", "digest", packed(F.col("text")).alias("packed"))
+
+
 def _meet(left: DataFrame, right: DataFrame, how: str) -> DataFrame:
     """Joined by document, null ids included."""
     r = right.withColumnsRenamed({"doc_id": "_doc", "digest": "_digest"}).hint("merge")
@@ -443,7 +459,7 @@ def _meet(left: DataFrame, right: DataFrame, how: str) -> DataFrame:
 
 def sorted_runs(texts: DataFrame, buckets: int) -> DataFrame:
     """Rows of _RUN: entries, windows of frequent q-grams and spans that are known already."""
-    return map_batches(_meet(texts, repeated_anchors(texts), "inner"), _runs(buckets), _RUN_DDL)
+    return map_batches(_meet(_packed(texts), repeated_anchors(texts), "inner"), _runs(buckets), _RUN_DDL)
 
 
 def repeated_spans(documents: DataFrame) -> DataFrame:
@@ -482,13 +498,15 @@ def remove_repeats(documents: DataFrame) -> DataFrame:
     """documents, all columns, with what is left as text; a character that was cut through is left out."""
 
     @F.pandas_udf("string")
-    def kept(text, spans):
-        return text.combine(spans, lambda t, s: t if s is None else without((t or "").encode(), united(s)).decode("utf-8", "ignore"))
+    def kept(texts, spans):
+        return texts.combine(spans, lambda p, s: None if p is None else (unpacked(p) if s is None else without(unpacked(p), united(s))).decode("utf-8", "ignore"))
 
-    spans = repeated_spans(documents).select(F.col("doc_id").alias("_doc"), F.col("digest").alias("_digest"), F.col("spans").alias("_spans")).hint("merge")
-    both = documents.join(spans, documents["doc_id"].cast("long").eqNullSafe(spans["_doc"]) & (F.xxhash64(text_of(documents)) == spans["_digest"]), "left")
-    text = F.when(both["_spans"].isNull(), documents["text"]).otherwise(kept(documents["text"], both["_spans"]))
-    return both.select(*((text if c == "text" else documents[c]).alias(c) for c in documents.columns))
+    small_batches(documents.sparkSession)
+    spans = repeated_spans(documents)
+    others = [c for c in documents.columns if c != "text"]
+    rows = documents.select(F.struct(*(documents[c] for c in others)).alias("row"), documents["doc_id"].cast("long").alias("doc_id"), F.xxhash64(text_of(documents)).alias("digest"), packed(documents["text"].cast("string")).alias("packed"))
+    both = _meet(rows, spans, "left").select("row", kept(F.col("packed"), F.col("spans")).alias("text"))
+    return both.select(*((F.col("text") if c == "text" else F.col("row")[c]).alias(c) for c in documents.columns))
 
 
 def repeat_digests(documents: DataFrame) -> DataFrame:
@@ -497,14 +515,14 @@ def repeat_digests(documents: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             made = []
-            for text, spans in zip(b.column("text").to_pylist(), b.column("spans").to_pylist(), strict=True):
-                data, runs = text.encode(), united(spans)
+            for packed_, spans in zip(b.column("packed").to_pylist(), b.column("spans").to_pylist(), strict=True):
+                data, runs = unpacked(packed_), united(spans)
                 kept = without(data, runs)
                 made.append((len(data), len(data) - len(kept), len(runs), hashlib.sha256(kept).hexdigest()))
             if made:
                 yield pa.RecordBatch.from_arrays([b.column("doc_id"), *(pa.array(c, t) for c, t in zip(zip(*made, strict=True), (pa.int64(), pa.int64(), pa.int64(), pa.string()), strict=True))], ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"])
 
-    return map_batches(_meet(_texts(documents), repeated_spans(documents), "left"), run, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
+    return map_batches(_meet(_packed(_texts(documents)), repeated_spans(documents), "left"), run, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
 
 
 def op4_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
