@@ -10,15 +10,15 @@ single shingles, those with two or more also index what is left by one deletion.
 Signatures of segments are exchanged in packed form, by hash; a task reads a bucket and sees which sets share a signature.
 
 * Groups of up to GROUP sets give stars: links between their smallest set and the others. Links are verified exactly on the texts.
-* Larger groups come from frequent passages or large families. There, cost decides what a set probes: it may leave out frequent
-  segments as long as more than τ others remain (``_asks``); most sets leave out all. For those that can't, each group has a hub h,
-  the set whose segments are the most common ones, and members x are compared with h once: D(x) = x △ h. As |a △ b| = |D(a) △ D(b)|,
+* Larger groups come from frequent passages or large families. There, cost decides what a set probes: it leaves out the frequent
+  segments if more than τ others remain (``_needs``), as most sets can. For those that can't, each group has a hub h, the set whose
+  segments are the most common ones, and members x are compared with h once: D(x) = x △ h. As |a △ b| = |D(a) △ D(b)|,
   two sets that aren't both linked to h are similar only if D(a) and D(b) share (7|D(a)| + 7|D(b)| - |a| - |b|) / 14 shingles or
   more, which is above 0. So they share one among the first of each, in any order that both follow (``_differences``); shingles that
   h lacks come first, as they are rare. That join on shingles takes the place of pairing a group's members.
 * What the verified links connect is one component; groups that lie in more than one then give the pairs between components. A
   similar pair shares all of the smaller set's non-empty segments but τ, so pairs that share fewer, with those it has in larger
-  groups counted in their favour, can't be similar; the others are verified exactly. This step misses nothing, so the stars before
+  groups and doesn't probe counted in their favour, can't be similar; the others are verified exactly. This step misses nothing, so the stars before
   it only save work.
 
 Equal sets are one node throughout, named by 64 bits of a digest. Defined cases: null, empty or blank text has an empty set
@@ -40,7 +40,6 @@ import pyarrow as pa
 import zstandard
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from creditlake.llm.common import map_batches, only, partitions, read, small_batches, staged, text_of
 from creditlake.llm.components import connected
@@ -329,8 +328,8 @@ def similarity_components(documents: DataFrame) -> DataFrame:
         more = staged(signed.repartition(n, "bucket").sortWithinPartitions("bucket").mapInArrow(_groups, _FOUND_DDL), "groups")
         found = more if found is None else found.unionByName(more)
     small = staged(found.where("members is not null").groupBy("members").agg(F.sum("seen").alias("seen")), "small")
-    hubs = staged(found.where("hub is not null").groupBy("hub", "set").agg(F.max("size").alias("size"), F.sum("seen").alias("seen")), "hubs")
-    needs = _needs(hubs, members)
+    hubs = _hubs(found.where("hub is not null").groupBy("hub", "set").agg(F.sum("seen").alias("seen")))
+    needs = staged(_needs(hubs, members), "needs")
     asked = staged(_asked(hubs, needs), "asked")
     stars = _stars(small)
     wanted = small.select(F.explode("members.id").alias("set")).unionByName(asked.select("set")).unionByName(asked.select(F.col("hub").alias("set"))).distinct()
@@ -352,24 +351,33 @@ def _stars(small: DataFrame) -> DataFrame:
     return pairs.where(F.col("seen") >= F.greatest(F.lit(2), F.col("size_a") / 32)).select("a", "b")
 
 
+def _hubs(hubs: DataFrame) -> DataFrame:
+    """hub, set, seen, with the groups of each hub moved to the hub that it is itself a member of with the most others.
+
+    A hub need not be in a group, as long as the group's members are all compared with the same one; so a family has one hub.
+    """
+    hubs = staged(hubs, "hubs")
+    crowd = hubs.groupBy("hub").agg(F.count(F.lit(1)).alias("crowd"))
+    heads = hubs.join(crowd.select(F.col("hub").alias("set")), "set", "left_semi").select("hub", "set")
+    moved = heads.join(crowd, "hub").groupBy(F.col("set").alias("hub")).agg(F.max_by("hub", F.struct("crowd", "hub")).alias("to"))
+    return staged(hubs.join(moved, "hub", "left").groupBy(F.coalesce("to", "hub").alias("hub"), "set").agg(F.sum("seen").alias("seen")), "hubs")
+
+
 def _needs(hubs: DataFrame, members: DataFrame) -> DataFrame:
-    """a, n (its size), filled (its segments), large (those in larger groups), least (signatures that a similar, larger set shares with it, at least)."""
+    """a, n (its size), filled (its segments), asks (it has to probe larger groups), spare (its segments in larger groups that it doesn't probe).
+
+    A larger set that is similar to a has at least ``filled`` less τ of its segments; only if so many are in larger groups can all
+    that they share be there.
+    """
     counts = hubs.groupBy(F.col("set").alias("a")).agg(F.sum("seen").alias("large"))
     sets = members.where("set is not null").groupBy(F.col("set").alias("a")).agg(F.max("filled").alias("filled"), F.max("n_shingles").alias("n"))
-    least = F.col("filled") - F.floor((F.col("n") + F.floor(DOWN * F.col("n") / UP)) / 7)
-    return sets.join(counts, "a", "left").select("a", "n", "filled", F.coalesce("large", F.lit(0)).alias("large"), least.alias("least"))
+    asks = F.coalesce("large", F.lit(0)) >= F.col("filled") - F.floor((F.col("n") + F.floor(DOWN * F.col("n") / UP)) / 7)
+    return sets.join(counts, "a", "left").select("a", "n", "filled", asks.alias("asks"), F.when(asks, 0).otherwise(F.coalesce("large", F.lit(0))).alias("spare"))
 
 
 def _asked(hubs: DataFrame, needs: DataFrame) -> DataFrame:
-    """hub, set, asks: all members of the hubs that some set has to probe, and whether this one has to.
-
-    A set may leave out least - 1 of its segments, as a similar set shares one more; it leaves out those of the hubs with the most
-    members. Only if it has least of them in larger groups is anything left to probe there.
-    """
-    crowd = hubs.groupBy("hub").agg(F.count(F.lit(1)).alias("crowd"))
-    mine = hubs.where("seen > 0").join(needs.where("large >= least").select(F.col("a").alias("set"), "least"), "set").join(crowd, "hub")
-    upto = F.sum("seen").over(Window.partitionBy("set").orderBy(F.desc("crowd"), "hub").rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    asks = mine.withColumn("upto", upto).where(F.col("upto") >= F.col("least")).select("hub", "set", F.lit(True).alias("asks"))
+    """hub, set, asks: all members of the hubs that some set has to probe, and whether this one has to."""
+    asks = hubs.where("seen > 0").join(needs.where("asks").select(F.col("a").alias("set")), "set", "left_semi").select("hub", "set", F.lit(True).alias("asks"))
     all_ = hubs.select("hub", "set").join(asks.select("hub").distinct(), "hub", "left_semi")
     return all_.join(asks, ["hub", "set"], "left").select("hub", "set", F.coalesce("asks", F.lit(False)).alias("asks"))
 
@@ -378,11 +386,23 @@ def _differences(differ: DataFrame, roots: DataFrame) -> DataFrame:
     """a, b: sets of one hub, in different components, whose differences from it share one of their first shingles.
 
     Two linked sets are in one component. Two that aren't have to share one of the first ``near``; one that is, with any of the other's.
+    Of such pairs those stay that can share enough: what both lists hold, and what the longer rest that isn't listed could add.
     """
-    each = differ.join(roots.select(F.col("node").alias("set"), "root"), "set", "left").withColumn("root", F.coalesce("root", "set"))
-    each = each.select("hub", "set", "size", "asks", "linked", "d", "near", "root", F.posexplode("tokens").alias("at", "token"))
-    live = each.groupBy("hub", "token").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.bool_or("asks").alias("any")).where("lo <> hi and any").select("hub", "token")
-    each = staged(each.join(live.hint("merge"), ["hub", "token"]), "shared")
+    # |D(b)| is at most |D(a)| + (|a| + |b|) / 7; what is farther from the hub than any set that asks allows is left out.
+    reach = differ.where("asks").groupBy("hub").agg(F.max(7 * F.col("d") + F.col("size")).alias("reach"))
+    differ = differ.join(reach, "hub").where(7 * F.col("d") - F.col("size") <= F.col("reach")).drop("reach")
+    rooted = differ.join(roots.select(F.col("node").alias("set"), "root"), "set", "left").withColumn("root", F.coalesce("root", "set"))
+    each = staged(rooted, "rooted").select("hub", "set", "size", "asks", "linked", "d", "near", "root", F.posexplode("tokens").alias("at", "token"))
+    apart = each.where(~F.col("linked"))
+    near = apart.where(F.col("at") < F.col("near"))
+
+    # First by components, of which a hot shingle has fewer: with this the pair (a, b) fits if lead(a) + far(b) and lead(b) + far(a) are 0 at most.
+    lead, far = 14 * F.col("at") - 7 * F.col("d") - F.col("size"), 7 * F.col("d") - F.col("size")
+    whole = near.groupBy("hub", "token", "root").agg(F.min(lead).alias("lead"), F.min(far).alias("far"), F.bool_or("asks").alias("asks"))
+    x, y = (whole.select("hub", "token", *(F.col(c).alias(f"{c}_{m}") for c in ("root", "lead", "far", "asks"))) for m in "ab")
+    apt = (F.col("root_a") < F.col("root_b")) & (F.col("asks_a") | F.col("asks_b")) & (F.col("lead_a") + F.col("far_b") <= 0) & (F.col("lead_b") + F.col("far_a") <= 0)
+    live = x.join(y, ["hub", "token"]).where(apt).select("hub", "token", F.explode(F.array("root_a", "root_b")).alias("root")).distinct()
+    near = staged(near.join(live.hint("merge"), ["hub", "token", "root"], "left_semi"), "shared")
 
     def side(rows: DataFrame, mark: str) -> DataFrame:
         return rows.select("hub", "token", *(F.col(c).alias(f"{c}_{mark}") for c in ("set", "size", "asks", "linked", "d", "root", "at")))
@@ -391,11 +411,15 @@ def _differences(differ: DataFrame, roots: DataFrame) -> DataFrame:
     fits = (F.col("root_a") != F.col("root_b")) & (UP * F.greatest("size_a", "size_b") <= DOWN * F.least("size_a", "size_b"))
     fits &= ((F.col("size_a") <= F.col("size_b")) & F.col("asks_a")) | ((F.col("size_b") <= F.col("size_a")) & F.col("asks_b"))
     fits &= (F.col("at_a") + t <= F.col("d_a")) & (F.col("at_b") + t <= F.col("d_b"))
-    apart = each.where(~F.col("linked"))
-    close = apart.where(F.col("at") < F.col("near"))
-    both = side(close, "a").join(side(close, "b"), ["hub", "token"]).where((F.col("set_a") < F.col("set_b")) & fits)
+    both = side(near, "a").join(side(near, "b"), ["hub", "token"]).where((F.col("set_a") < F.col("set_b")) & fits)
     one = side(each.where("linked"), "a").join(side(apart, "b"), ["hub", "token"]).where(fits)
-    return both.unionByName(one).select(F.col("set_a").alias("a"), F.col("set_b").alias("b")).distinct()
+    met = both.unionByName(one).select("hub", "set_a", "set_b").distinct()
+    for mark in "ab":
+        listed = differ.select("hub", *(F.col(c).alias(f"{c}_{mark}") for c in ("set", "size", "d", "tokens")))
+        met = met.join(listed.hint("merge"), ["hub", f"set_{mark}"])
+    rest = F.greatest(F.lit(0), F.col("d_a") - F.size("tokens_a"), F.col("d_b") - F.size("tokens_b"))
+    enough = met.where(F.size(F.array_intersect("tokens_a", "tokens_b")) + rest >= t)
+    return enough.select(F.col("set_a").alias("a"), F.col("set_b").alias("b")).distinct()
 
 
 #: Members are sorted by size; the smaller of a pair has to be in its own band.
@@ -411,7 +435,7 @@ def _between(small: DataFrame, roots: DataFrame, needs: DataFrame) -> DataFrame:
     split = each.groupBy("group", "seen").agg(F.min("x.root").alias("lo"), F.max("x.root").alias("hi"), F.array_sort(F.collect_list("x")).alias("xs")).where("lo <> hi")
     pairs = split.select("seen", F.explode(F.expr(_PAIRS)).alias("p")).select(F.col("p.r.a").alias("a"), F.col("p.s.a").alias("b"), F.col("p.s.size").alias("size_b"), "seen")
     shared = pairs.groupBy("a", "b").agg(F.max("size_b").alias("size_b"), F.sum("seen").alias("seen")).join(needs, "a")
-    return shared.where(F.col("seen") + F.col("large") >= F.col("filled") - F.floor((F.col("n") + F.col("size_b")) / 7)).select("a", "b")
+    return shared.where(F.col("seen") + F.col("spare") >= F.col("filled") - F.floor((F.col("n") + F.col("size_b")) / 7)).select("a", "b")
 
 
 def _first_of(columns: list[str]) -> Column:
