@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from creditlake import dims
-from creditlake.functions.names import bind, none_if_empty, strip
+from creditlake.functions.names import none_if_empty, strip
 from creditlake.functions.numbers import (
     amount_bse, amount_care, amount_crisil, amount_digits, amount_pdf, apply_unit, confidence_care, confidence_generic, detect_unit,
     fiscal_year_care, map_label_care, map_label_page, split_sentences, truthy, year_columns, year_from_header, year_header_crisil,
@@ -153,10 +153,9 @@ def extract_capex_plans(pages: DataFrame) -> DataFrame:
     return out.where("amount_cr is not null")
 
 
-def _first_of(rec: Column, names: list[str]) -> Column:
-    """The first spelling whose value isn't one of the words for nothing."""
-    values = F.transform(F.array(*map(F.lit, names)), lambda n: rec[n])
-    return F.try_element_at(F.filter(values, lambda v: ~strip(v).isin("", "null", "NULL", "N.A.", "NA", "-")), F.lit(1))
+def _filled(rec: Column) -> Column:
+    """A record without the values that are words for nothing."""
+    return F.map_filter(rec, lambda _, v: ~strip(v).isin("", "null", "NULL", "N.A.", "NA", "-"))
 
 
 def detect_unit_record(rec: Column) -> Column:
@@ -165,9 +164,9 @@ def detect_unit_record(rec: Column) -> Column:
     def of(v: Column) -> Column:
         return F.when(v.contains("cr"), 1.0).when(v.contains("lakh") | v.contains("lac"), 0.01).when(v.contains("million"), 0.1)
 
-    said = F.array_compact(F.transform(F.array(*map(F.lit, dims.UNIT_FIELDS)), lambda n: of(F.lower(rec[n]))))
-    revenue = F.array_compact(F.transform(F.array(*map(F.lit, dims.UNIT_REVENUE_FIELDS)), lambda n: amount_bse(rec[n])))
-    return F.coalesce(F.try_element_at(said, F.lit(1)), F.when(F.try_element_at(revenue, F.lit(1)) > 100_000, 0.01).when(F.size(revenue) > 0, 1.0), F.lit(0.01))
+    said = F.coalesce(*(of(F.lower(rec[n])) for n in dims.UNIT_FIELDS))
+    revenue = F.coalesce(*(amount_bse(rec[n]) for n in dims.UNIT_REVENUE_FIELDS))
+    return F.coalesce(said, F.when(revenue > 100_000, 0.01).when(revenue.isNotNull(), 1.0), F.lit(0.01))
 
 
 def top_n_years(df: DataFrame, key: str, n: int = 2) -> DataFrame:
@@ -181,15 +180,15 @@ def annual_results(records: DataFrame) -> DataFrame:
 
     records: scrip_cd, seq, rec (map of text).
     """
-    rec = F.col("rec")
-    field = {k: _first_of(rec, v) for k, v in dims.RESULT_FIELDS.items()}
-    kind, end = F.upper(F.coalesce(field["period"], F.lit(""))), F.coalesce(field["end"], F.lit(""))
-    months = F.when(field["months"].rlike("^[0-9]+$"), field["months"].cast("int")).otherwise(0)
+    # The generator keeps the optimizer from working the record out again for each of its fields.
+    filled = records.select("scrip_cd", "seq", detect_unit_record(F.col("rec")).alias("unit"), F.explode(F.array(_filled(F.col("rec")))).alias("rec"))
+    texts = filled.select("scrip_cd", "seq", "unit", *(F.coalesce(*(F.col("rec")[n] for n in v)).alias(k) for k, v in dims.RESULT_FIELDS.items()))
+    kind, end = F.upper(F.coalesce("period", F.lit(""))), F.coalesce("end", F.lit(""))
+    months = F.when(F.col("months").rlike("^[0-9]+$"), F.col("months").cast("int")).otherwise(0)
     annual = kind.isin("A", "ANNUAL", "YEARLY") | (months == 12) | (end.rlike(r"(?i)(Mar|March)\s*\d{4}") & (months >= 9)) | (kind == "")
     names = [k for k in dims.RESULT_FIELDS if k not in ("period", "end", "months")]
-    amounts = bind(detect_unit_record(rec), lambda unit: F.transform(F.array(*(field[k] for k in names)), lambda v: amount_bse(v) * unit))
-    r = records.where(annual).select("scrip_cd", "seq", none_if_empty(F.regexp_extract(end, r"(\d{4})", 1)).cast("int").alias("fiscal_year"), amounts.alias("amounts"))
-    r = r.select("scrip_cd", "seq", "fiscal_year", *(F.get("amounts", i).alias(k) for i, k in enumerate(names)))
+    year = none_if_empty(F.regexp_extract(end, r"(\d{4})", 1)).cast("int")
+    r = texts.where(annual).select("scrip_cd", "seq", year.alias("fiscal_year"), *((amount_bse(F.col(k)) * F.col("unit")).alias(k) for k in names))
     ebitda = F.coalesce(F.col("operating_profit"), F.col("pbt") + F.col("depreciation") + F.col("finance_cost"), F.col("pbt") + F.col("depreciation"))
     r = r.withColumns({"ebitda": ebitda, "net_debt": F.col("total_debt") - F.col("cash")})
     r = r.select(
@@ -279,12 +278,14 @@ def extract_industry(pages: DataFrame) -> DataFrame:
 def parse_kfi(cells: DataFrame, lender: bool = False) -> DataFrame:
     """doc_id, fiscal_year and figures of key-indicator tables in web pages.
 
-    cells: doc_id, table_no, row_no, cells. Year columns are looked for from the third on in the first two rows, the later row wins;
-    for each year and field the first value counts.
+    cells: doc_id, table_no, row_no, cells. Year columns are looked for from the third on in the first two rows, a year's first place
+    counts and a column's later row; for each year and field the first value counts.
     """
     head = cells.where("row_no < 2").select("doc_id", "table_no", "row_no", F.posexplode("cells").alias("col", "cell")).where("col >= 2")
-    years = head.withColumn("fiscal_year", year_header_crisil(F.coalesce("cell", F.lit("")))).where("fiscal_year is not null").groupBy("doc_id", "table_no", "col").agg(F.max_by("fiscal_year", "row_no").alias("fiscal_year"))
-    rows = cells.select("doc_id", "table_no", "row_no", map_label_page(F.col("cells")[0], lender).alias("field"), F.posexplode("cells").alias("col", "cell")).where("field is not null")
+    years = head.withColumn("fiscal_year", year_header_crisil(F.coalesce("cell", F.lit("")))).where("fiscal_year is not null")
+    years = years.groupBy("doc_id", "table_no", "fiscal_year").agg(F.min(F.struct("row_no", "col")).alias("at"))
+    years = years.groupBy("doc_id", "table_no", F.col("at.col").alias("col")).agg(F.max_by("fiscal_year", "at.row_no").alias("fiscal_year"))
+    rows = cells.where("row_no > 0 and size(cells) > 2").select("doc_id", "table_no", "row_no", map_label_page(F.col("cells")[0], lender).alias("field"), F.posexplode("cells").alias("col", "cell")).where("field is not null")
     vals = rows.join(years, ["doc_id", "table_no", "col"]).withColumn("value", amount_crisil(F.coalesce("cell", F.lit("")))).where("value is not null")
     fields = sorted({f for _, f in (dims.LENDER_LABELS if lender else dims.PAGE_LABELS)} & {*FIELDS, "ebitda_margin_pct"})
     return vals.groupBy("doc_id", "fiscal_year").agg(*(F.min_by("value", F.when(F.col("field") == f, F.struct("table_no", "row_no", "col"))).alias(f) for f in fields))

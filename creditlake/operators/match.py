@@ -13,37 +13,43 @@ def _without(df: DataFrame, table: DataFrame) -> DataFrame:
     return df.join(table.select("company_id"), "company_id", "left_anti")
 
 
-def pdf_candidates(companies: DataFrame, ratings: DataFrame, financials: DataFrame, min_grade: int = 5) -> DataFrame:
+def _queue(df: DataFrame, order: list[str], limit: int | None) -> DataFrame:
+    """A job's rows in order, all or the first so many."""
+    out = df.orderBy(*order)
+    return out if limit is None else out.limit(limit)
+
+
+def pdf_candidates(companies: DataFrame, ratings: DataFrame, financials: DataFrame, min_grade: int = 5, limit: int | None = None) -> DataFrame:
     """Unlisted companies with an ICRA rating of at most this grade and a source_id, and no financials."""
     r = ratings.where((F.col("agency") == "ICRA") & (F.col("rating_grade") <= min_grade) & none_if_empty(F.col("source_id")).isNotNull()).select("company_id", "source_id", "rating_grade")
     c = companies.where(F.coalesce("is_listed", F.lit(0)) == 0).select(F.col("id").alias("company_id"), "name")
-    return _without(c.join(r, "company_id"), financials).distinct().orderBy("rating_grade", "name", "source_id")
+    return _queue(_without(c.join(r, "company_id"), financials).distinct(), ["rating_grade", "name", "source_id"], limit)
 
 
-def html_candidates(companies: DataFrame, ratings: DataFrame, financials: DataFrame) -> DataFrame:
+def html_candidates(companies: DataFrame, ratings: DataFrame, financials: DataFrame, limit: int | None = None) -> DataFrame:
     """CRISIL-rated companies without financials: others first, then infrastructure, then the financial sector."""
     turn = F.when(F.col("sector") == "Financial Sector", 3).when(F.col("sector") == "Infrastructure", 2).otherwise(1)
     r = ratings.where(F.col("agency") == "CRISIL").select("company_id", "rating_grade", turn.alias("turn"))
     c = companies.select(F.col("id").alias("company_id"), "name")
-    return _without(c.join(r, "company_id"), financials).distinct().orderBy("turn", "rating_grade", "name")
+    return _queue(_without(c.join(r, "company_id"), financials).distinct(), ["turn", "rating_grade", "name"], limit)
 
 
-def unrated_candidates(companies: DataFrame, ratings: DataFrame, financials: DataFrame, agency: str) -> DataFrame:
+def unrated_candidates(companies: DataFrame, ratings: DataFrame, financials: DataFrame, agency: str, limit: int | None = None) -> DataFrame:
     """Companies with neither a rating by the agency nor financials."""
     c = companies.select(F.col("id").alias("company_id"), "name")
-    return _without(_without(c, ratings.where(F.col("agency") == agency)), financials)
+    return _queue(_without(_without(c, ratings.where(F.col("agency") == agency)), financials), ["company_id"], limit)
 
 
-def rated_without_financials(companies: DataFrame, ratings: DataFrame, financials: DataFrame, agency: str) -> DataFrame:
+def rated_without_financials(companies: DataFrame, ratings: DataFrame, financials: DataFrame, agency: str, limit: int | None = None) -> DataFrame:
     """Rated companies with a link and without financials, one row for each link."""
     r = ratings.where((F.col("agency") == agency) & none_if_empty(F.col("rationale_url")).isNotNull()).select("company_id", "rationale_url")
-    return _without(companies.select(F.col("id").alias("company_id"), "name").join(r, "company_id"), financials).distinct()
+    return _queue(_without(companies.select(F.col("id").alias("company_id"), "name").join(r, "company_id"), financials).distinct(), ["company_id", "rationale_url"], limit)
 
 
-def missing_companies(universe: DataFrame, ratings: DataFrame) -> DataFrame:
+def missing_companies(universe: DataFrame, ratings: DataFrame, limit: int | None = None) -> DataFrame:
     """Ids of a universe that no stored link names, in numeric order."""
     known = ratings.select(F.regexp_extract("rationale_url", r"CompanyId=(\d+)", 1).alias("id")).where("id <> ''").distinct()
-    return universe.join(known, "id", "left_anti").orderBy(F.col("id").try_cast("long"))
+    return _queue(universe.join(known, "id", "left_anti"), [F.col("id").try_cast("long")], limit)
 
 
 def new_names(search: DataFrame, companies: DataFrame) -> DataFrame:

@@ -57,6 +57,14 @@ def insert_ratings(existing: DataFrame, incoming: DataFrame) -> DataFrame:
     return existing.unionByName(fresh.unionByName(incoming.where(~keyed)), allowMissingColumns=True)
 
 
+def union_ratings(*agencies: DataFrame) -> DataFrame:
+    """Parsed rows of several agencies as one set, by column name; a column that one lacks is null there."""
+    out = agencies[0]
+    for a in agencies[1:]:
+        out = out.unionByName(a, allowMissingColumns=True)
+    return out
+
+
 def merge_financials(existing: DataFrame, incoming: DataFrame) -> DataFrame:
     """Per company, year and source the row of highest confidence, the earlier of ties; rows without a year or source all stay.
 

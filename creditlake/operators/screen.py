@@ -11,6 +11,7 @@ from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from creditlake.functions.names import is_state_owned
 from creditlake.functions.ratings import grade_label
@@ -29,8 +30,8 @@ def latest_rating(ratings: DataFrame) -> DataFrame:
 
 def top_rating(latest: DataFrame) -> DataFrame:
     """One row per company: best grade, then latest date, then agency and largest id."""
-    backwards = F.translate("agency", "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz", "zyxwvutsrqponmlkjihgfedcbaZYXWVUTSRQPONMLKJIHGFEDCBA")
-    return _first_by(latest, ["company_id"], -F.col("rating_grade"), F.col("rating_date"), backwards, F.col("id"))
+    order = Window.partitionBy("company_id").orderBy(F.col("rating_grade").asc_nulls_last(), F.col("rating_date").desc_nulls_last(), F.col("agency"), F.col("id").desc())
+    return latest.withColumn("_k", F.row_number().over(order)).where("_k = 1").drop("_k")  # a row an agency at most, so a company has few
 
 
 def latest_financials(financials: DataFrame) -> DataFrame:

@@ -62,6 +62,18 @@ def financials(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+NOBODY = 100_000_000  #: added to a company's id gives one that no company has
+
+
+def moved(df: DataFrame, condition: str) -> DataFrame:
+    """All rows; those of the condition belong to a company that isn't there."""
+    return df.withColumn("company_id", F.when(F.expr(condition), F.col("company_id") + NOBODY).otherwise(F.col("company_id")))
+
+
+def sql_moved(condition: str) -> str:
+    return f"CASE WHEN {condition} THEN company_id + {NOBODY} ELSE company_id END"
+
+
 def notes(spark: SparkSession, sf_dir: str) -> DataFrame:
     c = read(spark, sf_dir, "customer").where(F.col("c_custkey") % 4 == 0)
     return c.select(F.col("c_custkey").alias("company_id"), F.concat(F.lit("note on "), F.col("c_mktsegment")).alias("note"))

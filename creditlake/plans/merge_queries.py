@@ -98,7 +98,7 @@ def _(spark, sf):
     return M.keep_first(A.ratings(spark, sf), ["company_id", "source_id"]).select("id")
 
 
-@query("union_agencies", with_tables("SELECT agency, id FROM ratings WHERE agency IN ('ICRA', 'CRISIL')", "ratings"))
+@query("union_agencies", with_tables("SELECT agency, id FROM ratings", "ratings"))
 def _(spark, sf):
     r = A.ratings(spark, sf)
-    return r.where("agency = 'ICRA'").select("id", "agency").unionByName(r.where("agency = 'CRISIL'").select("agency", "id"))
+    return M.union_ratings(*(r.where(F.col("agency") == a).select(*(("id", "agency") if a == "ICRA" else ("agency", "id"))) for a in A.AGENCIES))

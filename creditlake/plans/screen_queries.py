@@ -156,12 +156,13 @@ def _(spark, sf):
     return c.select(F.lit("company").alias("kind"), "id").unionByName(r.select(F.lit("rating").alias("kind"), "id"))
 
 
-_USED = "(SELECT company_id FROM ratings WHERE company_id % 6 = 0 UNION SELECT company_id FROM financials WHERE company_id % 10 = 0)"
+_R, _F = "company_id % 6 <> 0", "company_id % 10 <> 0"
+_USED = f"(SELECT {A.sql_moved(_R)} FROM ratings UNION SELECT {A.sql_moved(_F)} FROM financials)"
 
 
 @query("drop_orphans", with_tables(f"SELECT 'company' AS kind, id FROM companies WHERE id IN {_USED} UNION ALL SELECT 'note', company_id FROM notes WHERE company_id IN {_USED}", "companies", "ratings", "financials", "notes"))
 def _(spark, sf):
-    c, n = reports.drop_orphans(A.companies(spark, sf), A.notes(spark, sf), A.ratings(spark, sf).where("company_id % 6 = 0"), A.financials(spark, sf).where("company_id % 10 = 0"))
+    c, n = reports.drop_orphans(A.companies(spark, sf), A.notes(spark, sf), A.moved(A.ratings(spark, sf), _R), A.moved(A.financials(spark, sf), _F))
     return c.select(F.lit("company").alias("kind"), "id").unionByName(n.select(F.lit("note").alias("kind"), F.col("company_id").alias("id")))
 
 
@@ -170,15 +171,16 @@ def _(spark, sf):
     return reports.duplicate_groups(A.financials(spark, sf), reports.FINANCIAL_KEY).agg(F.count(F.lit(1)).alias("duplicates"))
 
 
-_CLEAN = f"""WITH f AS (SELECT company_id FROM financials WHERE company_id % 10 = 0 GROUP BY {_KEY}), r AS (SELECT company_id FROM ratings WHERE company_id % 6 = 0 AND NOT (agency = 'CRISIL' AND source_id IS NULL AND rating_grade IS NULL) AND company_id NOT IN (60, 90)),
+_CLEAN = f"""WITH fs AS (SELECT * REPLACE ({A.sql_moved(_F)} AS company_id) FROM financials), rs AS (SELECT * REPLACE ({A.sql_moved(_R)} AS company_id) FROM ratings),
+f AS (SELECT company_id FROM fs GROUP BY {_KEY}), r AS (SELECT company_id FROM rs WHERE NOT (agency = 'CRISIL' AND source_id IS NULL AND rating_grade IS NULL) AND company_id NOT IN (60, 90)),
 used AS (SELECT company_id FROM r UNION SELECT company_id FROM f), c AS (SELECT id FROM companies WHERE id NOT IN (60, 90) AND id IN (SELECT company_id FROM used)), n AS (SELECT company_id FROM notes WHERE company_id IN (SELECT company_id FROM used))
-SELECT 'companies' AS table_name, (SELECT count(*) FROM companies) AS rows_before, (SELECT count(*) FROM c) AS rows_after UNION ALL SELECT 'ratings', (SELECT count(*) FROM ratings WHERE company_id % 6 = 0), (SELECT count(*) FROM r)
-UNION ALL SELECT 'financials', (SELECT count(*) FROM financials WHERE company_id % 10 = 0), (SELECT count(*) FROM f) UNION ALL SELECT 'notes', (SELECT count(*) FROM notes), (SELECT count(*) FROM n)"""
+SELECT 'companies' AS table_name, (SELECT count(*) FROM companies) AS rows_before, (SELECT count(*) FROM c) AS rows_after UNION ALL SELECT 'ratings', (SELECT count(*) FROM ratings), (SELECT count(*) FROM r)
+UNION ALL SELECT 'financials', (SELECT count(*) FROM financials), (SELECT count(*) FROM f) UNION ALL SELECT 'notes', (SELECT count(*) FROM notes), (SELECT count(*) FROM n)"""
 
 
 @query("cleanup", with_tables(_CLEAN, "companies", "ratings", "financials", "notes"))
 def _(spark, sf):
-    return reports.cleanup(A.companies(spark, sf), A.ratings(spark, sf).where("company_id % 6 = 0"), A.financials(spark, sf).where("company_id % 10 = 0"), A.notes(spark, sf), [60, 90])[1]
+    return reports.cleanup(A.companies(spark, sf), A.moved(A.ratings(spark, sf), _R), A.moved(A.financials(spark, sf), _F), A.notes(spark, sf), [60, 90])[1]
 
 
 @query("run_counts", with_tables("SELECT count(*) AS processed, count(*) FILTER (nm <> '' AND hit) AS matched, count(*) FILTER (nm <> '' AND NOT hit) AS not_found, count(*) FILTER (nm = '') AS errors FROM (SELECT CASE WHEN id % 7 = 0 THEN '' ELSE name END AS nm, id % 3 = 0 AS hit FROM companies)", "companies"))

@@ -278,20 +278,21 @@ def _(spark, sf):
     return X.extract_industry(A.read(spark, sf, "documents").select("doc_id", F.lit(2).alias("page_no"), text.alias("text"), F.array(table).alias("tables")))
 
 
-_RESULTS = """WITH r AS (SELECT o_custkey::VARCHAR AS scrip_cd, o_orderkey AS seq, year(o_orderdate) AS y, CASE o_orderkey % 4 WHEN 0 THEN 'A' WHEN 1 THEN 'Q' WHEN 2 THEN NULL ELSE 'Annual' END AS kind, floor(o_totalprice) AS sales, o_orderkey % 50 AS pbt, o_orderkey % 9 AS dep, o_orderkey % 4 AS fin FROM orders WHERE o_orderkey % 4 <> 1),
-k AS (SELECT *, row_number() OVER (PARTITION BY scrip_cd ORDER BY y DESC, seq) AS n FROM r)
-SELECT scrip_cd, seq, CAST(y AS INTEGER) AS fiscal_year, sales * u AS revenue_cr, (pbt * u + dep * u + fin * u) AS ebitda_cr, CASE WHEN fin > 0 THEN floor((pbt * u + dep * u + fin * u) / (fin * u) + 0.001) END AS cover FROM (SELECT *, CASE WHEN sales > 100000 THEN 0.01 ELSE 1.0 END::DOUBLE AS u FROM k) WHERE n <= 2"""
+_RESULTS = """WITH r AS (SELECT o_custkey::VARCHAR AS scrip_cd, o_orderkey AS seq, year(o_orderdate) AS y, floor(o_totalprice * 3) AS sales, o_totalprice AS pbt, o_orderkey % 9 AS dep, [0, 1, 3, 9][o_orderkey % 4 + 1] AS fin,
+  floor(o_totalprice / 2) AS pat, floor(o_totalprice / 7) AS debt, o_orderkey % 13 AS cash, o_orderkey % 5 AS capex FROM orders WHERE o_orderkey % 4 <> 1),
+k AS (SELECT *, row_number() OVER (PARTITION BY scrip_cd ORDER BY y DESC, seq) AS n, CASE WHEN sales > 100000 THEN 0.01 ELSE 1.0 END::DOUBLE AS u FROM r),
+v AS (SELECT scrip_cd, seq, CAST(y AS INTEGER) AS fiscal_year, sales * u AS revenue_cr, pbt * u + dep * u + fin * u AS ebitda_cr, pat * u AS pat_cr, debt * u AS total_debt_cr, cash * u AS cash_cr, debt * u - cash * u AS net_debt_cr, capex * u AS capex_cr, fin * u AS cost FROM k WHERE n <= 2)
+SELECT * EXCLUDE (cost), CASE WHEN revenue_cr > 0 THEN round(ebitda_cr / revenue_cr * 100, 2) END AS ebitda_margin_pct, CASE WHEN cost > 0 THEN round(ebitda_cr / cost, 2) END AS interest_coverage, CASE WHEN ebitda_cr > 0 THEN round(net_debt_cr / ebitda_cr, 2) END AS net_debt_ebitda FROM v"""
 
 
 @query("annual_results", _RESULTS)
 def _(spark, sf):
-    k = F.col("o_orderkey")
+    k, price = F.col("o_orderkey"), F.col("o_totalprice")
     kind = F.when(k % 4 == 0, "A").when(k % 4 == 1, "Q").when(k % 4 == 3, "Annual")
-    s = lambda c: c.cast("string")
-    rec = F.create_map(F.lit("PeriodType"), kind, F.lit("Date"), F.concat(F.lit("31 Mar "), s(F.year("o_orderdate"))), F.lit("SALES_AMT"), s(F.floor("o_totalprice")), F.lit("PBT"), s(k % 50), F.lit("Depreciation"), s(k % 9), F.lit("FinanceCost"), s(k % 4))
-    out = X.annual_results(A.read(spark, sf, "orders").select(s(F.col("o_custkey")).alias("scrip_cd"), k.alias("seq"), rec.alias("rec")))
-    cover = F.when(F.col("interest_coverage").isNotNull(), F.floor(F.col("interest_coverage") + 0.006).cast("double"))
-    return out.select("scrip_cd", "seq", "fiscal_year", "revenue_cr", "ebitda_cr", cover.alias("cover"))
+    cost = F.get(F.array(*map(F.lit, (0, 1, 3, 9))), (k % 4).cast("int"))
+    said = {"PeriodType": kind, "Date": F.concat(F.lit("31 Mar "), F.year("o_orderdate").cast("string")), "SALES_AMT": F.lit("N.A."), "Revenue": F.floor(price * 3), "PBT": price, "Depreciation": k % 9, "FinanceCost": cost, "PAT": F.floor(price / 2), "Borrowings": F.floor(price / 7), "Cash": k % 13, "NetCapex": k % 5}
+    rec = F.create_map(*(x for name, v in said.items() for x in (F.lit(name), v.cast("string"))))
+    return X.annual_results(A.read(spark, sf, "orders").select(F.col("o_custkey").cast("string").alias("scrip_cd"), k.alias("seq"), rec.alias("rec")))
 
 
 _STATEMENT = """WITH l AS (SELECT company_id, fiscal_year, max(revenue_cr) AS r, max(coalesce(ebitda_cr, 1)) AS e, max(total_debt_cr) AS d, max(cash_cr) AS c FROM financials GROUP BY company_id, fiscal_year), k AS (SELECT *, row_number() OVER (PARTITION BY company_id ORDER BY fiscal_year DESC) AS n FROM l)

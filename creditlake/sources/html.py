@@ -1,8 +1,14 @@
-"""Tables and criteria texts of web pages, read in Arrow batches by the standard library's parser."""
+"""Tables and criteria texts of web pages, read in Arrow batches by the standard library's parser.
+
+Pages are read as browsers do: end tags of nothing open are ignored, a cell ends at the next one and a row at the next one, and inline
+end tags don't close parts of a table. The work is linear in the page: texts are joined once, and elements are ranges of them.
+Null or empty pages have no tables and an empty criteria text.
+"""
 
 from __future__ import annotations
 
 import re
+from bisect import bisect_left, bisect_right
 from collections.abc import Iterator
 from html.parser import HTMLParser
 
@@ -10,64 +16,126 @@ import pandas as pd
 from pyspark.sql import DataFrame
 
 _VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "source", "track", "wbr"}
+_TABLE = {"table", "thead", "tbody", "tfoot", "tr", "td", "th"}
+_CELLS = {"td", "th"}
+#: Fixed: elements that can hold a heading, elements that can name criteria, and the heading itself.
+_HEADINGS = {"p", "div", "h1", "h2", "h3", "h4", "h5", "b", "strong", "u"}
+_CRITERIA = {"a", "td", "th", "li", "p"}
+HEADING = r"key\s*financial\s*indicator"
 
 
 class _Page(HTMLParser):
-    """Collects the text of listed elements, and tables that follow a heading text."""
+    """Elements as ranges of text pieces, and tables as rows of cells."""
 
-    def __init__(self, heading: str):
+    def __init__(self) -> None:
         super().__init__(convert_charrefs=True)
-        self.heading = re.compile(heading, re.I)
-        self.text: list[str] = []  # all text so far, to find headings that are split over elements
-        self.tables: list[list[list[str]]] = []
-        self.open: list[tuple[str, int]] = []
-        self.items: list[tuple[str, str]] = []
-        self.armed = False
-        self.table: list[list[str]] | None = None
+        self.pieces: list[str] = []
+        self.parents: list[int] = []  # of each piece, the element that it stands in
+        self.elements: list[list] = []  # [tag, first piece, piece behind the last]
+        self.open: list[int] = []
+        self.tables: list[tuple[int, list[list[int]]]] = []  # (element, rows of cell elements)
+        self.parts: dict[int, list] = {}  # rows of each table, cells of each row
+
+    def feed_whole(self, html: str | None) -> _Page:
+        self.feed(html or "")
+        self.close()
+        while self.open:
+            self._pop()
+        raw, spaced = [], []
+        self.at_raw, self.at_spaced, n, m = [0], [0], 0, 0
+        for p in self.pieces:
+            raw.append(p)
+            n += len(p)
+            if s := " ".join(p.split()):
+                spaced.append(s)
+                m += len(s) + 1
+            self.at_raw.append(n)
+            self.at_spaced.append(m)
+        self.raw, self.spaced = "".join(raw), " ".join(spaced)
+        return self
+
+    def _pop(self) -> None:
+        self.elements[self.open.pop()][2] = len(self.pieces)
+
+    def _close(self, tags: set[str], within: set[str]) -> None:
+        """Ends the innermost open element of these, if none of ``within`` stands between."""
+        for depth in range(len(self.open) - 1, -1, -1):
+            tag = self.elements[self.open[depth]][0]
+            if tag in tags:
+                while len(self.open) > depth:
+                    self._pop()
+                return
+            if tag in within:
+                return
 
     def handle_starttag(self, tag: str, attrs: list) -> None:
         if tag in _VOID:
             return
-        self.open.append((tag, len(self.text)))
-        if tag == "table" and self.table is None:
-            self.armed = bool(self.heading.search(" ".join(self.text)[-400:]))
-            self.table = []
-        elif tag == "tr" and self.table is not None:
-            self.table.append([])
+        if tag in _CELLS:
+            self._close(_CELLS, {"table", "tr"})
+        elif tag == "tr":
+            self._close({"tr"}, {"table"})
+        k = len(self.elements)
+        self.elements.append([tag, len(self.pieces), 0])
+        if tag == "table":
+            self.tables.append((k, self.parts.setdefault(k, [])))
+        elif tag == "tr" or tag in _CELLS:  # a nested row belongs to all tables around it, a nested cell to all rows
+            made = self.parts.setdefault(k, []) if tag == "tr" else k
+            for e in self.open:
+                if self.elements[e][0] == ("table" if tag == "tr" else "tr"):
+                    self.parts[e].append(made)
+        self.open.append(k)
 
     def handle_endtag(self, tag: str) -> None:
-        while self.open:
-            name, start = self.open.pop()
-            said = " ".join(" ".join(self.text[start:]).split())
-            if name in ("a", "td", "th", "li", "p"):
-                self.items.append((name, said))
-            if name in ("td", "th") and self.table:
-                self.table[-1].append(said)
-            if name == "table" and self.table is not None:
-                if self.armed and self.table:
-                    self.tables.append(self.table)
-                self.table = None
-            if name == tag:
-                break
+        self._close({tag}, {"table"} - {tag} if tag in _TABLE else _TABLE)
 
     def handle_data(self, data: str) -> None:
-        if not (self.open and self.open[-1][0] in ("script", "style")):
-            self.text.append(data.strip())
-
-
-def _read(html: str, heading: str) -> _Page:
-    page = _Page(heading)
-    page.feed(html or "")
-    page.close()
-    return page
-
-
-def html_cells(pages: DataFrame, heading: str = r"key\s+financial\s+indicators?") -> DataFrame:
+        if not (self.open and self.elements[self.open[-1]][0] in ("script", "style")):
+            self.pieces.append(data)
+            self.parents.append(self.open[-1] if self.open else -1)
+
+    def said(self, element: int) -> str:
+        """Text of an element, its pieces parted by blanks."""
+        _, a, b = self.elements[element]
+        return self.spaced[self.at_spaced[a] : self.at_spaced[b]].strip()
+
+    def tables_behind(self, heading: str) -> list[list[list[str]]]:
+        """The next table after the start of each element with such a heading, once each: first those whose heading is in one piece, then those where it is split."""
+        hits = [m.span() for m in re.finditer(heading, self.raw, re.I)]
+        starts, found = [h[0] for h in hits], []
+        for a, b in hits:
+            piece = bisect_right(self.at_raw, a) - 1
+            if self.parents[piece] >= 0 and b <= self.at_raw[piece + 1]:
+                found.append(self.parents[piece])
+        for k, (tag, first, last) in enumerate(self.elements):
+            if tag in _HEADINGS:
+                i = bisect_left(starts, self.at_raw[first])
+                if i < len(hits) and hits[i][1] <= self.at_raw[last]:
+                    found.append(k)
+        at = [t for t, _ in self.tables]
+        chosen = dict.fromkeys(i for k in found if (i := bisect_right(at, k)) < len(at))
+        return [[[self.said(c) for c in row] for row in self.tables[i][1]] for i in chosen]
+
+    def naming(self, words: str) -> str:
+        """Lower-cased texts of the elements that can name criteria and hold these words."""
+        low = self.spaced.lower()
+        starts = [m.start() for m in re.finditer(re.escape(words), low)]
+        out = []
+        for tag, first, last in self.elements:
+            if tag in _CRITERIA:
+                a, b = self.at_spaced[first], self.at_spaced[last]
+                i = bisect_left(starts, a)
+                if i < len(starts) and starts[i] + len(words) <= b:
+                    out.append(low[a:b].strip())
+        return " ".join(out)
+
+
+def html_cells(pages: DataFrame, heading: str = HEADING) -> DataFrame:
     """doc_id, table_no, row_no, cells of tables that stand behind a heading. pages: doc_id, html."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            rows = [(d, t, r, c) for d, h in zip(b.doc_id, b.html, strict=True) for t, table in enumerate(_read(h, heading).tables) for r, c in enumerate(table)]
+            rows = [(d, t, r, c) for d, h in zip(b.doc_id, b.html, strict=True) for t, table in enumerate(_Page().feed_whole(h).tables_behind(heading)) for r, c in enumerate(table)]
             yield pd.DataFrame(rows, columns=["doc_id", "table_no", "row_no", "cells"])
 
     return pages.select("doc_id", "html").mapInPandas(run, "doc_id long, table_no int, row_no int, cells array<string>")
@@ -78,7 +146,6 @@ def criteria_text(pages: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            said = [" ".join(s.lower() for _, s in _read(h, "$^").items if "criteria for" in s.lower()) for h in b.html]
-            yield pd.DataFrame({"doc_id": b.doc_id, "criteria": said})
+            yield pd.DataFrame({"doc_id": b.doc_id, "criteria": [_Page().feed_whole(h).naming("criteria for") for h in b.html]})
 
     return pages.select("doc_id", "html").mapInPandas(run, "doc_id long, criteria string")
