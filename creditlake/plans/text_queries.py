@@ -96,8 +96,9 @@ def _(spark, sf):
     return A.ratings(spark, sf).select("id", R.parse_suggest(v).alias("p")).where("p is not null").select("id", "p.company_name", "p.raw_rating", "p.rating_grade", "p.outlook", "p.rating_date")
 
 
-_NUMBERS = ["1,234.5", "(123)", "-5.2", "1,234.5 Cr", "(12.5) %", "--", "12**", "N/A", "", "1d", "(45", "7.", " 88 "]
-_AT = f"(SELECT p_partkey AS id, {_list(_NUMBERS)}[p_partkey % {len(_NUMBERS)} + 1] AS t FROM part)"
+#: # is the part's key.
+_NUMBERS = ["#,234.5", "(#)", "-#.2", "#,234.5 Cr", "(#.5) %", "--", "#**", "N/A", "", "#d", "(#", "#.", " # "]
+_AT = f"(SELECT p_partkey AS id, replace({_list(_NUMBERS)}[p_partkey % {len(_NUMBERS)} + 1], '#', p_partkey::VARCHAR) AS t FROM part)"
 _OK = r"regexp_matches({0}, '^[+-]?([0-9]+[.]?[0-9]*|[.][0-9]+)([eE][+-]?[0-9]+)?$')"
 
 
@@ -110,14 +111,15 @@ def _brackets(e: str) -> str:
 
 
 _BSE = "regexp_replace(trim(replace(t, ',', '')), '[A-Za-z%\\s]+$', '')"
-_PDF = f"regexp_replace({_brackets('replace(replace(trim(t), chr(44), chr(0)), chr(32), chr(0))')}, '[A-Za-z%]+$', '')".replace("chr(44), chr(0)", "',', ''").replace("chr(32), chr(0)", "' ', ''")
+_PDF = "regexp_replace(" + _brackets("replace(replace(trim(t), ',', ''), ' ', '')") + ", '[A-Za-z%]+$', '')"
+_PLAIN_NUMBER = "trim(replace(t, ',', ''))"
 _DIGITS = "regexp_replace(t, '[^0-9.]', '', 'g')"
 _CARE = "trim(regexp_replace(replace(trim(t), ',', ''), '\\*+$', ''))"
 
 
-@query("amounts", f"SELECT id, {_num(chr(116) + 'rim(replace(t, chr(44), chr(39)))').replace('chr(44), chr(39)', repr(',') + ', ' + repr(''))} AS plain, {_num(_brackets(_BSE))} AS bse, {_num(_PDF)} AS pdf, CASE WHEN trim(t) NOT IN ('', '-', 'N/A', 'NA', 'Nil', '--') THEN CASE WHEN starts_with(trim(t), '(') AND ends_with(trim(t), ')') THEN -({_num(_DIGITS)}) ELSE {_num(_DIGITS)} END END AS crisil, CASE WHEN replace(trim(t), ',', '') NOT IN ('-', '--', 'na', 'n.a.', 'n/a', '') THEN {_num(_CARE)} END AS care, {_num(_DIGITS)} AS digits FROM {_AT}")
+@query("amounts", f"SELECT id, {_num(_PLAIN_NUMBER)} AS plain, {_num(_brackets(_BSE))} AS bse, {_num(_PDF)} AS pdf, CASE WHEN trim(t) NOT IN ('', '-', 'N/A', 'NA', 'Nil', '--') THEN CASE WHEN starts_with(trim(t), '(') AND ends_with(trim(t), ')') THEN -({_num(_DIGITS)}) ELSE {_num(_DIGITS)} END END AS crisil, CASE WHEN replace(trim(t), ',', '') NOT IN ('-', '--', 'na', 'n.a.', 'n/a', '') THEN {_num(_CARE)} END AS care, {_num(_DIGITS)} AS digits FROM {_AT}")
 def _(spark, sf):
-    t = F.array(*(F.lit(x) for x in _NUMBERS))[(F.col("p_partkey") % len(_NUMBERS)).cast("int")]
+    t = F.replace(F.array(*(F.lit(x) for x in _NUMBERS))[(F.col("p_partkey") % len(_NUMBERS)).cast("int")], F.lit("#"), F.col("p_partkey").cast("string"))
     p = A.read(spark, sf, "part").select(F.col("p_partkey").alias("id"), t.alias("t"))
     c = F.col("t")
     return p.select("id", N.amount_plain(c).alias("plain"), N.amount_bse(c).alias("bse"), N.amount_pdf(c).alias("pdf"), N.amount_crisil(c).alias("crisil"), N.amount_care(c).alias("care"), N.amount_digits(c).alias("digits"))
@@ -135,16 +137,18 @@ def _(spark, sf):
     return A.read(spark, sf, "part").select(key.alias("id"), N.detect_unit(F.array(*(F.lit(u) for u in _UNIT_TEXTS))[(key % 7).cast("int")]).alias("declared"), N.apply_unit(F.col("p_size").cast("double"), unit).alias("value"))
 
 
-_YEARS = ["FY25", "FY2025", "2024-25", "Mar-25", "March 31, 2024 (A)", "1999", "9MFY25", "FY 49", "FY 60", "H1 FY25", "Mar 2023", "none"]
+#: # is a number of two digits made from the part's key.
+_YEARS = ["FY#", "FY20#", "20#-25", "Mar-#", "March 31, 20# (A)", "19#", "9MFY#", "FY 49", "FY 60", "H1 FY#", "Mar 20#", "none"]
 _YEAR_SQL = r"""SELECT id, CASE WHEN a <> '' THEN 2000 + a::INTEGER WHEN b <> '' THEN CASE WHEN b::INTEGER < 50 THEN 2001 ELSE 1901 END + b::INTEGER END AS generic, CASE WHEN y BETWEEN 2000 AND 2030 THEN y END AS crisil,
   CASE WHEN c1 <> '' THEN c1::INTEGER WHEN c2 <> '' THEN c2::INTEGER WHEN c3 <> '' THEN 2000 + c3::INTEGER END AS care FROM (SELECT *, CASE WHEN n >= 100 THEN n WHEN n < 50 THEN 2000 + n ELSE 1900 + n END AS y FROM (
   SELECT id, regexp_extract(t, '20(\d{2})', 1) AS a, regexp_extract(t || ' ', 'FY\s*(\d{2})\D', 1, 'i') AS b, CAST(coalesce(nullif(regexp_extract(t, '\bFY\s*(\d{4})\b|\bMar[- ](\d{2,4})\b|\b(\d{4})\b', 1, 'i'), ''), nullif(regexp_extract(t, '\bFY\s*(\d{4})\b|\bMar[- ](\d{2,4})\b|\b(\d{4})\b', 2, 'i'), ''), nullif(regexp_extract(t, '\bFY\s*(\d{4})\b|\bMar[- ](\d{2,4})\b|\b(\d{4})\b', 3, 'i'), '')) AS INTEGER) AS n,
-  regexp_extract(t, 'march\s+\d{1,2},?\s*(\d{4})', 1, 'i') AS c1, regexp_extract(t, '\bFY\s*(20\d{2})\b', 1, 'i') AS c2, regexp_extract(t, '\bFY\s*(\d{2})\b', 1, 'i') AS c3 FROM (SELECT p_partkey AS id, %s[p_partkey %% 12 + 1] AS t FROM part)))"""
+  regexp_extract(t, 'march\s+\d{1,2},?\s*(\d{4})', 1, 'i') AS c1, regexp_extract(t, '\bFY\s*(20\d{2})\b', 1, 'i') AS c2, regexp_extract(t, '\bFY\s*(\d{2})\b', 1, 'i') AS c3 FROM (SELECT p_partkey AS id, replace(%s[p_partkey %% 12 + 1], '#', (p_partkey // 12 %% 90 + 10)::VARCHAR) AS t FROM part)))"""
 
 
 @query("fiscal_years", _YEAR_SQL.replace("%s", _list(_YEARS)).replace("%%", "%"))
 def _(spark, sf):
-    t = F.array(*(F.lit(y) for y in _YEARS))[(F.col("p_partkey") % 12).cast("int")]
+    two = F.floor(F.col("p_partkey") / 12) % 90 + 10
+    t = F.replace(F.array(*(F.lit(y) for y in _YEARS))[(F.col("p_partkey") % 12).cast("int")], F.lit("#"), two.cast("string"))
     return A.read(spark, sf, "part").select(F.col("p_partkey").alias("id"), N.year_from_header(t).alias("generic"), N.year_header_crisil(t).alias("crisil"), N.fiscal_year_care(t).alias("care"))
 
 
@@ -185,16 +189,22 @@ def _(spark, sf):
     return X.top_n_years(A.financials(spark, sf).withColumn("seq", F.col("id")), "company_id").select("id")
 
 
+def _with_text(spark, sf, planted):
+    """doc_id, text: every whole text of documents, and what is planted behind it."""
+    d = A.read(spark, sf, "documents")
+    return d.select("doc_id", F.concat(F.coalesce("text", F.lit("")), planted).alias("text"))
+
+
 _CAPEX = ["The firm planned capex of Rs 250 crore over the next 3 years. Nothing else.", "Capex Rs. 1,200 lakh is expected within 2-4 years! Capex of 5 bn.", "Capex of Rs 90 was spent. It is proposed to add capex of 40 mn and capex 7.5"]
 
 
-@query("capex_plans", f"""WITH d AS (SELECT doc_id, {_list(_CAPEX)}[doc_id % 3 + 1] AS t FROM documents), s AS (SELECT doc_id, unnest(string_split(regexp_replace(t, '([.!?])\\s+', '\\1' || chr(1), 'g'), chr(1))) AS sentence FROM d),
+@query("capex_plans", f"""WITH d AS (SELECT doc_id, coalesce(text, '') || '. ' || {_list(_CAPEX)}[doc_id % 3 + 1] AS t FROM documents), s AS (SELECT doc_id, unnest(string_split(regexp_replace(t, '([.!?])\\s+', '\\1' || chr(1), 'g'), chr(1))) AS sentence FROM d),
 w AS (SELECT doc_id, sentence, unnest(regexp_extract_all(sentence, 'capex\\s+(?:of\\s+)?(?:Rs\\.?\\s*)?\\d[\\d,\\.]*\\s*(?:crore|cr|lakh|mn|bn|million|billion)?', 0, 'i')) AS m FROM s WHERE regexp_matches(sentence, 'over\\s+the\\s+next|planned|expected|FY2[0-9]|upcoming|envisaged|proposed', 'i')),
 v AS (SELECT *, CAST(replace(regexp_extract(m, '(\\d[\\d,\\.]*)', 1), ',', '') AS DOUBLE) AS n, lower(regexp_extract(m, '(crore|cr|lakh|mn|bn|million|billion)$', 1, 'i')) AS u FROM w)
 SELECT doc_id, round(n * {_UNIT_CASE.format('u')}, 2) AS amount_cr, CAST(coalesce(nullif(regexp_extract(sentence, '(\\d+)\\s*[-–]\\s*(\\d+)\\s*years?', 2, 'i'), ''), nullif(regexp_extract(sentence, 'next\\s+(\\d+)\\s+years?', 1, 'i'), '')) AS INTEGER) AS timeframe_years, sentence AS description FROM v""")
 def _(spark, sf):
-    t = F.array(*(F.lit(x) for x in _CAPEX))[(F.col("doc_id") % 3).cast("int")]
-    pages = A.read(spark, sf, "documents").select("doc_id", F.lit(1).alias("page_no"), t.alias("text"))
+    t = F.concat(F.lit(". "), F.array(*(F.lit(x) for x in _CAPEX))[(F.col("doc_id") % 3).cast("int")])
+    pages = _with_text(spark, sf, t).withColumn("page_no", F.lit(1))
     return X.extract_capex_plans(pages).select("doc_id", "amount_cr", "timeframe_years", "description")
 
 
@@ -203,59 +213,75 @@ _TEXT = "Revenue: Rs. %d lakh. EBITDA - 12.5 crore. PAT 3. Net Debt Rs 1,0%d.5 m
 
 @query("extract_from_text", "SELECT doc_id, (doc_id % 97) * 0.01::DOUBLE AS revenue_cr, 12.5::DOUBLE AS ebitda_cr, 3.0::DOUBLE AS pat_cr, CAST('10' || doc_id % 97 || '.5' AS DOUBLE) * 0.1::DOUBLE AS net_debt_cr FROM documents")
 def _(spark, sf):
-    text = F.format_string(_TEXT, F.col("doc_id") % 97, F.col("doc_id") % 97)
-    return A.read(spark, sf, "documents").select("doc_id", text.alias("t")).select("doc_id", X.extract_from_text(F.col("t")).alias("f")).select("doc_id", "f.revenue_cr", "f.ebitda_cr", "f.pat_cr", "f.net_debt_cr")
+    text = F.concat(F.lit("\n"), F.format_string(_TEXT, F.col("doc_id") % 97, F.col("doc_id") % 97))
+    return _with_text(spark, sf, text).select("doc_id", X.extract_from_text(F.col("text")).alias("f")).select("doc_id", "f.revenue_cr", "f.ebitda_cr", "f.pat_cr", "f.net_debt_cr")
 
 
 def _pages(spark, sf):
-    """doc_id, page_no, text, tables: two tables of figures made from each id."""
+    """doc_id, page_no, text, tables: whole texts with a declared unit, and two tables of figures made from each id.
+
+    Figures end in .7 and .9, so that no ratio of them is a tie when it is rounded.
+    """
     n = F.col("doc_id")
-    s = lambda c: c.cast("string")
+    s = lambda c, tail="": F.concat(c.cast("string"), F.lit(tail))
     row = lambda *cells: F.array(*(c if not isinstance(c, str) else F.lit(c) for c in cells))
-    one = F.array(row("Particulars", "FY2023", "FY2024"), row("Total revenue", s(n % 50 + 1), s(n % 90 + 100)), row("EBITDA", "-", s(n % 30 + 1)), row("Cash", "1", F.concat(F.lit("("), s(n % 7), F.lit(")"))), row("Total debt", "5", s(n % 11)))
+    one = F.array(row("Particulars", "FY2023", "FY2024"), row("Total revenue", s(n % 50 + 1), s(n % 90 + 100, ".7")), row("EBITDA", "-", s(n % 30 + 1, ".9")), row("Cash", "1", F.concat(F.lit("("), s(n % 7), F.lit(")"))), row("Total debt", "5", s(n % 11, ".3")))
     two = F.array(row("x", "2022"), row("Turnover", "9"), row("Capex", s(n % 5)))
-    return A.read(spark, sf, "documents").select("doc_id", F.lit(1).alias("page_no"), F.when(n % 2 == 0, F.lit("Rs. Lakh")).otherwise(F.lit("")).alias("text"), F.array(one, two).alias("tables"))
+    return _with_text(spark, sf, F.when(n % 2 == 0, F.lit(" Rs. Lakh")).otherwise(F.lit(""))).withColumns({"page_no": F.lit(1), "tables": F.array(one, two)})
+
 
+_FIGURES = """SELECT doc_id, 2024 AS fiscal_year, CAST((doc_id % 90 + 100) || '.7' AS DOUBLE) * u AS revenue_cr, CAST((doc_id % 30 + 1) || '.9' AS DOUBLE) * u AS ebitda_cr, CAST((doc_id % 11) || '.3' AS DOUBLE) * u AS total_debt_cr, -(doc_id % 7) * u AS cash_cr, (doc_id % 5) * u AS capex_cr
+  FROM (SELECT doc_id, CASE WHEN doc_id % 2 = 0 THEN 0.01 ELSE 1.0 END::DOUBLE AS u FROM documents)"""
 
-@query("process_tables", "SELECT doc_id, 2024 AS fiscal_year, (doc_id % 90 + 100) * u AS revenue_cr, (doc_id % 30 + 1) * u AS ebitda_cr, (doc_id % 11) * u AS total_debt_cr, -(doc_id % 7) * u AS cash_cr, (doc_id % 5) * u AS capex_cr FROM (SELECT doc_id, CASE WHEN doc_id % 2 = 0 THEN 0.01 ELSE 1.0 END::DOUBLE AS u FROM documents)")
+
+@query("process_tables", _FIGURES)
 def _(spark, sf):
     return X.process_tables(_pages(spark, sf)).select("doc_id", "fiscal_year", "revenue_cr", "ebitda_cr", "total_debt_cr", "cash_cr", "capex_cr")
 
 
-@query("extract_financials")
+@query("extract_financials", f"""SELECT doc_id, fiscal_year, revenue_cr, ebitda_cr, NULL::DOUBLE AS pat_cr, total_debt_cr, cash_cr, total_debt_cr - cash_cr AS net_debt_cr, capex_cr, NULL::DOUBLE AS interest_coverage,
+  round(ebitda_cr / revenue_cr * 100, 2) AS ebitda_margin_pct, round((total_debt_cr - cash_cr) / ebitda_cr, 2) AS net_debt_ebitda, 0.83::DOUBLE AS confidence FROM ({_FIGURES})""")
 def _(spark, sf):
     return X.extract_financials(_pages(spark, sf))
 
 
-@query("extract_text_table")
+_BLOCK = ["", "Key financial indicators (audited)", "Firm FY2024 FY2025", "Operating income 4269.1 ", "PAT 446.4 341.6", "OPBDIT/OI 13.9% 10.4%", "Total debt/OPBDIT (times) 0.0 0.2", "Interest coverage (times) 103.7 26.2", "Note: audited", "PAT 1 2"]
+
+
+@query("extract_text_table", """SELECT doc_id, 2025 AS fiscal_year, n AS revenue_cr, 341.6::DOUBLE AS pat_cr, 26.2::DOUBLE AS interest_coverage, 10.4::DOUBLE AS ebitda_margin_pct, e AS ebitda_cr, CASE WHEN e > 0 THEN round(0.2::DOUBLE * e, 2) END AS total_debt_cr, NULL::DOUBLE AS net_debt_cr
+  FROM (SELECT doc_id, n, CASE WHEN n > 0 THEN round(n * 10.4::DOUBLE / 100, 2) END AS e FROM (SELECT doc_id, CAST(doc_id AS DOUBLE) AS n FROM documents))""")
 def _(spark, sf):
     n = F.col("doc_id").cast("string")
-    lines = ["Key financial indicators (audited)", "Firm FY2024 FY2025", "Operating income 4269.1 ", "PAT 446.4 341.6", "OPBDIT/OI 13.9% 10.4%", "Total debt/OPBDIT (times) 0.0 0.2", "Interest coverage (times) 103.7 26.2"]
-    text = F.concat_ws("\n", *(F.concat(F.lit(x), n) if x.endswith(" ") else F.lit(x) for x in lines))
-    return X.extract_text_table(A.read(spark, sf, "documents").select("doc_id", text.alias("text")))
+    return X.extract_text_table(_with_text(spark, sf, F.concat_ws("\n", *(F.concat(F.lit(x), n) if x.endswith(" ") else F.lit(x) for x in _BLOCK))))
+
+
+_BRIEF = """WITH t AS (SELECT doc_id, 2024 AS fiscal_year, CAST((doc_id % 40 + 10) || '.7' AS DOUBLE) AS revenue_cr, CAST(doc_id % 9 AS DOUBLE) AS ebitda_cr, CAST(doc_id % 4 AS DOUBLE) AS pat_cr FROM documents UNION ALL SELECT doc_id, 2023, 7.0, 2.0, NULL FROM documents)
+SELECT *, NULL::DOUBLE AS interest_coverage, NULL::DOUBLE AS total_debt_cr, NULL::DOUBLE AS net_debt_cr, NULL::DOUBLE AS cash_cr, NULL::DOUBLE AS capex_cr, CASE WHEN ebitda_cr <> 0 THEN round(ebitda_cr / revenue_cr * 100, 2) END AS ebitda_margin_pct,
+  (1 + (ebitda_cr <> 0)::INT + coalesce((pat_cr <> 0)::INT, 0)) / 4.0::DOUBLE AS extraction_confidence, 'care_edge_pdf' AS data_source FROM t"""
 
 
-@query("brief_financials", "SELECT doc_id, 2024 AS fiscal_year, CAST(doc_id % 40 + 10 AS DOUBLE) AS revenue_cr, CAST(doc_id % 9 AS DOUBLE) AS ebitda_cr, 'care_edge_pdf' AS data_source FROM documents UNION ALL SELECT doc_id, 2023, 7.0, 2.0, 'care_edge_pdf' FROM documents")
+@query("brief_financials", _BRIEF)
 def _(spark, sf):
-    s = (F.col("doc_id") % 40 + 10).cast("string"), (F.col("doc_id") % 9).cast("string")
-    table = F.array(F.array(*map(F.lit, ("Brief Financials (Rs crore)", "March 31, 2023 (A)", "March 31, 2024 (A)", "9MFY25 (UA)"))), F.array(F.lit("Total operating income"), F.lit("7"), s[0], F.lit("1")), F.array(F.lit("PBILDT"), F.lit("2.0**"), s[1], F.lit("-")))
-    pages = A.read(spark, sf, "documents").select("doc_id", F.lit(1).alias("page_no"), F.array(table).alias("tables"))
-    return X.parse_brief_financials(pages).select("doc_id", "fiscal_year", "revenue_cr", "ebitda_cr", "data_source")
+    s = F.concat((F.col("doc_id") % 40 + 10).cast("string"), F.lit(".7")), (F.col("doc_id") % 9).cast("string"), (F.col("doc_id") % 4).cast("string")
+    head = ("Brief Financials (Rs crore)", "March 31, 2023 (A)", "March 31, 2024 (A)", "9MFY25 (UA)")
+    rows = ("Total operating income", "7", s[0], "1"), ("PBILDT", "2.0**", s[1], "-"), ("PAT", "-", s[2], "3")
+    table = F.array(*(F.array(*(F.lit(c) if isinstance(c, str) else c for c in r)) for r in (head, *rows)))
+    return X.parse_brief_financials(_with_text(spark, sf, F.lit("")).withColumns({"page_no": F.lit(1), "tables": F.array(table)}))
 
 
 def _facilities(spark, sf):
     grade = F.array(*(F.lit(x) for x in dims.SYMBOLS))
     n = F.col("doc_id")
     table = F.array(F.array(*map(F.lit, ("Facilities/Instruments", "Amount", "Rating", "Action"))), F.array(F.lit("Long Term Bank"), F.concat((n % 90).cast("string"), F.lit(".5 (Enhanced)")), F.concat(F.lit("CARE "), grade[(n % 20).cast("int")], F.lit("; Stable / CARE A1+")), F.lit("Reaffirmed")), F.array(F.lit("Short Term Bank"), F.lit(""), F.lit("CARE A; Negative"), F.lit("Assigned")))
-    return A.read(spark, sf, "documents").select("doc_id", F.lit(1).alias("page_no"), F.array(table).alias("tables"))
+    return _with_text(spark, sf, F.lit("")).withColumns({"page_no": F.lit(1), "tables": F.array(table)})
 
 
-_FACILITIES = f"SELECT doc_id, 1 AS row_no, 'Long Term Bank' AS instrument_name, 'LT' AS instrument_type, CAST(doc_id % 90 || '.5' AS DOUBLE) AS rated_amount_cr, CAST(doc_id % 20 + 1 AS INTEGER) AS rating_grade, 'Stable' AS outlook FROM documents UNION ALL SELECT doc_id, 2, 'Short Term Bank', 'ST', NULL, 6, 'Negative' FROM documents"
+_FACILITIES = f"SELECT doc_id, 1 AS row_no, 'Long Term Bank' AS instrument_name, 'LT' AS instrument_type, CAST(doc_id % 90 || '.5' AS DOUBLE) AS rated_amount_cr, {A._list(dims.SYMBOLS)}[doc_id % 20 + 1] AS rating_symbol, CAST(doc_id % 20 + 1 AS INTEGER) AS rating_grade, 'Stable' AS outlook, 'Reaffirmed' AS rating_action FROM documents UNION ALL SELECT doc_id, 2, 'Short Term Bank', 'ST', NULL, 'A', 6, 'Negative', 'Assigned' FROM documents"
 
 
 @query("rating_table", _FACILITIES)
 def _(spark, sf):
-    return X.parse_rating_table(_facilities(spark, sf)).select("doc_id", "row_no", "instrument_name", "instrument_type", "rated_amount_cr", "rating_grade", "outlook")
+    return X.parse_rating_table(_facilities(spark, sf))
 
 
 @query("best_instrument", f"SELECT doc_id, arg_min(instrument_name, (rating_grade, row_no)) AS instrument_name, min(rating_grade) AS rating_grade FROM ({_FACILITIES}) GROUP BY doc_id")
@@ -266,7 +292,7 @@ def _(spark, sf):
 @query("release_dates_and_sentences", "SELECT doc_id, 'March ' || (doc_id % 28 + 1) || ', 2024' AS released, len(string_split(regexp_replace(t, '([.!?])\\s+', '\\1' || chr(1), 'g'), chr(1))) AS sentences FROM (SELECT doc_id, regexp_replace(coalesce(text, ''), '[^a-z.!? ]', '', 'g') AS t FROM documents)")
 def _(spark, sf):
     d = A.read(spark, sf, "documents")
-    text = F.concat(F.lit("Mumbai, March "), (F.col("doc_id") % 28 + 1).cast("string"), F.lit(", 2024: x"))
+    text = F.concat(F.lit("Mumbai, March "), (F.col("doc_id") % 28 + 1).cast("string"), F.lit(", 2024: "), F.coalesce("text", F.lit("")))
     plain = F.regexp_replace(F.coalesce("text", F.lit("")), "[^a-z.!? ]", "")
     return d.select("doc_id", X.extract_release_date(text).alias("released"), F.size(N.split_sentences(plain)).cast("long").alias("sentences"))
 
@@ -274,8 +300,8 @@ def _(spark, sf):
 @query("extract_industry", "SELECT doc_id, 'Sector ' || doc_id % 13 AS industry FROM documents WHERE doc_id % 3 <> 0")
 def _(spark, sf):
     table = F.array(F.array(F.lit("Macro"), F.lit("Industry")), F.array(F.lit("None"), F.concat(F.lit("Sector "), (F.col("doc_id") % 13).cast("string"))))
-    text = F.when(F.col("doc_id") % 3 != 0, F.lit("Industry Classification")).otherwise(F.lit("other"))
-    return X.extract_industry(A.read(spark, sf, "documents").select("doc_id", F.lit(2).alias("page_no"), text.alias("text"), F.array(table).alias("tables")))
+    text = F.when(F.col("doc_id") % 3 != 0, F.lit(" Industry Classification")).otherwise(F.lit(" other"))
+    return X.extract_industry(_with_text(spark, sf, text).withColumns({"page_no": F.lit(2), "tables": F.array(table)}))
 
 
 _RESULTS = """WITH r AS (SELECT o_custkey::VARCHAR AS scrip_cd, o_orderkey AS seq, year(o_orderdate) AS y, floor(o_totalprice * 3) AS sales, o_totalprice AS pbt, o_orderkey % 9 AS dep, [0, 1, 3, 9][o_orderkey % 4 + 1] AS fin,
@@ -295,17 +321,18 @@ def _(spark, sf):
     return X.annual_results(A.read(spark, sf, "orders").select(F.col("o_custkey").cast("string").alias("scrip_cd"), k.alias("seq"), rec.alias("rec")))
 
 
-_STATEMENT = """WITH l AS (SELECT company_id, fiscal_year, max(revenue_cr) AS r, max(coalesce(ebitda_cr, 1)) AS e, max(total_debt_cr) AS d, max(cash_cr) AS c FROM financials GROUP BY company_id, fiscal_year), k AS (SELECT *, row_number() OVER (PARTITION BY company_id ORDER BY fiscal_year DESC) AS n FROM l)
-SELECT company_id::VARCHAR AS symbol, fiscal_year, floor(floor(r) * 100000 * 1e-7 * 100 + 0.5) AS revenue, floor(e * 1e7 * 1e-7 + 0.5) AS ebitda, floor((d * 1e7 * 1e-7 - c * 1e7 * 1e-7) + 0.5) AS net_debt FROM k WHERE n <= 2"""
+_STATEMENT = """WITH l AS (SELECT company_id, fiscal_year, floor(max(revenue_cr)) * 100000 * 1e-7 AS r, (max(total_debt_cr) * 3 + 0.7) * 1e-7 * 1e6 AS e, max(total_debt_cr) * 1e7 * 1e-7 AS d, max(cash_cr) * 1e7 * 1e-7 AS c, max(pat_cr) * 1e7 * 1e-7 AS p, -max(cash_cr) * 1e6 * 1e-7 AS x FROM financials GROUP BY company_id, fiscal_year),
+k AS (SELECT *, row_number() OVER (PARTITION BY company_id ORDER BY fiscal_year DESC) AS n FROM l)
+SELECT company_id::VARCHAR AS symbol, fiscal_year, round(r, 2) AS revenue_cr, round(e, 2) AS ebitda_cr, round(p, 2) AS pat_cr, round(d, 2) AS total_debt_cr, round(c, 2) AS cash_cr, round(d - c, 2) AS net_debt_cr, round(abs(x), 2) AS capex_cr, CASE WHEN r > 0 THEN round(e / r * 100, 2) END AS ebitda_margin_pct, CASE WHEN e > 0 THEN round((d - c) / e, 2) END AS net_debt_ebitda FROM k WHERE n <= 2"""
 
 
 @query("statement_financials", with_tables(_STATEMENT, "financials"))
 def _(spark, sf):
-    f = A.financials(spark, sf).groupBy("company_id", "fiscal_year").agg(F.max("revenue_cr").alias("r"), F.max(F.coalesce("ebitda_cr", F.lit(1.0))).alias("e"), F.max("total_debt_cr").alias("d"), F.max("cash_cr").alias("c"))
-    items = F.array(*(F.struct(F.lit(s).alias("statement"), F.lit(i).alias("item"), v.alias("value")) for s, i, v in (("income", "Operating Revenue", F.floor("r") * 100000.0), ("income", "EBITDA", F.col("e") * 1e7), ("balance", "Total Debt", F.col("d") * 1e7), ("balance", "Cash And Cash Equivalents", F.col("c") * 1e7), ("income", "Total Revenue", F.lit(float("nan"))))))
+    f = A.financials(spark, sf).groupBy("company_id", "fiscal_year").agg(F.max("revenue_cr").alias("r"), F.max("total_debt_cr").alias("d"), F.max("cash_cr").alias("c"), F.max("pat_cr").alias("p"))
+    lines = (("income", "Operating Revenue", F.floor("r") * 100000.0), ("income", "EBITDA", (F.col("d") * 3 + 0.7) * 1e6), ("income", "Net Income", F.col("p") * 1e7), ("balance", "Total Debt", F.col("d") * 1e7), ("balance", "Cash And Cash Equivalents", F.col("c") * 1e7), ("cashflow", "Capital Expenditure", -F.col("c") * 1e6), ("income", "Total Revenue", F.lit(float("nan"))))
+    items = F.array(*(F.struct(F.lit(s).alias("statement"), F.lit(i).alias("item"), v.alias("value")) for s, i, v in lines))
     long = f.select(F.col("company_id").cast("string").alias("symbol"), F.make_date("fiscal_year", F.lit(3), F.lit(31)).alias("period_end"), F.explode(items).alias("x")).select("symbol", "period_end", "x.*")
-    out = X.statement_financials(long)
-    return out.select("symbol", "fiscal_year", F.floor(F.col("revenue_cr") * 100 + 0.5).cast("double").alias("revenue"), F.floor(F.col("ebitda_cr") + 0.5).cast("double").alias("ebitda"), F.floor(F.col("net_debt_cr") + 0.5).cast("double").alias("net_debt"))
+    return X.statement_financials(long)
 
 
 @query("tag_source", with_tables("SELECT id, 'bse_xbrl' AS data_source, 0.85::DOUBLE AS extraction_confidence FROM financials", "financials"))
