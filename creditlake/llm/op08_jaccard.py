@@ -15,7 +15,7 @@ Signatures of segments are exchanged in packed form, by hash; a task reads a buc
   segments are the most common ones, and members x are compared with h once: D(x) = x △ h. As |a △ b| = |D(a) △ D(b)|,
   two sets that aren't both linked to h are similar only if D(a) and D(b) share (7|D(a)| + 7|D(b)| - |a| - |b|) / 14 shingles or
   more, which is above 0. So they share one among the first of each, in any order that both follow (``_differences``); shingles that
-  h lacks come first, as they are rare. That join on shingles takes the place of pairing a group's members.
+  h lacks come first, as they are rare. That meeting by shingles takes the place of pairing a group's members.
 * What the verified links connect is one component; groups that lie in more than one then give the pairs between components. A
   similar pair shares all of the smaller set's non-empty segments but τ, so pairs that share fewer, with those it has in larger
   groups and doesn't probe counted in their favour, can't be similar; the others are verified exactly. This step misses nothing, so the stars before
@@ -48,8 +48,8 @@ from creditlake.llm.shingles import mix, shingles
 #: Similarity as a fraction, sets in a group that may be paired with each other, signatures and sets a task packs at once.
 UP, DOWN, GROUP, FLUSH, SETS = 3, 4, 32, 2_000_000, 60_000
 SHORT, SHORT_SEGMENTS = 64, 1024
-#: Members of a leader that one task compares.
-DEALT = 256
+#: Members of a leader that one task compares; shingles of a hub that meet in one part.
+DEALT, MEET = 256, 1_000_000
 _SET = np.dtype([("set", "<i8"), ("size", "<u4"), ("common", "<u2")])
 
 
@@ -382,41 +382,118 @@ def _asked(hubs: DataFrame, needs: DataFrame) -> DataFrame:
     return all_.join(asks, ["hub", "set"], "left").select("hub", "set", F.coalesce("asks", F.lit(False)).alias("asks"))
 
 
-def _differences(differ: DataFrame, roots: DataFrame) -> DataFrame:
-    """a, b: sets of one hub, in different components, whose differences from it share one of their first shingles.
+_LISTED = pa.schema([("hub", pa.int64()), ("part", pa.int32()), ("set", pa.int64()), ("root", pa.int64()), ("size", pa.int32()), ("asks", pa.bool_()), ("linked", pa.bool_()), ("d", pa.int32()), ("near", pa.int32()), ("tokens", pa.list_(pa.int64())), ("at", pa.list_(pa.int32()))])
+_LISTED_DDL = "hub long, part int, set long, root long, size int, asks boolean, linked boolean, d int, near int, tokens array<long>, at array<int>"
+
+
+def _parted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Lists of differences, those of large hubs cut into parts by shingle, with the place of each shingle in its list."""
+    for b in batches:
+        rows, parts, tokens, places = [], [], [], []
+        for i, (n, row) in enumerate(zip(b.column("parts").to_pylist(), b.column("tokens").to_numpy(zero_copy_only=False), strict=True)):
+            row = np.asarray(row, np.int64)
+            part = row.view(np.uint64) % np.uint64(n)
+            for k in np.unique(part).tolist():
+                at = np.flatnonzero(part == k)
+                rows.append(i)
+                parts.append(k)
+                tokens.append(row[at])
+                places.append(at.astype(np.int32))
+        if rows:
+            take = pa.array(rows, pa.int32())
+            columns = {"part": pa.array(parts, pa.int32()), "tokens": pa.array(tokens, pa.list_(pa.int64())), "at": pa.array(places, pa.list_(pa.int32()))}
+            yield pa.RecordBatch.from_arrays([columns.get(c) if c in columns else b.column(c).take(take) for c in _LISTED.names], schema=_LISTED)
+
+
+def meeting_pairs(rows: dict[str, np.ndarray], tokens: list[np.ndarray], places: list[np.ndarray]) -> np.ndarray:
+    """Of members of one hub, the pairs (i, j) in different components that share a shingle early enough in both lists.
 
     Two linked sets are in one component. Two that aren't have to share one of the first ``near``; one that is, with any of the other's.
-    Of such pairs those stay that can share enough: what both lists hold, and what the longer rest that isn't listed could add.
+    A shingle of a single component gives nothing, and one of a large component and others only what crosses between them.
     """
-    # |D(b)| is at most |D(a)| + (|a| + |b|) / 7; what is farther from the hub than any set that asks allows is left out.
-    reach = differ.where("asks").groupBy("hub").agg(F.max(7 * F.col("d") + F.col("size")).alias("reach"))
-    differ = differ.join(reach, "hub").where(7 * F.col("d") - F.col("size") <= F.col("reach")).drop("reach")
-    rooted = differ.join(roots.select(F.col("node").alias("set"), "root"), "set", "left").withColumn("root", F.coalesce("root", "set"))
-    each = staged(rooted, "rooted").select("hub", "set", "size", "asks", "linked", "d", "near", "root", F.posexplode("tokens").alias("at", "token"))
-    apart = each.where(~F.col("linked"))
-    near = apart.where(F.col("at") < F.col("near"))
-
-    # First by components, of which a hot shingle has fewer: with this the pair (a, b) fits if lead(a) + far(b) and lead(b) + far(a) are 0 at most.
-    lead, far = 14 * F.col("at") - 7 * F.col("d") - F.col("size"), 7 * F.col("d") - F.col("size")
-    whole = near.groupBy("hub", "token", "root").agg(F.min(lead).alias("lead"), F.min(far).alias("far"), F.bool_or("asks").alias("asks"))
-    x, y = (whole.select("hub", "token", *(F.col(c).alias(f"{c}_{m}") for c in ("root", "lead", "far", "asks"))) for m in "ab")
-    apt = (F.col("root_a") < F.col("root_b")) & (F.col("asks_a") | F.col("asks_b")) & (F.col("lead_a") + F.col("far_b") <= 0) & (F.col("lead_b") + F.col("far_a") <= 0)
-    live = x.join(y, ["hub", "token"]).where(apt).select("hub", "token", F.explode(F.array("root_a", "root_b")).alias("root")).distinct()
-    near = staged(near.join(live.hint("merge"), ["hub", "token", "root"], "left_semi"), "shared")
-
-    def side(rows: DataFrame, mark: str) -> DataFrame:
-        return rows.select("hub", "token", *(F.col(c).alias(f"{c}_{mark}") for c in ("set", "size", "asks", "linked", "d", "root", "at")))
+    n = len(tokens)
+    owner = np.repeat(np.arange(n), [len(t) for t in tokens])
+    token, at = np.concatenate(tokens), np.concatenate(places).astype(np.int64)
+    order = np.argsort(token, kind="stable")
+    token, at, owner = token[order], at[order], owner[order]
+    root, size, asks, linked, d = (rows[c] for c in ("root", "size", "asks", "linked", "d"))
+    close = at < rows["near"][owner]
+    starts = np.flatnonzero(np.concatenate([[True], token[1:] != token[:-1]]))
+    lengths = np.diff(np.append(starts, len(token)))
+    roots = root[owner]
+    live = (lengths > 1) & (np.minimum.reduceat(roots, starts) != np.maximum.reduceat(roots, starts)) & np.logical_or.reduceat(asks[owner], starts)
+    found = [np.zeros(0, np.int64)]
+
+    def keep(i: np.ndarray, j: np.ndarray) -> None:
+        a, b = owner[i], owner[j]
+        t = -((size[a] + size[b] - 7 * (d[a] + d[b])) // 14)
+        good = (root[a] != root[b]) & ~(linked[a] & linked[b]) & (at[i] + t <= d[a]) & (at[j] + t <= d[b]) & (linked[a] | linked[b] | (close[i] & close[j]))
+        good &= (UP * np.maximum(size[a], size[b]) <= DOWN * np.minimum(size[a], size[b])) & ((asks[a] & (size[a] <= size[b])) | (asks[b] & (size[b] <= size[a])))
+        found.append(np.unique(np.minimum(a[good], b[good]) * n + np.maximum(a[good], b[good])))
+
+    for m in np.unique(lengths[live & (lengths <= GROUP)]).tolist():
+        x, y = np.triu_indices(m, 1)
+        for first in np.array_split(starts[live & (lengths == m)], 1 + int((live & (lengths == m)).sum()) * len(x) // 1_000_000):
+            keep((first[:, None] + x).ravel(), (first[:, None] + y).ravel())
+    for first, m in zip(starts[live & (lengths > GROUP)].tolist(), lengths[live & (lengths > GROUP)].tolist(), strict=True):
+        run = np.arange(first, first + m)
+        names, counts = np.unique(roots[run], return_counts=True)
+        some = run[roots[run] != names[counts.argmax()]]
+        far = 7 * d[owner[run]] - size[owner[run]]
+        run = run[np.argsort(far, kind="stable")]
+        far.sort()
+        # a pair fits only if 14 at(i) - 7 d(i) - size(i) + far(j) is 0 at most
+        reach = np.searchsorted(far, 7 * d[owner[some]] + size[owner[some]] - 14 * at[some], "right")
+        for part in np.array_split(np.arange(len(some)), 1 + int(reach.sum()) // 1_000_000):
+            k = reach[part]
+            keep(np.repeat(some[part], k), run[np.arange(k.sum()) - np.repeat(np.cumsum(k) - k, k)])
+    both = np.unique(np.concatenate(found))
+    return np.stack([both // n, both % n], 1)
+
+
+def _meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows of _LISTED sorted by hub and part → hub, set_a, set_b."""
+
+    def pairs(held: list[pa.RecordBatch]) -> pa.RecordBatch:
+        t = pa.Table.from_batches(held, _LISTED)
+        rows = {c: t.column(c).to_numpy() for c in _LISTED.names[2:9]}
+        rows |= {c: rows[c].astype(np.int64) for c in ("size", "d", "near")} | {c: rows[c].astype(bool) for c in ("asks", "linked")}
+        met = meeting_pairs(rows, t.column("tokens").to_numpy(), t.column("at").to_numpy())
+        return pa.RecordBatch.from_arrays([pa.array(np.full(len(met), t.column("hub")[0].as_py(), np.int64)), *(pa.array(rows["set"][met[:, k]]) for k in (0, 1))], ["hub", "set_a", "set_b"])
+
+    held, key = [], None
+    for b in batches:
+        if not b.num_rows:
+            continue
+        hub, part = b.column("hub").to_numpy(), b.column("part").to_numpy()
+        edges = [0, *(np.flatnonzero((hub[1:] != hub[:-1]) | (part[1:] != part[:-1])) + 1).tolist(), len(hub)]
+        for a, e in itertools.pairwise(edges):
+            if held and key != (hub[a], part[a]):
+                yield pairs(held)
+                held = []
+            key = hub[a], part[a]
+            held.append(b.slice(a, e - a).select(_LISTED.names))
+    if held:
+        yield pairs(held)
 
-    t = F.ceil((7 * (F.col("d_a") + F.col("d_b")) - F.col("size_a") - F.col("size_b")) / 14)
-    fits = (F.col("root_a") != F.col("root_b")) & (UP * F.greatest("size_a", "size_b") <= DOWN * F.least("size_a", "size_b"))
-    fits &= ((F.col("size_a") <= F.col("size_b")) & F.col("asks_a")) | ((F.col("size_b") <= F.col("size_a")) & F.col("asks_b"))
-    fits &= (F.col("at_a") + t <= F.col("d_a")) & (F.col("at_b") + t <= F.col("d_b"))
-    both = side(near, "a").join(side(near, "b"), ["hub", "token"]).where((F.col("set_a") < F.col("set_b")) & fits)
-    one = side(each.where("linked"), "a").join(side(apart, "b"), ["hub", "token"]).where(fits)
-    met = both.unionByName(one).select("hub", "set_a", "set_b").distinct()
+
+def _differences(differ: DataFrame, roots: DataFrame) -> DataFrame:
+    """a, b: sets of one hub, in different components, whose differences from it can share enough.
+
+    Lists meet by hub, those of a large hub in parts of about MEET shingles. Of the pairs that share one early enough those stay that
+    can share enough: what both lists hold, and what the longer rest that isn't listed could add.
+    """
+    # |D(b)| is at most |D(a)| + (|a| + |b|) / 7; what is farther from the hub than any set that asks allows is left out.
+    listed = F.size("tokens")
+    reach = differ.groupBy("hub").agg(F.max(F.when(F.col("asks"), 7 * F.col("d") + F.col("size"))).alias("reach"), F.ceil((F.sum(listed.cast("long")) + 1) / MEET).cast("int").alias("parts"))
+    near = differ.join(reach, "hub").where((7 * F.col("d") - F.col("size") <= F.col("reach")) & (listed > 0))
+    rooted = near.join(roots.select(F.col("node").alias("set"), "root"), "set", "left").withColumn("root", F.coalesce("root", "set"))
+    dealt = map_batches(rooted, _parted, _LISTED_DDL).repartition(partitions(differ), "hub", "part").sortWithinPartitions("hub", "part")
+    met = dealt.mapInArrow(_meet, "hub long, set_a long, set_b long").distinct()
     for mark in "ab":
-        listed = differ.select("hub", *(F.col(c).alias(f"{c}_{mark}") for c in ("set", "size", "d", "tokens")))
-        met = met.join(listed.hint("merge"), ["hub", f"set_{mark}"])
+        side = differ.select("hub", *(F.col(c).alias(f"{c}_{mark}") for c in ("set", "size", "d", "tokens")))
+        met = met.join(side.hint("merge"), ["hub", f"set_{mark}"])
+    t = F.ceil((7 * (F.col("d_a") + F.col("d_b")) - F.col("size_a") - F.col("size_b")) / 14)
     rest = F.greatest(F.lit(0), F.col("d_a") - F.size("tokens_a"), F.col("d_b") - F.size("tokens_b"))
     enough = met.where(F.size(F.array_intersect("tokens_a", "tokens_b")) + rest >= t)
     return enough.select(F.col("set_a").alias("a"), F.col("set_b").alias("b")).distinct()
