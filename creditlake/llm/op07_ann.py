@@ -2,8 +2,12 @@
 
 Equal vectors are indexed once with their smallest ids (a limit that Spark applies before it exchanges rows), so a vector that a
 third of all rows share is one entry. Centroids and codebooks are fitted in one task on a bounded sample; every vector is indexed.
-Lists and their queries are split into blocks of bounded size; in a block, asymmetric distance tables rank the codes, and the best
-RERANK are measured exactly on the original vectors, in double precision, before anything leaves the block.
+How many lists a query probes follows from the data: each list's size and spread tell how many of its vectors are expected to be
+nearer than the k-th nearest of all, and the lists that hold COVER of what is expected are probed. Where vectors form clusters that
+is few lists; where they have no structure, as uniform directions, no index of this kind can do with few, and it is a third or more.
+Lists are cut into blocks of bounded size, which are dealt to tasks by hash; a query goes once to each task that has lists of it, and
+entries are never copied. In a task, asymmetric distance tables rank the codes of a query's lists, and the best RERANK are measured
+exactly on the original vectors, in double precision, before anything leaves the task.
 
 Defined cases: vectors that are null, zero, of another length than most, or with null or non-finite parts take no part; rows that
 repeat an id and its vector count once; ties go to the smaller id; a null id takes no part; with fewer than k candidates all are
@@ -22,12 +26,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from creditlake.llm.common import only, read, staged
+from creditlake.llm.common import only, partitions, read, staged
 
-SAMPLE = 16_384  #: vectors that centroids and codebooks are fitted on, at most
-MAX_LISTS, PARTS, CODES = 4096, 16, 256
-#: Lists probed: SHARE of them, PROBES at least, and more until LEAST vectors are seen; vectors without structure need a large share.
-SHARE, PROBES, RERANK, LEAST, BLOCK, K, EVERY = 0.6, 32, 64, 256, 4096, 5, 50
+SAMPLE = 16_384  #: vectors that centroids and codebooks are fitted on, about; lists are a quarter of them at most
+PARTS, CODES = 16, 256
+#: Share of the expected nearest vectors that probed lists hold, lists that are probed at least, and vectors seen at least.
+COVER, PROBES, LEAST = 0.97, 8, 256
+RERANK, BLOCK, K, EVERY = 64, 4096, 5, 50
 
 
 @dataclass(frozen=True)
@@ -101,8 +106,8 @@ def _matrix(column: pa.Array) -> np.ndarray:
 
 
 def train(rows: DataFrame, n: int) -> Index | None:
-    """Fitted in one task on the SAMPLE rows of smallest hash."""
-    lists = max(1, min(MAX_LISTS, round(math.sqrt(n))))
+    """Fitted in one task on rows of small hash: SAMPLE of them in expectation, never more than twice as many."""
+    lists = max(1, min(SAMPLE // 4, round(4 * math.sqrt(n))))
 
     def learn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         found = [_matrix(b.column("vector")) for b in batches if b.num_rows]
@@ -111,7 +116,9 @@ def train(rows: DataFrame, n: int) -> Index | None:
             index = fit(x[np.lexsort(x.T[::-1])], lists)
             yield pa.RecordBatch.from_arrays([pa.array([index.coarse.astype("<f4").tobytes()]), pa.array([index.books.astype("<f4").tobytes()]), pa.array([list(index.books.shape)], pa.list_(pa.int32()))], ["coarse", "books", "shape"])
 
-    made = rows.orderBy(F.xxhash64("vector"), F.col("ids")[0]).limit(SAMPLE).select("vector").coalesce(1).mapInArrow(learn, "coarse binary, books binary, shape array<int>").collect()
+    span = 1 << 30
+    some = rows if n <= SAMPLE else rows.where(F.pmod(F.xxhash64("vector"), F.lit(span)) < int(span * SAMPLE / n)).limit(2 * SAMPLE)
+    made = some.select("vector").repartition(1).mapInArrow(learn, "coarse binary, books binary, shape array<int>").collect()
     if not made:
         return None
     (m,) = made
@@ -119,8 +126,46 @@ def train(rows: DataFrame, n: int) -> Index | None:
     return Index(np.frombuffer(m.coarse, "<f4").reshape(-1, dim), np.frombuffer(m.books, "<f4").reshape(m.shape))
 
 
-def search(embeddings: DataFrame, every: int = EVERY, k: int = K, share: float = SHARE, rerank: int = RERANK) -> DataFrame:
-    """query_id, rank, vec_id, score: the k nearest found of each row whose id is divisible by ``every``."""
+def tail(z: np.ndarray) -> np.ndarray:
+    """Share of a normal distribution beyond z, within a few parts in a hundred."""
+    high = 0.5 * np.exp(-0.717 * np.abs(z) - 0.416 * z * z)
+    return np.where(z >= 0, high, 1 - high)
+
+
+@dataclass(frozen=True)
+class Spread:
+    """Of each list: its size, and of the cosines of its vectors with the centroid the mean, the variance and the mean of 1 less the square."""
+
+    held: np.ndarray
+    mean: np.ndarray
+    variance: np.ndarray
+    rest: np.ndarray
+
+    def expected(self, near: np.ndarray, dim: int, k: int) -> np.ndarray:
+        """Of the k nearest vectors of each query, how many each list is expected to hold; near: cosines of queries and centroids."""
+        middle = near * self.mean
+        width = np.sqrt(near**2 * self.variance + np.maximum(0, 1 - near**2) * self.rest / max(1, dim - 1) + 1e-12)
+        low, high = np.full((len(near), 1), -1.5), np.full((len(near), 1), 1.5)
+        for _ in range(24):
+            level = (low + high) / 2
+            many = (self.held * tail((level - middle) / width)).sum(1, keepdims=True) > k
+            low, high = np.where(many, level, low), np.where(many, high, level)
+        return self.held * tail((low - middle) / width)
+
+    def probed(self, near: np.ndarray, dim: int, k: int, cover: float) -> list[np.ndarray]:
+        """The lists that each query probes."""
+        out = []
+        for want, cosines in zip(self.expected(near, dim, k), near, strict=True):
+            order = np.lexsort((-cosines, -want))
+            order = order[self.held[order] > 0]
+            share = np.cumsum(want[order])
+            enough = int(np.searchsorted(share, cover * share[-1])) + 1, int(np.searchsorted(np.cumsum(self.held[order]), LEAST)) + 1
+            out.append(order[: max(PROBES, *enough)])
+        return out
+
+
+def search(embeddings: DataFrame, every: int = EVERY, k: int = K, cover: float = COVER, rerank: int = RERANK) -> DataFrame:
+    """query_id, rank, vec_id, score: the k nearest found of each row whose id is divisible by ``every``; cover 1 probes all lists."""
     spark = embeddings.sparkSession
     out = "query_id long, rank int, vec_id long, score double"
     rows = staged(classes(embeddings, k + 1), "vectors")
@@ -128,6 +173,7 @@ def search(embeddings: DataFrame, every: int = EVERY, k: int = K, share: float =
     index = train(rows, n) if n else None
     if index is None:
         return spark.createDataFrame([], out)
+    dim, parts = index.coarse.shape[1], partitions(rows)
 
     def indexed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -135,52 +181,76 @@ def search(embeddings: DataFrame, every: int = EVERY, k: int = K, share: float =
                 x = unit(_matrix(b.column("vector")))
                 at = _nearest(x.astype(np.float32), index.coarse)
                 codes = index.codes(x, at)
-                yield pa.RecordBatch.from_arrays([pa.array(at, pa.int32()), pa.array([c.tobytes() for c in codes], pa.binary()), b.column("vector"), b.column("ids")], ["list", "code", "vector", "ids"])
+                yield pa.RecordBatch.from_arrays([pa.array(at, pa.int32()), pa.array((x * index.coarse[at]).sum(1)), pa.array([c.tobytes() for c in codes], pa.binary()), b.column("vector"), b.column("ids")], ["list", "cosine", "code", "vector", "ids"])
+
+    entries = staged(rows.mapInArrow(indexed, "list int, cosine double, code binary, vector array<double>, ids array<long>"), "index")
+    c = F.col("cosine")
+    sizes = {r.list: r for r in entries.groupBy("list").agg(F.count(c).alias("n"), F.avg(c).alias("mean"), F.var_pop(c).alias("variance"), F.avg(1 - c * c).alias("rest")).collect()}  # a row a list, SAMPLE / 4 at most
+    spread = Spread(*(np.array([float(sizes[i][f]) if i in sizes else 0.0 for i in range(len(index.coarse))]) for f in ("n", "mean", "variance", "rest")))
+    blocks = np.maximum(1, -(-spread.held.astype(int) // BLOCK))
+    first = np.cumsum(blocks) - blocks  # the number of each list's first block
+    task = np.random.default_rng(3).permutation(int(blocks.sum())) % parts
+
+    def asking(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in (b.slice(i, 256) for b in batches for i in range(0, b.num_rows, 256)):
+            near, rows_, tasks, lists = unit(_matrix(b.column("vector"))) @ index.coarse.T, [], [], []
+            for i, probed in enumerate(spread.probed(near, dim, k, cover)):
+                every_ = np.concatenate([np.arange(first[p], first[p] + blocks[p]) for p in probed])
+                for t in np.unique(task[every_]).tolist():
+                    rows_.append(i)
+                    tasks.append(t)
+                    lists.append(every_[task[every_] == t])
+            at = pa.array(rows_, pa.int32())
+            yield pa.RecordBatch.from_arrays([b.column("query_id").take(at), b.column("vector").take(at), pa.array(tasks, pa.int32()), pa.array(lists, pa.list_(pa.int32()))], ["query_id", "vector", "task", "blocks"])
 
-    entries = staged(rows.mapInArrow(indexed, "list int, code binary, vector array<double>, ids array<long>"), "index")
-    sizes = {r.list: r["count"] for r in entries.groupBy("list").count().collect()}  # MAX_LISTS numbers at most
-    held = np.array([sizes.get(i, 0) for i in range(len(index.coarse))])
-    blocks = np.maximum(1, -(-held // BLOCK))
+    asked = only(embeddings, query_id=embeddings["vec_id"].cast("long"), vector=embeddings["embedding"].cast("array<double>")).where(F.col("query_id") % every == 0)
+    asked = asked.join(rows.select("vector"), "vector", "left_semi").distinct().mapInArrow(asking, "query_id long, vector array<double>, task int, blocks array<int>")
 
-    def probing(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def placed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Each entry with its block, by the place in its task's batch; balance is all that depends on it."""
+        turn = 0
         for b in batches:
-            to: list[tuple[int, int]] = []
-            x = unit(_matrix(b.column("vector"))) if b.num_rows else np.zeros((0, index.coarse.shape[1]))
-            for i, near in enumerate(np.argsort(-(x @ index.coarse.T), axis=1, kind="stable")):
-                near = near[held[near] > 0]
-                enough = int(np.searchsorted(np.cumsum(held[near]), LEAST)) + 1
-                to += [(i, p, s) for p in near[: max(PROBES, math.ceil(share * len(held)), enough)].tolist() for s in range(blocks[p])]
-            rows_ = pa.array([t[0] for t in to], pa.int32())
-            yield pa.RecordBatch.from_arrays([b.column("query_id").take(rows_), b.column("vector").take(rows_), pa.array([t[1] for t in to], pa.int32()), pa.array([t[2] for t in to], pa.int32())], ["query_id", "vector", "list", "block"])
-
-    asked = only(embeddings, query_id=embeddings["vec_id"].cast("long"), vector=embeddings["embedding"].cast("array<double>")).where(F.col("query_id") % every == 0)
-    asked = asked.join(rows.select("vector"), "vector", "left_semi").distinct().mapInArrow(probing, "query_id long, vector array<double>, list int, block int")
-    asked = asked.withColumn("part", F.pmod(F.xxhash64("query_id"), F.lit(1 + n // every // BLOCK)).cast("int"))
-    table = spark.createDataFrame([(i, int(b)) for i, b in enumerate(blocks)], "list int, blocks int")
-    dealt = entries.join(F.broadcast(table), "list").withColumn("block", F.pmod(F.xxhash64("vector"), F.col("blocks")).cast("int")).drop("blocks")
-    dealt = dealt.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(n // every // BLOCK))))
-
-    def ranked(key: tuple, left: pa.Table, right: pa.Table) -> pa.Table:
-        got: list[tuple] = []
-        if left.num_rows and right.num_rows:
-            left, right = left.combine_chunks(), right.combine_chunks()
-            vectors = _matrix(left.column("vector").combine_chunks())
-            codes = np.frombuffer(b"".join(left.column("code").to_pylist()), np.uint8).reshape(len(vectors), -1)
-            ids = left.column("ids").to_pylist()
-            first = np.array([i[0] for i in ids])
-            asked_ = unit(q := _matrix(right.column("vector").combine_chunks()))
-            base = asked_ @ index.coarse[key[0].as_py()]
-            for j, (query, u) in enumerate(zip(right.column("query_id").to_pylist(), asked_, strict=True)):
+            at = b.column("list").to_numpy()
+            block = first[at] + (np.arange(len(at)) + turn) % blocks[at]
+            turn += len(at)
+            yield pa.RecordBatch.from_arrays([pa.array(task[block], pa.int32()), pa.array(block, pa.int32()), b.column("list"), b.column("code"), b.column("vector"), b.column("ids")], ["task", "block", "list", "code", "vector", "ids"])
+
+    held = entries.select("list", "code", "vector", "ids").mapInArrow(placed, "task int, block int, list int, code binary, vector array<double>, ids array<long>")
+    both = held.unionByName(asked, allowMissingColumns=True).repartitionById(parts, F.col("task")).sortWithinPartitions(F.col("query_id").asc_nulls_first(), "block")
+
+    def ranked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """A task's entries, sorted by block, then the queries that probe some of its blocks."""
+        kept: list[pa.RecordBatch] = []
+        ready = None
+        for b in batches:
+            own = b.filter(b.column("query_id").is_null())
+            if own.num_rows:
+                kept.append(own)
+            asks = b.filter(b.column("query_id").is_valid())
+            if not asks.num_rows or not kept:
+                continue
+            if ready is None:
+                t = pa.Table.from_batches(kept).combine_chunks()
+                one = lambda name, t=t: t.column(name).combine_chunks()
+                vectors, block, at, ids = _matrix(one("vector")), one("block").to_numpy(), one("list").to_numpy(), one("ids").to_pylist()
+                codes = np.frombuffer(b"".join(one("code").to_pylist()), np.uint8).reshape(len(vectors), -1)
+                ready, lowest = True, np.array([i[0] for i in ids])
+            got: list[tuple] = []
+            places = np.arange(codes.shape[1])
+            q = _matrix(asks.column("vector"))
+            for query, own_, u, wanted in zip(asks.column("query_id").to_pylist(), q, unit(q), asks.column("blocks").to_numpy(zero_copy_only=False), strict=True):
+                low, high = np.searchsorted(block, wanted, "left"), np.searchsorted(block, wanted, "right")
+                rows_ = np.concatenate([np.arange(a, e) for a, e in zip(low.tolist(), high.tolist(), strict=True)])
                 tables = np.einsum("pcw,pw->pc", index.books, _padded(u[None], index.books)[0])
-                near = base[j] + tables[np.arange(len(tables)), codes].sum(1)
-                top = np.lexsort((first, -near))[:rerank]
-                exact = cosine(vectors[top], q[j])
-                for t in np.lexsort((first[top], -exact))[: k + 1]:
-                    got.append((query, ids[top[t]], float(exact[t])))
-        return pa.table({"query_id": pa.array([g[0] for g in got], pa.int64()), "ids": pa.array([g[1] for g in got], pa.list_(pa.int64())), "score": pa.array([g[2] for g in got], pa.float64())})
-
-    keys = ("list", "block", "part")
-    found = dealt.groupBy(*keys).cogroup(asked.groupBy(*keys)).applyInArrow(ranked, "query_id long, ids array<long>, score double")
+                near = (index.coarse @ u)[at[rows_]] + tables[places, codes[rows_]].sum(1)
+                if len(rows_) > rerank:
+                    rows_ = rows_[np.argpartition(-near, rerank)[:rerank]]
+                exact = cosine(vectors[rows_], own_)
+                for t_ in np.lexsort((lowest[rows_], -exact))[: k + 1]:
+                    got.append((query, ids[rows_[t_]], float(exact[t_])))
+            yield pa.RecordBatch.from_arrays([pa.array([g[0] for g in got], pa.int64()), pa.array([g[1] for g in got], pa.list_(pa.int64())), pa.array([g[2] for g in got], pa.float64())], ["query_id", "ids", "score"])
+
+    found = both.mapInArrow(ranked, "query_id long, ids array<long>, score double")
     found = found.select("query_id", F.explode("ids").alias("vec_id"), "score").where(F.col("vec_id") != F.col("query_id"))
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
