@@ -4,8 +4,8 @@ Each document's lines become 128-bit keys where they lie; only keys are exchange
 descending) and sorted, so that a task streams each key's documents, the keeper first. A key that is as frequent as a third of
 all rows is spread over many tasks by its documents. The stream of a key that lies inside one task is decided there; the first
 and the last key of a task may go on in a neighbour, so their rows wait for the key's total, taken over those rows alone (two
-keys a task at most, which bounds what is broadcast). What comes back is a bitmap of lines to drop for each document,
-compressed, and never text.
+keys a task at most, which bounds what is broadcast). What comes back is a bitmap of lines to keep for each document
+that loses any, compressed, and never text. Keys are dealt in order (``Ranges``), so the pass over texts runs once.
 
 Defined cases: null or empty text is one empty line; a null doc_id ranks below all others; rows that repeat a doc_id count as one
 document and each loses its own lines; lines of the keeper all stay; an empty table gives no rows; other columns pass through
@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from creditlake.llm.common import map_batches, only, partitions, read, small_batches, staged, text_of
+from creditlake.llm.common import Ranges, ints, map_batches, only, packed, partitions, read, sampled, small_batches, staged, text_of, unpacked
 
 MIN_CHARS, MIN_DOCS = 40, 5
 SPACE = b"\x20\x09\x0a\x0b\x0c\x0d"
@@ -38,7 +38,12 @@ def line_key(line: bytes, least: int) -> bytes | None:
     return hashlib.blake2b(key.lower(), digest_size=16).digest()
 
 
-def _keys(least: int):
+def _falling(column: pa.Array) -> np.ndarray:
+    """Rises as doc_id falls, null last."""
+    return ~ints(column)
+
+
+def _keys(least: int, ranges: Ranges | None):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             keys, rows, places = [], [], []
@@ -51,7 +56,9 @@ def _keys(least: int):
                 rows += [i] * len(found)
                 places += found.values()
             at = pa.array(rows, pa.int32())
-            yield pa.RecordBatch.from_arrays([pa.array(keys, pa.binary()), b.column("doc_id").take(at), b.column("digest").take(at), pa.array(places, pa.list_(pa.int32()))], ["key", "doc_id", "digest", "places"])
+            doc = b.column("doc_id").take(at)
+            part = np.zeros(len(keys), np.int32) if ranges is None else ranges.part(np.array(keys, "S16"), _falling(doc))
+            yield pa.RecordBatch.from_arrays([pa.array(keys, pa.binary()), doc, b.column("digest").take(at), pa.array(places, pa.list_(pa.int32())), pa.array(part)], ["key", "doc_id", "digest", "places", "part"])
 
     return run
 
@@ -105,14 +112,14 @@ def _stream(least: int):
 
 
 def bitmap(places: list[int]) -> bytes:
-    """Places of lines to drop as a deflated bitmap."""
-    bits = np.zeros(max(places) + 1, np.uint8)
-    bits[places] = 1
+    """A deflated bitmap of lines to keep, 0 at these places; lines behind its end are kept."""
+    bits = np.ones(-(-(max(places) + 1) // 8) * 8, np.uint8)
+    bits[places] = 0
     return zlib.compress(np.packbits(bits, bitorder="little").tobytes(), 1)
 
 
 def dropped(bits: bytes | None) -> set[int]:
-    return set() if bits is None else set(np.flatnonzero(np.unpackbits(np.frombuffer(zlib.decompress(bits), np.uint8), bitorder="little")).tolist())
+    return set() if bits is None else set(np.flatnonzero(np.unpackbits(np.frombuffer(zlib.decompress(bits), np.uint8), bitorder="little") == 0).tolist())
 
 
 def digest_of(text: Column) -> Column:
@@ -121,12 +128,14 @@ def digest_of(text: Column) -> Column:
 
 
 def line_bitmaps(documents: DataFrame, min_chars: int = MIN_CHARS, min_docs: int = MIN_DOCS) -> DataFrame:
-    """doc_id, digest, bits: for each document that loses lines, the deflated bitmap of their places."""
+    """doc_id, digest, bits: for each document that loses lines, the deflated bitmap of those that it keeps."""
     small_batches(documents.sparkSession)
     text = text_of(documents)
-    keys = map_batches(only(documents, doc_id=documents["doc_id"].cast("long"), digest=digest_of(text), text=text), _keys(min_chars), "key binary, doc_id long, digest long, places array<int>")
-    order = [F.col("key"), F.col("doc_id").desc_nulls_last()]
-    sorted_ = keys.repartitionByRange(partitions(keys), *order).sortWithinPartitions(*order, "digest")
+    texts, row, n = only(documents, doc_id=documents["doc_id"].cast("long"), digest=digest_of(text), text=text), "key binary, doc_id long, digest long, places array<int>, part int", partitions(documents)
+    known = map_batches(sampled(texts), _keys(min_chars, None), row).select("key", "doc_id").limit(200_000).toArrow()  # bounded; affects the balance only
+    ranges = Ranges(np.array(known["key"].to_pylist(), "S16"), _falling(known["doc_id"].combine_chunks()), n)
+    keys = map_batches(texts, _keys(min_chars, ranges), row).repartitionById(n, F.col("part")).drop("part")
+    sorted_ = keys.sortWithinPartitions("key", F.col("doc_id").desc_nulls_last(), "digest")
     stream = staged(sorted_.mapInArrow(_stream(min_docs), "kind byte, key binary, doc_id long, digest long, places array<int>, docs long"), "lines")
     totals = stream.where(F.col("kind") == EDGE).groupBy("key").agg(F.sum("docs").alias("total"), F.max("doc_id").alias("keeper"))
     late = stream.where(F.col("kind") == OPEN).drop("docs").join(F.broadcast(totals), "key").where((F.col("total") >= min_docs) & ~F.col("doc_id").eqNullSafe(F.col("keeper")))
@@ -134,9 +143,10 @@ def line_bitmaps(documents: DataFrame, min_chars: int = MIN_CHARS, min_docs: int
     return drops.groupBy("doc_id", "digest").agg(F.udf(bitmap, "binary", useArrow=True)(F.flatten(F.collect_list("places"))).alias("bits"))
 
 
-def _with_bitmaps(documents: DataFrame, min_chars: int, min_docs: int) -> DataFrame:
-    bits = line_bitmaps(documents, min_chars, min_docs).select(F.col("doc_id").alias("_doc"), F.col("digest").alias("_digest"), F.col("bits").alias("_bits")).hint("merge")
-    return documents.join(bits, documents["doc_id"].cast("long").eqNullSafe(bits["_doc"]) & (digest_of(text_of(documents)) == bits["_digest"]), "left")
+def _with_bitmaps(rows: DataFrame, bitmaps: DataFrame) -> DataFrame:
+    """rows (doc_id, digest and others) with the bitmap of their document, null ids included."""
+    bits = bitmaps.withColumnsRenamed({"doc_id": "bits_doc", "digest": "bits_digest"}).hint("merge")
+    return rows.join(bits, rows["doc_id"].eqNullSafe(bits["bits_doc"]) & (rows["digest"] == bits["bits_digest"]), "left").drop("bits_doc", "bits_digest")
 
 
 def _kept(text: str, bits: bytes | None) -> tuple[int, int, str]:
@@ -150,12 +160,14 @@ def drop_lines(documents: DataFrame, min_chars: int = MIN_CHARS, min_docs: int =
     """documents, all columns, with the kept lines as text; rows without a drop are as they were."""
 
     @F.pandas_udf("string")
-    def kept(text, bits):
-        return text.combine(bits, lambda t, b: t if b is None else _kept(t or "", b)[2])
+    def kept(texts, bits):
+        return texts.combine(bits, lambda t, b: None if t is None else _kept(unpacked(t).decode(), b)[2])
 
-    both = _with_bitmaps(documents, min_chars, min_docs)
-    text = F.when(both["_bits"].isNull(), documents["text"]).otherwise(kept(documents["text"], both["_bits"]))
-    return both.select(*((text if c == "text" else documents[c]).alias(c) for c in documents.columns))
+    bitmaps = line_bitmaps(documents, min_chars, min_docs)
+    others = [c for c in documents.columns if c != "text"]
+    rows = documents.select(F.struct(*(documents[c] for c in others)).alias("row"), documents["doc_id"].cast("long").alias("doc_id"), digest_of(text_of(documents)).alias("digest"), packed(documents["text"].cast("string")).alias("packed"))
+    both = _with_bitmaps(rows, bitmaps).select("row", kept("packed", "bits").alias("text"))
+    return both.select(*((F.col("text") if c == "text" else F.col("row")[c]).alias(c) for c in documents.columns))
 
 
 def line_digests(documents: DataFrame, min_chars: int = MIN_CHARS, min_docs: int = MIN_DOCS) -> DataFrame:
@@ -163,12 +175,12 @@ def line_digests(documents: DataFrame, min_chars: int = MIN_CHARS, min_docs: int
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            made = [_kept(t, bits) for t, bits in zip(b.column("text").to_pylist(), b.column("bits").to_pylist(), strict=True)]
+            made = [_kept(unpacked(t).decode(), bits) for t, bits in zip(b.column("packed").to_pylist(), b.column("bits").to_pylist(), strict=True)]
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array([m[0] for m in made], pa.int64()), pa.array([m[1] for m in made], pa.int64()), pa.array([hashlib.sha256(m[2].encode()).hexdigest() for m in made], pa.string())], ["doc_id", "n_lines", "n_dropped", "kept_sha256"])
 
-    narrow = only(documents, doc_id=documents["doc_id"].cast("long"), text=text_of(documents))
-    both = _with_bitmaps(narrow, min_chars, min_docs)
-    return map_batches(both.select("doc_id", "text", F.col("_bits").alias("bits")), run, "doc_id long, n_lines long, n_dropped long, kept_sha256 string")
+    bitmaps, text = line_bitmaps(documents, min_chars, min_docs), text_of(documents)
+    narrow = only(documents, doc_id=documents["doc_id"].cast("long"), digest=digest_of(text), packed=packed(text))
+    return map_batches(_with_bitmaps(narrow, bitmaps).select("doc_id", "packed", "bits"), run, "doc_id long, n_lines long, n_dropped long, kept_sha256 string")
 
 
 def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

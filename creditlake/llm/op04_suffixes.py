@@ -36,11 +36,10 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from creditlake.llm.common import Ranges, ints, map_batches, only, packed, partitions, read, sampled, small_batches, text_of
+from creditlake.llm.common import Ranges, ints, map_batches, only, packed, partitions, read, sampled, small_batches, text_of, unpacked
 from creditlake.llm.windows import GRAM, WINDOW, anchors
 
 #: Buckets a partition of the exchange holds; each is merged by itself, which bounds what a task holds.
@@ -437,10 +436,6 @@ def _spans(rows: list[tuple]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], pa.int64()) for k in range(4)], ["doc_id", "digest", "start", "end"])
 
 
-def unpacked(data: bytes) -> bytes:
-    return zstandard.ZstdDecompressor().decompress(data)
-
-
 def _texts(documents: DataFrame) -> DataFrame:
     small_batches(documents.sparkSession)
     text = text_of(documents)

@@ -20,10 +20,11 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from creditlake.llm.common import map_batches, only, partitions, read, small_batches, text_of
+from creditlake.llm.common import Ranges, ints, map_batches, only, partitions, read, sampled, small_batches, text_of, unpacked
 from creditlake.llm.op02_bpe import SPACE, tokenizer_path
 
 LENGTH, END_ID = 2048, 1
@@ -152,19 +153,27 @@ _PIECE = (("doc_id", pa.int64()), ("start", pa.int64()), ("length", pa.int64()),
 
 
 def along_curve(documents: DataFrame) -> DataFrame:
-    """doc_id and text, range-partitioned and sorted by Hilbert key."""
+    """doc_id and packed (the text as Zstandard), dealt in order of the Hilbert key and sorted by it."""
     small_batches(documents.sparkSession)
 
-    def keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        r = projection()
-        for b in batches:
-            v = np.array([vector(t) for t in b.column("text").to_pylist()]).reshape(-1, BUCKETS) @ r
-            cells = np.clip((0.5 + v / 4) * (1 << BITS), 0, (1 << BITS) - 1).astype(np.int64)
-            yield pa.RecordBatch.from_arrays([pa.array(hilbert(cells), pa.int64()), b.column("doc_id"), b.column("text")], ["key", "doc_id", "text"])
+    def keyed(ranges: Ranges | None):
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            r, packer = projection(), zstandard.ZstdCompressor(level=1)
+            for b in batches:
+                texts = b.column("text").to_pylist()
+                v = np.array([vector(t) for t in texts]).reshape(-1, BUCKETS) @ r
+                key = hilbert(np.clip((0.5 + v / 4) * (1 << BITS), 0, (1 << BITS) - 1).astype(np.int64))
+                part = np.zeros(len(key), np.int32) if ranges is None else ranges.part(key, ints(b.column("doc_id")))
+                small = [None if ranges is None else packer.compress(t.encode()) for t in texts]
+                yield pa.RecordBatch.from_arrays([pa.array(key, pa.int64()), b.column("doc_id"), b.column("tie"), pa.array(small, pa.binary()), pa.array(part)], ["key", "doc_id", "tie", "packed", "part"])
+
+        return run
 
-    d = map_batches(only(documents, doc_id=documents["doc_id"].cast("long"), text=text_of(documents)), keyed, "key long, doc_id long, text string")
-    d = d.withColumn("tie", F.xxhash64("text"))
-    return d.repartitionByRange(partitions(d), "key", "doc_id", "tie").sortWithinPartitions("key", "doc_id", "tie").select("doc_id", "text")
+    text, row, n = text_of(documents), "key long, doc_id long, tie long, packed binary, part int", partitions(documents)
+    d = only(documents, doc_id=documents["doc_id"].cast("long"), tie=F.xxhash64(text), text=text)
+    known = map_batches(sampled(d, 20_000), keyed(None), row).select("key", "doc_id").limit(40_000).toArrow()  # bounded; affects the balance only
+    ranges = Ranges(known["key"].to_numpy(), ints(known["doc_id"].combine_chunks()), n)
+    return map_batches(d, keyed(ranges), row).repartitionById(n, F.col("part")).sortWithinPartitions("key", "doc_id", "tie").select("doc_id", "packed")
 
 
 def pack(documents: DataFrame, ranks_path: str, length: int = LENGTH, ids: bool = True) -> DataFrame:
@@ -180,7 +189,7 @@ def pack(documents: DataFrame, ranks_path: str, length: int = LENGTH, ids: bool
 
         e, p, end = encoder(ranks_path), Packer(TaskContext.get().partitionId() << 32, length), END_ID.to_bytes(4, "little")
         for b in batches:
-            made = [x for doc, text in zip(b.column("doc_id").to_pylist(), b.column("text").to_pylist(), strict=True) for x in p.add(doc, e.ids(text) + end)]
+            made = [x for doc, data in zip(b.column("doc_id").to_pylist(), b.column("packed").to_pylist(), strict=True) for x in p.add(doc, e.ids(unpacked(data).decode()) + end)]
             if made:
                 yield table(made)
         yield table(list(p.close()))
