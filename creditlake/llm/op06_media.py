@@ -52,9 +52,17 @@ def encode_bmp(a: np.ndarray) -> bytes:
 
 
 def decode(data: bytes) -> np.ndarray:
-    """The samples of a Netpbm or BMP image as an array."""
-    if data[:2] == b"BM":
-        return _bmp(data)
+    """The samples of a Netpbm or BMP image as an array; bytes that hold no whole image raise MediaError."""
+    try:
+        a = _bmp(data) if data[:2] == b"BM" else _netpbm(data)
+    except (struct.error, ValueError, IndexError, OverflowError) as e:
+        raise e if isinstance(e, MediaError) else MediaError(str(e)) from e
+    if not a.size:
+        raise MediaError("no samples")
+    return a
+
+
+def _netpbm(data: bytes) -> np.ndarray:
     m = _HEADER.match(data)
     if not m:
         raise MediaError("neither Netpbm nor BMP")
@@ -119,9 +127,9 @@ def npy_tiles(a: np.ndarray, size: int = TILE) -> list[bytes]:
 
 
 def store(payload: bytes) -> bytes:
-    """The payload as samples 24 wide: BMP where the number of units is even, PGM where it is odd."""
+    """The payload as samples 24 wide, as BMP or PGM by its checksum, so that both forms are in use at every length."""
     a = np.frombuffer(payload, np.uint8).reshape(-1, WIDTH)
-    return encode_netpbm(a) if len(payload) // UNIT % 2 else encode_bmp(a)
+    return encode_netpbm(a) if zlib.crc32(payload) & 1 else encode_bmp(a)
 
 
 def padded(data: bytes) -> bytes:

@@ -193,7 +193,6 @@ def read_archives(spark: SparkSession, uri: str, payload: bool = False) -> DataF
                 if rows:
                     yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], names)
 
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "2")
     try:
         files = spark.read.format("binaryFile").option("pathGlobFilter", "*.warc.zst").load(uri).select("content")
     except Exception as e:  # noqa: BLE001  an empty table has no archive, and so no folder

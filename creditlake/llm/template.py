@@ -96,12 +96,26 @@ def text(value: Any) -> str:
     return "" if value is None else value if isinstance(value, str) else str(value)
 
 
+def checked(op: Callable[[Any, Any], Any]) -> Callable[[Any, Any], Any]:
+    """An operation whose wrong types are errors of the template."""
+
+    def run(a: Any, b: Any) -> Any:
+        try:
+            return op(a, b)
+        except TypeError as e:
+            raise TemplateError(str(e)) from e
+
+    return run
+
+
 BINARY: dict[str, Callable[[Any, Any], Any]] = {
-    "==": operator.eq, "!=": operator.ne, "<": operator.lt, "<=": operator.le, ">": operator.gt, ">=": operator.ge,
-    "in": lambda a, b: a in b, "+": operator.add, "~": lambda a, b: text(a) + text(b),
+    "==": operator.eq, "!=": operator.ne, "<": checked(operator.lt), "<=": checked(operator.le), ">": checked(operator.gt), ">=": checked(operator.ge),
+    "in": checked(lambda a, b: a in b), "+": checked(operator.add), "~": lambda a, b: text(a) + text(b),
 }
 LEVELS = (("==", "!=", "<", "<=", ">", ">=", "in"), ("+", "~"))
-TAGS = re.compile(r"\{\{(.*?)\}\}|\{%(.*?)%\}|\{#.*?#\}", re.S)
+_QUOTED = r"""'(?:\\.|[^'\\])*'|"(?:\\.|[^"\\])*\""""
+#: Tags end at their own mark, but not at one inside a string.
+TAGS = re.compile(rf"\{{\{{((?:{_QUOTED}|(?!\}}\}}).)*?)\}}\}}|\{{%((?:{_QUOTED}|(?!%\}}).)*?)%\}}|\{{#.*?#\}}", re.S)
 TOKENS = re.compile(r"""\s*(?:(?P<string>'(?:\\.|[^'\\])*'|"(?:\\.|[^"\\])*")|(?P<int>\d+)|(?P<name>[A-Za-z_]\w*)|(?P<op>==|!=|<=|>=|[<>+~|().\[\]=]))""", re.S)
 WORDS = {"true": True, "false": False, "none": None}
 ESCAPES = {"n": "\n", "t": "\t", "r": "\r"}
@@ -240,6 +254,8 @@ def statement(source: str, open_: list[tuple[str, Any, list]]) -> None:
         body.append(made)
         open_.append(("if", made, inner))
     elif word in ("elif", "else") and kind == "if":
+        if body is node.other:
+            raise TemplateError(f"{word} after else")
         if word == "elif":
             node.branches.append((e.whole(), inner := []))
         else:

@@ -80,3 +80,15 @@ def test_bpe_rows(spark):
     got = encode_digests(df, tokenizer_path("word_bpe_49k.json")).collect()
     assert sorted(r.n_tokens for r in got) == [0, 0, 0, 2]
     assert [r.decoded for r in encode(df.where("doc_id is null"), tokenizer_path("word_bpe_49k.json")).collect()] == ["a</w> b</w>"]
+
+
+def test_template_marks_in_strings_types_and_branches():
+    from creditlake.llm import template as P
+
+    out = lambda source, **env: "".join(x if isinstance(x, str) else x[0] for x in P.compile_template(source)(env))
+    assert out("a{{ '}}' ~ \"%}\" }}b{% set x = '%}' %}{{ x }}") == "a}}%}b%}"
+    for bad in ("{{ 1 + 'a' }}", "{{ 1 < 'a' }}", "{% if a %}x{% else %}y{% else %}z{% endif %}", "{% if a %}x{% else %}y{% elif b %}z{% endif %}"):
+        with pytest.raises(P.TemplateError):
+            out(bad, a=1, b=2)
+    with pytest.raises(P.TemplateError):
+        out("{{ a + b }}", a=1, b="x")

@@ -122,6 +122,37 @@ def test_npy_tiles_hold_the_array():
     assert (np.block([[*tiles[:3]], [*tiles[3:]]]) == a).all()
 
 
+def test_broken_images_are_media_errors():
+    a = np.arange(35, dtype=np.uint8).reshape(5, 7)
+    whole = [M.encode_bmp(a), M.encode_netpbm(a), M.encode_netpbm(a > 9), M.encode_bmp(np.stack([a] * 3, 2)), M.encode_netpbm(np.stack([a] * 3, 2))]
+    for data in whole:
+        for n in range(len(data)):
+            with pytest.raises(M.MediaError):
+                M.decode(data[:n])
+    for data in (b"", b"P5\n0 0\n255\n", b"P5\n2 2\n65535\n" + b"x" * 8, M.encode_bmp(a)[:18] + b"\0" * 8 + M.encode_bmp(a)[26:], b"BM" + b"\xff" * 60):
+        with pytest.raises(M.MediaError):
+            M.decode(data)
+
+
+def naive_resize(a, h, w):
+    """Means of areas from samples repeated until the areas are whole."""
+    big = np.repeat(np.repeat(a.astype(float), h, 0), w, 1)
+    return big.reshape(h, a.shape[0], w, a.shape[1]).mean((1, 3))
+
+
+def test_hash_and_tiles_equal_naive_ones():
+    rng = np.random.default_rng(5)
+    for h, w in ((24, 24), (48, 24), (7, 5), (200, 24)):
+        a = rng.integers(0, 256, (h, w)).astype(np.uint8)
+        small = naive_resize(a, 8, 9)
+        bits = [bool(small[i, j] < small[i, j + 1] - 1e-7) for i in range(8) for j in range(8)]
+        assert M.difference_hash(a) == int("".join(map(str, map(int, bits))), 2)
+        full = np.round(naive_resize(a, 64, 64) + 1e-9).astype(np.uint8)
+        tiles = [full[i : i + 32, j : j + 32] for i in (0, 32) for j in (0, 32)]
+        got = [np.load(io.BytesIO(t)) for t in M.npy_tiles(np.round(M.area_resize(a, 64, 64)).astype(np.uint8))]
+        assert all(np.abs(x.astype(int) - y).max() <= 1 for x, y in zip(got, tiles, strict=True)) and sum(int((x != y).sum()) for x, y in zip(got, tiles, strict=True)) <= 4
+
+
 def test_media_rows(spark):
     df = spark.createDataFrame([(1, None, 1), (2, "", 2), (None, "é" * 500, 3), (3, "é" * 500, 3)], "doc_id long, text string, feature int")
     got = {r.doc_id: r for r in M.media_digests(df).collect()}
