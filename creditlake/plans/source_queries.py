@@ -17,13 +17,24 @@ from creditlake.sources import writers as W
 
 
 def scratch(spark) -> str:
-    """A new folder in the shared one that the session names, or in a temporary one where it names none."""
+    """A new folder in the shared one that the session names, or in a temporary one where it names none and all run on one machine."""
     import tempfile
 
-    named = spark.conf.get("spark.checkpoint.dir", None) or f"file://{tempfile.gettempdir()}"
+    named = spark.conf.get("spark.checkpoint.dir", None)
+    if not named:
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        named = f"file://{tempfile.gettempdir()}"
     return f"{named.rstrip('/')}/creditlake-{uuid.uuid4().hex}"
 
 
+def landed(answers, files: bool) -> str:
+    """Answers (value) as landed: a file each, or a line each."""
+    to = scratch(answers.sparkSession)
+    (answers.write.option("maxRecordsPerFile", 1) if files else answers.write).text(to)
+    return to
+
+
 def _listing(spark, sf):
     k = F.col("page_id").cast("string")
     script = F.concat(F.lit('<script>var RatingBaseModel = [{"CompanyName": "Firm '), k, F.lit('", "rating": "[ICRA]AA+ (Stable)", "Amount": "1,'), k, F.lit('0 Cr", "RatId": '), k, F.lit('}, {"company": "", "Rating": "ICRA D"}];\n</script>'))
@@ -74,10 +85,17 @@ def _(spark, sf):
     return R.parse_notes(c)
 
 
+#: Headings as pages have them: in one piece, split over spans, far from their table, and before tables with stray and left-out end tags.
+_HEADS = ["<p>Key <b>Financial</b> Indicators</p><table>", "<p><span>Key Financial Indic</span><span>ators</span></p><table>", "<div>Key  Financial\nIndicators</div><p>FAR</p><table>", "<h3>KEY FINANCIAL INDICATORS</h3></b><table></i>"]
+
+
 def _kfi_html(spark, sf):
     k = F.col("page_id")
-    table = F.concat(F.lit("<p>Key <b>Financial</b> Indicators</p><table><tr><td>As on</td><td>Unit</td><td>FY 2024</td><td>Mar-23</td></tr><tr><td>Operating income</td><td>Rs.Crore</td><td>"), (k % 90 + 1).cast("string"), F.lit("</td><td>(5.2)</td></tr><tr><td>PAT margins</td><td>%</td><td>-3.5</td><td>--</td></tr></table><ul><li>Criteria for rating hotels</li></ul>"))
-    return A.read(spark, sf, "pages").select(k.alias("doc_id"), F.concat(F.coalesce("html", F.lit("")), table).alias("html"))
+    head = F.replace(F.get(F.array(*map(F.lit, _HEADS)), (k % 4).cast("int")), F.lit("FAR"), F.repeat(F.lit("word "), 200))
+    shut = lambda tag: F.when(k % 4 == 3, F.lit("")).otherwise(F.lit(f"</{tag}>"))
+    cells = (("As on", "Unit", "FY 2024", "Mar-23"), ("Operating income", "Rs.Crore", (k % 90 + 1).cast("string"), "(5.2)"), ("PAT margins", "%", "-3.5", "--"))
+    rows = [F.concat(F.lit("<tr>"), *(F.concat(F.lit("<td>"), F.lit(c) if isinstance(c, str) else c, shut("td")) for c in row), shut("tr")) for row in cells]
+    return A.read(spark, sf, "pages").select(k.alias("doc_id"), F.concat(F.coalesce("html", F.lit("")), head, *rows, F.lit("</table><ul><li>Criteria for rating hotels</li></ul>")).alias("html"))
 
 
 @query("key_indicators", "SELECT page_id AS doc_id, 2024 AS fiscal_year, CAST(page_id % 90 + 1 AS DOUBLE) AS revenue_cr, 3.5::DOUBLE AS ebitda_margin_pct FROM pages UNION ALL SELECT page_id, 2023, -5.2, NULL FROM pages")
@@ -92,13 +110,79 @@ def _(spark, sf):
     return H.criteria_text(_kfi_html(spark, sf)).select("doc_id", sector_from_criteria(F.col("criteria")).alias("sector"))
 
 
-@query("landed_json", "SELECT c_custkey::VARCHAR AS code, c_name AS name FROM customer")
+def _by_nation(spark, sf, *record):
+    """c_nationkey, records: a list of one struct a customer for each nation, in order."""
+    return A.read(spark, sf, "customer").groupBy("c_nationkey").agg(F.sort_array(F.collect_list(F.struct("c_custkey", F.struct(*record).alias("r")))).alias("x")).select("c_nationkey", F.col("x.r").alias("records"))
+
+
+@query("suggest_files", "SELECT c_name || ':' || c_mktsegment AS value FROM customer WHERE c_custkey % 3 <> 0")
+def _(spark, sf):
+    value = F.when(F.col("c_custkey") % 3 != 0, F.concat("c_name", F.lit(":"), "c_mktsegment")).otherwise(F.lit(""))
+    return R.read_suggest(spark, landed(_by_nation(spark, sf, value.alias("value")).select(F.to_json("records").alias("value")), True))
+
+
+@query("listing_lines", "SELECT c_name AS companyName, 'C' || c_custkey AS companyCode, 'f' || c_custkey || '.html' AS ratingFileName, c_mktsegment AS ratingDate, c_nationkey::VARCHAR AS prId FROM customer WHERE c_custkey % 5 <> 0")
+def _(spark, sf):
+    k = F.col("c_custkey").cast("string")
+    file = F.when(F.col("c_custkey") % 5 != 0, F.concat(F.lit("f"), k, F.lit(".html"))).otherwise(F.lit(""))
+    docs = _by_nation(spark, sf, F.col("c_name").alias("companyName"), F.concat(F.lit("C"), k).alias("companyCode"), file.alias("ratingFileName"), F.col("c_mktsegment").alias("ratingDate"), F.col("c_nationkey").cast("string").alias("prId"))
+    return R.read_listing_docs(spark, landed(docs.select(F.to_json(F.struct(F.col("records").alias("docs"))).alias("value")), False), True)
+
+
+@query("issuer_lines", "SELECT c_custkey AS issuer_id, c_name AS name, c_mktsegment AS sector, 'IND A / Stable' AS rating, (c_custkey % 900)::VARCHAR AS amount FROM customer WHERE c_custkey % 7 <> 0")
+def _(spark, sf):
+    k = F.col("c_custkey")
+    name = F.when(k % 7 != 0, F.col("c_name")).otherwise(F.lit("  "))
+    one = F.struct(k.alias("issuer_id"), name.alias("name"), F.col("c_mktsegment").alias("sector"), F.array(F.struct(F.lit("IND A / Stable").alias("rating"), (k % 900).cast("string").alias("amount"))).alias("ratingsList"))
+    c = A.read(spark, sf, "customer").select(F.when(k % 2 == 0, F.to_json(one)).otherwise(F.to_json(F.array(one, one))).alias("value"))
+    r = F.col("ratingsList")[0]
+    return R.read_issuers(spark, landed(c, False), True).select("issuer_id", "name", "sector", r["rating"].alias("rating"), r["amount"].alias("amount"))
+
+
+@query("press_release_files", "SELECT c_name AS company, 'https://x/' || c_custkey AS file_url, 'T' || c_custkey AS title, c_mktsegment AS published, row_number() OVER (PARTITION BY c_nationkey ORDER BY c_custkey) - 1 AS pos FROM customer")
+def _(spark, sf):
+    k = F.col("c_custkey").cast("string")
+    n = _by_nation(spark, sf, F.col("c_name").alias("CompanyName"), F.concat(F.lit("https://x/"), k).alias("FileURL"), F.concat(F.lit("T"), k).alias("FileTitle"), F.col("c_mktsegment").alias("PublishedDate"))
+    wrapped = F.to_json(F.struct(F.col("records").alias("data")))
+    return R.read_press_releases(spark, landed(n.select(F.when(F.col("c_nationkey") % 2 == 0, wrapped).otherwise(F.to_json("records")).alias("value")), True))
+
+
+@query("scrip_lines", "SELECT 0 AS pos, c_custkey::VARCHAR AS code, 'S' || c_custkey AS symbol, c_name AS name, '' AS isin FROM customer")
+def _(spark, sf):
+    rec = F.create_map(F.lit("ScripCd"), F.col("c_custkey").cast("string"), F.lit("symbol"), F.concat(F.lit(" S"), F.col("c_custkey").cast("string")), F.lit("ScripName"), F.col("c_name"))
+    wrapped = F.get(F.array(*(F.to_json(F.create_map(F.lit(w), F.array(rec))) for w in R.SCRIP_WRAPPERS)), (F.col("c_custkey") % len(R.SCRIP_WRAPPERS)).cast("int"))
+    return R.read_scrips(spark, landed(A.read(spark, sf, "customer").select(wrapped.alias("value")), False), True)
+
+
+@query("result_lines", "SELECT 0 AS pos, o_totalprice::VARCHAR AS pbt, 'A' AS kind FROM orders")
+def _(spark, sf):
+    rec = F.create_map(F.lit("PBT"), F.col("o_totalprice").cast("string"), F.lit("PeriodType"), F.lit("A"))
+    line = F.when(F.col("o_orderkey") % 2 == 0, F.to_json(F.create_map(F.lit("Results"), F.array(rec)))).otherwise(F.to_json(F.array(rec)))
+    return R.read_results(spark, landed(A.read(spark, sf, "orders").select(line.alias("value")), False), True).select("pos", F.col("rec")["PBT"].alias("pbt"), F.col("rec")["PeriodType"].alias("kind"))
+
+
+@query("statement_files", "SELECT o_custkey::VARCHAR AS symbol, 'income' AS statement, 'EBITDA' AS item, CAST(o_orderdate AS DATE) AS period_end, o_totalprice AS value FROM orders")
 def _(spark, sf):
     to = scratch(spark)
-    c = A.read(spark, sf, "customer").select(F.to_json(F.struct(F.array(F.create_map(F.lit("ScripCd"), F.col("c_custkey").cast("string"), F.lit("ScripName"), F.col("c_name"))).alias("Table"))).alias("value"))
-    c.write.text(to)
-    lines = spark.read.text(to).select(F.posexplode(F.from_json("value", f"Table array<{R.MAP}>")["Table"]).alias("pos", "rec"))
-    return R.scrip_columns(lines).select("code", "name")
+    A.read(spark, sf, "orders").select(F.col("o_custkey").cast("string").alias("symbol"), F.lit("income").alias("statement"), F.lit("EBITDA").alias("item"), F.col("o_orderdate").cast("string").alias("period_end"), F.col("o_totalprice").cast("string").alias("value"), F.lit(1).alias("more")).write.parquet(to)
+    return R.read_statements(spark, to)
+
+
+@query("page_files", "SELECT doc_id, 1 AS page_no, text, lang AS cell FROM documents")
+def _(spark, sf):
+    to = scratch(spark)
+    A.read(spark, sf, "documents").select("doc_id", F.lit(1).alias("page_no"), "text", F.array(F.array(F.array("lang"))).alias("tables"), "source").write.parquet(to)
+    return R.read_pages(spark, to).select("doc_id", "page_no", "text", F.col("tables")[0][0][0].alias("cell"))
+
+
+@query("notes_file", "SELECT c_custkey AS company_id, c_mktsegment AS note FROM customer WHERE c_custkey % 2 = 0")
+def _(spark, sf):
+    from creditlake import schemas
+
+    k = F.col("c_custkey")
+    note = F.when(k % 2 == 0, F.concat(F.lit(" "), "c_mktsegment")).otherwise(F.lit(" "))
+    maps = A.read(spark, sf, "customer").groupBy("c_nationkey").agg(F.to_json(F.map_from_entries(F.collect_list(F.struct(k.cast("string"), note)))).alias("value")).select("value")
+    return R.import_notes(spark, landed(maps, True), spark.createDataFrame([], schemas.NOTES)).select("company_id", "note")
 
 
 @query("equity_csv", "SELECT 'S' || s_suppkey AS symbol, s_name AS name, 'INE' || s_suppkey AS isin FROM supplier")

@@ -1,4 +1,8 @@
-"""Readers of landed raw records."""
+"""Readers of landed raw records.
+
+A file is one answer of a source, so a reader's unit of work is a file: right for many small landings. With ``lines`` each line of a
+file is an answer, and large files are split over tasks.
+"""
 
 from __future__ import annotations
 
@@ -13,8 +17,8 @@ from creditlake.functions.ratings import instrument_type_by_symbol, normalize_ra
 MAP = "map<string,string>"
 
 
-def _text(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.text(path, wholetext=True)
+def _text(spark: SparkSession, path: str, lines: bool = False) -> DataFrame:
+    return spark.read.text(path, wholetext=not lines)
 
 
 def first_spelling(rec: Column, names: list[str]) -> Column:
@@ -44,38 +48,38 @@ def read_company_universe(search: DataFrame) -> DataFrame:
     return x.groupBy("id").agg(F.max_by("name", "at").alias("name"))
 
 
-def read_suggest(spark: SparkSession, path: str) -> DataFrame:
+def read_suggest(spark: SparkSession, path: str, lines: bool = False) -> DataFrame:
     """value of each entry of a JSON array, without empty ones."""
-    return spark.read.schema("value string").json(path, multiLine=True).where(F.coalesce("value", F.lit("")) != "")
+    return _text(spark, path, lines).select(F.explode(F.from_json("value", "array<struct<value:string>>")["value"]).alias("value")).where(F.coalesce("value", F.lit("")) != "")
 
 
-def read_listing_docs(spark: SparkSession, path: str) -> DataFrame:
+def read_listing_docs(spark: SparkSession, path: str, lines: bool = False) -> DataFrame:
     """Documents of listing pages; rows without a name or file are dropped."""
     one = "companyName string, companyCode string, ratingFileName string, ratingDate string, prId string"
-    d = spark.read.schema(f"docs array<struct<{one.replace(' string', ':string')}>>").json(path, multiLine=True)
+    d = spark.read.schema(f"docs array<struct<{one.replace(' string', ':string')}>>").json(path, multiLine=not lines)
     return d.select(F.explode("docs").alias("d")).select("d.*").where((F.coalesce("companyName", F.lit("")) != "") & (F.coalesce("ratingFileName", F.lit("")) != ""))
 
 
-def read_issuers(spark: SparkSession, path: str) -> DataFrame:
+def read_issuers(spark: SparkSession, path: str, lines: bool = False) -> DataFrame:
     """Issuer documents, each an object or an array of which the first counts; blank names are dropped."""
     one = "issuer_id:bigint,name:string,sector:string,subSector:string,effectiveDate:string,ratingsList:array<struct<rating:string,instrumentName:string,amount:string>>"
-    t = _text(spark, path).select(strip(F.col("value")).alias("v"))
+    t = _text(spark, path, lines).select(strip(F.col("value")).alias("v"))
     many, single = F.from_json("v", f"array<struct<{one}>>"), F.from_json("v", f"struct<{one}>")
     parsed = F.when(F.col("v").startswith("["), F.try_element_at(many, F.lit(1))).otherwise(single)
     return t.select(parsed.alias("i")).select("i.*").where(strip(F.coalesce("name", F.lit(""))) != "")
 
 
-def _bare_or_wrapped(spark: SparkSession, path: str, wrappers: list[str]) -> DataFrame:
+def _bare_or_wrapped(spark: SparkSession, path: str, wrappers: list[str], lines: bool) -> DataFrame:
     """pos, rec of records in a JSON list that is bare or under the first wrapper key that has one."""
-    t = _text(spark, path).select(F.col("value").alias("v"))
+    t = _text(spark, path, lines).select(F.col("value").alias("v"))
     wrapped = F.from_json("v", MAP)
     found = F.from_json(F.when(strip(F.col("v")).startswith("["), F.col("v")).otherwise(F.coalesce(*(none_if_empty(wrapped[w]) for w in wrappers))), f"array<{MAP}>")
     return t.select(F.posexplode(found).alias("pos", "rec"))
 
 
-def read_press_releases(spark: SparkSession, path: str) -> DataFrame:
+def read_press_releases(spark: SparkSession, path: str, lines: bool = False) -> DataFrame:
     """pos, company, file_url, title, published of press releases, bare or under ``data``."""
-    r = _bare_or_wrapped(spark, path, ["data"])
+    r = _bare_or_wrapped(spark, path, ["data"], lines)
     return r.select("pos", F.col("rec")["CompanyName"].alias("company"), F.col("rec")["FileURL"].alias("file_url"), F.col("rec")["FileTitle"].alias("title"), F.col("rec")["PublishedDate"].alias("published"))
 
 
@@ -94,13 +98,13 @@ def scrip_columns(raw: DataFrame) -> DataFrame:
     return raw.select("pos", *(strip(F.coalesce(first_spelling(F.col("rec"), v), F.lit(""))).alias(k) for k, v in SCRIP_FIELDS.items()))
 
 
-def read_scrips(spark: SparkSession, path: str) -> DataFrame:
-    return scrip_columns(_bare_or_wrapped(spark, path, SCRIP_WRAPPERS))
+def read_scrips(spark: SparkSession, path: str, lines: bool = False) -> DataFrame:
+    return scrip_columns(_bare_or_wrapped(spark, path, SCRIP_WRAPPERS, lines))
 
 
-def read_results(spark: SparkSession, path: str) -> DataFrame:
+def read_results(spark: SparkSession, path: str, lines: bool = False) -> DataFrame:
     """pos, rec of result records, bare or wrapped."""
-    return _bare_or_wrapped(spark, path, RESULT_WRAPPERS)
+    return _bare_or_wrapped(spark, path, RESULT_WRAPPERS, lines)
 
 
 def read_equity_csv(spark: SparkSession, path: str) -> DataFrame:
