@@ -212,3 +212,22 @@ RATIONALE_URLS = {
     "India Ratings": "https://www.indiaratings.co.in/Issuers?issuerID={id}",
     "CARE Edge": "https://www.careratings.com/upload/CompanyFiles/PR/{file}",
 }
+
+# Fixed: patterns by which sources write units, years, dates, figures and plans.
+DECLARED_UNITS = [(r"in\s+lakh|rs\.?\s*lakh|\(lakh", 0.01), (r"in\s+million|rs\.?\s*million|\(mn\)", 0.1), (r"in\s+billion|rs\.?\s*billion|\(bn\)", 100.0)]
+YEAR_LIKE = r"(?i)(?:FY\s*\d{2,4}|\d{4}-\d{2,4}|Mar-\d{2}|March\s*\d{4}|\d{4})"
+FULL_YEAR, SHORT_YEAR = r"20(\d{2})", r"(?i)FY\s*(\d{2})(?!\d)"
+PAGE_YEAR = r"(?i)\bFY\s*(\d{4})\b|\bMar[- ](\d{2,4})\b|\b(\d{4})\b"
+BRIEF_YEARS = [r"(?i)march\s+\d{1,2},?\s*(\d{4})", r"(?i)\bFY\s*(20\d{2})\b", r"(?i)\bFY\s*(\d{2})\b(?!\d)"]
+BRIEF_PARTIAL = "^([0-9]?[hqm]fy|9m|6m|q)"
+TEXT_YEAR = r"(?i)(?:FY\s*\d{2,4}|\d{4}-\d{2,4}|Mar[-\s]\d{2,4})"
+TEXT_FIGURE = r"-?[\d,]+\.?\d*%?|\([\d,]+\.?\d*\)"
+TEXT_HEADING, TEXT_SECTION_ENDS = r"(?i)Key\s+financial\s+indicators", [r"^[A-Z][A-Za-z\s]+:$", r"(?i)^(Note|Rating|Instrument|Outlook)"]
+CAPEX = r"(?i)capex\s+(?:of\s+)?(?:Rs\.?\s*)?(\d[\d,\.]*)\s*(crore|cr|lakh|mn|bn|million|billion)?"
+CAPEX_AHEAD = r"(?i)over\s+the\s+next|planned|expected|FY2[0-9]|upcoming|envisaged|proposed"
+CAPEX_SPAN, CAPEX_NEXT = r"(?i)(\d+)\s*[-–]\s*(\d+)\s*years?", r"(?i)next\s+(\d+)\s+years?"
+MONTHS = "January|February|March|April|May|June|July|August|September|October|November|December"
+SUGGEST_RATING = r"(?i)['\"]?(CRISIL\s+[A-Z]{1,3}[+\-]?(?:\s*/\s*[A-Za-z]+)?)['\"]?"
+SUGGEST_OUTLOOK = r"(?i)\b(Stable|Positive|Negative|Watch|Developing)\b"
+SUGGEST_DATE = r"\b(\d{1,2}[\s\-/][A-Za-z]{3}[\s\-/]\d{2,4}|\d{4}[\-/]\d{2}[\-/]\d{2}|\d{1,2}/\d{1,2}/\d{2,4})\b"
+SHORT_TERM_NAMES, SHORT_TERM_SYMBOLS = "commercial paper| cp|short term|short-term", "A[1-4]"

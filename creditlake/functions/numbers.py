@@ -59,7 +59,10 @@ def amount_digits(text: Column) -> Column:
 def detect_unit(text: Column) -> Column:
     """Multiple of a crore that a block of text declares; 1 without a declaration."""
     t = F.lower(text)
-    return F.when(t.rlike(r"in\s+lakh|rs\.?\s*lakh|\(lakh"), 0.01).when(t.rlike(r"in\s+million|rs\.?\s*million|\(mn\)"), 0.1).when(t.rlike(r"in\s+billion|rs\.?\s*billion|\(bn\)"), 100.0).otherwise(1.0)
+    chain = F
+    for pattern, multiple in dims.DECLARED_UNITS:
+        chain = chain.when(t.rlike(pattern), multiple)
+    return chain.otherwise(1.0)
 
 
 def apply_unit(value: Column, unit: Column) -> Column:
@@ -70,33 +73,27 @@ def apply_unit(value: Column, unit: Column) -> Column:
 
 def year_from_header(text: Column) -> Column:
     """20yy as it is; FYyy is the year after; otherwise null."""
-    full = none_if_empty(F.regexp_extract(text, r"20(\d{2})", 1)).cast("int")
-    short = none_if_empty(F.regexp_extract(text, r"(?i)FY\s*(\d{2})(?!\d)", 1)).cast("int")
+    full = none_if_empty(F.regexp_extract(text, dims.FULL_YEAR, 1)).cast("int")
+    short = none_if_empty(F.regexp_extract(text, dims.SHORT_YEAR, 1)).cast("int")
     return F.coalesce(2000 + full, F.when(short < 50, 2000 + short + 1).otherwise(1900 + short + 1))
 
 
-YEAR_LIKE = r"(?i)(?:FY\s*\d{2,4}|\d{4}-\d{2,4}|Mar-\d{2}|March\s*\d{4}|\d{4})"
-
-
 def year_columns(header: Column) -> Column:
     """Places (from 0) of the cells of a header that look like years, rightmost first."""
-    return F.reverse(F.filter(F.transform(header, lambda c, i: F.when(c.rlike(YEAR_LIKE), i)), lambda i: i.isNotNull()))
+    return F.reverse(F.filter(F.transform(header, lambda c, i: F.when(c.rlike(dims.YEAR_LIKE), i)), lambda i: i.isNotNull()))
 
 
 def year_header_crisil(text: Column) -> Column:
     """FYyyyy, Mar-yy or yyyy; two digits turn at 50; only 2000 to 2030."""
-    pattern = r"(?i)\bFY\s*(\d{4})\b|\bMar[- ](\d{2,4})\b|\b(\d{4})\b"
-    n = F.coalesce(*(none_if_empty(F.regexp_extract(text, pattern, i)).cast("int") for i in (1, 2, 3)))
+    n = F.coalesce(*(none_if_empty(F.regexp_extract(text, dims.PAGE_YEAR, i)).cast("int") for i in (1, 2, 3)))
     year = F.when(n >= 100, n).when(n < 50, 2000 + n).otherwise(1900 + n)
     return F.when(year.between(2000, 2030), year)
 
 
 def fiscal_year_care(text: Column) -> Column:
     """March d, yyyy, else FYyyyy, else FYyy."""
-    def of(pattern: str) -> Column:
-        return none_if_empty(F.regexp_extract(text, "(?i)" + pattern, 1)).cast("int")
-
-    return F.coalesce(of(r"march\s+\d{1,2},?\s*(\d{4})"), of(r"\bFY\s*(20\d{2})\b"), 2000 + of(r"\bFY\s*(\d{2})\b(?!\d)"))
+    dated, full, short = (none_if_empty(F.regexp_extract(text, p, 1)).cast("int") for p in dims.BRIEF_YEARS)
+    return F.coalesce(dated, full, 2000 + short)
 
 
 def split_sentences(text: Column) -> Column:

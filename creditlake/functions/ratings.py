@@ -66,7 +66,7 @@ def grade_preset(name: str) -> tuple[int, int]:
 
 def instrument_type_by_symbol(name: Column, symbol: Column) -> Column:
     """ST for commercial paper, short-term names and symbols A1 to A4, otherwise LT."""
-    short = F.coalesce(F.lower(name), F.lit("")).rlike("commercial paper| cp|short term|short-term") | F.coalesce(F.upper(symbol), F.lit("")).rlike("A[1-4]")
+    short = F.coalesce(F.lower(name), F.lit("")).rlike(dims.SHORT_TERM_NAMES) | F.coalesce(F.upper(symbol), F.lit("")).rlike(dims.SHORT_TERM_SYMBOLS)
     return F.when(short, "ST").otherwise("LT")
 
 
@@ -80,11 +80,11 @@ def parse_suggest(value: Column) -> Column:
     """struct of name, raw_rating, grade, outlook, rating_date, action from 'Company:Action text'; a blank name gives null."""
     name = strip(F.substring_index(value, ":", 1))
     action = strip(F.regexp_replace(value, r"(?s)^[^:]*:", ""))
-    found = strip(F.regexp_extract(action, r"(?i)['\"]?(CRISIL\s+[A-Z]{1,3}[+\-]?(?:\s*/\s*[A-Za-z]+)?)['\"]?", 1))
+    found = strip(F.regexp_extract(action, dims.SUGGEST_RATING, 1))
     raw = strip(F.substring_index(found, "/", 1))
-    said = F.initcap(none_if_empty(F.regexp_extract(action, r"(?i)\b(Stable|Positive|Negative|Watch|Developing)\b", 1)))
+    said = F.initcap(none_if_empty(F.regexp_extract(action, dims.SUGGEST_OUTLOOK, 1)))
     slash = F.initcap(none_if_empty(strip(F.try_element_at(F.split(found, "/"), F.lit(2)))))
-    date = none_if_empty(F.regexp_extract(action, r"\b(\d{1,2}[\s\-/][A-Za-z]{3}[\s\-/]\d{2,4}|\d{4}[\-/]\d{2}[\-/]\d{2}|\d{1,2}/\d{1,2}/\d{2,4})\b", 1))
+    date = none_if_empty(F.regexp_extract(action, dims.SUGGEST_DATE, 1))
     rating = normalize_rating(raw)
     row = F.struct(name.alias("company_name"), raw.alias("raw_rating"), rating["grade"].alias("rating_grade"), F.coalesce(said, slash, rating["outlook"]).alias("outlook"), date.alias("rating_date"), action.alias("action_text"))
     return F.when(value.contains(":") & (name != ""), row)

@@ -68,28 +68,24 @@ def extract_from_text(text: Column) -> Column:
     return F.struct(*(of(words).alias(field) for field, words in dims.TEXT_WORDS.items()))
 
 
-_YEAR_TOKEN = r"(?i)(?:FY\s*\d{2,4}|\d{4}-\d{2,4}|Mar[-\s]\d{2,4})"
-_FIGURE = r"-?[\d,]+\.?\d*%?|\([\d,]+\.?\d*\)"
-
-
 def extract_text_table(texts: DataFrame) -> DataFrame:
     """doc_id and the figures of a 'Key financial indicators' block of plain text.
 
     The block is 3000 characters. Years are those of the first line that has any; figures of a line are read from its end; lines
     count until a heading. EBITDA comes from revenue and margin, debts from their ratios to EBITDA.
     """
-    start = F.regexp_instr("text", F.lit(r"(?i)Key\s+financial\s+indicators"))
+    start = F.regexp_instr("text", F.lit(dims.TEXT_HEADING))
     b = texts.where(start > 0).select("doc_id", F.substring(F.col("text"), start, F.lit(3000)).alias("block"))
     lines = b.select("doc_id", "block", F.posexplode(F.split("block", "\r\n|\n|\r")).alias("n", "line")).where("n > 0")
-    years = lines.withColumn("years", F.regexp_extract_all("line", F.lit(_YEAR_TOKEN), F.lit(0))).where(F.size("years") > 0)
+    years = lines.withColumn("years", F.regexp_extract_all("line", F.lit(dims.TEXT_YEAR), F.lit(0))).where(F.size("years") > 0)
     years = years.groupBy("doc_id").agg(F.min_by(F.struct("n", "years"), "n").alias("y")).select("doc_id", F.col("y.n").alias("at"), F.col("y.years").alias("years"))
     rest = lines.join(years, "doc_id").where("n > at").withColumn("line", strip(F.col("line"))).where("line <> ''")
-    heading = F.col("line").rlike(r"^[A-Z][A-Za-z\s]+:$") | F.col("line").rlike(r"(?i)^(Note|Rating|Instrument|Outlook)")
+    heading = reduce(lambda a, b: a | b, (F.col("line").rlike(p) for p in dims.TEXT_SECTION_ENDS))
     ends = rest.where(heading).groupBy("doc_id").agg(F.min("n").alias("stop"))
-    rest = rest.join(ends, "doc_id", "left").where("stop is null or n < stop").withColumn("figures", F.regexp_extract_all("line", F.lit(_FIGURE), F.lit(0)))
+    rest = rest.join(ends, "doc_id", "left").where("stop is null or n < stop").withColumn("figures", F.regexp_extract_all("line", F.lit(dims.TEXT_FIGURE), F.lit(0)))
     rest = rest.where(F.size("figures") >= F.size("years"))
     value = amount_pdf(F.replace(F.try_element_at("figures", F.lit(-1)), F.lit("%"), F.lit("")))
-    label = strip(F.regexp_replace(F.regexp_extract("line", rf"^(.*?)(?:{_FIGURE})", 1), r"[\s(]+$", ""))
+    label = strip(F.regexp_replace(F.regexp_extract("line", rf"^(.*?)(?:{dims.TEXT_FIGURE})", 1), r"[\s(]+$", ""))
     label = strip(F.regexp_replace(F.lower(label), r"\s*\(times?\)?", ""))
     rest = rest.select("doc_id", "n", "block", value.alias("value"), label.alias("label")).where("value is not null")
     chain, low = F, F.col("label")
@@ -136,19 +132,16 @@ def extract_financials(pages: DataFrame) -> DataFrame:
     return out.withColumn("confidence", confidence_generic(*(F.col(c) for c in ("revenue_cr", "ebitda_cr", "pat_cr", "total_debt_cr", "cash_cr", "capex_cr"))))
 
 
-_CAPEX = r"(?i)capex\s+(?:of\s+)?(?:Rs\.?\s*)?(\d[\d,\.]*)\s*(crore|cr|lakh|mn|bn|million|billion)?"
-
-
 def extract_capex_plans(pages: DataFrame) -> DataFrame:
     """doc_id, amount_cr, timeframe_years, description, source_text of every plan in a forward-looking sentence."""
     s = pages.select("doc_id", "page_no", "text", F.posexplode(split_sentences(F.coalesce("text", F.lit("")))).alias("n", "sentence"))
-    s = s.where(F.col("sentence").rlike(r"(?i)over\s+the\s+next|planned|expected|FY2[0-9]|upcoming|envisaged|proposed"))
-    figures, units = F.regexp_extract_all("sentence", F.lit(_CAPEX), F.lit(1)), F.regexp_extract_all("sentence", F.lit(_CAPEX), F.lit(2))
+    s = s.where(F.col("sentence").rlike(dims.CAPEX_AHEAD))
+    figures, units = F.regexp_extract_all("sentence", F.lit(dims.CAPEX), F.lit(1)), F.regexp_extract_all("sentence", F.lit(dims.CAPEX), F.lit(2))
     s = s.select("doc_id", "text", "sentence", F.explode(F.arrays_zip(figures.alias("figure"), units.alias("unit"))).alias("x"))
     value, unit = amount_pdf(F.col("x.figure")), none_if_empty(F.col("x.unit"))
     amount = F.when(unit.isNotNull(), apply_unit(value, unit)).otherwise(value * detect_unit(F.col("text")))
-    span = none_if_empty(F.regexp_extract("sentence", r"(?i)(\d+)\s*[-–]\s*(\d+)\s*years?", 2)).cast("int")
-    ahead = none_if_empty(F.regexp_extract("sentence", r"(?i)next\s+(\d+)\s+years?", 1)).cast("int")
+    span = none_if_empty(F.regexp_extract("sentence", dims.CAPEX_SPAN, 2)).cast("int")
+    ahead = none_if_empty(F.regexp_extract("sentence", dims.CAPEX_NEXT, 1)).cast("int")
     out = s.select("doc_id", F.round(amount, 2).alias("amount_cr"), F.coalesce(span, ahead).alias("timeframe_years"), F.substring("sentence", 1, 200).alias("description"), F.substring("sentence", 1, 500).alias("source_text"))
     return out.where("amount_cr is not null")
 
@@ -228,7 +221,7 @@ def parse_brief_financials(pages: DataFrame) -> DataFrame:
     t = t.withColumn("head", F.try_element_at(head, F.lit(1))).where("head is not null")
     cells = t.select("doc_id", "page_no", "table_no", "table", "head", F.posexplode(_cell(F.col("table"), F.col("head"))).alias("col", "cell"))
     low = F.lower(strip(F.coalesce("cell", F.lit(""))))
-    years = cells.where(~low.rlike("^([0-9]?[hqm]fy|9m|6m|q)")).withColumn("fiscal_year", fiscal_year_care(strip(F.coalesce("cell", F.lit(""))))).where("fiscal_year is not null")
+    years = cells.where(~low.rlike(dims.BRIEF_PARTIAL)).withColumn("fiscal_year", fiscal_year_care(strip(F.coalesce("cell", F.lit(""))))).where("fiscal_year is not null")
     rows = years.select("doc_id", "page_no", "table_no", "head", "col", "fiscal_year", F.posexplode("table").alias("row_no", "cells")).where("row_no > head")
     label = F.try_element_at(F.filter(F.transform(F.slice("cells", 1, 3), lambda c: strip(F.coalesce(c, F.lit("")))), lambda c: c != ""), F.lit(1))
     rows = rows.select("doc_id", "fiscal_year", F.struct("page_no", "table_no", "row_no", "col").alias("at"), map_label_care(label).alias("field"), amount_care(_cell(F.col("cells"), F.col("col"))).alias("value")).where("field is not null and value is not null")
@@ -257,12 +250,9 @@ def best_instrument(instruments: DataFrame) -> DataFrame:
     return instruments.where("rating_grade is not null").groupBy("doc_id").agg(F.min_by(row, F.struct("rating_grade", "row_no")).alias("r")).select("doc_id", "r.*")
 
 
-_MONTHS = "January|February|March|April|May|June|July|August|September|October|November|December"
-
-
 def extract_release_date(text: Column) -> Column:
     """The first 'Month d, yyyy', as text."""
-    return none_if_empty(F.regexp_extract(text, rf"(?i)({_MONTHS})\s+\d{{1,2}},?\s+\d{{4}}", 0))
+    return none_if_empty(F.regexp_extract(text, rf"(?i)({dims.MONTHS})\s+\d{{1,2}},?\s+\d{{4}}", 0))
 
 
 def extract_industry(pages: DataFrame) -> DataFrame:

@@ -73,7 +73,8 @@ def first_containing(prefixes: DataFrame, reference: DataFrame, short: int = 4)
     lengths = F.broadcast(p.where(F.length("prefix") >= short).agg(F.sort_array(F.collect_set(F.length("prefix"))).alias("lengths")))
     parts = reference.select("name_norm", "pos").join(lengths).withColumn("n", F.explode("lengths")).where(F.length("name_norm") >= F.col("n"))
     parts = parts.withColumn("part", F.explode(F.expr("array_distinct(transform(sequence(1, length(name_norm) - n + 1), i -> substring(name_norm, i, n)))")))
-    long = p.join(parts.groupBy("part").agg(F.min("pos").alias("pos")), F.col("prefix") == F.col("part")).select("prefix", "pos")
+    # Prefixes are few beside substrings, so they meet before anything is aggregated.
+    long = parts.join(p, F.col("prefix") == F.col("part")).groupBy("prefix").agg(F.min("pos").alias("pos"))
     tiny = F.expr(f"flatten(transform(sequence(0, {short - 1}), k -> if(k = 0, array(''), if(length(name_norm) < k, array(), transform(sequence(1, length(name_norm) - k + 1), i -> substring(name_norm, i, k))))))")
     few = reference.select("pos", F.explode(F.array_distinct(tiny)).alias("part")).groupBy("part").agg(F.min("pos").alias("pos"))
     return long.unionByName(p.where(F.length("prefix") < short).join(few, F.col("prefix") == F.col("part")).select("prefix", "pos"))
