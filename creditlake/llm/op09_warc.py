@@ -171,7 +171,9 @@ def write_archives(pages: DataFrame, to: str | None = None, min_bytes: int = MIN
             _put(f"{to}/{part:06d}-{k:06d}.warc.zst", data)
             yield pa.RecordBatch.from_arrays([pa.array([n], pa.int64())], ["records"])
 
-    map_batches(with_originals(pages, min_bytes), run, "records long").agg(F.sum("records")).collect()
+    # In a fixed order, so that a task that runs again cuts its rows into the same archives and replaces those of the lost attempt.
+    rows_ = with_originals(pages, min_bytes).sortWithinPartitions("page_id", "digest", "url")
+    map_batches(rows_, run, "records long").agg(F.sum("records")).collect()
     return to
 
 
