@@ -64,6 +64,23 @@ def test_a_better_rating_elsewhere_hides_the_company(spark):
     assert S.screen(c, r, f, S.Filters(agencies=["ICRA"])).count() == 1
 
 
+def test_ties_of_the_best_rating_go_to_the_smallest_agency(spark):
+    r = spark.createDataFrame([(1, 1, "CARE Edge", 3, "2024"), (2, 1, "CARE", 3, "2024"), (3, 2, "B9", 3, None), (4, 2, "B10", 3, None), (5, 3, "Z", None, "2024"), (6, 3, "Y", 20, "2020")], "id long, company_id long, agency string, rating_grade int, rating_date string")
+    assert sorted((x.company_id, x.agency) for x in S.top_rating(r).collect()) == [(1, "CARE"), (2, "B10"), (3, "Y")]
+
+
+def test_job_queues_are_ordered_and_limited(spark):
+    c = spark.createDataFrame([(i, f"N{9 - i}", 0) for i in range(6)], "id long, name string, is_listed int")
+    r = spark.createDataFrame([(i, "ICRA", f"s{i}", 1 + i % 3, f"u{i}", "Power") for i in range(6)] + [(i, "CRISIL", "x", 5, "u", "Infrastructure" if i % 2 else "Banks") for i in range(6)], "company_id long, agency string, source_id string, rating_grade int, rationale_url string, sector string")
+    f = spark.createDataFrame([(0,)], "company_id long")
+    assert [x.company_id for x in J.pdf_candidates(c, r, f, limit=3).collect()] == [3, 4, 1]
+    assert [x.company_id for x in J.html_candidates(c, r, f, limit=3).collect()] == [4, 2, 5]
+    assert [x.company_id for x in J.unrated_candidates(c, r, f, "CARE Edge", limit=2).collect()] == [1, 2]
+    assert [x.company_id for x in J.rated_without_financials(c, r, f, "ICRA").collect()] == [1, 2, 3, 4, 5]
+    ids = spark.createDataFrame([(x,) for x in ("10", "9", "x", "2")], "id string")
+    assert [x.id for x in J.missing_companies(ids, r.where("false"), 3).collect()] == ["x", "2", "9"]
+
+
 def test_user_sort_puts_nulls_last(spark):
     df = spark.createDataFrame([(1, "a", None), (2, "b", 1.0), (3, "c", 2.0)], "company_id long, `Company Name` string, x double")
     assert [r.company_id for r in S.user_sort(df, "x", True).collect()] == [2, 3, 1]
