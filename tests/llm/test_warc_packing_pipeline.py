@@ -7,6 +7,7 @@ import zlib
 import numpy as np
 import pytest
 import zstandard
+from pyspark.sql import functions as F
 
 import corpus_pipeline as P
 from creditlake.llm import op09_warc as W
@@ -144,6 +145,28 @@ def test_pipeline_stages_take_effect(spark, tmp_path):
     assert [n for n, _ in P.STAGES] == ["toxicity", "line_dedup", "near_duplicates", "suffix_dedup", "packing"]
 
 
+def test_pipeline_over_empty_and_odd_tables(spark, tmp_path):
+    docs, _, _ = documents(spark)
+    spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    odd = spark.createDataFrame([(None, None, 1), (3, "", 2), (3, "", 2), (4, "a\nb", None)], "doc_id long, text string, row int")
+    for start in (docs.limit(0), odd.withColumnsRenamed({"row": "digest"}), odd.withColumn("packed", F.lit("clash"))):
+        now = start
+        for _, stage in P.STAGES[:-1]:
+            now = stage(spark, now, str(tmp_path))
+            assert now.columns == start.columns
+        assert now.count() == start.count()
+        assert P.STAGES[-1][1](spark, now, str(tmp_path)).count() == start.count()
+
+
+def test_large_archives_roll_over(monkeypatch):
+    r = random.Random(2)
+    monkeypatch.setattr(W, "ARCHIVE_BYTES", 9_000)
+    pages = [(i, f"u{i}", (t := "".join(r.choice("abcdef<>") for _ in range(2500)).encode()), hashlib.sha1(t).hexdigest(), None) for i in range(60)]
+    made = list(W.archive(pages, b""))
+    assert len(made) > 3 and sum(n for _, n in made) == 60 and made == list(W.archive(pages, b""))
+    assert [W.parse(x)[0] for data, _ in made for x in W.records(data)] == list(range(60))
+
+
 @pytest.mark.parametrize("name", sorted(registry.QUERIES))
 def test_queries_give_one_schema(spark, sf, name):
     df = registry.QUERIES[name](spark, sf)
