@@ -192,6 +192,21 @@ def test_neighbours_with_hot_and_bad_vectors(spark):
     assert [i for _, i, _ in sorted(got[2050])] == [0, 2000, 2001, 2002, 2003]
 
 
+def test_clustered_vectors_need_few_lists():
+    rng = np.random.default_rng(2)
+    u = A.unit(rng.normal(size=(200, 48))[rng.integers(0, 200, 8000)] + 0.3 * rng.normal(size=(8000, 48)))
+    index = A.fit(u, 4 * round(8000**0.5))
+    at = A._nearest(u.astype(np.float32), index.coarse)
+    c, n = (u * index.coarse[at]).sum(1), np.bincount(at, minlength=len(index.coarse)).astype(float)
+    mean = lambda x: np.bincount(at, x, len(n)) / np.maximum(n, 1)
+    probed = A.Spread(n, mean(c), np.maximum(0, mean(c * c) - mean(c) ** 2), mean(1 - c * c)).probed(u[::100] @ index.coarse.T, 48, 5, A.COVER)
+    near = u[::100] @ u.T
+    near[np.arange(80), np.arange(80) * 100] = -2
+    best = np.argsort(-near, 1)[:, :5]
+    assert np.mean([n[p].sum() for p in probed]) < 0.12 * len(u)
+    assert np.mean([np.isin(at[b], p).mean() for b, p in zip(best, probed, strict=True)]) >= 0.95
+
+
 def test_few_vectors_and_none(spark):
     df = spark.createDataFrame([(0, [1.0, 0.0]), (1, [0.0, 1.0]), (2, [1.0, 1.0])], "vec_id long, embedding array<float>")
     assert [(r.query_id, r["rank"], r.vec_id) for r in A.search(df).orderBy("rank").collect()] == [(0, 1, 2), (0, 2, 1)]
