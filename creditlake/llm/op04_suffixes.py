@@ -40,7 +40,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from creditlake.llm.common import Ranges, ints, map_batches, only, packed, partitions, read, sampled, small_batches, text_of, unpacked
-from creditlake.llm.windows import GRAM, WINDOW, anchors
+from creditlake.llm.windows import GRAM, WINDOW, anchors, mix
 
 #: Buckets a partition of the exchange holds; each is merged by itself, which bounds what a task holds.
 BUCKETS = 16
@@ -241,6 +241,11 @@ def met(rows: Iterator[tuple[bytes, tuple | None]]) -> Iterator[tuple[object, in
         waits[key] = None
 
 
+def _spot(docs: np.ndarray, places: np.ndarray) -> np.ndarray:
+    """Spreads the rows of a frequent q-gram, be they of many documents or of one."""
+    return mix(docs.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + places.astype(np.uint64)).view(np.int64)
+
+
 def _anchor_rows(ranges: Ranges | None):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -252,9 +257,9 @@ def _anchor_rows(ranges: Ranges | None):
                     places.append(a.at)
             if rows:
                 at, gram = pa.array(np.concatenate(rows)), np.concatenate(grams)
-                doc = b.column("doc_id").take(at)
-                part = np.zeros(len(gram), np.int32) if ranges is None else ranges.part(gram, ints(doc))
-                yield pa.RecordBatch.from_arrays([pa.array(gram), doc, b.column("digest").take(at), pa.array(np.concatenate(places).astype(np.int64)), pa.array(part)], ["gram", "doc_id", "digest", "place", "part"])
+                doc, place = b.column("doc_id").take(at), np.concatenate(places).astype(np.int64)
+                part = np.zeros(len(gram), np.int32) if ranges is None else ranges.part(gram, _spot(ints(doc), place))
+                yield pa.RecordBatch.from_arrays([pa.array(gram), doc, b.column("digest").take(at), pa.array(place), pa.array(part)], ["gram", "doc_id", "digest", "place", "part"])
 
     return run
 
@@ -304,8 +309,8 @@ def _frequent(least: int):
 def repeated_anchors(texts: DataFrame) -> DataFrame:
     """doc_id, digest, places: anchors of each document whose q-gram may occur elsewhere; -1 - place if it is frequent."""
     row, n = "gram long, doc_id long, digest long, place long, part int", partitions(texts)
-    known = map_batches(sampled(texts), _anchor_rows(None), row).select("gram", F.coalesce("doc_id", F.lit(-(1 << 63))).alias("doc_id")).limit(200_000).toPandas()  # bounded; affects the balance only
-    ranges = Ranges(known["gram"].to_numpy(np.int64), known["doc_id"].to_numpy(np.int64), n)
+    known = map_batches(sampled(texts), _anchor_rows(None), row).select("gram", "doc_id", "place").limit(200_000).toArrow()  # bounded; affects the balance only
+    ranges = Ranges(known["gram"].to_numpy(), _spot(ints(known["doc_id"].combine_chunks()), known["place"].to_numpy()), n)
     sorted_ = map_batches(texts, _anchor_rows(ranges), row).repartitionById(n, F.col("part")).drop("part").sortWithinPartitions("gram")
     found = sorted_.mapInArrow(_repeated, "gram long, doc_id long, digest long, place long")
     hot = sorted_.mapInArrow(_frequent(HOT), "hot long").distinct()

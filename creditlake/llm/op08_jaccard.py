@@ -382,8 +382,8 @@ def _asked(hubs: DataFrame, needs: DataFrame) -> DataFrame:
     return all_.join(asks, ["hub", "set"], "left").select("hub", "set", F.coalesce("asks", F.lit(False)).alias("asks"))
 
 
-_LISTED = pa.schema([("hub", pa.int64()), ("part", pa.int32()), ("set", pa.int64()), ("root", pa.int64()), ("size", pa.int32()), ("asks", pa.bool_()), ("linked", pa.bool_()), ("d", pa.int32()), ("near", pa.int32()), ("tokens", pa.list_(pa.int64())), ("at", pa.list_(pa.int32()))])
-_LISTED_DDL = "hub long, part int, set long, root long, size int, asks boolean, linked boolean, d int, near int, tokens array<long>, at array<int>"
+_LISTED = pa.schema([("hub", pa.int64()), ("part", pa.int32()), ("set", pa.int64()), ("root", pa.int64()), ("size", pa.int32()), ("asks", pa.bool_()), ("linked", pa.bool_()), ("d", pa.int32()), ("near", pa.int32()), ("listed", pa.int32()), ("tokens", pa.list_(pa.int64())), ("at", pa.list_(pa.int32()))])
+_LISTED_DDL = "hub long, part int, set long, root long, size int, asks boolean, linked boolean, d int, near int, listed int, tokens array<long>, at array<int>"
 
 
 def _parted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -448,7 +448,14 @@ def meeting_pairs(rows: dict[str, np.ndarray], tokens: list[np.ndarray], places:
             k = reach[part]
             keep(np.repeat(some[part], k), run[np.arange(k.sum()) - np.repeat(np.cumsum(k) - k, k)])
     both = np.unique(np.concatenate(found))
-    return np.stack([both // n, both % n], 1)
+    met = np.stack([both // n, both % n], 1)
+    listed = rows["listed"]
+    if len(met) and (listed == [len(t) for t in tokens]).all():  # whole lists: what both hold, and what the longer rest could add, has to be enough
+        t = -((size[met].sum(1) - 7 * d[met].sum(1)) // 14)
+        rest = np.maximum(0, (d[met] - listed[met]).max(1))
+        held = {i: set(tokens[i].tolist()) for i in np.unique(met).tolist()}
+        met = met[np.fromiter((len(held[i] & held[j]) for i, j in met.tolist()), np.int64, len(met)) + rest >= t]
+    return met
 
 
 def _meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -456,8 +463,8 @@ def _meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
     def pairs(held: list[pa.RecordBatch]) -> pa.RecordBatch:
         t = pa.Table.from_batches(held, _LISTED)
-        rows = {c: t.column(c).to_numpy() for c in _LISTED.names[2:9]}
-        rows |= {c: rows[c].astype(np.int64) for c in ("size", "d", "near")} | {c: rows[c].astype(bool) for c in ("asks", "linked")}
+        rows = {c: t.column(c).to_numpy() for c in _LISTED.names[2:10]}
+        rows |= {c: rows[c].astype(np.int64) for c in ("size", "d", "near", "listed")} | {c: rows[c].astype(bool) for c in ("asks", "linked")}
         met = meeting_pairs(rows, t.column("tokens").to_numpy(), t.column("at").to_numpy())
         return pa.RecordBatch.from_arrays([pa.array(np.full(len(met), t.column("hub")[0].as_py(), np.int64)), *(pa.array(rows["set"][met[:, k]]) for k in (0, 1))], ["hub", "set_a", "set_b"])
 
@@ -487,7 +494,7 @@ def _differences(differ: DataFrame, roots: DataFrame) -> DataFrame:
     listed = F.size("tokens")
     reach = differ.groupBy("hub").agg(F.max(F.when(F.col("asks"), 7 * F.col("d") + F.col("size"))).alias("reach"), F.ceil((F.sum(listed.cast("long")) + 1) / MEET).cast("int").alias("parts"))
     near = differ.join(reach, "hub").where((7 * F.col("d") - F.col("size") <= F.col("reach")) & (listed > 0))
-    rooted = near.join(roots.select(F.col("node").alias("set"), "root"), "set", "left").withColumn("root", F.coalesce("root", "set"))
+    rooted = near.join(roots.select(F.col("node").alias("set"), "root"), "set", "left").withColumns({"root": F.coalesce("root", "set"), "listed": listed})
     dealt = map_batches(rooted, _parted, _LISTED_DDL).repartition(partitions(differ), "hub", "part").sortWithinPartitions("hub", "part")
     met = dealt.mapInArrow(_meet, "hub long, set_a long, set_b long").distinct()
     for mark in "ab":

@@ -264,13 +264,13 @@ def test_meeting_pairs_miss_no_link_and_split_parts_agree():
         family.append(np.array(sorted(x), np.uint64))
     made = [J.first_differences(h, x) for x in family]
     links = {(i, j) for j in range(150) for i in range(j) if not (made[i][0] and made[j][0]) and J.similar(family[i], family[j])}
-    cols = dict(root=np.where([m[0] for m in made], -1, np.arange(150)), size=np.array([len(x) for x in family]), asks=np.ones(150, bool), linked=np.array([m[0] for m in made]), d=np.array([m[1] for m in made]), near=np.array([m[2] for m in made]))
+    cols = dict(root=np.where([m[0] for m in made], -1, np.arange(150)), size=np.array([len(x) for x in family]), asks=np.ones(150, bool), linked=np.array([m[0] for m in made]), d=np.array([m[1] for m in made]), near=np.array([m[2] for m in made]), listed=np.array([len(m[3]) for m in made]))
     met = set(map(tuple, J.meeting_pairs(cols, [m[3].view(np.int64) for m in made], [np.arange(len(m[3])) for m in made]).tolist()))
     assert len(links) > 20 and links <= met
-    rows = [dict(hub=1, parts=7, set=i, root=int(cols["root"][i]), size=int(cols["size"][i]), asks=True, linked=bool(made[i][0]), d=made[i][1], near=made[i][2], tokens=made[i][3].view(np.int64).tolist()) for i in range(150)]
+    rows = [dict(hub=1, parts=7, set=i, root=int(cols["root"][i]), size=int(cols["size"][i]), asks=True, linked=bool(made[i][0]), d=made[i][1], near=made[i][2], listed=len(made[i][3]), tokens=made[i][3].view(np.int64).tolist()) for i in range(150)]
     parted = pa.Table.from_batches(J._parted(iter(pa.Table.from_pylist(rows).to_batches()))).sort_by([("hub", "ascending"), ("part", "ascending")])
     got = {tuple(sorted((x["set_a"], x["set_b"]))) for b in J._meet(iter(parted.to_batches(max_chunksize=40))) for x in b.to_pylist()}
-    assert got == met
+    assert links <= met <= got  # lists in parts are not whole, so fewer pairs can be ruled out
 
 
 def test_bands_cover_all_sizes_that_can_be_similar():
