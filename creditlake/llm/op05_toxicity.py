@@ -29,8 +29,9 @@ from creditlake.llm.common import map_batches, only, read, small_batches, text_o
 
 SAMPLE = 20_000  #: labelled rows that are learnt from, at most
 BUCKETS, FACTORS, FOLD = 1 << 18, 2, 4
-#: A bucket of ratio HALF has a quarter of the scale of a perfect one; vectors have PAIR of it at least, half of that for HALF_DOCS documents.
-HALF, LEAST, PAIR, HALF_DOCS = 10.0, 0.01, 0.6, 200
+#: A bucket of ratio r moves at (r / (r + HALF)) ** STEEP of the full rate, at LEAST of it at least; vectors of one in a share x of the
+#: documents at PAIR * x / (x + HALF_SHARE) of it at least.
+HALF, STEEP, LEAST, PAIR, HALF_SHARE = 6.0, 4, 0.001, 1.0, 0.5
 STEPS, RATE, DECAY = 40, 0.1, 5e-5
 THRESHOLD = 0.7
 #: Code points of a word's beginnings that are terms of their own.
@@ -95,8 +96,8 @@ def _machine(docs: list[np.ndarray], y: np.ndarray) -> Model:
     m, row = len(names), np.repeat(np.arange(len(docs)), sizes)
     by_doc, by_term = _Sums(back, sizes), _Sums(row[np.argsort(back, kind="stable")], n)
     r = ratios(np.bincount(back, y[row], m), n, y.sum(), len(y))
-    scale = np.maximum((r / (r + HALF)) ** 2, LEAST).astype(np.float32)
-    scale = np.concatenate([[1], scale, np.tile(np.maximum(scale, PAIR * n / (n + HALF_DOCS)), FACTORS)]).astype(np.float32)
+    scale = np.maximum((r / (r + HALF)) ** STEEP, LEAST).astype(np.float32)
+    scale = np.concatenate([[1], scale, np.tile(np.maximum(scale, PAIR * n / (n + HALF_SHARE * len(y))), FACTORS)]).astype(np.float32)
     decay = np.concatenate([[0], np.full(m, DECAY), np.full(m * FACTORS, 5 * DECAY)]).astype(np.float32)
     p = np.concatenate([[np.log(base / (1 - base))], np.zeros(m), np.random.default_rng(7).normal(0, 0.02, m * FACTORS)]).astype(np.float32)
     first, second, y = np.zeros_like(p), np.zeros_like(p), y.astype(np.float32)
