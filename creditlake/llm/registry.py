@@ -1,6 +1,6 @@
 """The queries opN_<name>, and SQL for those that SQL can express."""
 
-from creditlake.llm import op01_chat, op02_bpe, op03_lines, op04_suffixes, op05_toxicity, op06_media, op07_ann, op08_jaccard, op09_warc, op10_packing
+from creditlake.llm import op01_chat, op02_bpe, op03_lines, op04_suffixes, op05_toxicity, op06_media, op07_ann, op08_jaccard, op09_warc, op10_packing, op11_runs
 
 QUERIES = {
     "op1_chat_formatting": op01_chat.op1_chat_formatting,
@@ -13,5 +13,6 @@ QUERIES = {
     "op8_ngram_jaccard": op08_jaccard.op8_ngram_jaccard,
     "op9_warc": op09_warc.op9_warc,
     "op10_packing": op10_packing.op10_packing,
+    "op11_periodic_runs": op11_runs.op11_periodic_runs,
 }
-SQL = {"op1_chat_formatting": op01_chat.SQL, "op3_line_dedup": op03_lines.SQL, "op9_warc": op09_warc.SQL}
+SQL = {"op1_chat_formatting": op01_chat.SQL, "op3_line_dedup": op03_lines.SQL, "op9_warc": op09_warc.SQL, "op11_periodic_runs": op11_runs.SQL}
