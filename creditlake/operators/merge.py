@@ -44,8 +44,8 @@ def upsert_companies(existing: DataFrame, incoming: DataFrame) -> DataFrame:
     return out.withColumn("is_listed", F.coalesce("is_listed", F.lit(0)))
 
 
-def insert_ratings(existing: DataFrame, incoming: DataFrame) -> DataFrame:
-    """existing and what is new: the first of each company, agency and source_id; rows without a source_id are always added.
+def new_ratings(existing: DataFrame, incoming: DataFrame) -> DataFrame:
+    """What incoming adds: the first of each company, agency and source_id that existing doesn't have, and every row without a source_id.
 
     incoming has ``seq`` and no id; rows without a key skip the exchange.
     """
@@ -54,7 +54,12 @@ def insert_ratings(existing: DataFrame, incoming: DataFrame) -> DataFrame:
     payload = [c for c in incoming.columns if c not in (*keys, "seq")]
     first = incoming.where(keyed).groupBy(*keys).agg(F.min_by(F.struct("seq", *payload), "seq").alias("_r")).select(*keys, "_r.*")
     fresh = first.join(existing.where(keyed).select(*keys), keys, "left_anti")
-    return existing.unionByName(fresh.unionByName(incoming.where(~keyed)), allowMissingColumns=True)
+    return fresh.unionByName(incoming.where(~keyed), allowMissingColumns=True)
+
+
+def insert_ratings(existing: DataFrame, incoming: DataFrame) -> DataFrame:
+    """existing and what is new."""
+    return existing.unionByName(new_ratings(existing, incoming), allowMissingColumns=True)
 
 
 def union_ratings(*agencies: DataFrame) -> DataFrame:

@@ -92,13 +92,13 @@ def chosen(ratings: DataFrame) -> DataFrame:
     return top_rating(latest_rating(ratings))
 
 
-def screen(companies: DataFrame, ratings: DataFrame, financials: DataFrame, filters: Filters = Filters(), order: bool = True) -> DataFrame:
-    """Filters apply to the chosen row, so a company whose best rating is by another agency isn't found under its second best."""
+def screen(companies: DataFrame, ratings: DataFrame, financials: DataFrame, filters: Filters | None = Filters(), order: bool = True) -> DataFrame:
+    """Filters apply to the chosen row, so a company whose best rating is by another agency isn't found under its second best; None: no filter at all."""
     c = companies.select(F.col("id").alias("company_id"), *(F.col(k).alias(v) for k, v in COMPANY_LABELS.items()))
     r = chosen(ratings).select("company_id", *(F.col(k).alias(v) for k, v in RATING_LABELS.items()))
     m = latest_financials(financials).select("company_id", *(F.col(k).alias(v) for k, v in MONEY_LABELS.items()))
     out = c.join(r, "company_id").join(m, "company_id", "left").select(*SCREEN_COLUMNS)
-    for condition in filters.conditions():
+    for condition in filters.conditions() if filters else ():
         out = out.where(condition)
     return out.orderBy(F.col("Grade").asc(), F.col("Company Name").asc()) if order else out
 

@@ -35,4 +35,4 @@ def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     return screen(A.companies(spark, sf_dir), A.ratings(spark, sf_dir), A.financials(spark, sf_dir), Filters(max_grade=7))
 
 
-from creditlake.plans import match_queries, merge_queries, screen_queries, source_queries, text_queries  # noqa: E402, F401  they register themselves
+from creditlake.plans import match_queries, merge_queries, screen_queries, source_queries, stored_queries, text_queries  # noqa: E402, F401  they register themselves

@@ -1,14 +1,18 @@
 """Tables and criteria texts of web pages, read in Arrow batches by the standard library's parser.
 
-Pages are read as browsers do: end tags of nothing open are ignored, a cell ends at the next one and a row at the next one, and inline
-end tags don't close parts of a table. The work is linear in the page: texts are joined once, and elements are ranges of them.
-Null or empty pages have no tables and an empty criteria text.
+Pages are read as browsers do: end tags of nothing open are ignored, end tags that were left out are implied by what starts next (a
+paragraph ends at the next block, an item at the next item, a cell at the next cell), and inline end tags don't close parts of a table.
+
+The work is linear in the page: texts are joined once and elements are ranges of them; the depths at which each tag is open are kept
+by tag, so what an end tag closes is looked up and the open elements are never searched. Tables within tables are the exception, as a
+cell counts for every table around it. Null or empty pages have no tables and an empty criteria text.
 """
 
 from __future__ import annotations
 
 import re
 from bisect import bisect_left, bisect_right
+from collections import defaultdict
 from collections.abc import Iterator
 from html.parser import HTMLParser
 
@@ -18,6 +22,21 @@ from pyspark.sql import DataFrame
 _VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "source", "track", "wbr"}
 _TABLE = {"table", "thead", "tbody", "tfoot", "tr", "td", "th"}
 _CELLS = {"td", "th"}
+_GROUPS = {"thead", "tbody", "tfoot"}
+_BLOCKS = {
+    "address", "article", "aside", "blockquote", "center", "details", "dir", "div", "dl", "fieldset", "figcaption", "figure", "footer", "form", "h1", "h2", "h3", "h4", "h5", "h6",
+    "header", "hr", "main", "menu", "nav", "ol", "p", "pre", "section", "summary", "table", "ul",
+}
+#: What the start of an element ends: (open elements, those that must not stand between).
+_IMPLIED = {
+    **dict.fromkeys(_BLOCKS, ({"p"}, {"table", "td", "th", "caption", "button"})),
+    "li": ({"li"}, {"ul", "ol", "menu", "dir", "td", "th", "table"}),
+    **dict.fromkeys(("dt", "dd"), ({"dt", "dd"}, {"dl", "td", "th", "table"})),
+    **dict.fromkeys(("option", "optgroup"), ({"option"}, {"select", "td", "th", "table"})),
+    **dict.fromkeys(_CELLS, (_CELLS, {"table", "tr"})),
+    "tr": ({"tr"}, {"table"}),
+    **dict.fromkeys(_GROUPS, (_GROUPS | {"tr"}, {"table"})),
+}
 #: Fixed: elements that can hold a heading, elements that can name criteria, and the heading itself.
 _HEADINGS = {"p", "div", "h1", "h2", "h3", "h4", "h5", "b", "strong", "u"}
 _CRITERIA = {"a", "td", "th", "li", "p"}
@@ -33,6 +52,7 @@ class _Page(HTMLParser):
         self.parents: list[int] = []  # of each piece, the element that it stands in
         self.elements: list[list] = []  # [tag, first piece, piece behind the last]
         self.open: list[int] = []
+        self.depths: defaultdict[str, list[int]] = defaultdict(list)  # of each tag, where it stands in open
         self.tables: list[tuple[int, list[list[int]]]] = []  # (element, rows of cell elements)
         self.parts: dict[int, list] = {}  # rows of each table, cells of each row
 
@@ -55,35 +75,35 @@ class _Page(HTMLParser):
         return self
 
     def _pop(self) -> None:
-        self.elements[self.open.pop()][2] = len(self.pieces)
+        element = self.elements[self.open.pop()]
+        element[2] = len(self.pieces)
+        self.depths[element[0]].pop()
+
+    def _innermost(self, tags: set[str]) -> int:
+        """Where in open the innermost element of these tags stands, or -1."""
+        return max((self.depths[t][-1] for t in tags if self.depths[t]), default=-1)
 
     def _close(self, tags: set[str], within: set[str]) -> None:
         """Ends the innermost open element of these, if none of ``within`` stands between."""
-        for depth in range(len(self.open) - 1, -1, -1):
-            tag = self.elements[self.open[depth]][0]
-            if tag in tags:
-                while len(self.open) > depth:
-                    self._pop()
-                return
-            if tag in within:
-                return
+        depth = self._innermost(tags)
+        if depth > self._innermost(within - tags):
+            while len(self.open) > depth:
+                self._pop()
 
     def handle_starttag(self, tag: str, attrs: list) -> None:
+        if tag in _IMPLIED:
+            self._close(*_IMPLIED[tag])
         if tag in _VOID:
             return
-        if tag in _CELLS:
-            self._close(_CELLS, {"table", "tr"})
-        elif tag == "tr":
-            self._close({"tr"}, {"table"})
         k = len(self.elements)
         self.elements.append([tag, len(self.pieces), 0])
         if tag == "table":
             self.tables.append((k, self.parts.setdefault(k, [])))
         elif tag == "tr" or tag in _CELLS:  # a nested row belongs to all tables around it, a nested cell to all rows
             made = self.parts.setdefault(k, []) if tag == "tr" else k
-            for e in self.open:
-                if self.elements[e][0] == ("table" if tag == "tr" else "tr"):
-                    self.parts[e].append(made)
+            for depth in self.depths["table" if tag == "tr" else "tr"]:
+                self.parts[self.open[depth]].append(made)
+        self.depths[tag].append(len(self.open))
         self.open.append(k)
 
     def handle_endtag(self, tag: str) -> None:
@@ -117,16 +137,17 @@ class _Page(HTMLParser):
         return [[[self.said(c) for c in row] for row in self.tables[i][1]] for i in chosen]
 
     def naming(self, words: str) -> str:
-        """Lower-cased texts of the elements that can name criteria and hold these words."""
+        """Lower-cased texts of the elements that can name criteria and hold these words; one within another is part of it already."""
         low = self.spaced.lower()
         starts = [m.start() for m in re.finditer(re.escape(words), low)]
-        out = []
+        out, behind = [], -1
         for tag, first, last in self.elements:
-            if tag in _CRITERIA:
+            if tag in _CRITERIA and last > behind:
                 a, b = self.at_spaced[first], self.at_spaced[last]
                 i = bisect_left(starts, a)
                 if i < len(starts) and starts[i] + len(words) <= b:
                     out.append(low[a:b].strip())
+                    behind = last
         return " ".join(out)
 
 

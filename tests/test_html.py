@@ -2,6 +2,8 @@
 
 import time
 
+import pytest
+
 from creditlake.sources.html import HEADING, _Page
 
 TABLE = "<table><tr><td>a</td><td>b</td></tr><tr><td>c</td><td>d</td></tr></table>"
@@ -42,3 +44,26 @@ def test_work_is_linear_in_the_page():
 
     took(200)
     assert took(4000) < 6 * max(0.05, took(1000))
+
+
+def test_implied_end_tags():
+    page = _Page().feed_whole("<p>criteria for banks<p>hotels<ul><li>criteria for cement<li>textile</ul><div>x<p>criteria for power<div>real estate</div></div>")
+    assert page.naming("criteria for") == "criteria for banks criteria for cement criteria for power"
+    head = "<p>Key financial indicators"
+    assert tables(head + "<table><thead><tr><td>a<td>b<tbody><tr><td>c<td>d</table>") == [CELLS]
+    assert tables(head + "<table><tr><td><p>a<p><ul><li>x<li>y</ul><td>b</table>") == [[["a x y", "b"]]]
+    assert tables(head + "<hr>" + TABLE) == [CELLS]
+    nested = _Page().feed_whole("<td>criteria for <a>hotels</a> <a>criteria for power</a></td><p>criteria for steel</p>")
+    assert nested.naming("criteria for") == "criteria for hotels criteria for power criteria for steel"
+
+
+@pytest.mark.parametrize("page", ["<p>x<tr><td>a", "<p>Key financial indicators<table><tr><td>a<td>b</table>", "<li>criteria for x", "<div>criteria for <b>banks", "<td>criteria for<p>x", "<ul><li><p>a<table></table>", "<a>criteria for hotels <td>"])
+def test_work_is_linear_in_elements_that_are_never_closed(page):
+    def took(n):
+        began = time.process_time()
+        read = _Page().feed_whole(page * n)
+        read.tables_behind(HEADING), read.naming("criteria for")
+        return time.process_time() - began
+
+    took(100)
+    assert took(8000) < 5 * max(0.04, took(2000))
