@@ -167,10 +167,9 @@ def repeated_anchors(texts: DataFrame, hot: int = HOT) -> DataFrame:
     sorted_ = map_batches(texts, _anchor_rows(ranges), row).repartitionById(n, F.col("part")).drop("part").sortWithinPartitions("gram")
     marks = staged(sorted_.mapInArrow(_marks(hot), "gram long, doc_id long, digest long, place int, rows long"), "anchors")
     totals = marks.where("rows is not null").groupBy("gram").agg(F.sum("rows").alias("total"))  # two a task at most
-    late = marks.where("gram is not null and rows is null").join(F.broadcast(totals), "gram").where("total > 1")
-    late = late.withColumn("place", F.when(F.col("total") >= hot, -1 - F.col("place")).otherwise(F.col("place")))
-    names = ["doc_id", "digest", "place"]
-    return marks.where("gram is null").select(*names).unionByName(late.select(*names)).groupBy("doc_id", "digest").agg(F.sort_array(F.collect_list("place")).alias("places"))
+    known = marks.where("rows is null").join(F.broadcast(totals), "gram", "left").where("gram is null or total > 1")
+    place = F.when(F.col("total") >= hot, -1 - F.col("place")).otherwise(F.col("place"))
+    return known.select("doc_id", "digest", place.alias("place")).groupBy("doc_id", "digest").agg(F.sort_array(F.collect_list("place")).alias("places"))
 
 
 #: text: words of a piece, or the 16 bytes of a hashed window if windows is 0, or null for a span that is known already. No owner: several, which are known.
