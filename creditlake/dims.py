@@ -177,6 +177,9 @@ RESULT_FIELDS = {
     "total_debt": ["TotalDebt", "TotalBorrowings", "Borrowings", "TotalOutstandingDebt", "LTBorrowings"],
     "cash": ["Cash", "CashAndBankBalance", "CashAndEquivalents", "CashBankBalance"], "capex": ["Capex", "CapitalExpenditure", "AdditionsToFA", "NetCapex"],
 }
+# Fixed: words that stand for no value, what ends a year of results, and where its year stands.
+NO_VALUE = r"^\s*(null|NULL|N\.A\.|NA|-)?\s*$"
+YEAR_END, YEAR = r"(?i)(Mar|March)\s*\d{4}", r"(\d{4})"
 UNIT_FIELDS = ["Unit", "unit", "FaceValue", "ReportingUnit", "reportingUnit"]
 UNIT_REVENUE_FIELDS = ["SALES_AMT", "SalesAmt", "Net Sales", "Revenue", "NetSales"]
 

@@ -11,10 +11,11 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType, StructField, StructType
 from pyspark.sql.window import Window
 
 from creditlake import dims
-from creditlake.functions.names import none_if_empty, strip
+from creditlake.functions.names import bind, none_if_empty, strip
 from creditlake.functions.numbers import (
     amount_bse, amount_care, amount_crisil, amount_digits, amount_pdf, apply_unit, confidence_care, confidence_generic, detect_unit,
     fiscal_year_care, map_label_care, map_label_page, split_sentences, truthy, year_columns, year_from_header, year_header_crisil,
@@ -146,20 +147,44 @@ def extract_capex_plans(pages: DataFrame) -> DataFrame:
     return out.where("amount_cr is not null")
 
 
-def _filled(rec: Column) -> Column:
-    """A record without the values that are words for nothing."""
-    return F.map_filter(rec, lambda _, v: ~strip(v).isin("", "null", "NULL", "N.A.", "NA", "-"))
+def _layers(names: list[str]) -> list[list[str]]:
+    """Names such that those of one layer differ by more than case, as fields of one struct have to."""
+    layers: list[dict[str, str]] = []
+    for n in dict.fromkeys(names):
+        layer = next((x for x in layers if n.lower() not in x), None)
+        if layer is None:
+            layers.append(layer := {})
+        layer[n.lower()] = n
+    return [list(x.values()) for x in layers]
 
 
-def detect_unit_record(rec: Column) -> Column:
-    """Multiple of a crore: from a unit field, else from the size of revenue, else lakhs."""
+_SPELLINGS = _layers([*(n for v in dims.RESULT_FIELDS.values() for n in v), *dims.UNIT_FIELDS, *dims.UNIT_REVENUE_FIELDS])
+
+
+def _spelled(rec: Column) -> Column:
+    """A record (map of text) as structs with a field for each known spelling, so that a look-up is the reading of a column."""
+    text = F.to_json(rec)
+    return F.struct(*(F.from_json(text, StructType([StructField(n, StringType()) for n in names])).alias(f"l{k}") for k, names in enumerate(_SPELLINGS)))
+
+
+def _said(record: Column, name: str) -> Column:
+    return record[f"l{next(k for k, names in enumerate(_SPELLINGS) if name in names)}"][name]
+
+
+def detect_unit_record(record: Column) -> Column:
+    """Multiple of a crore: from a unit field, else from the size of revenue, else lakhs. record: as ``_spelled`` makes it."""
 
     def of(v: Column) -> Column:
         return F.when(v.contains("cr"), 1.0).when(v.contains("lakh") | v.contains("lac"), 0.01).when(v.contains("million"), 0.1)
 
-    said = F.coalesce(*(of(F.lower(rec[n])) for n in dims.UNIT_FIELDS))
-    revenue = F.coalesce(*(amount_bse(rec[n]) for n in dims.UNIT_REVENUE_FIELDS))
-    return F.coalesce(said, F.when(revenue > 100_000, 0.01).when(revenue.isNotNull(), 1.0), F.lit(0.01))
+    said = F.coalesce(*(of(F.lower(_said(record, n))) for n in dims.UNIT_FIELDS))
+    revenue = F.coalesce(*(amount_bse(_said(record, n)) for n in dims.UNIT_REVENUE_FIELDS))
+    return F.coalesce(said, bind(revenue, lambda r: F.when(r > 100_000, 0.01).when(r.isNotNull(), 1.0)), F.lit(0.01))
+
+
+def _once(df: DataFrame, *keep: str, **columns: Column) -> DataFrame:
+    """Columns that are worked out once a row: a generator keeps the optimizer from repeating them wherever they are used."""
+    return df.select(*keep, F.explode(F.array(F.struct(*(c.alias(k) for k, c in columns.items())))).alias("_x")).select(*keep, "_x.*")
 
 
 def top_n_years(df: DataFrame, key: str, n: int = 2) -> DataFrame:
@@ -173,15 +198,19 @@ def annual_results(records: DataFrame) -> DataFrame:
 
     records: scrip_cd, seq, rec (map of text).
     """
-    # The generator keeps the optimizer from working the record out again for each of its fields.
-    filled = records.select("scrip_cd", "seq", detect_unit_record(F.col("rec")).alias("unit"), F.explode(F.array(_filled(F.col("rec")))).alias("rec"))
-    texts = filled.select("scrip_cd", "seq", "unit", *(F.coalesce(*(F.col("rec")[n] for n in v)).alias(k) for k, v in dims.RESULT_FIELDS.items()))
+    parsed = _once(records, "scrip_cd", "seq", rec=_spelled(F.col("rec")))
+
+    def filled(name: str) -> Column:
+        v = _said(F.col("rec"), name)
+        return F.when(~v.rlike(dims.NO_VALUE), v)
+
+    texts = _once(parsed, "scrip_cd", "seq", unit=detect_unit_record(F.col("rec")), **{k: F.coalesce(*map(filled, v)) for k, v in dims.RESULT_FIELDS.items()})
     kind, end = F.upper(F.coalesce("period", F.lit(""))), F.coalesce("end", F.lit(""))
     months = F.when(F.col("months").rlike("^[0-9]+$"), F.col("months").cast("int")).otherwise(0)
-    annual = kind.isin("A", "ANNUAL", "YEARLY") | (months == 12) | (end.rlike(r"(?i)(Mar|March)\s*\d{4}") & (months >= 9)) | (kind == "")
+    annual = kind.isin("A", "ANNUAL", "YEARLY") | (months == 12) | (end.rlike(dims.YEAR_END) & (months >= 9)) | (kind == "")
     names = [k for k in dims.RESULT_FIELDS if k not in ("period", "end", "months")]
-    year = none_if_empty(F.regexp_extract(end, r"(\d{4})", 1)).cast("int")
-    r = texts.where(annual).select("scrip_cd", "seq", year.alias("fiscal_year"), *((amount_bse(F.col(k)) * F.col("unit")).alias(k) for k in names))
+    year = none_if_empty(F.regexp_extract(end, dims.YEAR, 1)).cast("int")
+    r = _once(texts.where(annual), "scrip_cd", "seq", fiscal_year=year, **{k: amount_bse(F.col(k)) * F.col("unit") for k in names})
     ebitda = F.coalesce(F.col("operating_profit"), F.col("pbt") + F.col("depreciation") + F.col("finance_cost"), F.col("pbt") + F.col("depreciation"))
     r = r.withColumns({"ebitda": ebitda, "net_debt": F.col("total_debt") - F.col("cash")})
     r = r.select(

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -63,28 +63,53 @@ def last_wins(df: DataFrame, key: str, values: list[str], pos: str = "pos") -> D
     return df.where(none_if_empty(F.col(key)).isNotNull()).groupBy(key).agg(F.max_by(F.struct(*values), pos).alias("_v"), F.min(pos).alias(pos)).select(key, "_v.*", pos)
 
 
-def first_containing(prefixes: DataFrame, reference: DataFrame, short: int = 4) -> DataFrame:
-    """prefix → place of the first reference name that contains it, as an equality join on substrings.
+#: Lengths of q-grams. A prefix is looked up by those of the longest that fits into it, as longer ones are rarer.
+GRAMS = (4, 8, 16)
 
-    Only as many substrings are made as there are lengths of prefixes, which are few: all long names have the same. Very short
-    prefixes are few too, but each is a substring of most names, so they are kept apart and folded over the references instead.
+
+def grams(name: Column, q: Column) -> Column:
+    """Distinct substrings of length q of a name, one for each place at most."""
+    made = F.transform(F.sequence(F.lit(1), F.length(name) - q + 1), lambda i: F.substring(name, i, q))
+    return F.when(F.length(name) >= q, F.array_distinct(made)).otherwise(F.array().cast("array<string>"))
+
+
+def _gram_length(prefix: Column) -> Column:
+    out = F.lit(GRAMS[0])
+    for q in GRAMS[1:]:
+        out = F.when(F.length(prefix) >= q, q).otherwise(out)
+    return out
+
+
+def first_containing(prefixes: DataFrame, reference: DataFrame) -> DataFrame:
+    """prefix → place of the first reference name that contains it, by an inverted list of q-grams.
+
+    A reference name gives one row for each place and length of GRAMS in use, whatever the lengths of prefixes are, and only grams
+    that some prefix has go any further. A prefix meets the names that hold its rarest gram and no others, and each of those is
+    verified; a prefix with a gram that no name has is in none. Prefixes shorter than any gram are few, but each is a substring of
+    most names, so their substrings are folded to the first place before they meet.
     """
+    short = GRAMS[0]
     p = prefixes.select("prefix").distinct()
-    lengths = F.broadcast(p.where(F.length("prefix") >= short).agg(F.sort_array(F.collect_set(F.length("prefix"))).alias("lengths")))
-    parts = reference.select("name_norm", "pos").join(lengths).withColumn("n", F.explode("lengths")).where(F.length("name_norm") >= F.col("n"))
-    parts = parts.withColumn("part", F.explode(F.expr("array_distinct(transform(sequence(1, length(name_norm) - n + 1), i -> substring(name_norm, i, n)))")))
-    # Prefixes are few beside substrings, so they meet before anything is aggregated.
-    long = parts.join(p, F.col("prefix") == F.col("part")).groupBy("prefix").agg(F.min("pos").alias("pos"))
+    needs = p.where(F.length("prefix") >= short).withColumn("q", _gram_length(F.col("prefix"))).withColumn("gram", F.explode(grams(F.col("prefix"), F.col("q"))))
+    used = F.broadcast(needs.agg(F.sort_array(F.collect_set("q")).alias("qs")))  # three numbers at most
+    lists = reference.select("name_norm", "pos").join(used).withColumn("gram", F.explode(F.flatten(F.transform("qs", lambda q: grams(F.col("name_norm"), q)))))
+    lists = lists.join(needs.select("gram").distinct(), "gram", "left_semi").select("gram", "pos", "name_norm")
+    sizes = lists.groupBy("gram").agg(F.count(F.lit(1)).alias("n"))
+    found = needs.join(sizes, "gram", "left").groupBy("prefix").agg(F.min_by("gram", F.struct(F.coalesce("n", F.lit(0)), "gram")).alias("gram"), F.min(F.coalesce("n", F.lit(0))).alias("n"))
+    long = lists.join(found.where("n > 0"), "gram").where(F.contains("name_norm", "prefix")).groupBy("prefix").agg(F.min("pos").alias("pos"))
     tiny = F.expr(f"flatten(transform(sequence(0, {short - 1}), k -> if(k = 0, array(''), if(length(name_norm) < k, array(), transform(sequence(1, length(name_norm) - k + 1), i -> substring(name_norm, i, k))))))")
     few = reference.select("pos", F.explode(F.array_distinct(tiny)).alias("part")).groupBy("part").agg(F.min("pos").alias("pos"))
     return long.unionByName(p.where(F.length("prefix") < short).join(few, F.col("prefix") == F.col("part")).select("prefix", "pos"))
 
 
-def match_listed(companies: DataFrame, reference: DataFrame, prefix: int) -> DataFrame:
+def match_listed(companies: DataFrame, reference: DataFrame, prefix: int, limit: int | None = None) -> DataFrame:
     """company_id, rule, ref_name, ref_isin, ref_code: by ISIN, else by name, else by the first reference that contains the name's start.
 
-    reference: pos, name, isin, code. Of reference rows with the same key the last gives the values, the first the place.
+    reference: pos, name, isin, code. Of reference rows with the same key the last gives the values, the first the place. limit: a
+    trial run over so many companies, the least ids.
     """
+    if limit is not None:
+        companies = _queue(companies, ["id"], limit)
     r = reference.select("pos", "name", "isin", "code", normalize_name_ws(F.col("name")).alias("name_norm"))
     c = companies.select(F.col("id").alias("company_id"), none_if_empty(F.col("isin")).alias("isin"), normalize_name_ws(F.col("name")).alias("name_norm"))
     by_isin = last_wins(r, "isin", ["name", "code"])

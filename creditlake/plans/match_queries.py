@@ -63,6 +63,15 @@ for _exchange, _n in (("bse", 20), ("nse", 25)):
         return J.match_listed(A.companies(spark, sf), A.references(spark, sf), n).select("company_id", "rule", "ref_name")
 
 
+@query("first_containing", with_tables(f"""WITH p AS (SELECT DISTINCT {sql_name_ws('name')}[1 + id % 3 : 1 + id % 3 + id % 23] AS prefix FROM companies), n AS (SELECT {sql_name_ws('name')} AS name_norm, pos FROM refs)
+SELECT prefix, min(pos) AS pos FROM p JOIN n ON contains(name_norm, prefix) GROUP BY prefix""", "companies", "refs"))
+def _(spark, sf):
+    """Pieces of names of 1 to 23 characters, and the first reference that holds each."""
+    name, k = normalize_name_ws(F.col("name")), F.col("id")
+    pieces = A.companies(spark, sf).select(F.substring(name, (1 + k % 3).cast("int"), (1 + k % 23).cast("int")).alias("prefix"))
+    return J.first_containing(pieces, A.references(spark, sf).select(name.alias("name_norm"), "pos"))
+
+
 @query("match_index", with_tables("""WITH ix AS (SELECT pos, lower(name) AS key, CASE WHEN pos % 7 = 0 THEN '' ELSE 'f' || code END AS file FROM refs), co AS (SELECT id AS company_id, lower(c_name) || CASE WHEN id % 5 = 0 THEN ' limited' ELSE '' END AS key FROM companies JOIN customer ON id = c_custkey),
 held AS (SELECT co.company_id, arg_min(ix.file, ix.pos) AS file FROM co JOIN ix ON contains(ix.key, co.key[1:30]) GROUP BY co.company_id)
 SELECT co.company_id, CASE WHEN ix.key IS NOT NULL THEN ix.file ELSE held.file END AS file FROM co LEFT JOIN ix ON co.key = ix.key LEFT JOIN held ON co.company_id = held.company_id WHERE CASE WHEN ix.key IS NOT NULL THEN ix.file ELSE held.file END <> ''""", "refs", "companies"))

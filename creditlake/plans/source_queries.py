@@ -14,6 +14,7 @@ from creditlake.plans.registry import query
 from creditlake.sources import html as H
 from creditlake.sources import readers as R
 from creditlake.sources import writers as W
+from creditlake.sources.arrays import read_elements
 
 
 def scratch(spark) -> str:
@@ -161,6 +162,23 @@ def _(spark, sf):
     return R.read_results(spark, landed(A.read(spark, sf, "orders").select(line.alias("value")), False), True).select("pos", F.col("rec")["PBT"].alias("pbt"), F.col("rec")["PeriodType"].alias("kind"))
 
 
+@query("array_elements", "SELECT doc_id, CAST(length(text) AS BIGINT) AS n_chars, sha256(text) AS text_sha256 FROM documents")
+def _(spark, sf):
+    """Whole documents, quotes, brackets and all, in lists of five hundred a file, read by ranges that cut them anywhere."""
+    d = A.read(spark, sf, "documents").groupBy(F.floor(F.col("doc_id") / 500)).agg(F.to_json(F.collect_list(F.struct("doc_id", "text"))).alias("value"))
+    e = read_elements(spark, landed(d.select("value"), True), size=1 << 17).select(F.from_json("value", "doc_id long, text string").alias("e"))
+    return e.select("e.doc_id", F.length("e.text").cast("long").alias("n_chars"), F.sha2("e.text", 256).alias("text_sha256"))
+
+
+@query("result_ranges", "SELECT o_orderkey AS id, o_totalprice::VARCHAR AS pbt FROM orders")
+def _(spark, sf):
+    """Results in one list a month, bare or wrapped, read by ranges."""
+    rec = F.create_map(F.lit("PBT"), F.col("o_totalprice").cast("string"), F.lit("id"), F.col("o_orderkey").cast("string"))
+    months = A.read(spark, sf, "orders").groupBy(F.date_format("o_orderdate", "yyyyMM").cast("int").alias("m")).agg(F.collect_list(rec).alias("records"))
+    value = F.when(F.col("m") % 2 == 0, F.to_json(F.create_map(F.lit("Result"), F.col("records")))).otherwise(F.to_json("records"))
+    return R.read_results(spark, landed(months.select(value.alias("value")), True), size=1 << 14).select(F.col("rec")["id"].cast("long").alias("id"), F.col("rec")["PBT"].alias("pbt"))
+
+
 @query("statement_files", "SELECT o_custkey::VARCHAR AS symbol, 'income' AS statement, 'EBITDA' AS item, CAST(o_orderdate AS DATE) AS period_end, o_totalprice AS value FROM orders")
 def _(spark, sf):
     to = scratch(spark)

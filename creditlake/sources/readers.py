@@ -1,7 +1,7 @@
 """Readers of landed raw records.
 
 A file is one answer of a source, so a reader's unit of work is a file: right for many small landings. With ``lines`` each line of a
-file is an answer, and large files are split over tasks.
+file is an answer, and large files are split over tasks; with ``size`` an answer is one very large list, read by ranges of so many bytes.
 """
 
 from __future__ import annotations
@@ -13,6 +13,7 @@ from creditlake import dims
 from creditlake.functions.names import none_if_empty, normalize_name_ws, strip
 from creditlake.functions.numbers import amount_digits, amount_plain, number
 from creditlake.functions.ratings import instrument_type_by_symbol, normalize_rating
+from creditlake.sources.arrays import read_elements
 
 MAP = "map<string,string>"
 
@@ -48,16 +49,20 @@ def read_company_universe(search: DataFrame) -> DataFrame:
     return x.groupBy("id").agg(F.max_by("name", "at").alias("name"))
 
 
-def read_suggest(spark: SparkSession, path: str, lines: bool = False) -> DataFrame:
-    """value of each entry of a JSON array, without empty ones."""
-    return _text(spark, path, lines).select(F.explode(F.from_json("value", "array<struct<value:string>>")["value"]).alias("value")).where(F.coalesce("value", F.lit("")) != "")
+def read_suggest(spark: SparkSession, path: str, lines: bool = False, limit: int | None = None) -> DataFrame:
+    """value of each entry of a JSON array, without empty ones; all or so many of them for a trial run."""
+    out = _text(spark, path, lines).select(F.explode(F.from_json("value", "array<struct<value:string>>")["value"]).alias("value")).where(F.coalesce("value", F.lit("")) != "")
+    return out if limit is None else out.limit(limit)
 
 
-def read_listing_docs(spark: SparkSession, path: str, lines: bool = False) -> DataFrame:
+def read_listing_docs(spark: SparkSession, path: str, lines: bool = False, size: int | None = None) -> DataFrame:
     """Documents of listing pages; rows without a name or file are dropped."""
     one = "companyName string, companyCode string, ratingFileName string, ratingDate string, prId string"
-    d = spark.read.schema(f"docs array<struct<{one.replace(' string', ':string')}>>").json(path, multiLine=not lines)
-    return d.select(F.explode("docs").alias("d")).select("d.*").where((F.coalesce("companyName", F.lit("")) != "") & (F.coalesce("ratingFileName", F.lit("")) != ""))
+    if size is not None:
+        d = read_elements(spark, path, ["docs"], size).select(F.from_json("value", one).alias("d"))
+    else:
+        d = spark.read.schema(f"docs array<struct<{one.replace(' string', ':string')}>>").json(path, multiLine=not lines).select(F.explode("docs").alias("d"))
+    return d.select("d.*").where((F.coalesce("companyName", F.lit("")) != "") & (F.coalesce("ratingFileName", F.lit("")) != ""))
 
 
 def read_issuers(spark: SparkSession, path: str, lines: bool = False) -> DataFrame:
@@ -69,17 +74,19 @@ def read_issuers(spark: SparkSession, path: str, lines: bool = False) -> DataFra
     return t.select(parsed.alias("i")).select("i.*").where(strip(F.coalesce("name", F.lit(""))) != "")
 
 
-def _bare_or_wrapped(spark: SparkSession, path: str, wrappers: list[str], lines: bool) -> DataFrame:
-    """pos, rec of records in a JSON list that is bare or under the first wrapper key that has one."""
+def _bare_or_wrapped(spark: SparkSession, path: str, wrappers: list[str], lines: bool, size: int | None = None) -> DataFrame:
+    """pos, rec of records in a JSON list that is bare or under the first wrapper key that has one; pos is a place in the file if read by ranges."""
+    if size is not None:
+        return read_elements(spark, path, wrappers, size).select(F.col("at").alias("pos"), F.from_json("value", MAP).alias("rec"))
     t = _text(spark, path, lines).select(F.col("value").alias("v"))
     wrapped = F.from_json("v", MAP)
     found = F.from_json(F.when(strip(F.col("v")).startswith("["), F.col("v")).otherwise(F.coalesce(*(none_if_empty(wrapped[w]) for w in wrappers))), f"array<{MAP}>")
     return t.select(F.posexplode(found).alias("pos", "rec"))
 
 
-def read_press_releases(spark: SparkSession, path: str, lines: bool = False) -> DataFrame:
+def read_press_releases(spark: SparkSession, path: str, lines: bool = False, size: int | None = None) -> DataFrame:
     """pos, company, file_url, title, published of press releases, bare or under ``data``."""
-    r = _bare_or_wrapped(spark, path, ["data"], lines)
+    r = _bare_or_wrapped(spark, path, ["data"], lines, size)
     return r.select("pos", F.col("rec")["CompanyName"].alias("company"), F.col("rec")["FileURL"].alias("file_url"), F.col("rec")["FileTitle"].alias("title"), F.col("rec")["PublishedDate"].alias("published"))
 
 
@@ -98,13 +105,13 @@ def scrip_columns(raw: DataFrame) -> DataFrame:
     return raw.select("pos", *(strip(F.coalesce(first_spelling(F.col("rec"), v), F.lit(""))).alias(k) for k, v in SCRIP_FIELDS.items()))
 
 
-def read_scrips(spark: SparkSession, path: str, lines: bool = False) -> DataFrame:
-    return scrip_columns(_bare_or_wrapped(spark, path, SCRIP_WRAPPERS, lines))
+def read_scrips(spark: SparkSession, path: str, lines: bool = False, size: int | None = None) -> DataFrame:
+    return scrip_columns(_bare_or_wrapped(spark, path, SCRIP_WRAPPERS, lines, size))
 
 
-def read_results(spark: SparkSession, path: str, lines: bool = False) -> DataFrame:
+def read_results(spark: SparkSession, path: str, lines: bool = False, size: int | None = None) -> DataFrame:
     """pos, rec of result records, bare or wrapped."""
-    return _bare_or_wrapped(spark, path, RESULT_WRAPPERS, lines)
+    return _bare_or_wrapped(spark, path, RESULT_WRAPPERS, lines, size)
 
 
 def read_equity_csv(spark: SparkSession, path: str) -> DataFrame:

@@ -29,10 +29,12 @@ def date_chunks(start: Column, end: Column, monthly: bool) -> Column:
     return F.transform(days, lambda d: F.struct(F.date_format(d, "MM/dd/yyyy").alias("first"), F.date_format(last(d), "MM/dd/yyyy").alias("last")))
 
 
-def after_checkpoint(df: DataFrame, key: str, checkpoint: int, most: int | None = None) -> DataFrame:
-    """Rows whose key is a number past the checkpoint, up to the last id if one is given, in numeric order."""
+def after_checkpoint(df: DataFrame, key: str, checkpoint: int, most: int | None = None, limit: int | None = None) -> DataFrame:
+    """Rows whose key is a number past the checkpoint, up to the last id and by no more than ``limit`` numbers if given, in numeric order."""
     n = F.col(key).try_cast("long")
     out = df.where(n > checkpoint)
+    if limit is not None:
+        most = checkpoint + limit if most is None else min(most, checkpoint + limit)
     return (out if most is None else out.where(n <= most)).orderBy(n)
 
 
