@@ -10,6 +10,7 @@ from creditlake.plans import adapters as A
 from creditlake.plans.adapters import CTES, sql_name, with_tables
 from creditlake.plans.registry import query
 from creditlake.plans.source_queries import scratch
+from creditlake.streaming.first_wins import read_first_wins, stream_first_wins
 
 #: Rows arrive by id: those that are there already (even), the first load, the second.
 _LOADS = (1, 3)
@@ -91,3 +92,16 @@ def _(spark, sf):
         I.delete_from(table, gone)
     I.refresh_screen(kept, c.where("id % 10 <> 3"), ratings, financials, gone)
     return kept.read(spark)
+
+
+@query("stream_first_wins", with_tables("SELECT company_id, agency, source_id, rating_symbol FROM (SELECT *, row_number() OVER (PARTITION BY company_id, agency, source_id ORDER BY id) AS k FROM ratings) WHERE source_id IS NULL OR k = 1", "ratings"))
+def _(spark, sf):
+    """Later ratings land first, earlier ones after a restart, with files that land again: the stream gives what a batch over all gives."""
+    r = A.ratings(spark, sf).select(F.col("id").alias("seq"), "company_id", "agency", "source_id", "rating_symbol")
+    schema, at = "seq long, company_id long, agency string, source_id string, rating_symbol string", scratch(spark)
+    for n, some in enumerate(("seq % 3 = 2", "seq % 3 <> 1")):
+        r.where(some).write.json(f"{at}/landed/{n}")
+        stream_first_wins(spark, f"{at}/landed/*", schema, f"{at}/table", f"{at}/checkpoint").awaitTermination()
+        r.where("seq % 3 = 1").write.mode("overwrite").json(f"{at}/landed/again")
+    stream_first_wins(spark, f"{at}/landed/*", schema, f"{at}/table", f"{at}/checkpoint").awaitTermination()
+    return read_first_wins(spark, schema, f"{at}/table").select("company_id", "agency", "source_id", "rating_symbol")
