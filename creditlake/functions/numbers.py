@@ -28,8 +28,8 @@ def amount_plain(text: Column) -> Column:
 
 
 def amount_bse(text: Column) -> Column:
-    """Commas cut; a trailing word, % or blanks cut; then brackets are a minus."""
-    return number(_in_brackets(F.regexp_replace(strip(F.replace(text, F.lit(","), F.lit(""))), r"[A-Za-z%\s]+$", "")))
+    """Commas cut; a trailing word, % or blanks cut; then brackets are a minus. What is a plain number already takes the short way."""
+    return F.when(text.rlike(_NUMBER), text.try_cast("double")).otherwise(number(_in_brackets(F.regexp_replace(strip(F.replace(text, F.lit(","), F.lit(""))), r"[A-Za-z%\s]+$", ""))))
 
 
 def amount_pdf(text: Column) -> Column:

@@ -11,7 +11,6 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import StringType, StructField, StructType
 from pyspark.sql.window import Window
 
 from creditlake import dims
@@ -147,38 +146,14 @@ def extract_capex_plans(pages: DataFrame) -> DataFrame:
     return out.where("amount_cr is not null")
 
 
-def _layers(names: list[str]) -> list[list[str]]:
-    """Names such that those of one layer differ by more than case, as fields of one struct have to."""
-    layers: list[dict[str, str]] = []
-    for n in dict.fromkeys(names):
-        layer = next((x for x in layers if n.lower() not in x), None)
-        if layer is None:
-            layers.append(layer := {})
-        layer[n.lower()] = n
-    return [list(x.values()) for x in layers]
-
-
-_SPELLINGS = _layers([*(n for v in dims.RESULT_FIELDS.values() for n in v), *dims.UNIT_FIELDS, *dims.UNIT_REVENUE_FIELDS])
-
-
-def _spelled(rec: Column) -> Column:
-    """A record (map of text) as structs with a field for each known spelling, so that a look-up is the reading of a column."""
-    text = F.to_json(rec)
-    return F.struct(*(F.from_json(text, StructType([StructField(n, StringType()) for n in names])).alias(f"l{k}") for k, names in enumerate(_SPELLINGS)))
-
-
-def _said(record: Column, name: str) -> Column:
-    return record[f"l{next(k for k, names in enumerate(_SPELLINGS) if name in names)}"][name]
-
-
-def detect_unit_record(record: Column) -> Column:
-    """Multiple of a crore: from a unit field, else from the size of revenue, else lakhs. record: as ``_spelled`` makes it."""
+def detect_unit_record(rec: Column) -> Column:
+    """Multiple of a crore: from a unit field, else from the size of revenue, else lakhs."""
 
     def of(v: Column) -> Column:
         return F.when(v.contains("cr"), 1.0).when(v.contains("lakh") | v.contains("lac"), 0.01).when(v.contains("million"), 0.1)
 
-    said = F.coalesce(*(of(F.lower(_said(record, n))) for n in dims.UNIT_FIELDS))
-    revenue = F.coalesce(*(amount_bse(_said(record, n)) for n in dims.UNIT_REVENUE_FIELDS))
+    said = F.coalesce(*(of(F.lower(rec[n])) for n in dims.UNIT_FIELDS))
+    revenue = F.coalesce(*(amount_bse(rec[n]) for n in dims.UNIT_REVENUE_FIELDS))
     return F.coalesce(said, bind(revenue, lambda r: F.when(r > 100_000, 0.01).when(r.isNotNull(), 1.0)), F.lit(0.01))
 
 
@@ -198,13 +173,12 @@ def annual_results(records: DataFrame) -> DataFrame:
 
     records: scrip_cd, seq, rec (map of text).
     """
-    parsed = _once(records, "scrip_cd", "seq", rec=_spelled(F.col("rec")))
 
     def filled(name: str) -> Column:
-        v = _said(F.col("rec"), name)
+        v = F.col("rec")[name]
         return F.when(~v.rlike(dims.NO_VALUE), v)
 
-    texts = _once(parsed, "scrip_cd", "seq", unit=detect_unit_record(F.col("rec")), **{k: F.coalesce(*map(filled, v)) for k, v in dims.RESULT_FIELDS.items()})
+    texts = _once(records, "scrip_cd", "seq", unit=detect_unit_record(F.col("rec")), **{k: F.coalesce(*map(filled, v)) for k, v in dims.RESULT_FIELDS.items()})
     kind, end = F.upper(F.coalesce("period", F.lit(""))), F.coalesce("end", F.lit(""))
     months = F.when(F.col("months").rlike("^[0-9]+$"), F.col("months").cast("int")).otherwise(0)
     annual = kind.isin("A", "ANNUAL", "YEARLY") | (months == 12) | (end.rlike(dims.YEAR_END) & (months >= 9)) | (kind == "")

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from creditlake.operators import counts as N
 from creditlake.operators import increment as I
 from creditlake.operators import screen as S
 from creditlake.plans import adapters as A
@@ -105,3 +106,21 @@ def _(spark, sf):
         r.where("seq % 3 = 1").write.mode("overwrite").json(f"{at}/landed/again")
     stream_first_wins(spark, f"{at}/landed/*", schema, f"{at}/table", f"{at}/checkpoint").awaitTermination()
     return read_first_wins(spark, schema, f"{at}/table").select("company_id", "agency", "source_id", "rating_symbol")
+
+
+def _kept_loads(spark, sf):
+    """Three loads by id, the second kept twice; their companies overlap."""
+    c, r, f, at = A.companies(spark, sf), A.ratings(spark, sf), A.financials(spark, sf), scratch(spark)
+    for n in (0, 1, 1, 2):
+        N.keep_load(at, n, *(t.where(F.col("id") % 3 == n) for t in (c, r, f)))
+    return at
+
+
+@query("kept_summary_stats", with_tables("SELECT (SELECT count(*) FROM companies) AS companies, (SELECT count(DISTINCT company_id) FROM ratings) AS rated, (SELECT count(*) FROM ratings) AS ratings, (SELECT max(scraped_at) FROM ratings) AS last_scraped, (SELECT count(DISTINCT company_id) FROM financials) AS with_financials", "companies", "ratings", "financials"))
+def _(spark, sf):
+    return N.kept_summary(spark, _kept_loads(spark, sf))
+
+
+@query("kept_financials_by_source", with_tables("SELECT data_source, count(*) AS n, count(DISTINCT company_id) AS companies FROM financials GROUP BY data_source", "financials"))
+def _(spark, sf):
+    return N.kept_by_source(spark, _kept_loads(spark, sf))
