@@ -154,3 +154,13 @@ def _(spark, sf):
 def _(spark, sf):
     name = F.concat(F.lit("  "), "name", F.lit("   Co.  "))
     return A.references(spark, sf).select(F.col("pos").alias("id"), normalize_name(name).alias("key"), normalize_name_ws(name).alias("key_ws"), strip_suffix(name).alias("index_key"), strip_suffix_short(name).alias("lookup_key"))
+
+
+@query("run_pipeline", with_tables(f"WITH {_FEW}, left_over AS (SELECT id FROM companies WHERE id NOT IN (SELECT company_id FROM few)) SELECT 'match' AS step, (SELECT count(*) FROM left_over) AS n UNION ALL SELECT 'report', (SELECT count(DISTINCT agency) FROM ratings)", "companies", "ratings", "financials"))
+def _(spark, sf):
+    """Chosen steps in their order, each over whole tables: what the first left is what the second could not undo."""
+    c, r, f = _tables(spark, sf)
+    steps = [("load", lambda: r.limit(0)), ("match", lambda: c.select(F.col("id").alias("company_id")).join(f.select("company_id"), "company_id", "left_anti")), ("report", lambda: r.select("agency").distinct())]
+    done = R.run_pipeline(steps, {"report", "match"})
+    counts = [df.agg(F.count(F.lit(1)).alias("n")).select(F.lit(name).alias("step"), "n") for name, df in done.items()]
+    return counts[0].unionByName(counts[1])

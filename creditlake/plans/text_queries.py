@@ -245,38 +245,47 @@ def _(spark, sf):
     return X.extract_financials(_pages(spark, sf))
 
 
-_BLOCK = ["", "Key financial indicators (audited)", "Firm FY2024 FY2025", "Operating income 4269.1 ", "PAT 446.4 341.6", "OPBDIT/OI 13.9% 10.4%", "Total debt/OPBDIT (times) 0.0 0.2", "Interest coverage (times) 103.7 26.2", "Note: audited", "PAT 1 2"]
+_BLOCK = ["", "Key financial indicators (audited)", "Firm FY2024 FY2025", "Operating income 4269.1 ", "PAT 446.4 ", "OPBDIT/OI 13.9% 10.4%", "Total debt/OPBDIT (times) 0.0 0.2", "Interest coverage (times) 103.7 ", "Note: audited", "PAT 1 2"]
+#: Lengths of whole texts give the figures.
+_LENGTH = "(SELECT doc_id, coalesce(text, '') AS text, length(coalesce(text, '')) AS len FROM documents)"
 
 
-@query("extract_text_table", """SELECT doc_id, 2025 AS fiscal_year, n AS revenue_cr, 341.6::DOUBLE AS pat_cr, 26.2::DOUBLE AS interest_coverage, 10.4::DOUBLE AS ebitda_margin_pct, e AS ebitda_cr, CASE WHEN e > 0 THEN round(0.2::DOUBLE * e, 2) END AS total_debt_cr, NULL::DOUBLE AS net_debt_cr
-  FROM (SELECT doc_id, n, CASE WHEN n > 0 THEN round(n * 10.4::DOUBLE / 100, 2) END AS e FROM (SELECT doc_id, CAST(doc_id AS DOUBLE) AS n FROM documents))""")
+@query("extract_text_table", f"""SELECT doc_id, 2025 AS fiscal_year, n AS revenue_cr, CAST((len % 300) || '.6' AS DOUBLE) AS pat_cr, CAST((len % 40) || '.2' AS DOUBLE) AS interest_coverage, 10.4::DOUBLE AS ebitda_margin_pct, e AS ebitda_cr, CASE WHEN e > 0 THEN round(0.2::DOUBLE * e, 2) END AS total_debt_cr, NULL::DOUBLE AS net_debt_cr
+  FROM (SELECT doc_id, n, len, CASE WHEN n > 0 THEN round(n * 10.4::DOUBLE / 100, 2) END AS e FROM (SELECT doc_id, len, CAST(doc_id AS DOUBLE) AS n FROM {_LENGTH}))""")
 def _(spark, sf):
-    n = F.col("doc_id").cast("string")
-    return X.extract_text_table(_with_text(spark, sf, F.concat_ws("\n", *(F.concat(F.lit(x), n) if x.endswith(" ") else F.lit(x) for x in _BLOCK))))
+    text = _with_text(spark, sf, F.lit(""))
+    size = F.length("text")
+    ends = {"Operating income 4269.1 ": F.col("doc_id").cast("string"), "PAT 446.4 ": F.concat((size % 300).cast("string"), F.lit(".6")), "Interest coverage (times) 103.7 ": F.concat((size % 40).cast("string"), F.lit(".2"))}
+    block = F.concat_ws("\n", *(F.concat(F.lit(x), ends[x]) if x in ends else F.lit(x) for x in _BLOCK))
+    return X.extract_text_table(text.select("doc_id", F.concat("text", block).alias("text")))
 
 
-_BRIEF = """WITH t AS (SELECT doc_id, 2024 AS fiscal_year, CAST((doc_id % 40 + 10) || '.7' AS DOUBLE) AS revenue_cr, CAST(doc_id % 9 AS DOUBLE) AS ebitda_cr, CAST(doc_id % 4 AS DOUBLE) AS pat_cr FROM documents UNION ALL SELECT doc_id, 2023, 7.0, 2.0, NULL FROM documents)
+_BRIEF = f"""WITH t AS (SELECT doc_id, 2024 AS fiscal_year, CAST((len % 40 + 10) || '.7' AS DOUBLE) AS revenue_cr, CAST(len % 9 AS DOUBLE) AS ebitda_cr, CAST(len % 4 AS DOUBLE) AS pat_cr FROM {_LENGTH} UNION ALL SELECT doc_id, 2023, len % 5 + 7.0, 2.0, NULL FROM {_LENGTH})
 SELECT *, NULL::DOUBLE AS interest_coverage, NULL::DOUBLE AS total_debt_cr, NULL::DOUBLE AS net_debt_cr, NULL::DOUBLE AS cash_cr, NULL::DOUBLE AS capex_cr, CASE WHEN ebitda_cr <> 0 THEN round(ebitda_cr / revenue_cr * 100, 2) END AS ebitda_margin_pct,
   (1 + (ebitda_cr <> 0)::INT + coalesce((pat_cr <> 0)::INT, 0)) / 4.0::DOUBLE AS extraction_confidence, 'care_edge_pdf' AS data_source FROM t"""
 
 
 @query("brief_financials", _BRIEF)
 def _(spark, sf):
-    s = F.concat((F.col("doc_id") % 40 + 10).cast("string"), F.lit(".7")), (F.col("doc_id") % 9).cast("string"), (F.col("doc_id") % 4).cast("string")
+    """Tables whose figures are taken from whole texts, which stand in a row of remarks."""
+    d, n = _with_text(spark, sf, F.lit("")), F.length("text")
+    s = F.concat((n % 40 + 10).cast("string"), F.lit(".7")), (n % 9).cast("string"), (n % 4).cast("string")
     head = ("Brief Financials (Rs crore)", "March 31, 2023 (A)", "March 31, 2024 (A)", "9MFY25 (UA)")
-    rows = ("Total operating income", "7", s[0], "1"), ("PBILDT", "2.0**", s[1], "-"), ("PAT", "-", s[2], "3")
+    rows = ("Total operating income", (n % 5 + 7).cast("string"), s[0], "1"), ("Remarks", F.col("text"), F.col("text"), "-"), ("PBILDT", "2.0**", s[1], "-"), ("PAT", "-", s[2], "3")
     table = F.array(*(F.array(*(F.lit(c) if isinstance(c, str) else c for c in r)) for r in (head, *rows)))
-    return X.parse_brief_financials(_with_text(spark, sf, F.lit("")).withColumns({"page_no": F.lit(1), "tables": F.array(table)}))
+    return X.parse_brief_financials(d.withColumns({"page_no": F.lit(1), "tables": F.array(table)}))
 
 
 def _facilities(spark, sf):
+    """Instruments whose amounts and grades are taken from whole texts, which are the note of the first."""
+    d, n = _with_text(spark, sf, F.lit("")), F.length("text")
     grade = F.array(*(F.lit(x) for x in dims.SYMBOLS))
-    n = F.col("doc_id")
-    table = F.array(F.array(*map(F.lit, ("Facilities/Instruments", "Amount", "Rating", "Action"))), F.array(F.lit("Long Term Bank"), F.concat((n % 90).cast("string"), F.lit(".5 (Enhanced)")), F.concat(F.lit("CARE "), grade[(n % 20).cast("int")], F.lit("; Stable / CARE A1+")), F.lit("Reaffirmed")), F.array(F.lit("Short Term Bank"), F.lit(""), F.lit("CARE A; Negative"), F.lit("Assigned")))
-    return _with_text(spark, sf, F.lit("")).withColumns({"page_no": F.lit(1), "tables": F.array(table)})
+    note = F.concat(F.lit("Reaffirmed: "), F.col("text"), F.lit("."))
+    table = F.array(F.array(*map(F.lit, ("Facilities/Instruments", "Amount", "Rating", "Action"))), F.array(F.lit("Long Term Bank"), F.concat((n % 90).cast("string"), F.lit(".5 (Enhanced)")), F.concat(F.lit("CARE "), grade[n % 20], F.lit("; Stable / CARE A1+")), note), F.array(F.lit("Short Term Bank"), F.lit(""), F.lit("CARE A; Negative"), F.lit("Assigned")))
+    return d.withColumns({"page_no": F.lit(1), "tables": F.array(table)})
 
 
-_FACILITIES = f"SELECT doc_id, 1 AS row_no, 'Long Term Bank' AS instrument_name, 'LT' AS instrument_type, CAST(doc_id % 90 || '.5' AS DOUBLE) AS rated_amount_cr, {A._list(dims.SYMBOLS)}[doc_id % 20 + 1] AS rating_symbol, CAST(doc_id % 20 + 1 AS INTEGER) AS rating_grade, 'Stable' AS outlook, 'Reaffirmed' AS rating_action FROM documents UNION ALL SELECT doc_id, 2, 'Short Term Bank', 'ST', NULL, 'A', 6, 'Negative', 'Assigned' FROM documents"
+_FACILITIES = f"SELECT doc_id, 1 AS row_no, 'Long Term Bank' AS instrument_name, 'LT' AS instrument_type, CAST(len % 90 || '.5' AS DOUBLE) AS rated_amount_cr, {A._list(dims.SYMBOLS)}[len % 20 + 1] AS rating_symbol, CAST(len % 20 + 1 AS INTEGER) AS rating_grade, 'Stable' AS outlook, 'Reaffirmed: ' || text || '.' AS rating_action FROM {_LENGTH} UNION ALL SELECT doc_id, 2, 'Short Term Bank', 'ST', NULL, 'A', 6, 'Negative', 'Assigned' FROM documents"
 
 
 @query("rating_table", _FACILITIES)
@@ -284,9 +293,9 @@ def _(spark, sf):
     return X.parse_rating_table(_facilities(spark, sf))
 
 
-@query("best_instrument", f"SELECT doc_id, arg_min(instrument_name, (rating_grade, row_no)) AS instrument_name, min(rating_grade) AS rating_grade FROM ({_FACILITIES}) GROUP BY doc_id")
+@query("best_instrument", f"SELECT doc_id, arg_min(instrument_name, (rating_grade, row_no)) AS instrument_name, min(rating_grade) AS rating_grade, arg_min(rating_action, (rating_grade, row_no)) AS rating_action FROM ({_FACILITIES}) GROUP BY doc_id")
 def _(spark, sf):
-    return X.best_instrument(X.parse_rating_table(_facilities(spark, sf))).select("doc_id", "instrument_name", "rating_grade")
+    return X.best_instrument(X.parse_rating_table(_facilities(spark, sf))).select("doc_id", "instrument_name", "rating_grade", "rating_action")
 
 
 @query("release_dates_and_sentences", "SELECT doc_id, 'March ' || (doc_id % 28 + 1) || ', 2024' AS released, len(string_split(regexp_replace(t, '([.!?])\\s+', '\\1' || chr(1), 'g'), chr(1))) AS sentences FROM (SELECT doc_id, regexp_replace(coalesce(text, ''), '[^a-z.!? ]', '', 'g') AS t FROM documents)")
