@@ -2,13 +2,13 @@
 
 from __future__ import annotations
 
-import re
 from collections.abc import Callable
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from creditlake import dims
+from creditlake.functions.phrases import first_held, holds_any
 
 
 def strip(c: Column) -> Column:
@@ -54,15 +54,14 @@ def strip_suffix_short(name: Column) -> Column:
 
 
 def is_state_owned(name: Column) -> Column:
-    """One alternation instead of a test for each fragment."""
-    return F.concat(F.lit(" "), F.lower(name), F.lit(" ")).rlike("|".join(map(re.escape, dims.STATE_OWNED)).replace(r"\ ", " "))
+    """Whether the name holds one of the fragments, which may reach over its ends by a blank."""
+    return holds_any(F.concat(F.lit(" "), F.lower(name), F.lit(" ")), dims.STATE_OWNED)
 
 
 def first_word_in(text: Column, table: list[tuple[str, str]]) -> Column:
     """Label of the first entry, in table order, whose word occurs in the lower-cased text; '' if none does."""
-    words = F.array(*(F.struct(F.lit(w).alias("word"), F.lit(v).alias("label")) for w, v in table))
-    hit = F.filter(words, lambda x: F.lower(text).contains(x["word"]))
-    return F.coalesce(F.try_element_at(hit, F.lit(1))["label"], F.lit(""))
+    labels = F.array(*(F.lit(v) for _, v in table))
+    return F.coalesce(F.get(labels, first_held(F.lower(text), [w for w, _ in table])), F.lit(""))
 
 
 def keyword_sector(name: Column, text: Column) -> Column:

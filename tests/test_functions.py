@@ -1,11 +1,14 @@
 """Golden cases of ratings, names, numbers and years."""
 
+from hypothesis import HealthCheck, given, settings
+from hypothesis import strategies as st
 import pytest
 from pyspark.sql import functions as F
 
 from creditlake.functions import names as T
 from creditlake.functions import numbers as N
 from creditlake.functions import ratings as R
+from creditlake.functions import phrases as P
 
 RATINGS = [
     ("[ICRA]AA+(Stable)", "AA+", 2, "Stable"), ("CRISIL AA+", "AA+", 2, ""), ("CARE AAA; Stable", "AAA", 1, "Stable"), ("IND A-/Stable", "A-", 7, "Stable"), ("CRISIL D", "D", 20, ""),
@@ -58,3 +61,14 @@ def test_columns(spark, column, cases):
 def test_year_columns(spark):
     df = spark.createDataFrame([(["x", "FY24", None, "2025"],)], "h array<string>")
     assert df.select(N.year_columns(F.col("h"))).first()[0] == [3, 1]
+
+
+@settings(max_examples=10, deadline=None, suppress_health_check=[HealthCheck.function_scoped_fixture])
+@given(st.lists(st.text("ab .-", min_size=1, max_size=5), min_size=1, max_size=9, unique=True), st.lists(st.text("ab .-\n", max_size=14), min_size=1, max_size=12))
+def test_phrases_in_one_pass_are_those_of_the_list(spark, phrases, texts):
+    df = spark.createDataFrame([(t,) for t in texts] + [(None,)], "t string")
+    got = {r.t: (r.any, r.first) for r in df.select("t", P.holds_any(F.col("t"), phrases).alias("any"), P.first_held(F.col("t"), phrases).alias("first")).collect()}
+    for t in texts:
+        first = next((i for i, p in enumerate(phrases) if p in t), None)
+        assert got[t] == (first is not None, first)
+    assert got[None] == (None, None)

@@ -18,6 +18,7 @@ def test_checkpoints_compare_as_numbers(spark):
     df = spark.createDataFrame([("9",), ("10",), ("x",), (None,), ("100",)], "id string")
     assert [r.id for r in R.after_checkpoint(df, "id", 9).collect()] == ["10", "100"]
     assert [r.id for r in R.after_checkpoint(df, "id", 5, 10).collect()] == ["9", "10"]
+    assert [r.id for r in R.after_checkpoint(df, "id", 8, None, 2).collect()] == ["9", "10"] and [r.id for r in R.after_checkpoint(df, "id", 8, 9, 2).collect()] == ["9"]
     assert R.next_checkpoint(df, "id", 7) == 100 and R.next_checkpoint(df.limit(0), "id", 7) == 7
 
 

@@ -1,7 +1,10 @@
 """Merges, the screen, matching and extraction on small tables."""
 
+import random
+
 from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
 from creditlake import schemas
 from creditlake.operators import financials as X
@@ -96,6 +99,33 @@ def test_substring_join_equals_brute_force(spark, names, prefixes):
     assert got == {k: v for k, v in want.items() if v is not None}
 
 
+def test_containment_by_the_rarest_gram_at_all_lengths(spark):
+    rng = random.Random(3)
+    word = lambda: "".join(rng.choice("ab") for _ in range(rng.randint(1, 9)))
+    names = [" ".join([*(word() for _ in range(rng.randint(0, 4))), "private limited"]) for _ in range(60)] + ["", "ab"]
+    whole = rng.choices(names, k=80)
+    prefixes = {n[(a := rng.randrange(len(n) + 1)) : a + rng.randint(0, 30)] for n in whole} | {"private limited", "no such name at all", "zz", "a" * 17}
+    ref = spark.createDataFrame(list(enumerate(names)), "pos long, name_norm string")
+    got = {r.prefix: r.pos for r in J.first_containing(spark.createDataFrame([(p,) for p in prefixes], "prefix string"), ref).collect()}
+    assert got == {p: i for p in prefixes if (i := next((i for i, n in enumerate(names) if p in n), None)) is not None}
+    assert J.first_containing(ref.select(F.col("name_norm").alias("prefix")).limit(0), ref).count() == 0
+
+
+def test_rows_of_the_inverted_list_grow_with_the_length_of_names_alone(spark):
+    made = [spark.range(1).select(F.size(J.grams(F.repeat(F.lit("abcdefghijk"), n), F.lit(q)))).first()[0] for n in (10, 20) for q in J.GRAMS]
+    assert all(m <= 11 for m in made)  # distinct ones only
+    name = F.sha2(F.lit("x"), 512)
+    assert [spark.range(1).select(F.size(J.grams(name, F.lit(q)))).first()[0] <= 128 - q + 1 for q in J.GRAMS] == [True] * 3
+
+
+def test_limits_of_reads_and_matches(spark, tmp_path):
+    c = spark.createDataFrame([(i, f"Acme {i} Ltd", None) for i in (4, 2, 9)], "id long, name string, isin string")
+    r = spark.createDataFrame([(i, f"acme {i} ltd", None, str(i)) for i in (2, 4, 9)], "pos long, name string, isin string, code string")
+    assert sorted(x.company_id for x in J.match_listed(c, r, 20, limit=2).collect()) == [2, 4]
+    (tmp_path / "s.json").write_text('[{"value": "a"}, {"value": ""}, {"value": "b"}, {"value": "c"}]')
+    assert [x.value for x in readers.read_suggest(spark, str(tmp_path / "s.json"), limit=2).collect()] == ["a", "b"]
+
+
 def test_match_prefers_isin_then_name_then_prefix(spark):
     c = spark.createDataFrame([(1, "Alpha Ltd", "I1"), (2, "Beta Limited", None), (3, "Gamma", None), (4, "Nothing like it", None)], "id long, name string, isin string")
     r = spark.createDataFrame([(0, "Zeta", "I1", "z"), (1, "beta ltd", None, "b"), (2, "beta ltd", None, "b2"), (3, "old gamma works", None, "g"), (4, "gamma", "I9", "g2")], "pos long, name string, isin string, code string")
