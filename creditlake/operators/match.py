@@ -83,17 +83,15 @@ def _gram_length(prefix: Column) -> Column:
 def first_containing(prefixes: DataFrame, reference: DataFrame) -> DataFrame:
     """prefix → place of the first reference name that contains it, by an inverted list of q-grams.
 
-    A reference name gives one row for each place and length of GRAMS in use, whatever the lengths of prefixes are, and only grams
-    that some prefix has go any further. A prefix meets the names that hold its rarest gram and no others, and each of those is
-    verified; a prefix with a gram that no name has is in none. Prefixes shorter than any gram are few, but each is a substring of
+    A reference name gives one row for each place and length of GRAMS, whatever the lengths of prefixes are; grams are counted
+    before they are exchanged. A prefix meets the names that hold its rarest gram and no others, and each of those is verified; a
+    prefix with a gram that no name has is in none. Prefixes shorter than any gram are few, but each is a substring of
     most names, so their substrings are folded to the first place before they meet.
     """
     short = GRAMS[0]
     p = prefixes.select("prefix").distinct()
     needs = p.where(F.length("prefix") >= short).withColumn("q", _gram_length(F.col("prefix"))).withColumn("gram", F.explode(grams(F.col("prefix"), F.col("q"))))
-    used = F.broadcast(needs.agg(F.sort_array(F.collect_set("q")).alias("qs")))  # three numbers at most
-    lists = reference.select("name_norm", "pos").join(used).withColumn("gram", F.explode(F.flatten(F.transform("qs", lambda q: grams(F.col("name_norm"), q)))))
-    lists = lists.join(needs.select("gram").distinct(), "gram", "left_semi").select("gram", "pos", "name_norm")
+    lists = reference.select("name_norm", "pos", F.explode(F.concat(*(grams(F.col("name_norm"), F.lit(q)) for q in GRAMS))).alias("gram"))
     sizes = lists.groupBy("gram").agg(F.count(F.lit(1)).alias("n"))
     found = needs.join(sizes, "gram", "left").groupBy("prefix").agg(F.min_by("gram", F.struct(F.coalesce("n", F.lit(0)), "gram")).alias("gram"), F.min(F.coalesce("n", F.lit(0))).alias("n"))
     long = lists.join(found.where("n > 0"), "gram").where(F.contains("name_norm", "prefix")).groupBy("prefix").agg(F.min("pos").alias("pos"))
