@@ -54,3 +54,13 @@ def test_readers_read_large_files_by_ranges(spark, tmp_path):
     assert [tuple(r) for r in parts.orderBy("pos").drop("pos").collect()] == [tuple(r) for r in whole] and len(whole) == 300
     results = R.read_results(spark, str(tmp_path), size=500)
     assert results.count() == 300
+
+
+def test_listing_and_scrip_lists_by_ranges(spark, tmp_path):
+    docs = [{"companyName": f"C{i}", "companyCode": "x", "ratingFileName": "" if i % 3 == 0 else f'f"{i}].html', "ratingDate": None, "prId": str(i)} for i in range(90)]
+    (tmp_path / "l.json").write_text(json.dumps({"total": 90, "docs": docs, "facets": {"docs": [1]}}))
+    whole = R.read_listing_docs(spark, str(tmp_path / "l.json"))
+    assert sorted(map(tuple, R.read_listing_docs(spark, str(tmp_path / "l.json"), size=256).collect())) == sorted(map(tuple, whole.collect())) and whole.count() == 60
+    (tmp_path / "s.json").write_text(json.dumps({"data": [{"ScripCd": i, "ScripName": f"N{i}"} for i in range(50)]}))
+    ranges = R.read_scrips(spark, str(tmp_path / "s.json"), size=100)
+    assert [tuple(r)[1:] for r in ranges.orderBy("pos").collect()] == [tuple(r)[1:] for r in R.read_scrips(spark, str(tmp_path / "s.json")).orderBy("pos").collect()]

@@ -36,11 +36,20 @@ def test_criteria_split_over_pieces():
     assert "criteria for rating hotels" in page.naming("criteria for") and "banks" not in page.naming("criteria for")
 
 
+def _timed(work):
+    began = time.process_time()
+    work()
+    return time.process_time() - began
+
+
+def least(work):
+    """Seconds of the fastest of three runs, as other work on the machine slows some."""
+    return min(_timed(work) for _ in range(3))
+
+
 def test_work_is_linear_in_the_page():
     def took(n):
-        began = time.process_time()
-        tables("<div>" * 50 + f"<p>Key financial indicators</p>{TABLE}" * n)
-        return time.process_time() - began
+        return least(lambda: tables("<div>" * 50 + f"<p>Key financial indicators</p>{TABLE}" * n))
 
     took(200)
     assert took(4000) < 6 * max(0.05, took(1000))
@@ -59,11 +68,12 @@ def test_implied_end_tags():
 
 @pytest.mark.parametrize("page", ["<p>x<tr><td>a", "<p>Key financial indicators<table><tr><td>a<td>b</table>", "<li>criteria for x", "<div>criteria for <b>banks", "<td>criteria for<p>x", "<ul><li><p>a<table></table>", "<a>criteria for hotels <td>"])
 def test_work_is_linear_in_elements_that_are_never_closed(page):
+    def read(n):
+        whole = _Page().feed_whole(page * n)
+        whole.tables_behind(HEADING), whole.naming("criteria for")
+
     def took(n):
-        began = time.process_time()
-        read = _Page().feed_whole(page * n)
-        read.tables_behind(HEADING), read.naming("criteria for")
-        return time.process_time() - began
+        return least(lambda: read(n))
 
     took(100)
-    assert took(8000) < 5 * max(0.04, took(2000))
+    assert took(8000) < 8 * max(0.04, took(2000))  # 16 times if it went with the square
