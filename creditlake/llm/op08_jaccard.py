@@ -14,8 +14,10 @@ Signatures of segments are exchanged in packed form, by hash; a task reads a buc
   segments if more than τ others remain (``_needs``), as most sets can. For those that can't, each group has a hub h, the set whose
   segments are the most common ones, and members x are compared with h once: D(x) = x △ h. As |a △ b| = |D(a) △ D(b)|,
   two sets that aren't both linked to h are similar only if D(a) and D(b) share (7|D(a)| + 7|D(b)| - |a| - |b|) / 14 shingles or
-  more, which is above 0. So they share one among the first of each, in any order that both follow (``_differences``); shingles that
-  h lacks come first, as they are rare. That meeting by shingles takes the place of pairing a group's members.
+  more, which is above 0. So they share one among the first of each, in any order that both follow (``_differences``). Around a hub
+  of many members the rarest come first, by how many members differ from h in them (``_rarest_first``), so what a part of the family
+  has in common beside h is met only by sets with little else; around others the shingles that h lacks come first. That meeting by
+  shingles takes the place of pairing a group's members.
 * What the verified links connect is one component; groups that lie in more than one then give the pairs between components. A
   similar pair shares all of the smaller set's non-empty segments but τ, so pairs that share fewer, with those it has in larger
   groups and doesn't probe counted in their favour, can't be similar; the others are verified exactly. This step misses nothing, so the stars before
@@ -32,7 +34,7 @@ from __future__ import annotations
 import hashlib
 import itertools
 import math
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import lru_cache
 
 import numpy as np
@@ -50,6 +52,10 @@ UP, DOWN, GROUP, FLUSH, SETS = 3, 4, 32, 2_000_000, 60_000
 SHORT, SHORT_SEGMENTS = 64, 1024
 #: Members of a leader that one task compares; shingles of a hub that meet in one part.
 DEALT, MEET = 256, 1_000_000
+#: Deals of members that one task puts in order by one table of frequent shingles; so many members share one of the table's at least a
+#: MEMBERS-th of the time, which keeps all copies of the table together no larger than the members' lists.
+DEALS = 64
+MEMBERS = DEALS * DEALT
 _SET = np.dtype([("set", "<i8"), ("size", "<u4"), ("common", "<u2")])
 
 
@@ -255,27 +261,27 @@ def _groups(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield from _bucket_groups([p for _, p in group])
 
 
-def _beside_leader(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, np.ndarray, int, np.ndarray, bool]]:
-    """Rows sorted by leader, its own text first → leader and member with their shingles."""
+def _beside_leader(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, np.ndarray, int, np.ndarray, bool, int]]:
+    """Rows sorted by leader, its own text first → leader and member with their shingles, and the leader's number of deals."""
     reader = zstandard.ZstdDecompressor()
     leader, tokens = None, None
     for b in batches:
-        for a, other, packed, asks in zip(*(b.column(c).to_pylist() for c in ("leader", "set", "packed", "asks")), strict=True):
+        for a, other, packed, asks, parts in zip(*(b.column(c).to_pylist() for c in ("leader", "set", "packed", "asks", "parts")), strict=True):
             own = shingles(reader.decompress(packed).decode())
             if a == other:
                 leader, tokens = a, own
             elif a == leader:
-                yield a, tokens, other, own, asks
+                yield a, tokens, other, own, asks, parts
 
 
 def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """The links that hold."""
-    for part in itertools.batched(((a, b) for a, x, b, y, _ in _beside_leader(batches) if similar(x, y)), 4096):
+    for part in itertools.batched(((a, b) for a, x, b, y, *_ in _beside_leader(batches) if similar(x, y)), 4096):
         yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*part, strict=True)], ["a", "b"])
 
 
-def first_differences(h: np.ndarray, x: np.ndarray) -> tuple[bool, int, int, np.ndarray]:
-    """Whether x is linked to h; |D| of D = x △ h; how many of D a set that isn't linked has to share one of; D as far as any set has to.
+def differences(h: np.ndarray, x: np.ndarray) -> tuple[bool, int, int, int, np.ndarray]:
+    """Whether x is linked to h; |D| of D = x △ h; how many of D a set that isn't linked has to share one of; how many any set has to; D.
 
     With a partner that isn't linked, 7|D(a)| + |h| - |a| + 1 fourteenths at least are shared; with one that is linked, 7|D(a)| - |a|
     - |h| + 6 at least.
@@ -285,26 +291,91 @@ def first_differences(h: np.ndarray, x: np.ndarray) -> tuple[bool, int, int, np.
     linked = 7 * d <= len(x) + len(h)
     near = d - max(1, -(-(7 * d + len(h) - len(x) + 1) // 14)) + 1
     far = d - max(1, -(-(7 * d - len(h) - len(x) + 6) // 14)) + 1
-    return linked, d, near, np.concatenate([mine, hubs])[: max(0, near if linked else far)]
+    return linked, d, near, min(d, max(0, near if linked else far)), np.concatenate([mine, hubs])
+
+
+def first_differences(h: np.ndarray, x: np.ndarray) -> tuple[bool, int, int, np.ndarray]:
+    """``differences`` with D as far as any set has to share one, those that h lacks first."""
+    linked, d, near, first, tokens = differences(h, x)
+    return linked, d, near, tokens[:first]
+
+
+_DIFFER = pa.schema([("hub", pa.int64()), ("set", pa.int64()), ("size", pa.int32()), ("asks", pa.bool_()), ("parts", pa.int32()), ("linked", pa.bool_()), ("d", pa.int32()), ("near", pa.int32()), ("first", pa.int32()), ("tokens", pa.list_(pa.int64()))])
+_DIFFER_DDL = "hub long, set long, size int, asks boolean, parts int, linked boolean, d int, near int, first int, tokens array<long>"
 
 
 def _differ(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Each member's differences from its leader: all of them where the leader has many members, else the first of them."""
     for part in itertools.batched(_beside_leader(batches), 256):
-        made = [first_differences(h, x) for _, h, _, x, _ in part]
-        columns = [pa.array([p[0] for p in part], pa.int64()), pa.array([p[2] for p in part], pa.int64()), pa.array([len(p[3]) for p in part], pa.int32()), pa.array([p[4] for p in part], pa.bool_())]
-        columns += [pa.array([m[k] for m in made], t) for k, t in ((0, pa.bool_()), (1, pa.int32()), (2, pa.int32()))]
-        yield pa.RecordBatch.from_arrays([*columns, pa.array([m[3].view(np.int64) for m in made], pa.list_(pa.int64()))], ["hub", "set", "size", "asks", "linked", "d", "near", "tokens"])
+        made = [differences(h, x) for _, h, _, x, _, _ in part]
+        columns = [[p[0] for p in part], [p[2] for p in part], [len(p[3]) for p in part], [p[4] for p in part], [p[5] for p in part], *([m[k] for m in made] for k in range(4))]
+        columns.append([(m[4] if p[5] > 1 else m[4][: m[3]]).view(np.int64) for m, p in zip(made, part, strict=True)])
+        yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, _DIFFER, strict=True)], schema=_DIFFER)
+
+
+def rank_order(table: np.ndarray) -> Callable[[np.ndarray], np.ndarray]:
+    """Puts shingles in order: those that the table lacks by hash, then the table's in its order."""
+    by_hash = np.argsort(table)
+    known = table[by_hash]
+
+    def ordered(tokens: np.ndarray) -> np.ndarray:
+        rank = np.zeros(len(tokens), np.int64)
+        if len(known):
+            at = np.minimum(np.searchsorted(known, tokens), len(known) - 1)
+            rank = np.where(known[at] == tokens, by_hash[at] + 1, 0)
+        return tokens[np.lexsort((tokens, rank))]
+
+    return ordered
+
+
+def _ranked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows of _DIFFER sorted by hub, its table of frequent shingles first (no set) → the members with the first of their differences."""
+    hub, ordered = None, rank_order(np.zeros(0, np.int64))
+    for b in batches:
+        kept, lists = [], []
+        for i, (a, who, first, tokens) in enumerate(zip(b.column("hub").to_pylist(), b.column("set").to_pylist(), b.column("first").to_pylist(), b.column("tokens").to_numpy(zero_copy_only=False), strict=True)):
+            tokens = np.asarray(tokens, np.int64)
+            if who is None or a != hub:
+                hub, ordered = a, rank_order(tokens if who is None else tokens[:0])
+            if who is not None:
+                kept.append(i)
+                lists.append(ordered(tokens)[:first])
+        if kept:
+            take = pa.array(kept, pa.int32())
+            yield pa.RecordBatch.from_arrays([b.column(c).take(take) for c in _DIFFER.names[:-1]] + [pa.array(lists, _DIFFER.field("tokens").type)], schema=_DIFFER)
+
+
+def _rarest_first(differ: DataFrame) -> DataFrame:
+    """differ with the lists of large hubs cut to their first ones, in order of how many of the hub's members differ in them.
+
+    A table holds the shingles of more than GROUP members and more than a MEMBERS-th of them, so it has at most MEMBERS times as many
+    entries as a list has on average, and goes to one task for each MEMBERS members. Rarer ones come first, by hash. Any order that
+    all members follow gives the same links; this one decides what it costs.
+    """
+    large = differ.where("parts > 1")
+    if not large.limit(1).count():
+        return differ
+    crowd = large.groupBy("hub").agg(F.count(F.lit(1)).alias("members"), F.ceil(F.max("parts") / DEALS).cast("int").alias("copies"))
+    often = large.select("hub", F.explode("tokens").alias("token")).groupBy("hub", "token").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > GROUP)
+    often = often.join(crowd, "hub").where(F.col("n") * MEMBERS > F.col("members"))
+    tables = often.groupBy("hub", "copies").agg(F.array_sort(F.collect_list(F.struct("n", "token"))).alias("tokens"))
+    empty = [F.lit(None).cast(f.dataType).alias(f.name) for f in differ.schema if f.name not in ("hub", "tokens")]
+    tables = tables.select("hub", F.explode(F.sequence(F.lit(0), F.col("copies") - 1)).alias("deal"), *empty, F.col("tokens.token").alias("tokens"))
+    dealt = large.withColumn("deal", F.pmod(F.xxhash64("set"), F.ceil(F.col("parts") / DEALS)).cast("int")).unionByName(tables)
+    sorted_ = dealt.repartition(partitions(differ), "hub", "deal").sortWithinPartitions("hub", "deal", F.col("set").isNotNull())
+    ranked = sorted_.select(*_DIFFER.names).mapInArrow(_ranked, _DIFFER_DDL)
+    return differ.where("parts = 1").unionByName(staged(ranked, "ranked"))
 
 
 def _dealt(pairs: DataFrame, texts: DataFrame) -> DataFrame:
-    """leader, set, asks, packed: members (a, b, asks) of each leader, DEALT to a task, each time with the leader's own text before them."""
+    """leader, set, asks, parts, packed: members (a, b, asks) of each leader, DEALT to a task, each time with the leader's own text before them."""
     pairs = staged(pairs, "pairs")
     parts = pairs.groupBy("a").agg(F.ceil(F.count(F.lit(1)) / DEALT).cast("int").alias("parts"))
-    wide = pairs.join(parts, "a").select(F.col("a").alias("leader"), F.col("b").alias("set"), F.pmod(F.xxhash64("b"), F.col("parts")).cast("int").alias("part"), "asks")
-    want = wide.unionByName(wide.select("leader", F.col("leader").alias("set"), "part", F.lit(False).alias("asks")).distinct())
+    wide = pairs.join(parts, "a").select(F.col("a").alias("leader"), F.col("b").alias("set"), F.pmod(F.xxhash64("b"), F.col("parts")).cast("int").alias("part"), "parts", "asks")
+    want = wide.unionByName(wide.select("leader", F.col("leader").alias("set"), "part", "parts", F.lit(False).alias("asks")).distinct())
     met = want.join(texts.hint("merge"), "set")
     dealt = met.repartition(partitions(pairs), "leader", "part").sortWithinPartitions("leader", "part", F.col("leader") != F.col("set"))
-    return dealt.select("leader", "set", "asks", "packed")
+    return dealt.select("leader", "set", "asks", "parts", "packed")
 
 
 def verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
@@ -334,9 +405,9 @@ def similarity_components(documents: DataFrame) -> DataFrame:
     stars = _stars(small)
     wanted = small.select(F.explode("members.id").alias("set")).unionByName(asked.select("set")).unionByName(asked.select(F.col("hub").alias("set"))).distinct()
     texts = staged(members.select("set", "packed").join(wanted.hint("merge"), "set").groupBy("set").agg(F.first("packed").alias("packed")), "texts")
-    differ = staged(_dealt(asked.where("hub <> set").select(F.col("hub").alias("a"), F.col("set").alias("b"), "asks"), texts).mapInArrow(_differ, "hub long, set long, size int, asks boolean, linked boolean, d int, near int, tokens array<long>"), "differ")
+    differ = staged(_dealt(asked.where("hub <> set").select(F.col("hub").alias("a"), F.col("set").alias("b"), "asks"), texts).mapInArrow(_differ, _DIFFER_DDL), "differ")
     roots = connected(verified(stars, texts).unionByName(differ.where("linked").select(F.col("hub").alias("a"), F.col("set").alias("b"))))
-    more = staged(verified(_between(small, roots, needs).unionByName(_differences(differ, roots)), texts), "links")
+    more = staged(verified(_between(small, roots, needs).unionByName(_differences(_rarest_first(differ), roots)), texts), "links")
     if more.limit(1).count():
         roots = connected(roots.select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(more))
     r = roots.withColumnRenamed("node", "set")
@@ -453,11 +524,26 @@ def meeting_pairs(rows: dict[str, np.ndarray], tokens: list[np.ndarray], places:
     if len(met) and (listed == [len(t) for t in tokens]).all():  # whole lists: what both hold, and what the longer rest could add, has to be enough
         t = -((size[met].sum(1) - 7 * d[met].sum(1)) // 14)
         rest = np.maximum(0, (d[met] - listed[met]).max(1))
-        held = {i: set(tokens[i].tolist()) for i in np.unique(met).tolist()}
-        met = met[np.fromiter((len(held[i] & held[j]) for i, j in met.tolist()), np.int64, len(met)) + rest >= t]
+        met = met[_shared(tokens, met) + rest >= t]
     return met
 
 
+def _shared(tokens: list[np.ndarray], pairs: np.ndarray) -> np.ndarray:
+    """How many tokens the lists of each pair share, without repeats within a list; about a million tokens at once."""
+    count = np.array([len(t) for t in tokens])
+    start, flat = np.cumsum(count) - count, np.concatenate(tokens)
+    out = np.zeros(len(pairs), np.int64)
+    for part in np.array_split(np.arange(len(pairs)), 1 + int(count[pairs].sum()) // 1_000_000):
+        who = pairs[part].ravel()
+        k = count[who]
+        token = flat[np.repeat(start[who] - np.cumsum(k) + k, k) + np.arange(k.sum())]
+        pair = np.repeat(np.repeat(part, 2), k)
+        order = np.lexsort((token, pair))
+        same = (token[order][1:] == token[order][:-1]) & (pair[order][1:] == pair[order][:-1])
+        out[part] = np.bincount(pair[order][1:][same] - part[0], minlength=len(part)) if len(part) else 0
+    return out
+
+
 def _meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Rows of _LISTED sorted by hub and part → hub, set_a, set_b."""
 
@@ -493,7 +579,7 @@ def _differences(differ: DataFrame, roots: DataFrame) -> DataFrame:
     # |D(b)| is at most |D(a)| + (|a| + |b|) / 7; what is farther from the hub than any set that asks allows is left out.
     listed = F.size("tokens")
     reach = differ.groupBy("hub").agg(F.max(F.when(F.col("asks"), 7 * F.col("d") + F.col("size"))).alias("reach"), F.ceil((F.sum(listed.cast("long")) + 1) / MEET).cast("int").alias("parts"))
-    near = differ.join(reach, "hub").where((7 * F.col("d") - F.col("size") <= F.col("reach")) & (listed > 0))
+    near = differ.drop("parts", "first").join(reach, "hub").where((7 * F.col("d") - F.col("size") <= F.col("reach")) & (listed > 0))
     rooted = near.join(roots.select(F.col("node").alias("set"), "root"), "set", "left").withColumns({"root": F.coalesce("root", "set"), "listed": listed})
     dealt = map_batches(rooted, _parted, _LISTED_DDL).repartition(partitions(differ), "hub", "part").sortWithinPartitions("hub", "part")
     met = dealt.mapInArrow(_meet, "hub long, set_a long, set_b long").distinct()

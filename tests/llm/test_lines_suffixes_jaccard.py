@@ -279,3 +279,57 @@ def test_bands_cover_all_sizes_that_can_be_similar():
             assert J.band_of(s) - J.band_of(r) in (0, 1)
             assert (r + s) // 7 <= J.difference(r)
         assert J.segments(J.band_of(r)) > J.difference(r) or r < J.SHORT
+
+
+def far_family(n: int) -> list[tuple[int, str]]:
+    """Documents that share 79 words; two fifths share 10 more; none is similar to another but every 40th to the one before it."""
+    rows: list[tuple[int, str]] = []
+    for i in range(n):
+        more = [f"s{k}" for k in range(10)] if i % 5 < 2 else []
+        own = rows[-1][1].split()[89 if (i - 1) % 5 < 2 else 79 :] if i % 40 == 39 else [f"u{i}x{k}" for k in range(25 - len(more))]
+        rows.append((i, " ".join([*(f"c{k}" for k in range(79)), *more, *own])))
+    return rows
+
+
+def test_a_large_family_far_from_its_hub(spark):
+    rows = far_family(700)
+    want = brute_components(rows)
+    assert 0 < sum(d != c for d, _, c in want) < 30
+    df = spark.createDataFrame(rows, DOCS)
+    assert sorted(tuple(x) for x in J.near_duplicates(df).collect()) == want
+
+
+def test_what_a_family_shares_beside_its_hub_meets_nobody():
+    import numpy as np
+
+    sets = [J.shingles(t) for i, t in far_family(3000) if i % 40 != 39]
+    made = [J.differences(sets[3], x) for x in sets[4:]]
+    tokens, counts = np.unique(np.concatenate([m[4] for m in made]).view(np.int64), return_counts=True)
+    table = tokens[counts > J.GROUP][np.argsort(counts[counts > J.GROUP], kind="stable")]
+    ordered = J.rank_order(table)
+    lists = [ordered(m[4].view(np.int64))[: m[3]] for m in made]
+    n = len(made)
+    cols = dict(root=np.arange(n), size=np.array([len(x) for x in sets[4:]]), asks=np.ones(n, bool), linked=np.array([m[0] for m in made]), d=np.array([m[1] for m in made]), near=np.array([m[2] for m in made]), listed=np.array([len(x) for x in lists]))
+    assert len(table) > 10 and not len(J.meeting_pairs(cols, lists, [np.arange(len(x)) for x in lists]))
+
+
+def test_ranked_rows_follow_their_hubs_table():
+    import numpy as np
+    import pyarrow as pa
+
+    assert J.rank_order(np.array([5, -2, 9]))(np.array([9, 7, 5, -2, 1])).tolist() == [1, 7, 5, -2, 9]
+    base = dict(size=9, asks=True, parts=2, linked=False, d=3, near=1)
+    rows = [dict(hub=1, set=None, tokens=[3, 1]), dict(base, hub=1, set=10, first=2, tokens=[1, 3, 2]), dict(base, hub=1, set=11, first=9, tokens=[1, 3]), dict(base, hub=2, set=12, first=3, tokens=[3, 2, 1])]
+    table = pa.Table.from_pylist(rows, schema=J._DIFFER)
+    for size in (1, 4):
+        got = [(x["hub"], x["set"], x["tokens"]) for b in J._ranked(iter(table.to_batches(max_chunksize=size))) for x in b.to_pylist()]
+        assert got == [(1, 10, [2, 3]), (1, 11, [3, 1]), (2, 12, [1, 2, 3])]
+
+
+def test_shared_counts_agree_with_sets():
+    import numpy as np
+
+    r = np.random.default_rng(3)
+    lists = [np.unique(r.integers(0, 40, r.integers(0, 30))) for _ in range(60)]
+    pairs = r.integers(0, 60, (500, 2))
+    assert J._shared(lists, pairs).tolist() == [len(set(lists[i].tolist()) & set(lists[j].tolist())) for i, j in pairs.tolist()]
