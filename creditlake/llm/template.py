@@ -108,6 +108,18 @@ def checked(op: Callable[[Any, Any], Any]) -> Callable[[Any, Any], Any]:
     return run
 
 
+def filtered(name: str, f: Callable[[Any], Any]) -> Callable[[Any], Any]:
+    """A filter whose wrong types are errors of the template."""
+
+    def run(value: Any) -> Any:
+        try:
+            return f(value)
+        except (TypeError, AttributeError) as e:
+            raise TemplateError(f"{name}: {e}") from e
+
+    return run
+
+
 BINARY: dict[str, Callable[[Any, Any], Any]] = {
     "==": operator.eq, "!=": operator.ne, "<": checked(operator.lt), "<=": checked(operator.le), ">": checked(operator.gt), ">=": checked(operator.ge),
     "in": checked(lambda a, b: a in b), "+": checked(operator.add), "~": lambda a, b: text(a) + text(b),
@@ -118,6 +130,7 @@ _QUOTED = r"""'(?:\\.|[^'\\])*'|"(?:\\.|[^"\\])*\""""
 TAGS = re.compile(rf"\{{\{{((?:{_QUOTED}|(?!\}}\}}).)*?)\}}\}}|\{{%((?:{_QUOTED}|(?!%\}}).)*?)%\}}|\{{#.*?#\}}", re.S)
 TOKENS = re.compile(r"""\s*(?:(?P<string>'(?:\\.|[^'\\])*'|"(?:\\.|[^"\\])*")|(?P<int>\d+)|(?P<name>[A-Za-z_]\w*)|(?P<op>==|!=|<=|>=|[<>+~|().\[\]=]))""", re.S)
 WORDS = {"true": True, "false": False, "none": None}
+NESTED = 100  #: blocks that may be open at once
 ESCAPES = {"n": "\n", "t": "\t", "r": "\r"}
 
 
@@ -227,20 +240,29 @@ def parse(source: str) -> list:
     at = 0
     for m in TAGS.finditer(source):
         if m.start() > at:
-            open_[-1][2].append(Output(Const(source[at : m.start()])))
+            open_[-1][2].append(Output(Const(plain(source[at : m.start()]))))
         at = m.end()
         if m[1] is not None:
             open_[-1][2].append(Output(Expression(m[1]).whole()))
         elif m[2] is not None:
             statement(m[2], open_)
     if at < len(source):
-        open_[-1][2].append(Output(Const(source[at:])))
+        open_[-1][2].append(Output(Const(plain(source[at:]))))
     if len(open_) > 1:
         raise TemplateError(f"{open_[-1][0]} isn't closed")
     return top
 
 
+def plain(source: str) -> str:
+    """Text between tags; a tag that begins in it has no end."""
+    if m := re.search(r"\{[{%#]", source):
+        raise TemplateError(f"{source[m.start() : m.start() + 20]!r} isn't closed")
+    return source
+
+
 def statement(source: str, open_: list[tuple[str, Any, list]]) -> None:
+    if len(open_) > NESTED:
+        raise TemplateError("nested too deeply")
     e = Expression(source)
     word, (kind, node, body) = e.word(), open_[-1]
     if word == "for":
@@ -259,6 +281,7 @@ def statement(source: str, open_: list[tuple[str, Any, list]]) -> None:
         if word == "elif":
             node.branches.append((e.whole(), inner := []))
         else:
+            e.end()
             inner = node.other
         open_[-1] = (kind, node, inner)
     elif word == "set":
@@ -268,6 +291,7 @@ def statement(source: str, open_: list[tuple[str, Any, list]]) -> None:
     elif word == "generation":
         if any(k == "generation" for k, _, _ in open_):
             raise TemplateError("generation can't nest")
+        e.end()
         made = Generation([])
         body.append(made)
         open_.append(("generation", made, made.body))
@@ -343,7 +367,10 @@ def add(out: list, s: Any) -> None:
 
 def lookup(base: Any, key: Any) -> Any:
     if isinstance(base, Mapping):
-        return base.get(key)
+        try:
+            return base.get(key)
+        except TypeError as e:
+            raise TemplateError(f"no key can be {key!r}") from e
     if isinstance(base, (list, tuple)) and isinstance(key, int):
         return base[key] if -len(base) <= key < len(base) else None
     return None
@@ -411,7 +438,10 @@ def step(s: Any, filters: Mapping[str, Callable]) -> Callable[[dict], Iterable[A
         items, body = closure(s.items, filters), block(s.body, filters)
 
         def loop(env: dict) -> Iterator[Any]:
-            for i, x in enumerate(items(env) or ()):
+            found = items(env) or ()
+            if not isinstance(found, Iterable):
+                raise TemplateError(f"can't loop over {found!r}")
+            for i, x in enumerate(found):
                 yield from body({**env, s.name: x, "loop": {"index0": i, "index": i + 1, "first": i == 0}})
 
         return loop
@@ -425,5 +455,8 @@ def step(s: Any, filters: Mapping[str, Callable]) -> Callable[[dict], Iterable[A
 
 def compile_template(source: str, filters: Mapping[str, Callable] | None = None) -> Callable[[dict], Iterator[Any]]:
     """template source → function of the variables yielding strings and the markers START and STOP, one turn at a time."""
-    given = dict(filters or {})
-    return block(fold_body(parse(source), given), given)
+    given = {name: filtered(name, f) for name, f in (filters or {}).items()}
+    try:
+        return block(fold_body(parse(source), given), given)
+    except RecursionError as e:
+        raise TemplateError("nested too deeply") from e

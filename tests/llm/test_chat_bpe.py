@@ -92,3 +92,20 @@ def test_template_marks_in_strings_types_and_branches():
             out(bad, a=1, b=2)
     with pytest.raises(P.TemplateError):
         out("{{ a + b }}", a=1, b="x")
+
+
+@pytest.mark.parametrize("bad", [
+    "{{ a", "x {# b", "{{ a }} {% if a", "{{ a }", "{% if a %}x{% else junk %}y{% endif %}", "{% generation junk %}x{% endgeneration %}", "{% if a %}x{% endif junk %}",
+    "{{ 1 | escape }}", "{{ a | escape }}", "{% for x in 5 %}{% endfor %}", "{% for x in a %}{% endfor %}", "{{ m[l] }}", "{{ " + "(" * 5000 + "1" + ")" * 5000 + " }}", "{% if a %}" * 3000 + "{% endif %}" * 3000,
+])
+def test_broken_templates_are_template_errors(bad):
+    from creditlake.llm import template as P
+
+    with pytest.raises(P.TemplateError):
+        list(P.compile_template(bad, {"escape": lambda t: t.replace("<", "&lt;")})({"a": 1, "m": {}, "l": []}))
+
+
+def test_single_braces_are_text():
+    from creditlake.llm import template as P
+
+    assert "".join(P.compile_template("{ a } % } {x}{{ '{{' }}")({})) == "{ a } % } {x}{{"
