@@ -1,14 +1,14 @@
 """Suffix-array dedup: bytes covered by a string of 200 bytes that starts anywhere else are removed.
 
 1. ``repeated_anchors``: every window of 200 bytes owns an anchor (see ``windows``); a window can only repeat if the q-gram at its
-   anchor does. Anchor hashes are dealt in order (``Ranges``) and sorted, and runs of one are left out. A task keeps the runs at its ends,
-   since they may go on in a neighbour, so a frequent q-gram may be spread over tasks. Places whose q-gram fills HOT rows of a
-   task are marked; that list, of one in HOT rows at most, is broadcast.
+   anchor does. Anchor hashes are dealt in order (``Ranges``) and sorted, and runs of one are left out (see ``marks``). Places whose
+   q-gram has HOT rows or more are marked.
 2. ``sorted_runs``: each task sorts the suffixes at the remaining anchors of its documents, with the bytes before them as far as
    their windows reach. Equal ones become one entry; if it has several owners, all their windows repeat, so their spans are known
    at once and the entry goes on without owners. The sorted run is front-coded (common prefix with the entry before, and the
-   rest) and exchanged by q-gram, so the runs of many tasks meet in buckets. The entries of marked places are not exchanged by
-   q-gram, but each of their windows by its own 128-bit hash, so they are spread evenly and only equal windows meet.
+   rest) and exchanged by q-gram, so the runs of many tasks meet in buckets. A task writes a run whenever it holds RUN_BYTES. The
+   entries of marked places are not exchanged by q-gram, but each of their windows by its own 128-bit hash, so they are spread evenly
+   and only equal windows meet; these are judged by that hash and not by their bytes.
 3. ``merged``: a bucket's runs are combined by a loser tree that keeps, for each run, the length of the prefix its head has in
    common with the last entry that came out, and compares from there on only. It yields the suffixes in order with their common
    prefixes, so the suffixes of one q-gram are neighbours.
@@ -19,9 +19,8 @@
 What comes back to the documents is spans. Nothing else of a text is exchanged but what stands around repeated q-grams, and the
 texts, compressed, to meet their anchors and then their spans.
 
-Memory: a task of step 2 holds the suffixes of its own documents, step 3 one bucket; of a q-gram that isn't marked it holds less
-than HOT surroundings (400 bytes at most each) for each task of step 1 that the q-gram is spread over, which are two unless tasks
-have less than HOT rows. Copies add one row for each task of step 2 that has them, not one for each copy.
+Memory: a task of step 2 holds RUN_BYTES and one document, step 3 one bucket; of a q-gram that isn't marked it holds less than HOT
+surroundings (400 bytes at most each). Copies add one row for each run of step 2 that has them, not one for each copy.
 
 Defined cases: null or short text loses nothing; rows that repeat a doc_id and text are two places, so both lose what they share;
 a null doc_id is returned as null; an empty table gives no rows; other columns pass through ``remove_repeats``.
@@ -40,16 +39,19 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from creditlake.llm.common import Ranges, ints, map_batches, only, packed, partitions, read, sampled, small_batches, text_of, unpacked
+from creditlake.llm.marks import repeated_places
 from creditlake.llm.windows import GRAM, WINDOW, anchors, mix
 
 #: Buckets a partition of the exchange holds; each is merged by itself, which bounds what a task holds.
 BUCKETS = 16
 #: Groups of so many entries are compared pair by pair, larger ones offset by offset.
 FEW = 8
-#: A q-gram with so many rows in a task is decided window by window.
+#: A q-gram with so many rows is decided window by window.
 HOT = 1000
 #: Windows of such q-grams that a task holds before it hands them on.
 HELD = 200_000
+#: Bytes of suffixes, with what Python needs beside them, that a task holds before it writes a run.
+RUN_BYTES, BESIDE = 128 << 20, 400
 
 
 def common_prefix(a: bytes, b: bytes, known: int = 0) -> int:
@@ -259,63 +261,18 @@ def _anchor_rows(ranges: Ranges | None):
                 at, gram = pa.array(np.concatenate(rows)), np.concatenate(grams)
                 doc, place = b.column("doc_id").take(at), np.concatenate(places).astype(np.int64)
                 part = np.zeros(len(gram), np.int32) if ranges is None else ranges.part(gram, _spot(ints(doc), place))
-                yield pa.RecordBatch.from_arrays([pa.array(gram), doc, b.column("digest").take(at), pa.array(place), pa.array(part)], ["gram", "doc_id", "digest", "place", "part"])
-
-    return run
-
-
-def _repeated(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Of rows sorted by gram, those whose gram occurs again, and those of a task's first and last gram."""
-    carry: pa.RecordBatch | None = None  # the last row so far
-    follows = True  # whether carry's gram is the task's first, or that of the row before it
-    previous = None
-    for b in batches:
-        if not b.num_rows:
-            continue
-        g = b.column("gram").to_numpy()
-        start = previous is None
-        same = np.concatenate([[start or g[0] == previous], g[1:] == g[:-1]])
-        if start:
-            same[g == g[0]] = True
-        if carry is not None and (follows or same[0]):
-            yield carry
-        keep = same[:-1] | same[1:]
-        if keep.any():
-            yield b.filter(pa.array(np.append(keep, False)))
-        carry, follows, previous = b.slice(b.num_rows - 1), bool(same[-1]), g[-1]
-    if carry is not None:
-        yield carry
-
-
-def _frequent(least: int):
-    """Of rows sorted by gram, the grams of at least so many rows of the task."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        gram, n = 0, 0  # the last gram and its rows so far
-        for b in batches:
-            if not b.num_rows:
-                continue
-            names, counts = np.unique(np.append(np.full(min(n, 1), gram, np.int64), b.column("gram").to_numpy()), return_counts=True)
-            counts[0] += max(0, n - 1)
-            if (found := names[:-1][counts[:-1] >= least]).size:
-                yield pa.RecordBatch.from_arrays([pa.array(found, pa.int64())], ["hot"])
-            gram, n = names[-1], int(counts[-1])
-        if n >= least:
-            yield pa.RecordBatch.from_arrays([pa.array([int(gram)], pa.int64())], ["hot"])
+                yield pa.RecordBatch.from_arrays([pa.array(gram), doc, b.column("digest").take(at), pa.array(place.astype(np.int32)), pa.array(part)], ["gram", "doc_id", "digest", "place", "part"])
 
     return run
 
 
 def repeated_anchors(texts: DataFrame) -> DataFrame:
-    """doc_id, digest, places: anchors of each document whose q-gram may occur elsewhere; -1 - place if it is frequent."""
-    row, n = "gram long, doc_id long, digest long, place long, part int", partitions(texts)
+    """doc_id, digest, places: anchors of each document whose q-gram occurs elsewhere; -1 - place if it is frequent."""
+    row, n = "gram long, doc_id long, digest long, place int, part int", partitions(texts)
     known = map_batches(sampled(texts), _anchor_rows(None), row).select("gram", "doc_id", "place").limit(200_000).toArrow()  # bounded; affects the balance only
     ranges = Ranges(known["gram"].to_numpy(), _spot(ints(known["doc_id"].combine_chunks()), known["place"].to_numpy()), n)
     sorted_ = map_batches(texts, _anchor_rows(ranges), row).repartitionById(n, F.col("part")).drop("part").sortWithinPartitions("gram")
-    found = sorted_.mapInArrow(_repeated, "gram long, doc_id long, digest long, place long")
-    hot = sorted_.mapInArrow(_frequent(HOT), "hot long").distinct()
-    marked = found.join(F.broadcast(hot), found["gram"] == hot["hot"], "left").withColumn("place", F.when(F.col("hot").isNull(), F.col("place")).otherwise(-1 - F.col("place")))
-    return marked.groupBy("doc_id", "digest").agg(F.sort_array(F.collect_list("place")).alias("places"))
+    return repeated_places(sorted_, HOT)
 
 
 #: Buckets are numbered: those of q-grams, then as many of windows (tail is the key), then as many of known spans (windows is the length).
@@ -383,11 +340,21 @@ def _run_rows(entries: dict[tuple[int, bytes, bytes], list[tuple]], buckets: int
     yield from handed()
 
 
-def _runs(buckets: int):
+def _runs(buckets: int, most: int):
+    """A task's entries as sorted runs, each of about ``most`` bytes at most."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
+        me = TaskContext.get().partitionId() << 32
         entries: dict[tuple[int, bytes, bytes], list[tuple]] = {}
+        held = number = 0
+
+        def written() -> Iterator[pa.RecordBatch]:
+            rows = ((bucket, me + number, seq, *rest) for seq, (bucket, *rest) in enumerate(_run_rows(entries, buckets)))
+            for some in itertools.batched(rows, 4096):
+                yield pa.RecordBatch.from_arrays([pa.array(c, t.type) for c, t in zip(zip(*some, strict=True), _RUN, strict=True)], schema=_RUN)
+
         for b in batches:
             for doc, digest, packed_, places in zip(*(b.column(c).to_pylist() for c in ("doc_id", "digest", "packed", "places")), strict=True):
                 data, wanted = unpacked(packed_), np.array(places)
@@ -397,15 +364,16 @@ def _runs(buckets: int):
                     hit = np.flatnonzero(np.isin(a.at, wanted))
                     hot = np.isin(a.at[hit], marked) if len(marked) else np.zeros(len(hit), bool)
                     for at, gram, first, last, often in zip(a.at[hit].tolist(), a.gram[hit].tolist(), a.first[hit].tolist(), a.last[hit].tolist(), hot.tolist(), strict=True):
-                        entries.setdefault((-1 if often else gram % buckets, data[at : last + WINDOW], data[first:at]), []).append((doc, digest, first, last - first + 1))
-        me, rows = TaskContext.get().partitionId(), []
-        for seq, (bucket, *rest) in enumerate(_run_rows(entries, buckets)):
-            rows.append((bucket, me, seq, *rest))
-            if len(rows) == 4096:
-                yield pa.RecordBatch.from_arrays([pa.array(c, t.type) for c, t in zip(zip(*rows, strict=True), _RUN, strict=True)], schema=_RUN)
-                rows = []
-        if rows:
-            yield pa.RecordBatch.from_arrays([pa.array(c, t.type) for c, t in zip(zip(*rows, strict=True), _RUN, strict=True)], schema=_RUN)
+                        key = -1 if often else gram % buckets, data[at : last + WINDOW], data[first:at]
+                        if key not in entries:
+                            entries[key] = []
+                            held += len(key[1]) + len(key[2]) + BESIDE
+                        entries[key].append((doc, digest, first, last - first + 1))
+                        held += BESIDE // 4
+                    if held >= most:
+                        yield from written()
+                        entries, held, number = {}, 0, number + 1
+        yield from written()
 
     return run
 
@@ -459,7 +427,7 @@ def _meet(left: DataFrame, right: DataFrame, how: str) -> DataFrame:
 
 def sorted_runs(texts: DataFrame, buckets: int) -> DataFrame:
     """Rows of _RUN: entries, windows of frequent q-grams and spans that are known already."""
-    return map_batches(_meet(_packed(texts), repeated_anchors(texts), "inner"), _runs(buckets), _RUN_DDL)
+    return map_batches(_meet(_packed(texts), repeated_anchors(texts), "inner"), _runs(buckets, RUN_BYTES), _RUN_DDL)
 
 
 def repeated_spans(documents: DataFrame) -> DataFrame:

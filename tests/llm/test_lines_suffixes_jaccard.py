@@ -110,6 +110,16 @@ def test_hot_groups_are_split(spark, monkeypatch):
     assert rows_of(0) < 2 * X.HOT and 0 < rows_of(1) <= 2 * tasks
 
 
+def test_a_task_that_holds_little_writes_many_runs(spark, monkeypatch):
+    rows = suffix_rows()
+    df = spark.createDataFrame(rows, DOCS).repartition(3)
+    runs = lambda: X.sorted_runs(X._texts(df), 4).select("run").distinct().count()
+    few = runs()
+    monkeypatch.setattr(X, "RUN_BYTES", 3000)
+    assert runs() > 2 * few
+    assert sorted((tuple(x) for x in X.repeat_digests(df).collect()), key=str) == brute_repeats(rows)
+
+
 def test_loser_tree_gives_sorted_suffixes_with_their_common_prefixes():
     r = random.Random(9)
     runs = [sorted(bytes(r.choice(b"ab") for _ in range(r.randint(0, 9))) for _ in range(n)) for n in (0, 1, 7, 30, 12)]
