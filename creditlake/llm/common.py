@@ -14,6 +14,8 @@ from pyspark.sql import functions as F
 
 #: Rows of whole texts that one Arrow batch holds at most; keeps a worker's memory bounded when texts are long.
 BATCH_ROWS = 256
+#: Input bytes (files, compressed) for one part of an exchange, the most parts that make sense to schedule, and Spark's size of what it can't tell.
+PART_BYTES, MOST_PARTS, UNKNOWN = 256 << 20, 1 << 16, 1 << 60
 
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -39,8 +41,17 @@ def staged(df: DataFrame, label: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def input_bytes(df: DataFrame) -> int:
+    """Bytes of the tables that df reads, as far as Spark knows them: files count, rows that were handed to Spark may not."""
+    leaves = df._jdf.queryExecution().optimizedPlan().collectLeaves()
+    sizes = [int(str(leaves.apply(k).stats().sizeInBytes())) for k in range(leaves.size())]
+    return sum(x for x in sizes if x < UNKNOWN)
+
+
 def partitions(df: DataFrame) -> int:
-    return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    """Parts for an exchange of df: one for each PART_BYTES that it reads, at least the session's setting, at most MOST_PARTS."""
+    least = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return max(least, min(MOST_PARTS, -(-input_bytes(df) // PART_BYTES)))
 
 
 def text_of(df: DataFrame, text: str = "text") -> Column:
