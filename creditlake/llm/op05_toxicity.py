@@ -149,7 +149,8 @@ def train(documents: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Mode
     known = known.groupBy("doc_id").agg(F.max("toxic").alias("toxic")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
     text = text_of(documents)
     texts = only(documents, doc_id=documents["doc_id"].cast("long"), digest=F.xxhash64(text), text=text)
-    rows = texts.join(F.broadcast(known), "doc_id")
+    # One text for each labelled id, however many rows repeat it, before any is featurised or goes to the one task.
+    rows = texts.join(F.broadcast(known), "doc_id").groupBy("doc_id").agg(F.min_by(F.struct("text", "digest", "toxic"), "digest").alias("row")).select("doc_id", "row.*")
 
     def featurise(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
