@@ -15,7 +15,7 @@ Signatures of segments are exchanged in packed form, by hash; a task reads a buc
   segments are the most common ones, and members x are compared with h once: D(x) = x △ h. As |a △ b| = |D(a) △ D(b)|,
   two sets that aren't both linked to h are similar only if D(a) and D(b) share (7|D(a)| + 7|D(b)| - |a| - |b|) / 14 shingles or
   more, which is above 0. So they share one among the first of each, in any order that both follow (``_differences``). Around a hub
-  of many members the rarest come first, by how many members differ from h in them (``_rarest_first``), so what a part of the family
+  of many members the rarest come first, by how many of a share of the members differ from h in them (``_tables``), so what a part of the family
   has in common beside h is met only by sets with little else; around others the shingles that h lacks come first. That meeting by
   shingles takes the place of pairing a group's members.
 * What the verified links connect is one component; groups that lie in more than one then give the pairs between components. A
@@ -52,10 +52,8 @@ UP, DOWN, GROUP, FLUSH, SETS = 3, 4, 32, 2_000_000, 60_000
 SHORT, SHORT_SEGMENTS = 64, 1024
 #: Members of a leader that one task compares; shingles of a hub that meet in one part.
 DEALT, MEET = 256, 1_000_000
-#: Deals of members that one task puts in order by one table of frequent shingles; so many members share one of the table's at least a
-#: MEMBERS-th of the time, which keeps all copies of the table together no larger than the members' lists.
-DEALS = 64
-MEMBERS = DEALS * DEALT
+#: Hubs of more members have their shingles put in order by a count over one of SAMPLED members, if LEAST of those differ in one.
+LARGE, SAMPLED, LEAST = 512, 8, 4
 _SET = np.dtype([("set", "<i8"), ("size", "<u4"), ("common", "<u2")])
 
 
@@ -261,17 +259,21 @@ def _groups(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield from _bucket_groups([p for _, p in group])
 
 
-def _beside_leader(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, np.ndarray, int, np.ndarray, bool, int]]:
-    """Rows sorted by leader, its own text first → leader and member with their shingles, and the leader's number of deals."""
+def _beside_leader(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, np.ndarray, int, np.ndarray, bool, int, np.ndarray | None]]:
+    """Rows sorted by leader, its table and its own text first → leader and member with their shingles, the leader's number of deals and its table."""
     reader = zstandard.ZstdDecompressor()
-    leader, tokens = None, None
+    leader, tokens, table, holder = None, None, None, None
     for b in batches:
-        for a, other, packed, asks, parts in zip(*(b.column(c).to_pylist() for c in ("leader", "set", "packed", "asks", "parts")), strict=True):
+        for a, other, packed, asks, parts, frequent in zip(*(b.column(c).to_pylist() for c in ("leader", "set", "packed", "asks", "parts")), b.column("table").to_numpy(zero_copy_only=False), strict=True):
+            if other is None:
+                holder, table = a, np.asarray(frequent, np.int64)
+                continue
             own = shingles(reader.decompress(packed).decode())
             if a == other:
                 leader, tokens = a, own
+                table = table if holder == a else None
             elif a == leader:
-                yield a, tokens, other, own, asks, parts
+                yield a, tokens, other, own, asks, parts, table
 
 
 def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -300,17 +302,24 @@ def first_differences(h: np.ndarray, x: np.ndarray) -> tuple[bool, int, int, np.
     return linked, d, near, tokens[:first]
 
 
-_DIFFER = pa.schema([("hub", pa.int64()), ("set", pa.int64()), ("size", pa.int32()), ("asks", pa.bool_()), ("parts", pa.int32()), ("linked", pa.bool_()), ("d", pa.int32()), ("near", pa.int32()), ("first", pa.int32()), ("tokens", pa.list_(pa.int64()))])
-_DIFFER_DDL = "hub long, set long, size int, asks boolean, parts int, linked boolean, d int, near int, first int, tokens array<long>"
+_DIFFER = pa.schema([("hub", pa.int64()), ("set", pa.int64()), ("size", pa.int32()), ("asks", pa.bool_()), ("linked", pa.bool_()), ("d", pa.int32()), ("near", pa.int32()), ("tokens", pa.list_(pa.int64()))])
+_DIFFER_DDL = "hub long, set long, size int, asks boolean, linked boolean, d int, near int, tokens array<long>"
 
 
 def _differ(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Each member's differences from its leader: all of them where the leader has many members, else the first of them."""
+    """Each member's first differences from its leader, in the order of the leader's table if it has one."""
     for part in itertools.batched(_beside_leader(batches), 256):
-        made = [differences(h, x) for _, h, _, x, _, _ in part]
-        columns = [[p[0] for p in part], [p[2] for p in part], [len(p[3]) for p in part], [p[4] for p in part], [p[5] for p in part], *([m[k] for m in made] for k in range(4))]
-        columns.append([(m[4] if p[5] > 1 else m[4][: m[3]]).view(np.int64) for m, p in zip(made, part, strict=True)])
-        yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, _DIFFER, strict=True)], schema=_DIFFER)
+        made, tables = [], [p[6] for p in part]
+        for k, (_, h, _, x, *_) in enumerate(part):
+            linked, d, near, first, tokens = differences(h, x)
+            tokens = tokens.view(np.int64)
+            if tables[k] is not None:
+                if not k or tables[k] is not tables[k - 1]:
+                    ordered = rank_order(tables[k])
+                tokens = ordered(tokens)
+            made.append((linked, d, near, tokens[:first]))
+        columns = [[p[0] for p in part], [p[2] for p in part], [len(p[3]) for p in part], [p[4] for p in part], *zip(*made, strict=True)]
+        yield pa.RecordBatch.from_arrays([pa.array(list(c), f.type) for c, f in zip(columns, _DIFFER, strict=True)], schema=_DIFFER)
 
 
 def rank_order(table: np.ndarray) -> Callable[[np.ndarray], np.ndarray]:
@@ -328,54 +337,61 @@ def rank_order(table: np.ndarray) -> Callable[[np.ndarray], np.ndarray]:
     return ordered
 
 
-def _ranked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows of _DIFFER sorted by hub, its table of frequent shingles first (no set) → the members with the first of their differences."""
-    hub, ordered = None, rank_order(np.zeros(0, np.int64))
-    for b in batches:
-        kept, lists = [], []
-        for i, (a, who, first, tokens) in enumerate(zip(b.column("hub").to_pylist(), b.column("set").to_pylist(), b.column("first").to_pylist(), b.column("tokens").to_numpy(zero_copy_only=False), strict=True)):
-            tokens = np.asarray(tokens, np.int64)
-            if who is None or a != hub:
-                hub, ordered = a, rank_order(tokens if who is None else tokens[:0])
-            if who is not None:
-                kept.append(i)
-                lists.append(ordered(tokens)[:first])
-        if kept:
-            take = pa.array(kept, pa.int32())
-            yield pa.RecordBatch.from_arrays([b.column(c).take(take) for c in _DIFFER.names[:-1]] + [pa.array(lists, _DIFFER.field("tokens").type)], schema=_DIFFER)
-
-
-def _rarest_first(differ: DataFrame) -> DataFrame:
-    """differ with the lists of large hubs cut to their first ones, in order of how many of the hub's members differ in them.
-
-    A table holds the shingles of more than GROUP members and more than a MEMBERS-th of them, so it has at most MEMBERS times as many
-    entries as a list has on average, and goes to one task for each MEMBERS members. Rarer ones come first, by hash. Any order that
-    all members follow gives the same links; this one decides what it costs.
+_COUNTED = pa.schema([("hub", pa.int64()), ("piece", pa.int32()), ("pieces", pa.int32()), ("tokens", pa.list_(pa.int64())), ("counts", pa.list_(pa.int32()))])
+_COUNTED_DDL = "hub long, piece int, pieces int, tokens array<long>, counts array<int>"
+
+
+def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Members beside their leader → how many of a deal differ in each shingle, in as many pieces by shingle as the leader has deals."""
+    for hub, members in itertools.groupby(_beside_leader(batches), key=lambda r: r[0]):
+        for some in itertools.batched(members, DEALT):
+            tokens, counts = np.unique(np.concatenate([differences(h, x)[4] for _, h, _, x, *_ in some]), return_counts=True)
+            pieces = some[0][5]
+            piece = tokens % np.uint64(pieces)
+            rows = [(hub, k, pieces, tokens[piece == k].view(np.int64), counts[piece == k].astype(np.int32)) for k in np.unique(piece).tolist()]
+            if rows:
+                yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(map(list, zip(*rows, strict=True)), _COUNTED, strict=True)], schema=_COUNTED)
+
+
+def _summed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows of _COUNTED sorted by hub and piece → one row a piece, with the frequent shingles only."""
+    rows = (r for b in batches for r in zip(*(b.column(c).to_pylist() for c in _COUNTED.names[:3]), *(b.column(c).to_numpy(zero_copy_only=False) for c in _COUNTED.names[3:]), strict=True))
+    for (hub, piece, pieces), group in itertools.groupby(rows, key=lambda r: r[:3]):
+        held = list(group)
+        tokens, at = np.unique(np.concatenate([r[3] for r in held]), return_inverse=True)
+        counts = np.bincount(at, np.concatenate([r[4] for r in held]), len(tokens)).astype(np.int32)
+        often = counts >= max(LEAST, pieces)
+        yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(([hub], [piece], [pieces], [tokens[often]], [counts[often]]), _COUNTED, strict=True)], schema=_COUNTED)
+
+
+def _tables(pairs: DataFrame, texts: DataFrame) -> DataFrame:
+    """hub, table: shingles in which many members of a large hub differ from it, the rarest first.
+
+    Any order that all members follow gives the same links; this one decides what that costs, so a count over one of SAMPLED members
+    is enough. A shingle has to be in a DEALT-th of those at least, so a table has at most DEALT times as many entries as a member
+    has differences, and all copies of it, one for each deal of DEALT members, are no more than all members' differences.
     """
-    large = differ.where("parts > 1")
-    if not large.limit(1).count():
-        return differ
-    crowd = large.groupBy("hub").agg(F.count(F.lit(1)).alias("members"), F.ceil(F.max("parts") / DEALS).cast("int").alias("copies"))
-    often = large.select("hub", F.explode("tokens").alias("token")).groupBy("hub", "token").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > GROUP)
-    often = often.join(crowd, "hub").where(F.col("n") * MEMBERS > F.col("members"))
-    tables = often.groupBy("hub", "copies").agg(F.array_sort(F.collect_list(F.struct("n", "token"))).alias("tokens"))
-    empty = [F.lit(None).cast(f.dataType).alias(f.name) for f in differ.schema if f.name not in ("hub", "tokens")]
-    tables = tables.select("hub", F.explode(F.sequence(F.lit(0), F.col("copies") - 1)).alias("deal"), *empty, F.col("tokens.token").alias("tokens"))
-    dealt = large.withColumn("deal", F.pmod(F.xxhash64("set"), F.ceil(F.col("parts") / DEALS)).cast("int")).unionByName(tables)
-    sorted_ = dealt.repartition(partitions(differ), "hub", "deal").sortWithinPartitions("hub", "deal", F.col("set").isNotNull())
-    ranked = sorted_.select(*_DIFFER.names).mapInArrow(_ranked, _DIFFER_DDL)
-    return differ.where("parts = 1").unionByName(staged(ranked, "ranked"))
-
-
-def _dealt(pairs: DataFrame, texts: DataFrame) -> DataFrame:
-    """leader, set, asks, parts, packed: members (a, b, asks) of each leader, DEALT to a task, each time with the leader's own text before them."""
+    large = pairs.groupBy("a").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > LARGE).select("a")
+    some = pairs.where(F.pmod(F.xxhash64("b", F.lit(SAMPLED)), F.lit(SAMPLED)) == 0).join(large, "a", "left_semi")
+    counted = _dealt(some, texts).mapInArrow(_counted, _COUNTED_DDL).repartition(partitions(pairs), "hub", "piece").sortWithinPartitions("hub", "piece")
+    pieces = counted.mapInArrow(_summed, _COUNTED_DDL).where(F.size("tokens") > 0)
+    tables = pieces.groupBy("hub").agg(F.array_sort(F.flatten(F.collect_list(F.arrays_zip("counts", "tokens")))).alias("found"))
+    return staged(tables.select("hub", F.col("found.tokens").alias("table")), "tables")
+
+
+def _dealt(pairs: DataFrame, texts: DataFrame, tables: DataFrame | None = None) -> DataFrame:
+    """leader, set, asks, parts, packed, table: members (a, b, asks) of each leader, DEALT to a task, each time with the leader's table (no set) and own text before them."""
     pairs = staged(pairs, "pairs")
     parts = pairs.groupBy("a").agg(F.ceil(F.count(F.lit(1)) / DEALT).cast("int").alias("parts"))
     wide = pairs.join(parts, "a").select(F.col("a").alias("leader"), F.col("b").alias("set"), F.pmod(F.xxhash64("b"), F.col("parts")).cast("int").alias("part"), "parts", "asks")
     want = wide.unionByName(wide.select("leader", F.col("leader").alias("set"), "part", "parts", F.lit(False).alias("asks")).distinct())
-    met = want.join(texts.hint("merge"), "set")
-    dealt = met.repartition(partitions(pairs), "leader", "part").sortWithinPartitions("leader", "part", F.col("leader") != F.col("set"))
-    return dealt.select("leader", "set", "asks", "parts", "packed")
+    met = want.join(texts.hint("merge"), "set").withColumn("table", F.lit(None).cast("array<long>"))
+    if tables is not None:
+        each = tables.join(parts, tables["hub"] == parts["a"]).select(F.col("hub").alias("leader"), "parts", "table")
+        each = each.withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+        met = met.unionByName(each, allowMissingColumns=True)
+    dealt = met.repartition(partitions(pairs), "leader", "part").sortWithinPartitions("leader", "part", F.col("set").isNotNull(), F.col("leader") != F.col("set"))
+    return dealt.select("leader", "set", "asks", "parts", "packed", "table")
 
 
 def verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
@@ -405,9 +421,10 @@ def similarity_components(documents: DataFrame) -> DataFrame:
     stars = _stars(small)
     wanted = small.select(F.explode("members.id").alias("set")).unionByName(asked.select("set")).unionByName(asked.select(F.col("hub").alias("set"))).distinct()
     texts = staged(members.select("set", "packed").join(wanted.hint("merge"), "set").groupBy("set").agg(F.first("packed").alias("packed")), "texts")
-    differ = staged(_dealt(asked.where("hub <> set").select(F.col("hub").alias("a"), F.col("set").alias("b"), "asks"), texts).mapInArrow(_differ, _DIFFER_DDL), "differ")
+    beside = staged(asked.where("hub <> set").select(F.col("hub").alias("a"), F.col("set").alias("b"), "asks"), "beside")
+    differ = staged(_dealt(beside, texts, _tables(beside, texts)).mapInArrow(_differ, _DIFFER_DDL), "differ")
     roots = connected(verified(stars, texts).unionByName(differ.where("linked").select(F.col("hub").alias("a"), F.col("set").alias("b"))))
-    more = staged(verified(_between(small, roots, needs).unionByName(_differences(_rarest_first(differ), roots)), texts), "links")
+    more = staged(verified(_between(small, roots, needs).unionByName(_differences(differ, roots)), texts), "links")
     if more.limit(1).count():
         roots = connected(roots.select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(more))
     r = roots.withColumnRenamed("node", "set")
@@ -579,7 +596,7 @@ def _differences(differ: DataFrame, roots: DataFrame) -> DataFrame:
     # |D(b)| is at most |D(a)| + (|a| + |b|) / 7; what is farther from the hub than any set that asks allows is left out.
     listed = F.size("tokens")
     reach = differ.groupBy("hub").agg(F.max(F.when(F.col("asks"), 7 * F.col("d") + F.col("size"))).alias("reach"), F.ceil((F.sum(listed.cast("long")) + 1) / MEET).cast("int").alias("parts"))
-    near = differ.drop("parts", "first").join(reach, "hub").where((7 * F.col("d") - F.col("size") <= F.col("reach")) & (listed > 0))
+    near = differ.join(reach, "hub").where((7 * F.col("d") - F.col("size") <= F.col("reach")) & (listed > 0))
     rooted = near.join(roots.select(F.col("node").alias("set"), "root"), "set", "left").withColumns({"root": F.coalesce("root", "set"), "listed": listed})
     dealt = map_batches(rooted, _parted, _LISTED_DDL).repartition(partitions(differ), "hub", "part").sortWithinPartitions("hub", "part")
     met = dealt.mapInArrow(_meet, "hub long, set_a long, set_b long").distinct()

@@ -323,17 +323,28 @@ def test_what_a_family_shares_beside_its_hub_meets_nobody():
     assert len(table) > 10 and not len(J.meeting_pairs(cols, lists, [np.arange(len(x)) for x in lists]))
 
 
-def test_ranked_rows_follow_their_hubs_table():
+def test_tables_hold_frequent_shingles_rarest_first(spark):
     import numpy as np
     import pyarrow as pa
 
     assert J.rank_order(np.array([5, -2, 9]))(np.array([9, 7, 5, -2, 1])).tolist() == [1, 7, 5, -2, 9]
-    base = dict(size=9, asks=True, parts=2, linked=False, d=3, near=1)
-    rows = [dict(hub=1, set=None, tokens=[3, 1]), dict(base, hub=1, set=10, first=2, tokens=[1, 3, 2]), dict(base, hub=1, set=11, first=9, tokens=[1, 3]), dict(base, hub=2, set=12, first=3, tokens=[3, 2, 1])]
-    table = pa.Table.from_pylist(rows, schema=J._DIFFER)
-    for size in (1, 4):
-        got = [(x["hub"], x["set"], x["tokens"]) for b in J._ranked(iter(table.to_batches(max_chunksize=size))) for x in b.to_pylist()]
-        assert got == [(1, 10, [2, 3]), (1, 11, [3, 1]), (2, 12, [1, 2, 3])]
+    rows = [(1, 0, 2, [4, -6], [3, 2]), (1, 0, 2, [8, 4], [9, 1]), (1, 1, 2, [3], [4]), (2, 0, 5, [3, 5], [4, 5])]
+    table = pa.Table.from_pylist([dict(zip(J._COUNTED.names, r, strict=True)) for r in rows], schema=J._COUNTED)
+    got = [tuple(x.values()) for b in J._summed(iter(table.to_batches(max_chunksize=2))) for x in b.to_pylist()]
+    assert got == [(1, 0, 2, [4, 8], [4, 9]), (1, 1, 2, [3], [4]), (2, 0, 5, [5], [5])]
+    members = [(i, t) for i, t in far_family(800) if i % 40 != 39]
+    texts = J.map_batches(spark.createDataFrame(members, DOCS).withColumn("digest", F.lit(0).cast("long")), J._described, J._MEMBERS).select("set", "packed", "doc_id").cache()
+    hub = J.name(J.shingles(members[3][1]))
+    pairs = texts.where(F.col("set") != hub).select(F.lit(hub).alias("a"), F.col("set").alias("b"), F.lit(True).alias("asks"))
+    (row,) = J._tables(pairs, texts.drop("doc_id")).collect()
+    own = set(J.shingles(members[3][1]).view(np.int64).tolist())
+    two_fifths, hubs = [x not in own for x in row.table], [x in own for x in row.table]
+    assert row.hub == hub and 5 <= sum(two_fifths) <= 15 and sum(hubs) >= 20 and sorted(hubs) == hubs  # what all lack comes last
+    differ = J._dealt(pairs, texts.drop("doc_id"), J._tables(pairs, texts.drop("doc_id"))).mapInArrow(J._differ, J._DIFFER_DDL).collect()
+    assert len(differ) == len(members) - 1
+    for r in differ:
+        rank = [row.table.index(x) + 1 if x in row.table else 0 for x in r.tokens]
+        assert rank == sorted(rank)
 
 
 def test_shared_counts_agree_with_sets():
