@@ -211,3 +211,50 @@ def test_few_vectors_and_none(spark):
     df = spark.createDataFrame([(0, [1.0, 0.0]), (1, [0.0, 1.0]), (2, [1.0, 1.0])], "vec_id long, embedding array<float>")
     assert [(r.query_id, r["rank"], r.vec_id) for r in A.search(df).orderBy("rank").collect()] == [(0, 1, 2), (0, 2, 1)]
     assert A.search(df.limit(0)).count() == 0
+
+
+def ranked(ids, x, every, k):
+    """Of each query the k nearest, by brute force on vectors that are scaled to where squares stay finite; ties go by id."""
+    x = x / np.abs(x).max(1, keepdims=True)
+    n = np.sqrt((x * x).sum(1))
+    return {int(ids[q]): [int(ids[i]) for i in np.lexsort((ids, -np.round((x * x[q]).sum(1) / (n * n[q]), 13))) if i != q][:k] for q in range(len(ids)) if ids[q] % every == 0}
+
+
+SHAPES = {
+    "near copies": lambda g: g.normal(size=(2, 24))[g.integers(0, 2, 1500)] + 1e-3 * g.normal(size=(1500, 24)),
+    "one direction": lambda g: 9 + g.normal(size=(1500, 24)),
+    "many dimensions": lambda g: g.normal(size=(1200, 400)),
+    "copies beside none": lambda g: np.concatenate([g.normal(size=24) + 1e-2 * g.normal(size=(700, 24)), g.normal(size=(700, 24))]),
+    "far scales": lambda g: (g.normal(size=(1, 8)) + 0.01 * g.normal(size=(1000, 8))) * 10.0 ** g.choice([-250, 0, 250], (1000, 1)),
+    "one number": lambda g: g.choice([-1.0, 1.0], (900, 1)) * np.arange(1, 901)[:, None],
+}
+
+
+@pytest.mark.parametrize("shape", SHAPES)
+def test_no_nearest_vector_is_missed(spark, shape):
+    x = SHAPES[shape](np.random.default_rng(4))
+    ids = np.random.default_rng(5).permutation(len(x))
+    got = {}
+    for r in A.search(spark.createDataFrame([(int(i), v.tolist()) for i, v in zip(ids, x, strict=True)], "vec_id long, embedding array<double>")).collect():
+        got.setdefault(r.query_id, []).append((r["rank"], r.vec_id))
+    assert {q: [i for _, i in sorted(f)] for q, f in got.items()} == ranked(ids, x, 50, 5)
+
+
+def test_few_vectors_that_are_all_opposite(spark):
+    x = np.random.default_rng(1).normal(size=(400, 7))
+    x = x[A.cosine(-3 * x, x) < -1][0]  # rounded
+    df = spark.createDataFrame([(i, (f * x).tolist()) for i, f in enumerate((1, -3, -6, -1))], "vec_id long, embedding array<double>")
+    assert {r.vec_id for r in A.search(df).collect()} == {1, 2, 3}
+
+
+def test_bounds_leave_out_no_vector_that_scores_enough():
+    g = np.random.default_rng(6)
+    for d, off in ((2, 0.3), (3, 1.0), (24, 0.5), (24, 1e-6), (1, 0.7)):
+        x, q = A.unit(g.normal(size=(300, d))), A.unit(g.normal(size=(200, d)))
+        coded = g.uniform(0, 2, (300, 1)) * x + off * g.normal(size=(300, d))
+        along = (x * coded).sum(1)
+        across = np.linalg.norm(coded - along[:, None] * x, axis=1)
+        for score in (-1.0, -0.6, 0.0, 0.8, 1.0):
+            may = A.reachable(coded @ q.T, np.array(score), along[:, None], across[:, None], A.ROUNDED)
+            assert may[x @ q.T >= score].all()
+    assert not A.reachable(np.array(0.1), np.array(0.9), np.array(1.0), np.array(0.1), A.ROUNDED)
