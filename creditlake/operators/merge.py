@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from creditlake.functions.names import none_if_empty, normalize_name, strip
+from creditlake.sources.writers import staged
 
 _ATTRIBUTES = ["cin", "isin", "bse_code", "nse_symbol", "is_listed"]
 
@@ -14,10 +15,12 @@ _ATTRIBUTES = ["cin", "isin", "bse_code", "nse_symbol", "is_listed"]
 def assign_ids(new: DataFrame, order: list[str], start: int, into: str = "id") -> DataFrame:
     """Dense numbers after ``start`` in the order given: a range sort, a count for each partition, and offsets of partitions.
 
-    One number a partition comes to the driver; no window without a key, so no single task.
+    Sorted rows are written once with their partition and place: a range sort that runs again draws other boundaries, and then the
+    partitions wouldn't be those that were counted. One number a partition comes to the driver; no window without a key, so no single task.
     """
     p = new.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_part", F.spark_partition_id())
     p = p.withColumn("_place", F.monotonically_increasing_id().bitwiseAND((1 << 33) - 1))
+    p = staged(p)
     counts = sorted((r["_part"], r["count"]) for r in p.groupBy("_part").count().collect())
     offsets, at = [], start
     for part, n in counts:

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import functions as F
 
 from creditlake.operators import financials as X
@@ -15,18 +13,7 @@ from creditlake.sources import html as H
 from creditlake.sources import readers as R
 from creditlake.sources import writers as W
 from creditlake.sources.arrays import read_elements
-
-
-def scratch(spark) -> str:
-    """A new folder in the shared one that the session names, or in a temporary one where it names none and all run on one machine."""
-    import tempfile
-
-    named = spark.conf.get("spark.checkpoint.dir", None)
-    if not named:
-        if not spark.sparkContext.master.startswith("local["):
-            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-        named = f"file://{tempfile.gettempdir()}"
-    return f"{named.rstrip('/')}/creditlake-{uuid.uuid4().hex}"
+from creditlake.sources.writers import scratch
 
 
 def landed(answers, files: bool) -> str:

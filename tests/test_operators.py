@@ -57,6 +57,20 @@ def test_ids_are_dense_in_order(spark, keys):
     assert [g[0] for g in got] == list(range(11, 11 + len(keys))) and [g[1] for g in got] == sorted(keys)
 
 
+def test_ids_are_dense_in_order_over_rows_of_which_a_range_sort_draws_a_sample(spark):
+    df = spark.range(60_000).select(F.xxhash64("id").alias("k"), "id", F.lit(None).alias("none"))
+    held = {k: spark.conf.get(k) for k in ("spark.sql.adaptive.coalescePartitions.enabled", "spark.sql.shuffle.partitions")}
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    spark.conf.set("spark.sql.shuffle.partitions", "8")
+    try:
+        got = M.assign_ids(df, ["k"], 10, "n").select("k", "n", "none").collect()
+    finally:
+        for k, v in held.items():
+            spark.conf.set(k, v)
+    assert sorted(r.n for r in got) == list(range(11, 60_011))
+    assert [r.k for r in sorted(got, key=lambda r: r.n)] == sorted(r.k for r in got)
+
+
 def test_a_better_rating_elsewhere_hides_the_company(spark):
     c = spark.createDataFrame([(1, "N", "n", None, None, None, None, 0)], schemas.COMPANIES)
     r = spark.createDataFrame([(1, 1, "ICRA", "AA", 3), (2, 1, "CRISIL", "A", 6)], "id long, company_id long, agency string, rating_symbol string, rating_grade int")
