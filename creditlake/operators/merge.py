@@ -31,19 +31,20 @@ def assign_ids(new: DataFrame, order: list[str], start: int, into: str = "id") -
 
 
 def _last(c: str) -> Column:
-    return F.max_by(c, F.when(F.col(c).isNotNull(), F.col("seq")))
+    return F.max_by(c, F.when(F.col(c).isNotNull(), F.struct("seq", -F.col("id"))))
 
 
 def upsert_companies(existing: DataFrame, incoming: DataFrame) -> DataFrame:
     """By normalised name: the first spelling stays, each attribute is the last that isn't null; a new company has a null id.
 
-    existing: companies; incoming: name, seq and any of the attributes.
+    existing: companies, of which several can have one normalised name; they count as one, with the greatest id, and what several
+    of them have is that of the least id. incoming: name, seq and any of the attributes.
     """
     have = [c for c in _ATTRIBUTES if c in incoming.columns]
     old = existing.select("id", "name", "name_normalized", *_ATTRIBUTES, F.lit(-1).cast("long").alias("seq"))
     new = incoming.select(F.lit(None).cast("long").alias("id"), "name", normalize_name(F.col("name")).alias("name_normalized"), *have, F.col("seq").cast("long"))
     both = old.unionByName(new, allowMissingColumns=True)
-    out = both.groupBy("name_normalized").agg(F.max("id").alias("id"), F.min_by("name", "seq").alias("name"), *(_last(c).alias(c) for c in _ATTRIBUTES))
+    out = both.groupBy("name_normalized").agg(F.max("id").alias("id"), F.min_by("name", F.struct("seq", "id")).alias("name"), *(_last(c).alias(c) for c in _ATTRIBUTES))
     return out.withColumn("is_listed", F.coalesce("is_listed", F.lit(0)))
 
 

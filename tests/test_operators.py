@@ -49,6 +49,14 @@ def test_companies_keep_the_first_spelling_and_the_last_value(spark):
     assert (r.name, r.isin, r.is_listed) == ("Acme Limited", "X", 0)
 
 
+def test_stored_companies_of_one_name_count_as_one_with_the_values_of_the_least_id(spark):
+    old = [(i, f"Acme {'LTD' if i % 2 else 'ltd'}", "acme ltd", None, None if i == 3 else f"I{i}", f"B{i}", None, i % 2) for i in range(3, 30)]
+    for turn in (1, -1):
+        for n in (1, 3):
+            (r,) = M.upsert_companies(spark.createDataFrame(old[::turn], schemas.COMPANIES).repartition(n), spark.createDataFrame([("acme limited", "Z", 1)], "name string, cin string, seq long")).collect()
+            assert (r.id, r.name, r.cin, r.isin, r.bse_code, r.is_listed) == (29, "Acme LTD", "Z", "I4", "B3", 1)
+
+
 @settings(max_examples=5, deadline=None, suppress_health_check=[HealthCheck.function_scoped_fixture])
 @given(st.lists(st.integers(0, 1000), min_size=1, max_size=60))
 def test_ids_are_dense_in_order(spark, keys):
