@@ -63,6 +63,15 @@ def last_wins(df: DataFrame, key: str, values: list[str], pos: str = "pos") -> D
     return df.where(none_if_empty(F.col(key)).isNotNull()).groupBy(key).agg(F.max_by(F.struct(*values), pos).alias("_v"), F.min(pos).alias(pos)).select(key, "_v.*", pos)
 
 
+def _met(left: DataFrame, right: DataFrame, on: str | Column, how: str = "inner") -> DataFrame:
+    """A join of two sides that both grow with the tables, neither of which is broadcast.
+
+    Left to itself Spark takes the compressed bytes of files for the size of what is made from them, and collects on the driver what is
+    ten times as large there.
+    """
+    return left.join(right.hint("merge"), on, how)
+
+
 #: Lengths of q-grams. A prefix is looked up by those of the longest that fits into it, as longer ones are rarer.
 GRAMS = (4, 8, 16)
 
@@ -93,11 +102,11 @@ def first_containing(prefixes: DataFrame, reference: DataFrame) -> DataFrame:
     needs = p.where(F.length("prefix") >= short).withColumn("q", _gram_length(F.col("prefix"))).withColumn("gram", F.explode(grams(F.col("prefix"), F.col("q"))))
     lists = reference.select("name_norm", "pos", F.explode(F.concat(*(grams(F.col("name_norm"), F.lit(q)) for q in GRAMS))).alias("gram"))
     sizes = lists.groupBy("gram").agg(F.count(F.lit(1)).alias("n"))
-    found = needs.join(sizes, "gram", "left").groupBy("prefix").agg(F.min_by("gram", F.struct(F.coalesce("n", F.lit(0)), "gram")).alias("gram"), F.min(F.coalesce("n", F.lit(0))).alias("n"))
-    long = lists.join(found.where("n > 0"), "gram").where(F.contains("name_norm", "prefix")).groupBy("prefix").agg(F.min("pos").alias("pos"))
+    found = _met(needs, sizes, "gram", "left").groupBy("prefix").agg(F.min_by("gram", F.struct(F.coalesce("n", F.lit(0)), "gram")).alias("gram"), F.min(F.coalesce("n", F.lit(0))).alias("n"))
+    long = _met(lists, found.where("n > 0"), "gram").where(F.contains("name_norm", "prefix")).groupBy("prefix").agg(F.min("pos").alias("pos"))
     tiny = F.expr(f"flatten(transform(sequence(0, {short - 1}), k -> if(k = 0, array(''), if(length(name_norm) < k, array(), transform(sequence(1, length(name_norm) - k + 1), i -> substring(name_norm, i, k))))))")
     few = reference.select("pos", F.explode(F.array_distinct(tiny)).alias("part")).groupBy("part").agg(F.min("pos").alias("pos"))
-    return long.unionByName(p.where(F.length("prefix") < short).join(few, F.col("prefix") == F.col("part")).select("prefix", "pos"))
+    return long.unionByName(_met(p.where(F.length("prefix") < short), few, F.col("prefix") == F.col("part")).select("prefix", "pos"))
 
 
 def match_listed(companies: DataFrame, reference: DataFrame, prefix: int, limit: int | None = None) -> DataFrame:

@@ -94,6 +94,27 @@ def test_ties_of_the_best_rating_go_to_the_smallest_agency(spark):
     assert sorted((x.company_id, x.agency) for x in S.top_rating(r).collect()) == [(1, "CARE"), (2, "B10"), (3, "Y")]
 
 
+def broadcasts(df):
+    """Whether Spark broadcasts anything, with its own limits of size."""
+    spark, name = df.sparkSession, "spark.sql.autoBroadcastJoinThreshold"
+    held = spark.conf.get(name)
+    spark.conf.set(name, "10m")
+    try:
+        again = df.select("*")
+        again.collect()
+        return "Broadcast" in again._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set(name, held)
+
+
+def test_prefixes_are_looked_up_without_a_broadcast(spark):
+    p = spark.createDataFrame([("acme",), ("ac",), ("zz",), ("none such",), ("foods ltd",)], "prefix string")
+    r = spark.createDataFrame([("the acme foods ltd", 3), ("acme", 5), ("buzz", 4)], "name_norm string, pos long")
+    out = J.first_containing(p, r)
+    assert sorted(map(tuple, out.collect())) == [("ac", 3), ("acme", 3), ("foods ltd", 3), ("zz", 4)]
+    assert broadcasts(p.join(r, p["prefix"] == r["name_norm"])) and not broadcasts(out)
+
+
 def test_job_queues_are_ordered_and_limited(spark):
     c = spark.createDataFrame([(i, f"N{9 - i}", 0) for i in range(6)], "id long, name string, is_listed int")
     r = spark.createDataFrame([(i, "ICRA", f"s{i}", 1 + i % 3, f"u{i}", "Power") for i in range(6)] + [(i, "CRISIL", "x", 5, "u", "Infrastructure" if i % 2 else "Banks") for i in range(6)], "company_id long, agency string, source_id string, rating_grade int, rationale_url string, sector string")
