@@ -137,10 +137,10 @@ def match_index(companies: DataFrame, index: DataFrame, prefix: int = 30) -> Dat
     companies: company_id, key; index: pos, key, file.
     """
     names = index.select("pos", F.col("key").alias("name_norm"), "file")
-    exact = companies.join(names.select(F.col("name_norm").alias("key"), F.col("file").alias("exact"), F.lit(True).alias("hit")), "key", "left")
+    exact = _met(companies, names.select(F.col("name_norm").alias("key"), F.col("file").alias("exact"), F.lit(True).alias("hit")), "key", "left")
     rest = exact.where("hit is null").select(F.substring("key", 1, prefix).alias("prefix"))
-    held = first_containing(rest, names).join(names.select("pos", F.col("file").alias("held")), "pos").select("prefix", "held")
-    out = exact.withColumn("prefix", F.substring("key", 1, prefix)).join(held, "prefix", "left")
+    held = _met(first_containing(rest, names), names.select("pos", F.col("file").alias("held")), "pos").select("prefix", "held")
+    out = _met(exact.withColumn("prefix", F.substring("key", 1, prefix)), held, "prefix", "left")
     return out.select("company_id", F.when(F.col("hit"), F.col("exact")).otherwise(F.col("held")).alias("file")).where(none_if_empty(F.col("file")).isNotNull())
 
 

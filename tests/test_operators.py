@@ -115,6 +115,14 @@ def test_prefixes_are_looked_up_without_a_broadcast(spark):
     assert broadcasts(p.join(r, p["prefix"] == r["name_norm"])) and not broadcasts(out)
 
 
+def test_an_index_is_matched_without_a_broadcast(spark):
+    c = spark.createDataFrame([(1, "acme foods"), (2, "acme"), (3, "none such"), (4, "no file")], "company_id long, key string")
+    x = spark.createDataFrame([(1, "the acme foods", "f1"), (2, "acme", "f2"), (3, "no file", "")], "pos long, key string, file string")
+    out = J.match_index(c, x)
+    assert sorted(map(tuple, out.collect())) == [(1, "f1"), (2, "f2")]
+    assert not broadcasts(out)
+
+
 def test_job_queues_are_ordered_and_limited(spark):
     c = spark.createDataFrame([(i, f"N{9 - i}", 0) for i in range(6)], "id long, name string, is_listed int")
     r = spark.createDataFrame([(i, "ICRA", f"s{i}", 1 + i % 3, f"u{i}", "Power") for i in range(6)] + [(i, "CRISIL", "x", 5, "u", "Infrastructure" if i % 2 else "Banks") for i in range(6)], "company_id long, agency string, source_id string, rating_grade int, rationale_url string, sector string")
