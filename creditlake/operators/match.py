@@ -121,11 +121,11 @@ def match_listed(companies: DataFrame, reference: DataFrame, prefix: int, limit:
     c = companies.select(F.col("id").alias("company_id"), none_if_empty(F.col("isin")).alias("isin"), normalize_name_ws(F.col("name")).alias("name_norm"))
     by_isin = last_wins(r, "isin", ["name", "code"])
     by_name = last_wins(r, "name_norm", ["name", "isin", "code"])
-    out = c.join(by_isin.select("isin", F.struct("name", "isin", "code").alias("i")), "isin", "left")
-    out = out.join(by_name.select("name_norm", F.struct("name", "isin", "code").alias("n")), "name_norm", "left")
+    out = _met(c, by_isin.select("isin", F.struct("name", "isin", "code").alias("i")), "isin", "left")
+    out = _met(out, by_name.select("name_norm", F.struct("name", "isin", "code").alias("n")), "name_norm", "left")
     rest = out.where("i is null and n is null").select(F.substring("name_norm", 1, prefix).alias("prefix")).distinct()
-    held = first_containing(rest, by_name).join(by_name.select("pos", F.struct("name", "isin", "code").alias("p")), "pos").select("prefix", "p")
-    out = out.withColumn("prefix", F.substring("name_norm", 1, prefix)).join(held, "prefix", "left")
+    held = _met(first_containing(rest, by_name), by_name.select("pos", F.struct("name", "isin", "code").alias("p")), "pos").select("prefix", "p")
+    out = _met(out.withColumn("prefix", F.substring("name_norm", 1, prefix)), held, "prefix", "left")
     rule = F.when(F.col("i").isNotNull(), "isin").when(F.col("n").isNotNull(), "name").when(F.col("p").isNotNull(), "prefix")
     hit = F.coalesce("i", "n", "p")
     return out.select("company_id", rule.alias("rule"), hit["name"].alias("ref_name"), hit["isin"].alias("ref_isin"), hit["code"].alias("ref_code")).where("rule is not null")

@@ -2,6 +2,7 @@
 
 import random
 
+import pytest
 from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
@@ -123,6 +124,16 @@ def test_an_index_is_matched_without_a_broadcast(spark):
     assert not broadcasts(out)
 
 
+@pytest.mark.parametrize("prefix", [20])
+def test_listed_companies_are_matched_without_a_broadcast(spark, prefix):
+    long = "Acme Foods and Beverages of India"
+    c = spark.createDataFrame([(1, "One", "I1"), (2, "Two Limited", None), (3, long[:prefix], None), (4, "None such", None)], "id long, name string, isin string")
+    r = spark.createDataFrame([(1, "First", "I1", "a"), (2, "two ltd", None, "b"), (3, f"The {long}", None, "c")], "pos long, name string, isin string, code string")
+    out = J.match_listed(c, r, prefix)
+    assert sorted((x.company_id, x.rule, x.ref_code) for x in out.collect()) == [(1, "isin", "a"), (2, "name", "b"), (3, "prefix", "c")]
+    assert not broadcasts(out)
+
+
 def test_job_queues_are_ordered_and_limited(spark):
     c = spark.createDataFrame([(i, f"N{9 - i}", 0) for i in range(6)], "id long, name string, is_listed int")
     r = spark.createDataFrame([(i, "ICRA", f"s{i}", 1 + i % 3, f"u{i}", "Power") for i in range(6)] + [(i, "CRISIL", "x", 5, "u", "Infrastructure" if i % 2 else "Banks") for i in range(6)], "company_id long, agency string, source_id string, rating_grade int, rationale_url string, sector string")
