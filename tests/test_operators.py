@@ -124,7 +124,7 @@ def test_an_index_is_matched_without_a_broadcast(spark):
     assert not broadcasts(out)
 
 
-@pytest.mark.parametrize("prefix", [20])
+@pytest.mark.parametrize("prefix", [20, 25])
 def test_listed_companies_are_matched_without_a_broadcast(spark, prefix):
     long = "Acme Foods and Beverages of India"
     c = spark.createDataFrame([(1, "One", "I1"), (2, "Two Limited", None), (3, long[:prefix], None), (4, "None such", None)], "id long, name string, isin string")
