@@ -1,8 +1,10 @@
-"""First-wins over a stream of landed ratings: the state keeps the arrival number of each key's best row, and nothing else is looked at.
+"""First-wins over a stream of landed ratings: the state keeps each key's best row so far, and nothing else is looked at.
 
 A key is company, agency and source_id; a row without a source_id is its own key, by its arrival number. A row goes on if its key is
 new or if it comes before the row that the key has, so files that land out of order give what a batch over all of them gives, and
-files that land again change nothing. State is one number a key, kept by RocksDB on the executors' disks and in the checkpoint.
+files that land again change nothing. It is a streaming aggregate, so rows meet their state without leaving the JVM, and no
+Python is called for a key. State is one row a key, kept by RocksDB on the executors' disks and in the checkpoint. A
+checkpoint of the former state (one number a key) can't go on: read all files again into a new table and checkpoint.
 
 Each micro-batch is written to a folder of its own, which is replaced if the batch runs again, so a restart neither loses nor doubles
 a row. A table is read by taking each key's first row; only a key that was corrected has more than one.
@@ -10,12 +12,9 @@ a row. A table is read by taking each key's first row; only a key that was corre
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, StreamingQuery
+from pyspark.sql.streaming import StreamingQuery
 
 KEY = "first_wins_key"
 _ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
@@ -27,31 +26,15 @@ def first_wins_key() -> Column:
     return F.to_json(F.struct("company_id", "agency", source.alias("source_id"), F.when(source.isNull(), F.col("seq")).alias("seq")))
 
 
-class First(StatefulProcessor):
-    """Of each key's rows the one of least seq, whenever it improves."""
-
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self.best = handle.getValueState("best", "seq long")
-
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:  # noqa: N802, N803  Spark's names
-        kept = self.best.get()
-        least, row = None if kept is None else kept[0], None
-        for part in rows:
-            i = part["seq"].idxmin()
-            if least is None or part["seq"][i] < least:
-                least, row = int(part["seq"][i]), part.loc[[i]]
-        if row is not None:
-            self.best.update((least,))
-            yield row
-
-    def close(self) -> None:
-        pass
-
-
 def first_wins(rows: DataFrame) -> DataFrame:
-    """Rows of a stream (company_id, agency, source_id, seq and others) that are their key's first so far. Null companies or agencies are keys too."""
-    keyed = rows.withColumn(KEY, first_wins_key())
-    return keyed.groupBy(KEY).transformWithStateInPandas(First(), keyed.schema, "Update", "none")
+    """Rows of a stream (company_id, agency, source_id, seq and others) that are their key's first so far. Null companies or agencies are keys too.
+
+    Each best row is kept with the time of its micro-batch, which Spark logs and repeats if the batch runs again. A row with
+    the same seq doesn't replace it, so what a batch improved is what bears its time.
+    """
+    dated = rows.withColumn(KEY, first_wins_key()).withColumn("_at", F.current_timestamp())
+    kept = dated.groupBy(KEY).agg(F.min_by(F.struct(*rows.columns, "_at"), F.struct("seq", "_at")).alias("_r"))
+    return kept.where(F.col("_r._at") == F.current_timestamp()).select(*(f"_r.{c}" for c in rows.columns), KEY)
 
 
 def stream_first_wins(spark: SparkSession, path: str, schema: str, table: str, checkpoint: str, files: int | None = None) -> StreamingQuery:

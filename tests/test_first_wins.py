@@ -47,3 +47,18 @@ def test_a_batch_that_runs_again_replaces_its_rows(spark, tmp_path):
         spark.createDataFrame([(1, 1, "A", "x", "r", "sx"), (2, 1, "A", None, "q", "n2")], f"{SCHEMA}, first_wins_key string").write.mode("overwrite").parquet(f"{tmp_path}/t/batch=0")
     spark.createDataFrame([(0, 1, "A", "x", "first", "sx")], f"{SCHEMA}, first_wins_key string").write.parquet(f"{tmp_path}/t/batch=1")
     assert sorted(r.rating_symbol for r in S.read_first_wins(spark, SCHEMA, f"{tmp_path}/t").collect()) == ["first", "q"]
+
+
+def test_a_batch_writes_only_what_it_improves_and_state_is_met_without_a_call_of_python_for_each_key(spark, tmp_path, land):
+    run = lambda: S.stream_first_wins(spark, f"{tmp_path}/in/*", SCHEMA, f"{tmp_path}/table", f"{tmp_path}/checkpoint").awaitTermination()
+    written = lambda n: sorted(r.rating_symbol for r in spark.read.schema(f"{SCHEMA}, {S.KEY} string").parquet(f"{tmp_path}/table/batch={n}").collect())
+    rows = [(i + 10, i % 40, None if i % 3 else "A", "x" if i % 2 else None, f"r{i}") for i in range(200)]
+    land("a", rows)
+    run()
+    land("b", rows)
+    run()
+    land("c", [(5, 1, None, "x", "earlier"), (900, 1, None, "x", "later"), (901, 77, "A", "x", "new")])
+    run()
+    assert len(written(0)) == 100 + 40 and written(1) == [] and written(2) == ["earlier", "new"]
+    plan = S.first_wins(spark.readStream.schema(SCHEMA).json(f"{tmp_path}/in/*"))._jdf.queryExecution().logical().toString()
+    assert "Py" not in plan and "Pandas" not in plan
